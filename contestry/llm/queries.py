@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contestry.llm.bpe import op2_bpe
 from contestry.llm.quality_classifier import op5_quality_classifier
 from contestry.llm.quality_rules import op4_quality_rules
+from contestry.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
