@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from contestry.llm.bpe import op2_bpe
 from contestry.llm.quality_classifier import op5_quality_classifier
 from contestry.llm.quality_rules import op4_quality_rules
+from contestry.llm.simhash import op1_simhash
+from contestry.llm.substring import op10_substring
 from contestry.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_files": op7_token_files,
+    "op10_substring": op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
