@@ -68,10 +68,9 @@ Picker = Callable[[bytes, bytes | None], tuple[np.ndarray, np.ndarray]]
 
 
 def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -> DataFrame:
-    """doc_id and at (positions, little-endian 32-bit, not in order) of the hashes that occur twice or more.
+    """doc_id and at (positions, little-endian 32-bit, not in order) of the hashes that occur twice or more; a row a document.
 
-    rows: doc_id, text and at; pick: the text's bytes and at to hashes and positions. A document may have several rows
-    in the result. A bucket holds one blob for each batch, in which each hash stands once, so a hash of any number of
+    rows: doc_id, text and at; pick: the text's bytes and at to hashes and positions. A bucket holds one blob for each batch, in which each hash stands once, so a hash of any number of
     documents adds no more rows to it than there are batches.
     """
 
@@ -142,20 +141,22 @@ def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -
             _, run, size = np.unique(h, return_inverse=True, return_counts=True)
             # A marked hash was passed through by its own batch; here it answers for the others.
             hit = (size > 1)[run] & (marks == 0)
-            return by_doc(doc[hit], at[hit])
+            return by_group(doc[hit], at[hit])
 
-        def by_doc(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            order = np.argsort(doc, kind="stable")
-            doc, at = doc[order], at[order]
-            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-            blobs = [x.tobytes() for x in np.split(at, new[1:])] if len(doc) else []
-            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(blobs, pa.binary())], ["doc_id", "at"])
+        def by_group(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            group = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            doc, at, group = doc[order], at[order], group[order]
+            edges = np.searchsorted(group, np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            blobs = [[x[edges[g] : edges[g + 1]].tobytes() for g in some] for x in (doc, at)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "docs", "at"])
 
         for b in batches:
             for k, hashes, marks, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 doc, at = np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)
                 if not hashes:
-                    yield by_doc(doc, at)
+                    yield by_group(doc, at)
                     continue
                 if k != bucket and held:
                     yield answer()
@@ -165,13 +166,31 @@ def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -
         if held:
             yield answer()
 
-    packed = rows.select("doc_id", "text", "at").mapInArrow(pack, "bucket int, hashes binary, several binary, docs binary, at binary")
-    return written(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id bigint, at binary"), name)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group of documents; one row leaves for each document, with all its positions."""
+        bucket, held = None, []
 
+        def each() -> pa.RecordBatch:
+            doc, at = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(doc, kind="stable")
+            doc, at = doc[order], at[order]
+            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            blobs = [x.tobytes() for x in np.split(at, new[1:])] if len(doc) else []
+            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(blobs, pa.binary())], ["doc_id", "at"])
 
-def gathered(found: DataFrame) -> DataFrame:
-    """One row for each document: doc_id and at, all its positions in one blob."""
-    return found.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("at")), "").alias("h")).select("doc_id", F.unhex("h").alias("at"))
+        for b in batches:
+            for k, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if k != bucket and held:
+                    yield each()
+                    held = []
+                bucket = k
+                held.append((np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)))
+        if held:
+            yield each()
+
+    packed = rows.select("doc_id", "text", "at").mapInArrow(pack, "bucket int, hashes binary, several binary, docs binary, at binary")
+    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, docs binary, at binary")
+    return written(met.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id bigint, at binary"), name)
 
 
 def anchors(raw: bytes, _: bytes | None, memo: dict[bytes, int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +234,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     memo: dict[bytes, int] = {}
     with_none = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("at"))
     seen = repeated_positions(with_none, lambda raw, at: anchors(raw, at, memo, window), buckets, "anchors")
-    again = rows.join(gathered(seen), "doc_id")
-    return gathered(repeated_positions(again, lambda raw, at: candidates(raw, at, memo, window), buckets, "windows"))
+    again = rows.join(seen, "doc_id")
+    return repeated_positions(again, lambda raw, at: candidates(raw, at, memo, window), buckets, "windows")
 
 
 def covered(starts: bytes | None, window: int, n: int) -> np.ndarray:
