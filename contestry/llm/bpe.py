@@ -13,7 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +65,18 @@ class Vocabulary:
         left = np.array([ids[a] for a, _ in pairs], np.int64)
         right = np.array([ids[b] for _, b in pairs], np.int64)
         self.made = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.none = len(pairs)
         key = left * self.size + right
-        order = np.argsort(key)
-        self.keys, self.ranks = key[order], order
+        self.ranks = np.argsort(key)
+        self.keys = key[self.ranks]
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; the number of merges where there is none."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], len(self.keys))
+        at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none)
 
 
 @lru_cache(2)
@@ -85,7 +86,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def merge_pieces(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces, one after another, and where each begins (one more entry for the end)."""
-    none = len(v.keys)
+    none = v.none
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(lengths)
     ids = v.single[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -161,6 +162,7 @@ class Memo:
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.uses, self.fixed = np.zeros(0, np.int64), 0
 
     def number(self, strings: list[str]) -> np.ndarray:
         numbers = self.numbers
@@ -175,13 +177,18 @@ class Memo:
         self.starts = np.concatenate([self.starts, starts[1:] + len(self.flat)])
         self.flat = np.concatenate([self.flat, flat])
 
-    def trim(self) -> None:
-        """Forget the strings that came last, beyond the bound; those seen first are the frequent ones."""
-        if len(self.numbers) > REMEMBER:
-            while len(self.numbers) > REMEMBER:
-                self.numbers.popitem()
-            self.starts = self.starts[: REMEMBER + 1]
-            self.flat = self.flat[: self.starts[-1]].copy()
+    def trim(self, at: np.ndarray) -> None:
+        """After a batch that used at: forget strings used once so far, and the least used beyond the bound."""
+        self.uses = np.pad(self.uses, (0, len(self.numbers) - len(self.uses))) + np.bincount(at, minlength=len(self.numbers))
+        least = 2
+        if np.count_nonzero(self.uses >= least) > REMEMBER:
+            least = int(np.partition(self.uses, -REMEMBER)[-REMEMBER]) + 1
+        keep = (self.uses >= least) | (np.arange(len(self.uses)) < self.fixed)
+        if np.count_nonzero(~keep) > len(keep) // 8:
+            stay = np.flatnonzero(keep)
+            flat, sizes = self.ids(stay), self.starts[stay + 1] - self.starts[stay]
+            self.numbers = {x: i for i, x in enumerate(compress(self.numbers, keep.tolist()))}
+            self.flat, self.starts, self.uses = flat, np.concatenate([[0], np.cumsum(sizes)]), self.uses[stay]
 
     def sizes(self, at: np.ndarray) -> np.ndarray:
         """The number of ids up to and with each."""
@@ -208,6 +215,7 @@ class Encoder:
         special = sorted(self.v.special.items())
         self.parts.number([t for t, _ in special])
         self.parts.add(np.array([i for _, i in special], np.int32), np.arange(len(special) + 1))
+        self.parts.fixed = len(special)
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.library is None:
@@ -234,8 +242,6 @@ class Encoder:
         return [first, *[" " + w for w in rest]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        self.words.trim()
-        self.parts.trim()
         words, parts = self.words, self.parts
         rows = [words.number(self.words_of(t) if t else []) for t in texts]
         if new := words.new():
@@ -245,12 +251,15 @@ class Encoder:
                 parts.add(*self.merged(pieces))
             ends = np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
             words.add(parts.ids(at), np.concatenate([[0], parts.sizes(at)[ends - 1]]))
+            parts.trim(at)
         at = np.concatenate([*rows, np.zeros(0, np.int64)])
         if not len(at):
             return [np.zeros(0, np.int32) for _ in rows]
         ends = np.cumsum([len(r) for r in rows])
         sizes = words.sizes(at)
-        return np.split(words.ids(at), np.where(ends[:-1] > 0, sizes[ends[:-1] - 1], 0))
+        out = np.split(words.ids(at), np.where(ends[:-1] > 0, sizes[ends[:-1] - 1], 0))
+        words.trim(at)
+        return out
 
 
 @lru_cache(1)

@@ -26,7 +26,8 @@ LANES, BLOCK = 32, 16_384
 SCALE, LOW = 18, 1 << 31
 #: Blocks that are coded side by side.
 SIDE = 32
-DOCS_A_PART = 4096
+#: Documents of a part, and parts at most; beyond, parts grow.
+DOCS_A_PART, MOST_PARTS = 4096, 65_536
 
 RAW = "part int, block int, start bigint, doc_ids array<bigint>, lengths array<int>, n int, ids binary"
 CODED = "part int, block int, start bigint, doc_ids array<bigint>, lengths array<int>, n int, crc bigint, states binary, words binary"
@@ -114,7 +115,7 @@ def raw_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Blocks of ids in ascending order of doc_id (nulls first), documents whole, the end id behind each."""
     n = docs.count()
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(max(1, -(-n // DOCS_A_PART)), "doc_id").sortWithinPartitions("doc_id")
+    ordered = ordered.repartitionByRange(min(MOST_PARTS, max(1, -(-n // DOCS_A_PART))), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
@@ -208,9 +209,9 @@ def read_files(spark: SparkSession, out: str, t: Table) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in READ.split(", ")])
 
     docs = files.mapInArrow(run, READ)
-    # One row for each part, of some thousand documents.
+    # One row for each part, MOST_PARTS at most: safe to send to all tasks.
     before = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return docs.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
