@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from contestry.llm.bpe import op2_bpe
+from contestry.llm.decontaminate import op8_decontaminate
+from contestry.llm.language import op9_language
 from contestry.llm.quality_classifier import op5_quality_classifier
 from contestry.llm.quality_rules import op4_quality_rules
 from contestry.llm.simhash import op1_simhash
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_files": op7_token_files,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
     "op10_substring": op10_substring,
 }
 
