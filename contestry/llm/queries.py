@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from contestry.llm.bpe import op2_bpe
 from contestry.llm.decontaminate import op8_decontaminate
 from contestry.llm.language import op9_language
+from contestry.llm.mixing import op3_mixing
 from contestry.llm.quality_classifier import op5_quality_classifier
 from contestry.llm.quality_rules import op4_quality_rules
 from contestry.llm.simhash import op1_simhash
 from contestry.llm.substring import op10_substring
+from contestry.llm.suffix_dedup import op6_suffix_dedup
 from contestry.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,

@@ -64,6 +64,44 @@ def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def by_group(doc: np.ndarray, at: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Positions of documents, one row for each group of documents."""
+    group = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    doc, at, group = doc[order], at[order].astype(np.uint32), group[order]
+    edges = np.searchsorted(group, np.arange(groups + 1))
+    some = np.flatnonzero(np.diff(edges)).tolist()
+    blobs = [[x[edges[g] : edges[g + 1]].tobytes() for g in some] for x in (doc, at)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "docs", "at"])
+
+
+def gathered(met: DataFrame, groups: int, name: str) -> DataFrame:
+    """One row for each document, doc_id and at with all its positions, of rows as by_group makes them; written."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def each() -> pa.RecordBatch:
+            doc, at = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(doc, kind="stable")
+            doc, at = doc[order], at[order]
+            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            blobs = [x.tobytes() for x in np.split(at, new[1:])] if len(doc) else []
+            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(blobs, pa.binary())], ["doc_id", "at"])
+
+        for b in batches:
+            for k, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if k != group and held:
+                    yield each()
+                    held = []
+                group = k
+                held.append((np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)))
+        if held:
+            yield each()
+
+    return written(met.repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id bigint, at binary"), name)
+
+
 Picker = Callable[[bytes, bytes | None], tuple[np.ndarray, np.ndarray]]
 
 
@@ -141,22 +179,13 @@ def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -
             _, run, size = np.unique(h, return_inverse=True, return_counts=True)
             # A marked hash was passed through by its own batch; here it answers for the others.
             hit = (size > 1)[run] & (marks == 0)
-            return by_group(doc[hit], at[hit])
-
-        def by_group(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            group = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            doc, at, group = doc[order], at[order], group[order]
-            edges = np.searchsorted(group, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(edges)).tolist()
-            blobs = [[x[edges[g] : edges[g + 1]].tobytes() for g in some] for x in (doc, at)]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "docs", "at"])
+            return by_group(doc[hit], at[hit], buckets)
 
         for b in batches:
             for k, hashes, marks, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 doc, at = np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)
                 if not hashes:
-                    yield by_group(doc, at)
+                    yield by_group(doc, at, buckets)
                     continue
                 if k != bucket and held:
                     yield answer()
@@ -166,31 +195,9 @@ def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -
         if held:
             yield answer()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group of documents; one row leaves for each document, with all its positions."""
-        bucket, held = None, []
-
-        def each() -> pa.RecordBatch:
-            doc, at = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            order = np.argsort(doc, kind="stable")
-            doc, at = doc[order], at[order]
-            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-            blobs = [x.tobytes() for x in np.split(at, new[1:])] if len(doc) else []
-            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(blobs, pa.binary())], ["doc_id", "at"])
-
-        for b in batches:
-            for k, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if k != bucket and held:
-                    yield each()
-                    held = []
-                bucket = k
-                held.append((np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)))
-        if held:
-            yield each()
-
     packed = rows.select("doc_id", "text", "at").mapInArrow(pack, "bucket int, hashes binary, several binary, docs binary, at binary")
     met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, docs binary, at binary")
-    return written(met.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id bigint, at binary"), name)
+    return gathered(met, buckets, name)
 
 
 def anchors(raw: bytes, _: bytes | None, memo: dict[bytes, int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -292,6 +299,38 @@ def without(raw: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
     return b"".join([*out, raw[at:]]).lstrip() if gone[0] else b"".join([*out, raw[at:]])
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with the words of repeated windows taken out of text, and n_chars, if there, as long as the text is then.
+
+    Rows of an id that is not unique, and rows with a null id, stay as they are.
+    """
+    plain = ["doc_id", "text"]
+    others = [c for c in docs.columns if c not in plain]
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("n_")).filter("n_ = 1 AND doc_id IS NOT NULL").select("doc_id")
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in others)).alias("rest_")) if others else docs.select("doc_id", "text", F.lit(None).alias("rest_"))
+    found = repeats(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"))
+    kind = rows.schema["rest_"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, at in zip(b.column(1), b.column(2), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid and at.is_valid else b""
+                words = raw.split()
+                gone = covered(at.as_py(), WINDOW, len(words))
+                texts.append(without(raw, words, gone).decode() if gone.any() else text.as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(3)], ["doc_id", "text", "rest_"])
+
+    found = found.join(once, "doc_id", "left_semi")
+    done = rows.join(found, "doc_id", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "at", "rest_")
+    done = done.mapInArrow(run, f"doc_id bigint, text string, rest_ {kind.simpleString()}")
+    cells = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    cells |= {c: F.col("rest_").getField(c) for c in others}
+    if "n_chars" in others:
+        cells["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[cells[c].alias(c) for c in docs.columns])
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
