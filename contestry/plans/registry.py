@@ -2,9 +2,211 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from contestry.functions import scalar as sc
+from contestry.operators import history, merge, metrics, series
+from contestry.sources.proxy import bouts, sides, table
+
+BOUTS_SQL = """
+side AS (SELECT l_orderkey bout_id, l_suppkey fighter_id, CAST(sum(l_quantity) AS BIGINT) attempted,
+  CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS BIGINT) landed,
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) cents FROM lineitem GROUP BY ALL),
+ends AS (SELECT bout_id, min(fighter_id) r, max(fighter_id) b FROM side GROUP BY bout_id HAVING count(*) >= 2),
+bouts AS (SELECT e.bout_id, CAST(o_orderdate AS DATE) event_date,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'KO/TKO' WHEN '2-HIGH' THEN 'SUB choke' WHEN '3-MEDIUM' THEN 'U-DEC' WHEN '4-NOT SPECIFIED' THEN 'Other' WHEN '5-LOW' THEN 'S-DEC' END AS method,
+  CASE WHEN x.cents > y.cents THEN r WHEN y.cents > x.cents THEN b END winner_id,
+  r red_fighter_id, x.attempted red_attempted, x.landed red_landed, b blue_fighter_id, y.attempted blue_attempted, y.landed blue_landed
+  FROM ends e JOIN side x ON x.bout_id = e.bout_id AND x.fighter_id = r JOIN side y ON y.bout_id = e.bout_id AND y.fighter_id = b JOIN orders ON o_orderkey = e.bout_id)"""
+
+LONG_SQL = """
+long AS (SELECT bout_id, event_date, 'red' AS side, red_fighter_id fighter_id, blue_fighter_id opponent_id, red_attempted attempted, red_landed landed, blue_attempted opp_attempted, blue_landed opp_landed,
+    CASE WHEN winner_id = red_fighter_id THEN 'win' WHEN winner_id = blue_fighter_id THEN 'loss' ELSE 'other' END result FROM bouts
+  UNION ALL SELECT bout_id, event_date, 'blue', blue_fighter_id, red_fighter_id, blue_attempted, blue_landed, red_attempted, red_landed,
+    CASE WHEN winner_id = blue_fighter_id THEN 'win' WHEN winner_id = red_fighter_id THEN 'loss' ELSE 'other' END FROM bouts)"""
+
+HISTORY_SQL = """
+days AS (SELECT a.bout_id, a.side, count(h.bout_id) n_prior, count(*) FILTER (h.result = 'win') wins, sum(h.landed) landed, sum(h.attempted) attempted, sum(h.opp_landed) opp_landed, sum(h.opp_attempted) opp_attempted,
+    max(h.event_date) last_date, list(h.result = 'win' ORDER BY h.event_date DESC, h.bout_id DESC) FILTER (h.bout_id IS NOT NULL) results
+  FROM long a LEFT JOIN long h ON h.fighter_id = a.fighter_id AND h.event_date < a.event_date GROUP BY ALL),
+before AS (SELECT a.bout_id, a.side, avg(CASE WHEN h.result = 'win' THEN 1.0 WHEN h.result IS NOT NULL THEN 0.0 END) prior_win_rate
+  FROM long a LEFT JOIN long h ON h.fighter_id = a.fighter_id AND (h.event_date, h.bout_id) < (a.event_date, a.bout_id) GROUP BY ALL),
+summary AS (SELECT a.bout_id, a.event_date, a.side, a.fighter_id, a.opponent_id, a.result, n_prior,
+  CAST(coalesce(CASE WHEN list_position(results, false) > 0 THEN list_position(results, false) - 1 ELSE len(results) END, 0) AS BIGINT) win_streak,
+  CAST(coalesce(len(list_filter(results[1:5], lambda x: x)), 0) AS BIGINT) wins_last_5, CAST(a.event_date - last_date AS INTEGER) days_since,
+  round(prior_win_rate, 6) prior_win_rate, round(d.landed / nullif(d.attempted, 0)::DOUBLE, 6) accuracy, round(1 - d.opp_landed / nullif(d.opp_attempted, 0)::DOUBLE, 6) defence,
+  round(d.landed / nullif(n_prior, 0)::DOUBLE, 6) landed_per_bout, round(wins / nullif(n_prior, 0)::DOUBLE, 6) win_share
+  FROM long a JOIN days d USING (bout_id, side) JOIN before b USING (bout_id, side))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def same_sql(name: str, tables: str, sql: str) -> None:
+    """A query that both engines read alike: Spark plans it over the tables' files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(re.sub(rf"(?<=FROM )({'|'.join(tables.split())})\b|(?<=JOIN )({'|'.join(tables.split())})\b", lambda m: "{" + m[0] + "}", sql), **{t: table(spark, sf_dir, t) for t in tables.split()})
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+@query(f"WITH {BOUTS_SQL} SELECT * FROM bouts")
+def bouts_wide(spark, d):
+    return bouts(spark, d)
+
+
+@query(f"WITH {BOUTS_SQL}, {LONG_SQL}, {HISTORY_SQL} SELECT * FROM summary")
+def history_slice(spark, d):
+    return history.summaries(bouts(spark, d)).withColumns({c: F.col(c).cast("bigint") for c in ("win_streak", "wins_last_5")})
+
+
+DIFFS = ", ".join(f"round(CAST(r.{c} AS DOUBLE) - b.{c}, 6) {c}_diff" for c in history.FEATURES)
+NULLS = " OR ".join(f"{x}.{c} IS NULL" for x in "rb" for c in history.FEATURES[4:])
+PAIR_SQL = f"""pair AS (SELECT r.bout_id, r.event_date, CASE r.result WHEN 'win' THEN 1 WHEN 'loss' THEN 0 END target,
+  CASE WHEN r.result = 'other' THEN 'no_target' WHEN r.n_prior = 0 OR b.n_prior = 0 THEN 'no_history' WHEN {NULLS} THEN 'no_stats' END exclusion_reason, {DIFFS}
+  FROM summary r JOIN summary b ON r.bout_id = b.bout_id AND r.side = 'red' AND b.side = 'blue')"""
+
+
+@query(f"WITH {BOUTS_SQL}, {LONG_SQL}, {HISTORY_SQL}, {PAIR_SQL} SELECT * FROM pair")
+def pair_features(spark, d):
+    return history.pair_features(bouts(spark, d))
+
+
+@query(f"WITH {BOUTS_SQL}, {LONG_SQL}, {HISTORY_SQL}, {PAIR_SQL} SELECT coalesce(exclusion_reason, 'kept') reason, count(*) n FROM pair GROUP BY ALL")
+def exclusion_counters(spark, d):
+    return history.pair_features(bouts(spark, d)).groupBy(F.coalesce("exclusion_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BOUTS_SQL}, n AS (SELECT count(*) n, greatest(CAST(floor(count(*) * 0.8) AS BIGINT), 40) e0 FROM bouts), e AS (SELECT least(e0, greatest(n - 1, 0)) e FROM n),
+  o AS (SELECT bout_id, row_number() OVER (ORDER BY event_date, bout_id) i FROM bouts)
+  SELECT CASE WHEN i <= floor(e * 0.8) THEN 'train' WHEN i <= e THEN 'calibration' ELSE 'test' END AS split, count(*) n, min(bout_id) first_id FROM o, e GROUP BY ALL""")
+def chronological_split(spark, d):
+    return history.chronological_split(bouts(spark, d).select("bout_id", "event_date"), ["event_date", "bout_id"]).groupBy("split").agg(F.count("*").alias("n"), F.min("bout_id").alias("first_id"))
+
+
+SNAP_SQL = """snaps AS (SELECT l_suppkey fighter_id, n_name division, CAST(date_trunc('month', l_shipdate) AS DATE) snapshot_date,
+  row_number() OVER (PARTITION BY date_trunc('month', l_shipdate), n_name ORDER BY sum(CAST(round(l_extendedprice * 100) AS BIGINT)) DESC, l_suppkey) rank_position
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY l_suppkey, n_name, date_trunc('month', l_shipdate))"""
+
+
+@query(f"""WITH {BOUTS_SQL}, {SNAP_SQL}, a AS (SELECT DISTINCT red_fighter_id fighter_id, n_name division, event_date anchor_date FROM bouts JOIN nation ON n_nationkey = red_fighter_id % 25),
+  x AS (SELECT a.*, rank_position, row_number() OVER (PARTITION BY a.fighter_id, a.division, anchor_date ORDER BY (lower(s.division) = lower(a.division)) DESC, snapshot_date DESC, rank_position) i
+  FROM a LEFT JOIN snaps s ON s.fighter_id = a.fighter_id AND snapshot_date < anchor_date) SELECT fighter_id, division, anchor_date, rank_position ranking_position FROM x WHERE i = 1""")
+def ranking_as_of(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    cents = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("fighter_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("snapshot_date")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+    home = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("fighter_id"), F.col("n_name").alias("division"))
+    rank = F.row_number().over(Window.partitionBy("snapshot_date", "division").orderBy(F.desc("cents"), "fighter_id"))
+    snaps = cents.join(home, "fighter_id").withColumn("rank_position", rank.cast("bigint"))
+    anchors = bouts(spark, d).join(F.broadcast(nation), F.col("red_fighter_id") % 25 == F.col("n_nationkey")).select(F.col("red_fighter_id").alias("fighter_id"), F.col("n_name").alias("division"), F.col("event_date").alias("anchor_date")).distinct()
+    return history.latest_snapshot(anchors, snaps)
+
+
+@query(f"""WITH {BOUTS_SQL} SELECT bout_id, method, CASE WHEN lower(method) LIKE '%ko%' THEN 'KO' WHEN lower(method) LIKE 'sub%' THEN 'SUB' WHEN lower(method) LIKE '%-dec%' THEN 'DEC' END method_class FROM bouts""")
+def method_classes(spark, d):
+    return bouts(spark, d).select("bout_id", "method", sc.method_class(F.col("method")).alias("method_class"))
+
+
+@query("""WITH s AS (SELECT o_orderkey k, o_orderstatus st, CAST(round(o_totalprice * 100) AS BIGINT) cents, nullif(o_orderpriority, '5-LOW') pr FROM orders WHERE o_orderkey % 3 <> 0),
+  i AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 4 = 0 THEN 'F' ELSE NULL END st, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE -5 END cents, o_orderpriority pr FROM orders WHERE o_orderkey % 3 <> 1)
+  SELECT k, CASE WHEN s.k IS NULL THEN i.st WHEN s.st = 'F' THEN 'F' ELSE coalesce(i.st, s.st) END st, CASE WHEN s.k IS NULL THEN i.cents ELSE greatest(s.cents, i.cents) END cents,
+  CASE WHEN s.k IS NULL THEN i.pr ELSE coalesce(s.pr, i.pr) END pr, CASE WHEN s.k IS NULL THEN 'insert' WHEN i.k IS NULL THEN 'keep' ELSE 'update' END change FROM s FULL JOIN i USING (k)""")
+def merge_policies(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("st"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.col("o_orderpriority").alias("pr"))
+    stored = o.filter("k % 3 <> 0").withColumn("pr", F.nullif("pr", F.lit("5-LOW")))
+    incoming = o.filter("k % 3 <> 1").withColumns({"st": F.when(F.col("k") % 4 == 0, "F"), "cents": F.col("cents") + F.when(F.col("k") % 2 == 0, 5).otherwise(-5)})
+    return merge.merge_upsert(stored, incoming, ["k"], {"st": merge.sticky("F"), "cents": "monotonic", "pr": "stored_wins"})
+
+
+SCORED_SQL = "scored AS (SELECT d.doc_id, lang, quality y, (n_chars % 1000) / 1000.0::DOUBLE p FROM documents d JOIN labels USING (doc_id))"
+
+
+def scored(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", F.col("quality").alias("y"), ((F.col("n_chars") % 1000) / F.lit(1000.0)).alias("p"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT coalesce(lang, 'Unknown') segment, count(*) n, round(avg(CASE WHEN (p >= 0.5)::INT = y THEN 1 ELSE 0 END), 6) accuracy, round(avg((p - y) ** 2), 6) brier, round(avg(y), 6) observed FROM scored GROUP BY ALL")
+def segment_metrics(spark, d):
+    return metrics.segment_metrics(scored(spark, d), "lang")
+
+
+@query(f"WITH {SCORED_SQL} SELECT CAST(b.i AS INTEGER) bin, count(p) n, round(avg(p), 6) mean_p, round(avg(y), 6) observed FROM range(10) b(i) LEFT JOIN scored ON least(floor(p * 10), 9) = b.i GROUP BY b.i")
+def calibration_table(spark, d):
+    return metrics.calibration_table(scored(spark, d))
+
+
+@query(f"WITH {SCORED_SQL}, c AS (SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) w FROM scored a, scored b WHERE a.y = 1 AND b.y = 0), t AS (SELECT CAST(sum(y) AS BIGINT) a, CAST(count(*) - sum(y) AS BIGINT) b FROM scored) SELECT round(w / (a * b), 6) auc, a positives, b negatives FROM c, t")
+def auc_midranks(spark, d):
+    return metrics.auc(scored(spark, d))
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w p, row_number() OVER w i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE i = 1 OR p IS DISTINCT FROM event_type""")
+def changed_samples(spark, d):
+    return series.changed_samples(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'click'), s AS (SELECT user_id, ts, max(event_id) state_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+  SELECT event_id, r.user_id, r.ts, (SELECT max_by(state_id, s.ts) FROM s WHERE s.user_id = r.user_id AND s.ts <= r.ts) state_id FROM r""")
+def capture_as_of(spark, d):
+    e = table(spark, d, "events")
+    states = e.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("state_id"))
+    return series.as_of(e.filter("event_type <> 'click'").select("event_id", "user_id", "ts"), states, "user_id", "ts", "state_id")
+
+
+@query(f"WITH {BOUTS_SQL} SELECT DISTINCT s_suppkey fighter_id, s_name AS name FROM supplier JOIN bouts ON s_suppkey = red_fighter_id OR s_suppkey = blue_fighter_id")
+def or_join(spark, d):
+    either = bouts(spark, d).select(F.explode(F.array("red_fighter_id", "blue_fighter_id")).alias("s_suppkey")).distinct()
+    return table(spark, d, "supplier").join(either, "s_suppkey", "left_semi").select(F.col("s_suppkey").alias("fighter_id"), F.col("s_name").alias("name"))
+
+
+@query("""SELECT CAST(l_orderkey AS BIGINT) bout_id, count(DISTINCT l_linenumber) done FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2) GROUP BY ALL""")
+def completeness(spark, d):
+    full = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.countDistinct("l_suppkey").alias("n")).filter("n >= 2")
+    return full.groupBy(F.col("l_orderkey").alias("bout_id")).agg(F.count("*").alias("done"))
+
+
+@query("""WITH c AS (SELECT c_custkey id, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name, c_nationkey % 5 AS b FROM customer), g AS (SELECT substr(name, 1, 16) AS key, count(*) n, count(DISTINCT b) births, min(id) keeper FROM c GROUP BY ALL)
+  SELECT key, n, keeper, births > 1 homonyms FROM g WHERE n > 1""")
+def duplicate_names(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.substring(sc.alnum_name(F.col("c_name")), 1, 16).alias("key"), (F.col("c_nationkey") % 5).alias("b"))
+    return c.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("keeper"), (F.countDistinct("b") > 1).alias("homonyms")).filter("n > 1")
+
+
+same_sql("not_in_null_aware", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey > 0 THEN o_custkey END FROM orders)")
+same_sql("orphans", "lineitem orders", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+same_sql("unique_names", "customer", "SELECT c_custkey, c_name FROM (SELECT *, count(*) OVER (PARTITION BY lower(c_name)) n FROM customer) x WHERE n = 1")
+same_sql("main_line_done", "lineitem", "SELECT l_orderkey, min(l_linenumber) AS main_line, min(lpad(CAST(l_linenumber AS STRING), 9, '0') || l_returnflag) AS flag FROM lineitem WHERE l_linestatus <> 'F' GROUP BY l_orderkey")
+same_sql("null_safe_filter", "orders", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'F') IS DISTINCT FROM 'O'")
+same_sql("conditional_counts", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_totalprice > 1000) AS big, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority")
+same_sql("freshness", "events", "SELECT user_id, max(ts) AS newest, count(*) AS n FROM events GROUP BY user_id")
+same_sql("duplicate_slots", "lineitem", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+same_sql("pair_groups", "lineitem", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+same_sql("nearest_event", "orders", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-09' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+same_sql("key_sets", "orders customer", "SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+same_sql("readiness_diff", "lineitem orders", "SELECT coalesce(o_orderkey, l_orderkey) AS k, o_orderkey IS NULL AS only_lines, l_orderkey IS NULL AS only_orders FROM orders FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25) x ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR l_orderkey IS NULL")
+
+
+@query("""SELECT l_orderkey AS bout_id, CAST(sum(l_quantity) AS BIGINT) total, max(l_linenumber) last_round, count(DISTINCT l_linenumber) = max(l_linenumber) whole FROM lineitem GROUP BY ALL""")
+def rounds_reconcile(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("bout_id")).agg(F.sum("l_quantity").cast("bigint").alias("total"), F.max("l_linenumber").alias("last_round"), F.array_sort(F.collect_set("l_linenumber")).alias("r")).select("bout_id", "total", "last_round", (F.size("r") == F.col("last_round")).alias("whole"))
+
+
+@query(f"WITH {BOUTS_SQL} SELECT bout_id, count(*) sides, CAST(sum(attempted) AS BIGINT) attempted FROM side SEMI JOIN bouts USING (bout_id) GROUP BY ALL")
+def career_totals(spark, d):
+    return sides(spark, d).join(bouts(spark, d).select("bout_id"), "bout_id", "left_semi").groupBy("bout_id").agg(F.count("*").alias("sides"), F.sum("attempted").alias("attempted"))
