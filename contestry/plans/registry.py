@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contestry.functions import names
 from contestry.functions import scalar as sc
-from contestry.operators import history, merge, metrics, series
+from contestry.operators import entity, history, merge, metrics, series
 from contestry.sources.proxy import bouts, sides, table
+from contestry.streaming import changes
 
 BOUTS_SQL = """
 side AS (SELECT l_orderkey bout_id, l_suppkey fighter_id, CAST(sum(l_quantity) AS BIGINT) attempted,
@@ -210,3 +212,78 @@ def rounds_reconcile(spark, d):
 @query(f"WITH {BOUTS_SQL} SELECT bout_id, count(*) sides, CAST(sum(attempted) AS BIGINT) attempted FROM side SEMI JOIN bouts USING (bout_id) GROUP BY ALL")
 def career_totals(spark, d):
     return sides(spark, d).join(bouts(spark, d).select("bout_id"), "bout_id", "left_semi").groupBy("bout_id").agg(F.count("*").alias("sides"), F.sum("attempted").alias("attempted"))
+
+
+@query(f"""WITH {BOUTS_SQL}, o AS (SELECT bout_id, row_number() OVER (ORDER BY event_date, bout_id) i, count(*) OVER () n FROM bouts),
+  f AS (SELECT *, unnest([1, 2, 3]) fold FROM o)
+  SELECT fold, CASE WHEN i <= n * fold // 4 THEN 'train' ELSE 'validate' END AS role, count(*) n, min(bout_id) first_id FROM f WHERE i <= n * (fold + 1) // 4 GROUP BY ALL""")
+def walk_forward_folds(spark, d):
+    folds = history.walk_forward(bouts(spark, d).select("bout_id", "event_date"), ["event_date", "bout_id"], 3)
+    return folds.groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("bout_id").alias("first_id"))
+
+
+@query("""SELECT c_mktsegment || ' ' || CAST(round(c_acctbal) AS BIGINT) k, min(c_custkey) c_custkey FROM customer WHERE c_acctbal IS NOT NULL GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1""")
+def unambiguous_index(spark, d):
+    c = table(spark, d, "customer").withColumn("k", F.concat_ws(" ", "c_mktsegment", F.round("c_acctbal").cast("bigint")))
+    return entity.unambiguous_index(c.filter("c_acctbal IS NOT NULL"), "k", "c_custkey")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_suppkey, max(CAST(round(l_discount * 100) AS BIGINT)) score FROM lineitem GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER w i, lead(score) OVER w s2 FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_suppkey DESC))
+  SELECT l_orderkey, l_suppkey, score FROM r WHERE i = 1 AND score >= 5 AND (s2 IS NULL OR score - s2 >= 2)""")
+def best_unambiguous(spark, d):
+    scored_pairs = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_discount") * 100).cast("bigint").alias("score"))
+    return entity.best_unambiguous(scored_pairs, "l_orderkey", "l_suppkey", "score", 5, 2)
+
+
+KEEPER_SQL = """e AS (SELECT s_suppkey id, s_nationkey * 10 + s_suppkey % 10 k, CAST(round(s_acctbal * 100) AS BIGINT) cents, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 3 END born FROM supplier),
+  g AS (SELECT k, arg_min(id, (-cents, id)) keeper FROM e GROUP BY k HAVING count(*) > 1 AND count(DISTINCT born) <= 1),
+  m AS (SELECT id loser, keeper FROM e JOIN g USING (k) WHERE id <> keeper)"""
+
+
+def duplicate_suppliers(spark, d):
+    s = F.col("s_suppkey")
+    e = table(spark, d, "supplier").select(s.alias("id"), (F.col("s_nationkey") * 10 + s % 10).alias("k"), F.round(F.col("s_acctbal") * 100).cast("bigint").alias("cents"), F.when(s % 4 != 0, s % 3).alias("born"))
+    return entity.keepers(e, "k", "id", [F.col("cents")], ["born"])
+
+
+@query(f"WITH {KEEPER_SQL} SELECT * FROM m")
+def duplicate_keepers(spark, d):
+    return duplicate_suppliers(spark, d)
+
+
+@query(f"""WITH {KEEPER_SQL}, c AS (SELECT l_orderkey, l_suppkey, l_linenumber, coalesce(keeper, l_suppkey) s2, keeper IS NOT NULL moved FROM lineitem LEFT JOIN m ON loser = l_suppkey)
+  SELECT l_orderkey, s2 l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, s2 ORDER BY moved, l_linenumber) i FROM c) WHERE i = 1""")
+def merge_children(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    return entity.repoint(lines, "l_suppkey", duplicate_suppliers(spark, d), ["l_orderkey", "l_suppkey"], ["l_linenumber"])
+
+
+@query("""WITH n AS (SELECT c_custkey, lower(n_name) || ' ' || lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN ' jr' WHEN 1 THEN '' ELSE ' x' END a,
+    CASE c_custkey % 2 WHEN 0 THEN substr(lower(n_name), 1, 4) ELSE lower(n_name) END || ' ' || lower(c_mktsegment) b FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  t AS (SELECT *, string_split(a, ' ') x, string_split(b, ' ') y FROM n)
+  SELECT c_custkey, (len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 OR len(list_filter(y, lambda v: NOT list_contains(x, v))) = 0)
+      AND len(list_distinct(list_filter(x, lambda v: list_contains(y, v) AND v NOT IN ('da','de','del','do','dos','el','jr','la','van','von')))) >= 2 is_subset,
+    len(x) = len(y) AND len(x) >= 2 AND x[2:] = y[2:] AND (starts_with(x[1], y[1]) OR starts_with(y[1], x[1])) AND least(length(x[1]), length(y[1])) >= 4 is_diminutive FROM t""")
+def name_matches(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
+    a = F.concat("nation", F.lit(" "), segment, F.when(k % 3 == 0, " jr").when(k % 3 == 1, "").otherwise(" x"))
+    b = F.concat(F.when(k % 2 == 0, F.substring("nation", 1, 4)).otherwise(F.col("nation")), F.lit(" "), segment)
+    return c.select("c_custkey", names.subset_match(a, b).alias("is_subset"), names.diminutive_match(a, b).alias("is_diminutive"))
+
+
+@query("""SELECT o_orderkey, CAST(round((4 + o_orderkey % 3) * 30.48 + (o_orderkey % 12) * 2.54, 2) AS DOUBLE) cm, CAST(round((100 + o_custkey % 200) * 453.59237) AS BIGINT) grams,
+  CAST(o_orderkey % 31 AS INTEGER) wins, CAST(o_custkey % 17 AS INTEGER) losses FROM orders""")
+def unit_parsing(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    height, weight, record = F.format_string("%d' %d\"", 4 + k % 3, k % 12), F.format_string("%d lbs.", 100 + c % 200), F.format_string("Record: %d-%d-0 (1 NC)", k % 31, c % 17)
+    parts = names.record_parts(record)
+    return table(spark, d, "orders").select("o_orderkey", names.height_cm(height).alias("cm"), names.weight_grams(weight).alias("grams"), parts["wins"].alias("wins"), parts["losses"].alias("losses"))
+
+
+@query(ORACLE_SQL["changed_samples"])
+def stream_changed_samples(spark, d):
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream's plain path has to be a folder
+    return changes.replay(changes.changed(stream, "user_id", ["ts", "event_id"], "event_type")).select("event_id", "user_id", "event_type")
