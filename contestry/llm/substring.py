@@ -146,10 +146,13 @@ def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -
             ids = np.array(docs, np.int64)
             for b in range(buckets):
                 some = where[edges[b] : edges[b + 1]]
+                some = some[np.lexsort((at[first[some]], doc[first[some]]))]  # in the documents' order blobs compress better
                 if len(some):
                     add(b, own[some].tobytes(), several[some].astype(np.uint8).tobytes(), ids[doc[first[some]]], at[first[some]])
             if local.any():  # these need no answer: they pass through under a bucket of their own
-                add(int(h[0] % np.uint64(buckets)), b"", b"", ids[doc[local]], at[local])
+                mine = np.flatnonzero(local)
+                mine = mine[np.lexsort((at[mine], doc[mine]))]
+                add(int(h[0] % np.uint64(buckets)), b"", b"", ids[doc[mine]], at[mine])
             return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[x], pa.binary()) for x in ("hashes", "several", "docs", "at")]], ["bucket", "hashes", "several", "docs", "at"])
 
         for b in batches:

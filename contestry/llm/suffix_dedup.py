@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.llm.common import table
-from contestry.llm.substring import PACK_BYTES, by_group, covered, gathered, mix, n_buckets, repeated_positions, window_hashes
+from contestry.llm.substring import by_group, covered, gathered, mix, n_buckets, repeated_positions, window_hashes
 
 LENGTH, K = 50, 20
 #: Strings of one run at most; longer runs are cut.
 LONGEST_RUN = 512
+#: Bytes of runs that are held before they are sent.
+PACK_BYTES = 16 << 20
 #: Bytes of text for which there is one bucket.
 TEXT_A_BUCKET = 2 << 20
 END = 256
@@ -56,7 +58,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([text + 1, np.zeros(span, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(span):
-        key = key * 258 + padded[j : j + n]
+        key = key * 259 + padded[j : j + n]
     while True:
         order = np.argsort(key, kind="stable")
         new = key[order]
@@ -71,8 +73,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order, and for each place in it whether the suffix shares length symbols or more with the one before."""
+    # A last symbol below all others, found once, so that the step from the first suffix back leads to a row of its own.
+    text = np.append(text, -1)
     n = len(text)
-    order = suffix_order(text, length + 1)
+    order = suffix_order(text + 1, length + 1)
     bwt = text[order - 1]
     # LF: where the suffix that begins one symbol earlier stands.
     lf = np.empty(n, np.int64)
@@ -93,8 +97,9 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
             ends = np.cumsum(size)
             at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(a, size)
             of = np.repeat(np.arange(len(a)), size)
-            to = np.argsort(of * 512 + bwt[at], kind="stable")
-            of, to = (of * 512 + bwt[at])[to], lf[at[to]]
+            of = of * 512 + bwt[at] + 1
+            to = np.argsort(of, kind="stable")
+            of, to = of[to], lf[at[to]]
             edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             new_lo.append(to[edge])
             new_hi.append(to[edge] + np.diff(np.append(edge, len(of))))
@@ -102,11 +107,14 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         fresh = unset[hi]
         lo, hi = lo[fresh], hi[fresh]
         unset[hi] = False
-    return order, unset[:n]
+    return order[1:], unset[1:n]
 
 
-def later_strings(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of each string of length bytes in segments that also begins in a document with a smaller id."""
+def later_strings(segments: list[bytes], numbers: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, place) in order of each string of length bytes in segments that also begins in a document with a smaller id.
+
+    numbers and docs: each segment's number, ascending, and document.
+    """
     sizes = np.array([len(s) for s in segments])
     text = np.full(int(sizes.sum() + len(sizes)), END, np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -119,8 +127,8 @@ def later_strings(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, l
     group = np.flatnonzero(~same)
     least = np.minimum.reduceat(np.where(whole, doc, np.iinfo(np.int64).max), group)
     later = whole & (doc > np.repeat(least, np.diff(np.append(group, len(order)))))
-    at = order[later]
-    return docs[of[at]], starts[of[at]] + inside[at]
+    at = np.sort(order[later])
+    return numbers[of[at]], inside[at]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -180,8 +188,22 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         bucket, held = None, []
 
         def answer() -> pa.RecordBatch:
-            doc, at = later_strings([p for _, _, p in held], np.array([d for d, _, _ in held]), np.array([a for _, a, _ in held]), length)
-            return by_group(doc, at, buckets)
+            """Equal runs enter the text once, for their smallest document; its strings' fate is that of its other copies too."""
+            places: dict[bytes, list[tuple[int, int]]] = {}
+            for d, a, p in held:
+                places.setdefault(p, []).append((d, a))
+            once = [min(x) for x in places.values()]
+            own, inside = later_strings(list(places), np.arange(len(once)), np.array([d for d, _ in once]), length)
+            edges = np.searchsorted(own, np.arange(len(once) + 1))
+            doc, at = [], []
+            for i, (p, copies) in enumerate(places.items()):
+                least, every = once[i][0], np.arange(len(p) - length + 1)
+                for d, a in copies:
+                    later = every if d > least else inside[edges[i] : edges[i + 1]]
+                    if len(later):
+                        doc.append(np.full(len(later), d))
+                        at.append(later + a)
+            return by_group(np.concatenate([np.zeros(0, np.int64), *doc]), np.concatenate([np.zeros(0, np.int64), *at]), buckets)
 
         for b in batches:
             for k, d, a, part in zip(*[c.to_pylist() for c in b.columns], strict=True):
