@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestry.functions.text import fold_name, similarity
+
 
 def unambiguous_index(entities: DataFrame, key: str, entity: str) -> DataFrame:
     """key and the one entity that owns it. A key of two or more entities matches nobody; null keys are left out."""
@@ -47,3 +49,23 @@ def repoint(children: DataFrame, entity: str, merged: DataFrame, unique: list[st
     moved = F.col("keeper_").isNotNull()
     at = at.withColumns({entity: F.coalesce("keeper_", entity), "moved_": moved}).drop("keeper_")
     return at.groupBy(*unique).agg(F.min(F.struct("moved_", *order, *[c for c in children.columns if c not in order])).alias("row_")).select(*[F.col(f"row_.{c}").alias(c) for c in children.columns])
+
+
+def tiered_match(names: DataFrame, entities: DataFrame, name: str, entity: str, least: float = 0.92) -> DataFrame:
+    """name, entity and tier of names found by exact form, else by folded form, else by similarity of least or more.
+
+    Each tier takes what the one before left. Keys of two entities match nobody. The last tier compares only names of one
+    first word and number of words (an equi-join, no cross join), and takes the best if it is the only best.
+    """
+    asked = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    asked = asked.withColumns({"exact_": F.lower(name), "folded_": fold_name(F.col(name))})
+    known = entities.select(F.col("name").alias("name_"), entity).filter("name_ IS NOT NULL").withColumns({"exact_": F.lower("name_"), "folded_": fold_name(F.col("name_"))})
+    exact, folded = (unambiguous_index(known, k, entity) for k in ("exact_", "folded_"))
+    first = asked.join(exact, "exact_").select(name, entity, F.lit("exact").alias("tier"))
+    left = asked.join(first, name, "left_anti")
+    second = left.join(folded, "folded_").select(name, entity, F.lit("folded").alias("tier"))
+    left = left.join(second, name, "left_anti")
+    block = lambda df: df.withColumns({"first_": F.split_part("folded_", F.lit(" "), F.lit(1)), "words_": F.size(F.split("folded_", " "))})
+    pairs = block(left).join(block(known.select(entity, F.col("folded_"))).withColumnRenamed("folded_", "other_"), ["first_", "words_"])
+    best = best_unambiguous(pairs.withColumn("s_", similarity("folded_", "other_")), name, entity, "s_", least, 1e-9)
+    return first.unionByName(second).unionByName(best.select(name, entity, F.lit("similar").alias("tier")))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from contestry.functions import names
 from contestry.functions import scalar as sc
-from contestry.operators import entity, history, merge, metrics, series
+from contestry.functions import text
+from contestry.operators import entity, history, merge, metrics, models, series
+from contestry.sources import documents
 from contestry.sources.proxy import bouts, sides, table
 from contestry.streaming import changes
 
@@ -287,3 +289,80 @@ def stream_changed_samples(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream's plain path has to be a folder
     return changes.replay(changes.changed(stream, "user_id", ["ts", "event_id"], "event_type")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT c_custkey, strip_accents(c_name || ' Žižka Ærø Núñez') AS name FROM customer")
+def accents_stripped(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.strip_accents(F.concat("c_name", F.lit(" Žižka Ærø Núñez"))).alias("name"))
+
+
+@query("""WITH t AS (SELECT o_orderkey k, o_orderkey % 301 s, o_custkey % 301 l, 1 + o_custkey % 5 r, o_orderpriority = '3-MEDIUM' decision FROM orders)
+  SELECT k o_orderkey, (r - 1) * 300 + s duration, (r - 1) * 300 + 300 - l axis, CASE WHEN decision THEN 300 WHEN abs(300 - s - l) <= abs(s - l) THEN s ELSE 300 - s END end_s FROM t""")
+def clocks(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 301).alias("s"), (F.col("o_custkey") % 301).alias("l"), (1 + F.col("o_custkey") % 5).alias("r"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "U-DEC").otherwise("Other").alias("m"))
+    clock = lambda c: F.format_string("%d:%02d", F.floor(F.col(c) / 60), F.col(c) % 60)
+    return o.select("o_orderkey", sc.duration_seconds(F.col("r"), clock("s")).alias("duration"), sc.sample_axis(F.col("r"), F.col("l")).alias("axis"), sc.end_seconds(clock("s"), F.col("m"), clock("l")).cast("bigint").alias("end_s"))
+
+
+@query("""WITH r AS (SELECT o_orderkey k, [o_orderkey % 9, o_custkey % 5, o_orderkey % 2] a, [o_orderkey % 9 + o_custkey % 3, o_custkey % 5, (o_orderkey + o_custkey) % 2] b FROM orders)
+  SELECT k o_orderkey, b[1] >= a[1] AND b[2] >= a[2] AND b[3] >= a[3] AND list_sum(b) - list_sum(a) BETWEEN 1 AND 2 safe FROM r""")
+def safe_changes(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select("o_orderkey", sc.safe_record_change([k % 9, c % 5, k % 2], [k % 9 + c % 3, c % 5, (k + c) % 2], 2).alias("safe"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) event_id, CAST(o_orderkey AS VARCHAR) bout_id, (o_orderkey % 5) || ':30' clock, CAST(1 + o_orderkey % 3 AS INTEGER) period, CASE WHEN o_orderstatus = 'F' THEN 'post' ELSE 'in' END state,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) || 'r' END winner_id FROM orders""")
+def scoreboard_rows(spark, d):
+    o = table(spark, d, "orders")
+    k, done = F.col("o_orderkey").cast("string"), F.col("o_orderstatus") == "F"
+    status = F.struct(F.concat(F.col("o_orderkey") % 5, F.lit(":30")).alias("displayClock"), (1 + F.col("o_orderkey") % 3).alias("period"), F.struct(F.when(done, "post").otherwise("in").alias("state"), done.alias("completed")).alias("type"))
+    sides = F.array(F.struct(F.concat(k, F.lit("b")).alias("id"), F.lit(False).alias("winner")), F.struct(F.concat(k, F.lit("r")).alias("id"), done.alias("winner")))
+    event = F.struct(F.col("o_custkey").cast("string").alias("id"), F.array(F.struct(k.alias("id"), sides.alias("competitors"), status.alias("status"))).alias("competitions"))
+    return documents.scoreboard(o.select(F.to_json(F.struct(F.array(event).alias("events"))).alias("doc")), "doc")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey % 7 AS DOUBLE) landed, CASE WHEN o_custkey % 4 > 0 THEN CAST(o_custkey % 4 AS DOUBLE) END missed, CAST(o_orderkey % 7 + o_custkey % 4 AS DOUBLE) thrown FROM orders""")
+def statistics_map(spark, d):
+    stat = lambda name, c: F.struct(F.lit(name).alias("name"), c.alias("value"))
+    categories = F.array(F.struct(F.array(stat("landed", F.col("o_orderkey") % 7)).alias("stats")), F.struct(F.array(stat("missed", F.nullif(F.col("o_custkey") % 4, F.lit(0)))).alias("stats")))
+    docs = table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.struct(categories.alias("categories")).alias("splits"))).alias("doc"))
+    m = docs.select("o_orderkey", documents.statistics(F.col("doc"), {"thrown": ("landed", "missed")}).alias("m"))
+    return m.select("o_orderkey", *[F.try_element_at("m", F.lit(x)).alias(x) for x in ("landed", "missed", "thrown")])
+
+
+@query("""SELECT count(*) n, count(*) FILTER (o_orderkey % 10 = 0) unreadable FROM orders""")
+def unreadable_documents(spark, d):
+    return documents.unreadable(table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, '{"events": [').otherwise('{"events": []}').alias("doc")), "doc")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END x FROM customer)
+  SELECT c_custkey, round(coalesce(x, (SELECT quantile_cont(x, 0.5) FROM c WHERE c_custkey % 10 < 8)), 4) x FROM c""")
+def median_imputed(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal")).alias("x"))
+    return models.median_impute(c, ["x"], "c_custkey % 10 < 8").withColumn("x", F.round("x", 4))
+
+
+@query("""SELECT o_orderkey, round(((o_custkey % 100) / 100.0 + 1 - (o_orderkey % 100) / 100.0) / 2, 6)::DOUBLE p FROM orders""")
+def symmetrised_scores(spark, d):
+    o = table(spark, d, "orders")
+    both = F.array(F.struct(F.lit(False).alias("m"), (F.col("o_custkey") % 100 / 100).alias("p")), F.struct(F.lit(True).alias("m"), (F.col("o_orderkey") % 100 / 100).alias("p")))
+    return models.symmetrised(o.select("o_orderkey", F.explode(both).alias("s")).select("o_orderkey", "s.*"), "o_orderkey", "m").withColumn("p", F.round("p", 6))
+
+
+@query()
+def calibrated_scores(spark, d):
+    """Calibration by the better method, fitted on the even documents; model-based, so without a twin."""
+    rows = scored(spark, d)
+    fit = rows.filter("doc_id % 2 = 0")
+    method, _ = models.choose_calibration(fit, "doc_id")
+    return models.calibrated(fit, rows, method).select("doc_id", "y", "p", F.round("calibrated_", 6).alias("calibrated"))
+
+
+@query()
+def tiered_names(spark, d):
+    """Nation names with a slip, an accent or another case, found again; tested against plain Python."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(" of the whole round world")).alias("name"))
+    k = F.col("id") % 3
+    asked = n.select(F.when(k == 0, F.lower("name")).when(k == 1, F.concat("name", F.lit("́"))).otherwise(F.regexp_replace("name", "round", "rund")).alias("asked"))
+    return entity.tiered_match(asked, n, "asked", "id")
