@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contestry.functions import names
 from contestry.functions import scalar as sc
 from contestry.functions import text
-from contestry.operators import entity, history, merge, metrics, models, series
+from contestry.operators import entity, history, merge, metrics, models, quality, series
 from contestry.sources import documents
 from contestry.sources.proxy import bouts, sides, table
 from contestry.streaming import changes
@@ -366,3 +366,36 @@ def tiered_names(spark, d):
     k = F.col("id") % 3
     asked = n.select(F.when(k == 0, F.lower("name")).when(k == 1, F.concat("name", F.lit("́"))).otherwise(F.regexp_replace("name", "round", "rund")).alias("asked"))
     return entity.tiered_match(asked, n, "asked", "id")
+
+
+@query(f"""WITH {BOUTS_SQL}, c AS (SELECT l_orderkey bout_id, CAST(l_quantity AS BIGINT) red, l_partkey % 50 blue FROM lineitem),
+  v AS (SELECT bout_id, count(*) FILTER ((red - blue) * CASE WHEN winner_id = red_fighter_id THEN 1 ELSE -1 END > 0) AS "right", count(*) FILTER ((red - blue) * CASE WHEN winner_id = red_fighter_id THEN 1 ELSE -1 END < 0) wrong
+  FROM c JOIN bouts USING (bout_id) WHERE winner_id IS NOT NULL GROUP BY bout_id) SELECT * FROM v WHERE wrong > "right" """)
+def mirrored_cards(spark, d):
+    cards = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("bout_id"), F.col("l_quantity").cast("bigint").alias("red"), (F.col("l_partkey") % 50).alias("blue"))
+    return quality.mirrored_cards(cards, bouts(spark, d))
+
+
+@query("""WITH r AS (SELECT l_orderkey bout_id, l_suppkey % 3 fighter_id, l_linenumber round, CASE WHEN l_partkey % 9 > 0 THEN CAST(l_quantity AS BIGINT) END q FROM lineitem),
+  s AS (SELECT bout_id, fighter_id, count(*) n, count(DISTINCT round) k, min(round) a, max(round) z, count(q) known, sum(q) total FROM r GROUP BY ALL),
+  t AS (SELECT l_orderkey bout_id, l_suppkey % 3 fighter_id, max(l_linenumber) end_round, CAST(sum(l_quantity) AS BIGINT) - CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END q FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY l_orderkey, l_suppkey % 3)
+  SELECT s.bout_id, s.fighter_id, CASE WHEN end_round IS NULL THEN 'stranger' WHEN NOT (a = 1 AND z = end_round AND n = end_round AND k = n) THEN 'rounds' WHEN known < n THEN 'missing' WHEN total IS DISTINCT FROM q THEN 'total' END refusal_reason
+  FROM s LEFT JOIN t ON t.bout_id = s.bout_id AND t.fighter_id = s.fighter_id""")
+def rounds_refused(spark, d):
+    li = table(spark, d, "lineitem").withColumns({"bout_id": F.col("l_orderkey"), "fighter_id": F.col("l_suppkey") % 3, "round": F.col("l_linenumber")})
+    rounds = li.select("bout_id", "fighter_id", "round", F.when(F.col("l_partkey") % 9 > 0, F.col("l_quantity").cast("bigint")).alias("q"))
+    stored = li.filter("fighter_id > 0").groupBy("bout_id", "fighter_id").agg(F.max("round").alias("end_round"), (F.sum("l_quantity").cast("bigint")).alias("q"))
+    return quality.rounds_refused(rounds, stored.withColumn("q", F.col("q") - F.when(F.col("bout_id") % 2 == 0, 1).otherwise(0)), "q")
+
+
+@query("""WITH s AS (SELECT user_id, count(*) n, max(ts) newest FROM events WHERE event_id % 4 >= 1 GROUP BY user_id)
+  SELECT *, CASE WHEN n <= 1 THEN 'idle' WHEN epoch((SELECT max(ts) FROM events)) - epoch(newest) > 86401 THEN 'stale' ELSE 'growing' END verdict FROM s""")
+def live_verdicts(spark, d):
+    e = table(spark, d, "events").withColumn("period", F.col("event_id") % 4)
+    now = e.agg(F.max("ts").alias("t")).first()["t"]
+    return quality.live_verdict(e, "user_id", "ts", F.lit(now).cast("timestamp"), 86401)
+
+
+@query(f"WITH {BOUTS_SQL} SELECT event_date, least(red_fighter_id, blue_fighter_id) a, greatest(red_fighter_id, blue_fighter_id) b, count(*) n, min(bout_id) keeper FROM bouts GROUP BY ALL HAVING count(*) > 1")
+def phantom_pairs(spark, d):
+    return quality.phantom_pairs(bouts(spark, d), "event_date")
