@@ -250,7 +250,9 @@ class Encoder:
             if pieces := parts.new():
                 parts.add(*self.merged(pieces))
             ends = np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
-            words.add(parts.ids(at), np.concatenate([[0], parts.sizes(at)[ends - 1]]))
+            # A word may have no pieces: a text that begins with a space has '' before it.
+            sizes = np.concatenate([[0], parts.sizes(at)])
+            words.add(parts.ids(at), np.concatenate([[0], sizes[ends]]))
             parts.trim(at)
         at = np.concatenate([*rows, np.zeros(0, np.int64)])
         if not len(at):

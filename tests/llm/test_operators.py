@@ -61,6 +61,28 @@ def test_bpe_is_the_library(docs, none):
     assert bpe.encode(none, path).count() == 0
 
 
+@pytest.mark.parametrize("library", [False, True])
+@pytest.mark.parametrize("texts", [[" hello world"], [" hello", "hello", " hello"], [" "], [None, "", " it\n", " a b"]])
+def test_bpe_first_text_begins_with_a_space(texts, library):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    tk, own = Tokenizer.from_file(path), bpe.Encoder(path, library)
+    want = [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # with words that are new, then with remembered ones
+        assert [x.tolist() for x in own.encode(texts)] == want
+
+
+def test_bpe_first_text_of_a_partition_begins_with_a_space(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    tk = Tokenizer.from_file(path)
+    texts = [" hello world", "hello world", " hello"]
+    got = by_id(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), path))
+    assert [got[i]["ids"] for i in range(3)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000])
 def test_rans_round_trip(n):
     ids = R.zipf(1.3, n).clip(max=5000)
