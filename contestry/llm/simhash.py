@@ -28,18 +28,24 @@ SEGMENT = 2048
 MEAN_BUCKET = 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash: lower-cased A-Z, words between ASCII white space, shingles with repeats; no word: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of each shingle: lower-cased A-Z, words between ASCII white space, shingles with repeats; no word: none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:z], SEED) for a, z in zip(begins, ends, strict=True)], np.uint64, n)
+    return np.fromiter([digest(joined[a:z], SEED) for a, z in zip(begins, ends, strict=True)], np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the shingles' hashes; no word: 0."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -248,9 +254,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; rows with a null id stay."""
-    chosen = written(near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_")), "kept-ids")
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """docs with the row of the smallest doc_id of each component; rows with a null id stay.
+
+    found: doc_id and component_id of every row; without it, components of SimHash fingerprints.
+    """
+    found = near_duplicates(docs) if found is None else found
+    chosen = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_")), "kept-ids")
     rows = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
     again = chosen.filter("n_ > 1").select("doc_id")
     if again.isEmpty():
