@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ LONGEST_RUN = 512
 PACK_BYTES = 16 << 20
 #: Bytes of text for which there is one bucket.
 TEXT_A_BUCKET = 2 << 20
+#: Minimisers are counted in so many slots; strings of those in a slot of more than HOT_RUNS runs are sent one by one.
+SLOT_BITS, HOT_RUNS = 18, 1 << 15
 END = 256
 
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -131,8 +134,35 @@ def later_strings(segments: list[bytes], numbers: np.ndarray, docs: np.ndarray,
     return numbers[of[at]], inside[at]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and at: starts of all strings of length bytes that also begin in a document with a smaller id."""
+def slots(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def hot_slots(again: DataFrame, length: int) -> np.ndarray:
+    """For each slot whether more than HOT_RUNS of the runs that may repeat have their minimiser in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            found = [np.zeros(0, np.int64)]
+            for t, at in zip(b.column(1), b.column(2), strict=True):
+                h, first, _ = runs(t.as_buffer().to_pybytes(), length)
+                found.append(slots(h[np.isin(first, np.frombuffer(at.as_py(), np.uint32))]))
+            total += np.bincount(np.concatenate(found), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    rows = again.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_RUNS)
+    hot = np.zeros(1 << SLOT_BITS, bool)
+    hot[[r["slot"] for r in rows.collect()]] = True
+    return hot
+
+
+def sent_runs(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
+    """bucket, doc_id, start and part of the runs that may repeat, and the number of buckets; a null doc_id: positions already found.
+
+    The strings of a hot minimiser go by their own hash, so that equal ones meet and the rest spreads over all buckets.
+    """
     if length <= K:
         raise ValueError("strings must be longer than a minimiser's part")
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -145,6 +175,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     seen = repeated_positions(rows.select("doc_id", "text", F.lit(None).cast("binary").alias("at")), minimisers, few, "minimisers")
     again = rows.select("doc_id", "text").join(seen, "doc_id")
+    hot = hot_slots(again, length)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs that may repeat; of equal ones in a batch only those of the smallest document go on."""
@@ -173,8 +204,14 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 raw = t.as_buffer().to_pybytes()
                 h, first, n = runs(raw, length)
                 hit = np.flatnonzero(np.isin(first, np.frombuffer(at.as_py(), np.uint32)))
-                for i, k in zip(hit.tolist(), (mix(h[hit]) % np.uint64(buckets)).tolist(), strict=True):
+                for i, k, single in zip(hit.tolist(), (mix(h[hit]) % np.uint64(buckets)).tolist(), hot[slots(h[hit])].tolist(), strict=True):
                     a = int(first[i])
+                    if single:
+                        for j in range(a, a + int(n[i])):
+                            part = raw[j : j + length]
+                            held.setdefault((xxhash.xxh64_intdigest(part) % buckets, part), []).append((d, j))
+                        size += int(n[i]) * length
+                        continue
                     part = raw[a : a + int(n[i]) + length - 1]
                     held.setdefault((k, part), []).append((d, a))
                     size += len(part)
@@ -184,6 +221,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     size = 0
         yield from flush()
 
+    return again.mapInArrow(send, "bucket int, doc_id bigint, start int, part binary"), buckets
+
+
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id and at: starts of all strings of length bytes that also begin in a document with a smaller id."""
+    sent, buckets = sent_runs(docs, length)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
@@ -219,7 +263,6 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield answer()
 
-    sent = again.mapInArrow(send, "bucket int, doc_id bigint, start int, part binary")
     met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, docs binary, at binary")
     return gathered(met, buckets, "strings")
 

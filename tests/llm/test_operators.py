@@ -190,6 +190,31 @@ def test_suffix(docs, none, monkeypatch, pack):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_spreads_a_hot_minimiser(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 20)
+    first, passage = {}, bytes(R.integers(97, 123, 120, np.uint8)).decode()
+    rows = [(i, "".join(chr(c) for c in R.integers(97, 123, 60)) + passage + "".join(chr(c) for c in R.integers(97, 123, 60))) for i in range(300)]
+    rows += [(1000 + d, t) for d, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_id(suffix_dedup.dedup(df))
+    for d, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 49):
+            if first.setdefault(raw[i : i + 50], d) < d:
+                gone[i : i + 50] = True
+        assert got[d]["kept"] == np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    # Runs over the passage's edges differ in every document; sent whole, they would meet in a few buckets.
+    monkeypatch.setattr(suffix_dedup, "n_buckets", lambda rows, each: (0, 1 if each == 10 else 512))
+
+    def largest(hot_runs):
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot_runs)
+        sent, _ = suffix_dedup.sent_runs(df.filter("doc_id < 300"), 50)
+        return max(r["n"] for r in sent.filter("doc_id IS NOT NULL").groupBy("bucket").agg(F.sum(F.length("part")).alias("n")).collect())
+
+    assert 3 * largest(20) < largest(1 << 30)
+
+
 def edits(a, b):
     row = [0] * (len(b) + 1)  # the part of b may begin and end anywhere
     for i, x in enumerate(a, 1):
