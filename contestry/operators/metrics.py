@@ -23,10 +23,20 @@ def calibration_table(rows: DataFrame, bins: int = 10) -> DataFrame:
     return spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").na.fill(0, ["n"])
 
 
+def below(ties: DataFrame, buckets: int = 256) -> DataFrame:
+    """ties (distinct p, n) with below, the sum of n of smaller p: ranks within ranges of p, plus the sums of the ranges before."""
+    edges = sorted(set(ties.approxQuantile("p", [k / buckets for k in range(1, buckets)], 0.1 / buckets)))
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("p"))) if edges else F.lit(0)
+    dealt = ties.withColumn("range_", at)
+    sums = dealt.groupBy("range_").agg(F.sum("n").alias("all_"))
+    before = sums.select("range_", (F.sum("all_").over(Window.orderBy("range_")) - F.col("all_")).alias("before_"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("range_").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn("below", F.col("before_") + F.col("own_")).drop("own_", "before_")
+
+
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve by the rank sum with mid-ranks; scores are grouped before they are ranked."""
     ties = rows.groupBy("p").agg(F.sum("y").cast("bigint").alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("mid", below + (F.col("n") + 1) / 2)
+    ranked = below(ties).withColumn("mid", F.col("below") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("pos") * F.col("mid")).alias("r"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
     return s.select(F.round(F.try_divide(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, (F.col("a") * F.col("b")).cast("double")), 6).alias("auc"), F.col("a").alias("positives"), F.col("b").alias("negatives"))
