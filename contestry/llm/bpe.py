@@ -1,6 +1,6 @@
 """Byte-level BPE by a pair occurrence index.
 
-Texts are cut into pieces by the pattern of the tokenizer's file. The distinct pieces of a partition stand one after
+Texts are cut into pieces by the pattern that such files stand for; a file that cuts otherwise is refused. The distinct pieces of a partition stand one after
 another in one array of token ids; an index maps each adjacent pair to its positions, and the active ranks are applied
 in ascending order, each at all its positions at once, updating the lists of the pairs beside them. Decoding looks up
 each id's bytes.
@@ -26,10 +26,14 @@ from contestry.llm.common import table
 
 #: Fixed: how byte-level BPE files cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Text bytes that are encoded together, and words or pieces that a worker remembers.
-BATCH_BYTES, REMEMBER = 12 << 20, 300_000
-#: A space that does not begin a piece on its own account.
-SPACES = re.compile(r" \s")
+#: Text bytes that are encoded together, words or pieces that a worker remembers, and letters of the longest of them.
+BATCH_BYTES, REMEMBER, LONGEST = 16 << 20, 200_000, 64
+#: Fixed: what either regular expression engine may take for white space.
+WHITE = "[\\t-\\r \\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Strings that are one piece.
+LETTERS = r"^ ?\p{L}+$"
+#: A space that begins a piece.
+CUT = re.compile(f" (?!{WHITE}|$)")
 
 
 def default_path() -> str:
@@ -49,6 +53,8 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        if data["pre_tokenizer"].get("type") != "ByteLevel" or data["pre_tokenizer"].get("add_prefix_space") or not data["pre_tokenizer"].get("use_regex", True) or data.get("normalizer"):
+            raise ValueError("the file cuts texts in a way that this encoder doesn't know")
         letters = byte_letters()
         ids = data["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -69,6 +75,7 @@ class Vocabulary:
         key = left * self.size + right
         self.ranks = np.argsort(key)
         self.keys = key[self.ranks]
+        self.byte_ranks = self.rank(self.single[:, None], self.single[None, :])
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -79,17 +86,28 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.ranks[at], self.none)
 
 
+def escaped(s: str) -> str:
+    """s as a regular expression that both engines read alike."""
+    return "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in s)
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def merge_pieces(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces, one after another, and where each begins (one more entry for the end)."""
     none = v.none
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(lengths)
-    ids = v.single[np.frombuffer(b"".join(pieces), np.uint8)]
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    ids = v.single[raw]
     n = len(ids)
     # Neighbours by position; -1 at the edges of a piece.
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -98,7 +116,7 @@ def merge_pieces(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.nda
     alive = np.ones(n, bool)
     rank_at = np.full(n, none, np.int64)
     inner = np.flatnonzero(after >= 0)
-    rank_at[inner] = v.rank(ids[inner], ids[inner + 1])
+    rank_at[inner] = v.byte_ranks[raw[inner], raw[inner + 1]]
 
     # The index: rank -> arrays of positions whose pair had that rank when they were entered.
     index: dict[int, list[np.ndarray]] = {}
@@ -123,7 +141,7 @@ def merge_pieces(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.nda
     while active:
         k = heapq.heappop(active)
         lists = index.pop(k)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = lists[0] if len(lists) == 1 else distinct(np.concatenate(lists))
         at = at[rank_at[at] == k]
         if not len(at):
             continue
@@ -149,20 +167,62 @@ def merge_pieces(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.nda
         with_prev = prev[prev >= 0]
         touched = np.concatenate([with_next, with_prev])
         if len(touched):
-            touched = np.unique(touched)
+            touched = distinct(touched)
             rank_at[touched] = v.rank(ids[touched], ids[after[touched]])
             enter(touched)
     kept = np.cumsum(alive)
     return ids[alive].astype(np.int32), np.concatenate([[0], kept[ends - 1]])
 
 
+def words_of(text: str, v: Vocabulary) -> list[str]:
+    """An uneasy text's parts, each but the first behind a space: a space before other than white space begins a piece.
+
+    A text with a special token that holds a space stays whole.
+    """
+    return [text] if any(" " in s and s in text for s in v.special) else CUT.split(text)
+
+
+def words_in(texts: pa.Array, v: Vocabulary) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct strings, the places among them of all texts' strings, and where each text's begin, with the end behind.
+
+    A text's pieces are those of its strings, one string after another. Uneasy texts (a space before other white space, or
+    a special token that holds a space) are cut one by one, all others at each space.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = pc.match_substring_regex(texts, "|".join([f" {WHITE}", *[escaped(s) for s in v.special if " " in s]]))
+    if pc.any(odd).as_py():
+        easy = iter(pc.split_pattern(texts.filter(pc.invert(odd)), " ").to_pylist()) if pc.all(odd).as_py() is False else iter(())
+        lists = pa.array([words_of(t, v) if o else next(easy) for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.string()))
+    else:
+        lists = pc.split_pattern(texts, " ")
+    words, starts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+    first = starts[:-1][starts[1:] > starts[:-1]]
+    firsts = words.dictionary.take(words.indices.take(pa.array(first))).dictionary_encode()
+    strings = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), words.dictionary, ""), firsts.dictionary])
+    at = words.indices.to_numpy().astype(np.int64)
+    at[first] = firsts.indices.to_numpy() + len(words.dictionary)
+    return strings, at, starts
+
+
+def placed(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids of all strings in at, one after another, of strings whose ids begin at starts in flat."""
+    begin, size = starts[at], starts[at + 1] - starts[at]
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)] if len(at) else flat[:0]
+
+
 class Memo:
     """Ids of strings seen before: a number for each string, and the ids of all strings one after another."""
 
-    def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.uses, self.fixed = np.zeros(0, np.int64), 0
+    def __init__(self, fixed: list[tuple[str, int]] = ()) -> None:
+        self.fixed = list(fixed)
+        self.clear()
+
+    def clear(self) -> None:
+        """Only the fixed strings stay."""
+        self.numbers = {t: i for i, (t, _) in enumerate(self.fixed)}
+        self.flat, self.starts = np.array([i for _, i in self.fixed], np.int32), np.arange(len(self.fixed) + 1)
+        self.uses = np.zeros(0, np.int64)
 
     def number(self, strings: list[str]) -> np.ndarray:
         numbers = self.numbers
@@ -178,12 +238,13 @@ class Memo:
         self.flat = np.concatenate([self.flat, flat])
 
     def trim(self, at: np.ndarray) -> None:
-        """After a batch that used at: forget strings used once so far, and the least used beyond the bound."""
+        """After a batch that used at: forget long strings, strings used once so far, and the least used beyond the bound."""
         self.uses = np.pad(self.uses, (0, len(self.numbers) - len(self.uses))) + np.bincount(at, minlength=len(self.numbers))
         least = 2
         if np.count_nonzero(self.uses >= least) > REMEMBER:
             least = int(np.partition(self.uses, -REMEMBER)[-REMEMBER]) + 1
-        keep = (self.uses >= least) | (np.arange(len(self.uses)) < self.fixed)
+        keep = (self.uses >= least) & (np.fromiter(map(len, self.numbers), np.int64, len(self.numbers)) <= LONGEST)
+        keep[: len(self.fixed)] = True
         if np.count_nonzero(~keep) > len(keep) // 8:
             stay = np.flatnonzero(keep)
             flat, sizes = self.ids(stay), self.starts[stay + 1] - self.starts[stay]
@@ -195,79 +256,61 @@ class Memo:
         return np.cumsum(self.starts[at + 1] - self.starts[at])
 
     def ids(self, at: np.ndarray) -> np.ndarray:
-        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)] if len(at) else np.zeros(0, np.int32)
+        return placed(self.flat, self.starts, at)
 
 
 class Encoder:
     """Encodes texts in batches; remembers the ids of words and pieces seen before, up to a bound."""
 
-    def __init__(self, path: str, library: bool = False) -> None:
-        """library: new pieces go to the tokenizers library instead of the pair index."""
+    def __init__(self, path: str) -> None:
         self.v = vocabulary(path)
-        self.library = None
-        if library:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
-        self.words, self.parts = Memo(), Memo()
-        special = sorted(self.v.special.items())
-        self.parts.number([t for t, _ in special])
-        self.parts.add(np.array([i for _, i in special], np.int32), np.arange(len(special) + 1))
-        self.parts.fixed = len(special)
-
-    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.library is None:
-            return merge_pieces([p.encode() for p in pieces], self.v)
-        ids = [x.ids for x in self.library.encode_batch(pieces, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a text; special tokens stand for themselves."""
-        v = self.v
-        if v.cut is None or not any(s in text for s in v.special):
-            return v.pieces.findall(text)
-        return [p for part in v.cut.split(text) for p in ([part] if part in v.special else v.pieces.findall(part))]
-
-    def words_of(self, text: str) -> list[str]:
-        """Strings whose pieces, one after another, are those of the text.
-
-        A space before other than white space begins a piece. So a text is cut at its spaces, unless one has white
-        space behind it or a special token holds one; then the text stays whole.
-        """
-        if SPACES.search(text) or any(" " in s and s in text for s in self.v.special):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words, parts = self.words, self.parts
-        rows = [words.number(self.words_of(t) if t else []) for t in texts]
-        if new := words.new():
-            cuts = [self.cut(w) for w in new]
-            at = parts.number([p for c in cuts for p in c])
-            if pieces := parts.new():
-                parts.add(*self.merged(pieces))
-            ends = np.cumsum(np.fromiter(map(len, cuts), np.int64, len(cuts)))
-            # A word may have no pieces: a text that begins with a space has '' before it.
-            sizes = np.concatenate([[0], parts.sizes(at)])
-            words.add(parts.ids(at), np.concatenate([[0], sizes[ends]]))
-            parts.trim(at)
-        at = np.concatenate([*rows, np.zeros(0, np.int64)])
-        if not len(at):
-            return [np.zeros(0, np.int32) for _ in rows]
-        ends = np.cumsum([len(r) for r in rows])
-        sizes = words.sizes(at)
-        out = np.split(words.ids(at), np.where(ends[:-1] > 0, sizes[ends[:-1] - 1], 0))
-        words.trim(at)
+        self.words, self.parts = Memo(), Memo(sorted(self.v.special.items()))
+
+    def forget(self) -> None:
+        """At a task's end, so that a reused worker holds no more than one task's words."""
+        self.words.clear()
+        self.parts.clear()
+        pa.default_memory_pool().release_unused()
+
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word; special tokens stand for themselves."""
+        v, strings = self.v, pa.array(words, pa.string())
+        whole = pc.match_substring_regex(strings, LETTERS).to_pylist()
+        odd = pc.match_substring_regex(strings, "|".join(map(escaped, v.special))).to_pylist() if v.special else [False] * len(words)
+        out = [[w] if one else v.pieces.findall(w) for w, one in zip(words, whole, strict=True)]
+        for i in compress(range(len(words)), odd):
+            out[i] = [p for part in v.cut.split(words[i]) for p in ([part] if part in v.special else v.pieces.findall(part))]
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin, with one more entry for the end."""
+        strings, at, starts = words_in(texts, self.v)
+        at = self.words.number(strings.to_pylist())[at]
+        self.learn()
+        sizes = np.concatenate([[0], self.words.sizes(at)])
+        ids = self.words.ids(at)
+        self.words.trim(at)
+        return ids, sizes[starts]
+
+    def learn(self) -> None:
+        """Ids of the words that have none yet."""
+        words, parts = self.words, self.parts
+        if not (new := words.new()):
+            return
+        cuts = self.cut(new)
+        at = parts.number([p for c in cuts for p in c])
+        if pieces := parts.new():
+            parts.add(*merge_pieces([p.encode() for p in pieces], self.v))
+        # A word may have no pieces: a text that begins with a space has '' before it.
+        sizes = np.concatenate([[0], parts.sizes(at)])
+        words.add(parts.ids(at), np.concatenate([[0], sizes[np.cumsum([len(c) for c in cuts])]]))
+        parts.trim(at)
+
 
 @lru_cache(1)
-def encoder(path: str, library: bool = False) -> Encoder:
-    """One for each Python worker, so that tasks share what is remembered."""
-    return Encoder(path, library)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker; its vocabulary is read once."""
+    return Encoder(path)
 
 
 def in_batches(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[slice]:
@@ -295,8 +338,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         own = encoder(path)
         for b in batches:
             for part in in_batches(b.column(1)):
-                ids, texts = (b.column(i)[part] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids, list_array(own.encode(texts.to_pylist()), pa.int32())], ["doc_id", "ids"])
+                ids, starts = own.encode(b.column(1)[part])
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+        own.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -307,9 +351,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path).bytes
+        ends = np.cumsum([len(t) for t in tokens])
+        tokens = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(b"".join(tokens))])
         for b in batches:
-            texts = [b"".join([tokens[i] for i in ids or ()]).decode("utf-8", "replace") for ids in (x.as_py() for x in b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found = tokens.take(lists.flatten())
+            edges = np.frombuffer(found.buffers()[1], np.int32)[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+            data = found.buffers()[2]
+            texts = [data[a:z].to_pybytes().decode("utf-8", "replace") if z > a else "" for a, z in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

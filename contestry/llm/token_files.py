@@ -1,6 +1,6 @@
 """Token-id files coded by a static range asymmetric numeral system.
 
-The corpus' token counts give one frequency table. Ids in document order are cut into independent blocks; in a block,
+The corpus' token counts give one frequency table, kept with the files. Ids in document order are cut into independent blocks; in a block,
 LANES interleaved states take the ids in turn. A block's row holds its states after encoding (the checkpoint from
 which it is decoded), its words, its documents' ids and lengths, and a CRC-32 of its ids; so any block can be decoded
 alone and checked. Blocks are rows of Parquet files, written and read by Spark.
@@ -8,28 +8,33 @@ alone and checked. Blocks are rows of Parquet files, written and read by Spark.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contestry.llm.bpe import default_path, encoder, in_batches, list_array
+from contestry.llm.bpe import PIECES, Vocabulary, default_path, escaped, in_batches, placed, vocabulary, words_in
 from contestry.llm.common import shared_dir, table, written
 
 LANES, BLOCK = 32, 16_384
 #: The table's frequencies sum to 2**SCALE; states lie in [LOW, LOW * 2**32).
 SCALE, LOW = 18, 1 << 31
-#: Blocks that are coded side by side.
-SIDE = 32
+#: Blocks that are coded side by side, and bytes of text that are encoded together.
+SIDE, TEXT_AT_ONCE = 128, 24 << 20
+KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())
 #: Documents of a part, and parts at most; beyond, parts grow.
 DOCS_A_PART, MOST_PARTS = 4096, 65_536
 
-RAW = "part int, block int, start bigint, doc_ids array<bigint>, lengths array<int>, n int, ids binary"
+#: An encoded document, or (n = -1) a task's counts of the ids it met.
+RAW = "doc_id bigint, n int, ids binary, met array<int>, times array<bigint>"
 CODED = "part int, block int, start bigint, doc_ids array<bigint>, lengths array<int>, n int, crc bigint, states binary, words binary"
 READ = "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
@@ -37,20 +42,24 @@ READ = "part int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
 class Table:
     """Cumulative frequencies of ids, scaled so that each id that occurs has 1 at least."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        size = max(counts, default=0) + 1
-        if len(counts) > 1 << (SCALE - 1):
-            raise ValueError("too many different ids for the table's scale")
-        c = np.zeros(size, np.int64)
-        for i, n in counts.items():
-            c[i] = n
-        spare = (1 << SCALE) - len(counts)
-        f = np.where(c > 0, 1 + (c * (spare / max(1, c.sum()))).astype(np.int64), 0)
-        if counts:
-            f[int(np.argmax(f))] += (1 << SCALE) - f.sum()
-        self.freq = f.astype(np.uint64)
-        self.low = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(size), f).astype(np.uint32)
+    def __init__(self, freq: np.ndarray) -> None:
+        self.freq = freq.astype(np.uint64)
+        self.low = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+        self.symbol = np.repeat(np.arange(len(freq)), freq).astype(np.uint32)
+
+
+def frequencies(counts: dict[int, int]) -> np.ndarray:
+    """Frequencies by id that sum to 2**SCALE (to nothing where no id occurs), in proportion to the counts."""
+    if len(counts) > 1 << (SCALE - 1):
+        raise ValueError("too many different ids for the table's scale")
+    c = np.zeros(max(counts, default=0) + 1, np.int64)
+    for i, n in counts.items():
+        c[i] = n
+    spare = (1 << SCALE) - len(counts)
+    f = np.where(c > 0, 1 + (c * (spare / max(1, c.sum()))).astype(np.int64), 0)
+    if counts:
+        f[int(np.argmax(f))] += (1 << SCALE) - f.sum()
+    return f
 
 
 def code(blocks: list[np.ndarray], t: Table) -> list[tuple[bytes, bytes]]:
@@ -111,89 +120,149 @@ def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, SIDE)
 
 
-def raw_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Blocks of ids in ascending order of doc_id (nulls first), documents whole, the end id behind each."""
-    n = docs.count()
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(min(MOST_PARTS, max(1, -(-n // DOCS_A_PART))), "doc_id").sortWithinPartitions("doc_id")
+def compiled_merges(path: str) -> tuple[object, np.ndarray]:
+    """tiktoken's encoder with the merges of the file, and the id of each of its ranks."""
+    import tiktoken
+
+    v = vocabulary(path)
+    ranks = {bytes([b]): b for b in range(256)}
+    for k, i in enumerate(v.made.tolist()):
+        if ranks.setdefault(v.bytes[i], 256 + k) != 256 + k:
+            raise ValueError("two merges make one token")
+    return tiktoken.Encoding("merges", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), np.concatenate([v.single, v.made]).astype(np.int32)
+
+
+def all_ids(texts: pa.Array, v: Vocabulary, merges: tuple[object, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and where each text's begin; each distinct string is encoded once."""
+    strings, at, starts = words_in(texts, v)
+    words = strings.to_pylist()
+    encode, back = merges[0].encode_ordinary, merges[1]
+    gc.disable()  # hundreds of thousands of small lists, none in a cycle
+    lists = [encode(w) for w in words]
+    gc.enable()
+    flat = back[np.fromiter(chain.from_iterable(lists), np.int64)]
+    if v.special:
+        special = pc.match_substring_regex(strings, "|".join(map(escaped, v.special))).to_pylist()
+        if any(special):
+            lists = [[i for p in v.cut.split(w) for i in ([v.special[p]] if p in v.special else back[encode(p)].tolist())] if s else back[x].tolist() for w, x, s in zip(words, lists, special, strict=True)]
+            flat = np.fromiter(chain.from_iterable(lists), np.int32)
+    sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+    ids = placed(flat, sizes, at)
+    return ids, np.concatenate([[0], np.cumsum(sizes[at + 1] - sizes[at])])[starts]
+
+
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Rows of RAW: every document's ids with the end id behind, and what ids each task met how often.
+
+    The ids are those that the tokenizers library gives for the file; its merges are applied by tiktoken's compiled code,
+    which takes a sixth of the library's time for the same ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int | None, np.ndarray]] = []
-        own, size = encoder(path, True), 0
-
-        def row() -> pa.RecordBatch:
-            ids = np.concatenate([x for _, x in held]).astype(np.uint32)
-            lengths = list_array([np.array([len(x) for _, x in held], np.int32)], pa.int32())
-            cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), lengths]
-            small = ids.astype(np.uint16) if len(own.v.bytes) < 1 << 16 and end_id < 1 << 16 else ids
-            return pa.RecordBatch.from_arrays([*cols, pa.array([len(ids)], pa.int32()), pa.array([small.tobytes()], pa.binary())], [x.split()[0] for x in RAW.split(", ")])
-
-        for b in batches:
-            for cut in in_batches(b.column(1)):
-                for doc, ids in zip(b.column(0)[cut].to_pylist(), own.encode(b.column(1)[cut].to_pylist()), strict=True):
-                    held.append((doc, np.append(ids, np.int32(end_id))))
-                    size += len(ids) + 1
-                    if size >= BLOCK:
-                        yield row()
-                        block, start, size, held = block + 1, start + size, 0, []
-        if held:
-            yield row()
-
-    return ordered.mapInArrow(run, RAW)
-
-
-def plain(row_ids: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(row_ids, np.uint16 if len(row_ids) == 2 * n else np.uint32).astype(np.uint32)
-
-
-def count_ids(blocks: DataFrame) -> dict[int, int]:
-    """How often each id occurs; no more entries than the vocabulary has."""
+        v, merges = vocabulary(path), compiled_merges(path)
+        total = np.zeros(max(v.size, end_id + 1), np.int64)
+        kind = id_type(path, end_id)
+        none = pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64()))
+        for b in small_parts(batches):
+            ids, starts = all_ids(b.column(1), v, merges)
+            total += np.bincount(ids, minlength=len(total))
+            total[end_id] += b.num_rows
+            ends = starts[1:]
+            data = np.insert(ids.astype(kind), ends, end_id).tobytes()
+            size = np.dtype(kind).itemsize
+            edges = ((starts + np.arange(len(starts))) * size).astype(np.int32)
+            cells = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((np.diff(edges) // size).astype(np.int32)), cells, *[pa.nulls(b.num_rows, x.type) for x in none]], names(RAW))
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([met.astype(np.int32)]), pa.array([total[met]])], names(RAW))
+        pa.default_memory_pool().release_unused()
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RAW)
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def id_type(path: str, end_id: int) -> type:
+    """How ids are held between the steps."""
+    return np.uint16 if max(vocabulary(path).size - 1, end_id) < 1 << 16 else np.uint32
+
+
+def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TEXT_AT_ONCE bytes of text (column 1), put together from smaller ones and cut out of larger ones."""
+    held, size = [], 0
+    for b in batches:
+        for cut in in_batches(b.column(1), TEXT_AT_ONCE):
+            held.append(b.slice(cut.start, cut.stop - cut.start))
+            size += held[-1].nbytes
+            if size >= TEXT_AT_ONCE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def write_files(docs: DataFrame, out: str, path: str, end_id: int = 2) -> None:
+    """Token files of docs (doc_id, text) in the folder out, in ascending order of doc_id (nulls first), texts of one id in
+    the order of their ids; and the frequency table beside them. An empty table gives files with no blocks."""
+    rows = written(encoded(docs, path, end_id), "token-ids")
+    counted = rows.filter("n < 0").select(F.explode(F.arrays_zip("met", "times")).alias("x")).groupBy("x.met").agg(F.sum("x.times").alias("times"))
+    freq = frequencies({r["met"]: r["times"] for r in counted.collect()})  # as many rows as the vocabulary has, at most
+    spark = docs.sparkSession
+    spark.createDataFrame(pa.table({"freq": pa.array(freq.tolist(), pa.int64()), "id": pa.array(range(len(freq)), pa.int32())})).coalesce(1).write.parquet(f"{out}/table")
+    shared, kind = spark.sparkContext.broadcast(freq), id_type(path, end_id)
+    rows = rows.filter("n >= 0").select("doc_id", F.xxhash64("ids").alias("tie"), "n", "ids")
+    parts = min(MOST_PARTS, max(1, -(-rows.count() // DOCS_A_PART)))
+    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in side_by_side(batches):
-            for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.bincount(plain(x, n), minlength=len(total)).astype(np.int64)
-                got[: len(total)] += total
-                total = got
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "c"])
-
-    rows = blocks.select("ids", "n").mapInArrow(run, "id int, c bigint").groupBy("id").agg(F.sum("c").alias("c")).collect()
-    return {r["id"]: r["c"] for r in rows}
-
+        part, block, start, own = TaskContext.get().partitionId(), 0, 0, Table(shared.value)
+        docs_of, size, ready = [], 0, []
+
+        def close() -> None:
+            nonlocal docs_of, size, block, start
+            ids = np.frombuffer(b"".join(x for _, _, x in docs_of), kind).astype(np.uint32)
+            ready.append((part, block, start, [d for d, _, _ in docs_of], [n for _, n, _ in docs_of], size, ids))
+            docs_of, size, block, start = [], 0, block + 1, start + size
+
+        def coded() -> pa.RecordBatch:
+            done = code([r[6] for r in ready], own)
+            cols = [pa.array(x, t) for x, t in zip(zip(*[r[:6] for r in ready], strict=True), KINDS, strict=True)]
+            more = [pa.array([zlib.crc32(r[6].astype("<u4").tobytes()) for r in ready], pa.int64()), pa.array([s for s, _ in done], pa.binary()), pa.array([w for _, w in done], pa.binary())]
+            ready.clear()
+            return pa.RecordBatch.from_arrays([*cols, *more], names(CODED))
 
-def write_files(docs: DataFrame, out: str, path: str, end_id: int = 2) -> Table:
-    """Token files of docs (doc_id, text) in the folder out. An empty table gives files with no blocks."""
-    blocks = written(raw_blocks(docs, path, end_id), "token-ids")
-    t = Table(count_ids(blocks))
-    shared = docs.sparkSession.sparkContext.broadcast((t.freq, t.low, t.symbol))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Table.__new__(Table)
-        own.freq, own.low, own.symbol = shared.value
-        for b in side_by_side(batches):
-            ids = [plain(x, n) for x, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True)]
-            done = code(ids, own)
-            more = [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([s for s, _ in done], pa.binary()), pa.array([w for _, w in done], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], *more], [x.split()[0] for x in CODED.split(", ")])
+        for b in batches:
+            for doc, n, ids in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                docs_of.append((doc, n, ids))
+                size += n
+                if size >= BLOCK:
+                    close()
+                    if len(ready) >= SIDE or ready[-1][5] > SIDE * BLOCK:
+                        yield coded()
+        if docs_of:
+            close()
+        if ready:
+            yield coded()
 
-    blocks.mapInArrow(run, CODED).write.parquet(out)
-    return t
+    ordered.select("doc_id", "n", "ids").mapInArrow(run, CODED).write.parquet(f"{out}/blocks")
 
 
-def read_files(spark: SparkSession, out: str, t: Table) -> DataFrame:
-    """Per document: doc_id, start (ids before it), n_tokens, ids (little-endian unsigned 32-bit).
+def read_files(spark: SparkSession, out: str) -> DataFrame:
+    """Per document of the files in out: doc_id, start (ids before it), n_tokens, ids (little-endian unsigned 32-bit).
 
     A block whose CRC differs stops the job. Repeated doc_ids give repeated rows, in the files' order.
     """
-    files = spark.read.schema(CODED).parquet(out)
-    shared = spark.sparkContext.broadcast((t.freq, t.low, t.symbol))
+    files = spark.read.schema(CODED).parquet(f"{out}/blocks")
+    rows = spark.read.parquet(f"{out}/table").collect()  # a row for each id of the vocabulary
+    freq = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
+    for r in rows:
+        freq[r["id"]] = r["freq"]
+    shared = spark.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Table.__new__(Table)
-        own.freq, own.low, own.symbol = shared.value
+        own = Table(shared.value)
         for b in side_by_side(batches):
             c = {x: b.column(x).to_pylist() for x in ("part", "block", "start", "doc_ids", "lengths", "n", "crc", "states", "words")}
             rows = uncode(c["n"], c["states"], c["words"], own)
@@ -201,12 +270,11 @@ def read_files(spark: SparkSession, out: str, t: Table) -> DataFrame:
                 data = ids.astype("<u4").tobytes()
                 if zlib.crc32(data) != c["crc"][i]:
                     raise ValueError(f"part {c['part'][i]}, block {c['block'][i]}: its ids don't match its checksum")
-                ends = np.cumsum(c["lengths"][i])
-                begins = ends - c["lengths"][i]
-                each = pa.array([data[4 * a : 4 * z] for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
-                k = len(ends)
-                cols = [pa.array([c["part"][i]] * k, pa.int32()), pa.array(c["doc_ids"][i], pa.int64()), pa.array(c["start"][i] + begins, pa.int64()), pa.array(np.array(c["lengths"][i], np.int64)), each]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in READ.split(", ")])
+                sizes = np.array(c["lengths"][i], np.int64)
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                each = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(data)])
+                cols = [pa.array(np.full(len(sizes), c["part"][i], np.int32)), pa.array(c["doc_ids"][i], pa.int64()), pa.array(c["start"][i] + edges[:-1]), pa.array(sizes), each]
+                yield pa.RecordBatch.from_arrays(cols, names(READ))
 
     docs = files.mapInArrow(run, READ)
     # One row for each part, MOST_PARTS at most: safe to send to all tasks.
@@ -216,5 +284,5 @@ def read_files(spark: SparkSession, out: str, t: Table) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    t = write_files(table(spark, sf_dir, "documents"), out, default_path(), end_id=2)
-    return read_files(spark, out, t).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write_files(table(spark, sf_dir, "documents"), out, default_path(), end_id=2)
+    return read_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
