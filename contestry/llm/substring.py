@@ -3,8 +3,8 @@
 A window of WINDOW words that occurs twice is found in two steps. Anchors, windows of WINDOW - PERIOD + 1 words, are
 hashed only at positions whose remainder modulo PERIOD lies in a difference cover; whatever the two occurrences'
 positions are, one shift below PERIOD puts both on the cover, so they share an aligned anchor. Only windows that hold a
-repeated anchor are then extended to their full length, hashed, and counted. Hashes leave a task in blobs, one for each
-batch of documents and bucket, in which a hash that repeats within the batch is sent once.
+repeated anchor are then extended to their full length, hashed in 128 bits, and counted. Hashes leave a task in blobs, one
+for each batch of documents and bucket, in which a hash that repeats within the batch is sent once.
 """
 
 from __future__ import annotations
@@ -14,249 +14,175 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm.common import table, written
+from contestry.llm.bpe import in_batches
+from contestry.llm.common import table
+from contestry.llm.positions import ASKED, BACK, back, by_bucket, covered, dealt, edges, gathered, joined, n_buckets, place, unplace, window_hashes, with_key
 
 WINDOW = 35
 #: A perfect difference set: every remainder modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-#: Hashes of a bucket that meet in one task, about, and documents whose hashes are packed together.
-BUCKET, PACK_BYTES = 1 << 19, 4 << 20
-
-MULT = np.uint64(0x9E3779B97F4A7C15)  # odd: multiplying by it permutes 64-bit numbers
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers; a permutation."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def window_hashes(items: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of size items, by doubling; items are 64-bit hashes themselves."""
-    out, done, power, span = None, 0, items, 1
-    while True:
-        if size & span:
-            if out is None:
-                out, done = power, span
-            else:
-                k = len(items) - done - span + 1
-                out, done = mix(out[: max(k, 0)] * MULT + power[done : done + max(k, 0)]), done + span
-        if 2 * span > size:
-            return out
-        k = max(len(power) - span, 0)
-        power, span = mix(power[:k] * MULT + power[span : span + k] + np.uint64(span)), 2 * span
-
-
-def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words (BLAKE2b), remembered up to a bound."""
-    if len(memo) > 300_000:
+#: Bytes of text for which there is one bucket, of texts that are hashed together, and of texts whose hashes are packed together.
+TEXT_A_BUCKET, CHUNK_BYTES, PACK_BYTES = 24 << 20, 1 << 20, 8 << 20
+
+
+def word_hashes(words: pa.Array, memo: dict[bytes, bytes]) -> np.ndarray:
+    """128-bit hashes of words (BLAKE2b) as two columns, remembered up to a bound."""
+    if len(memo) > 200_000:
         memo.clear()
     out = []
-    for w in words:
+    for w in words.to_pylist():
         h = memo.get(w)
         if h is None:
-            h = memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            h = hashlib.blake2b(w, digest_size=16).digest()
+            if len(w) < 64:
+                memo[w] = h
         out.append(h)
-    return np.array(out, np.uint64)
-
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
 
-def by_group(doc: np.ndarray, at: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Positions of documents, one row for each group of documents."""
-    group = (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    doc, at, group = doc[order], at[order].astype(np.uint32), group[order]
-    edges = np.searchsorted(group, np.arange(groups + 1))
-    some = np.flatnonzero(np.diff(edges)).tolist()
-    blobs = [[x[edges[g] : edges[g + 1]].tobytes() for g in some] for x in (doc, at)]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "docs", "at"])
 
+def words_of(texts: pa.Array, memo: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the words of all texts, one after another, and where each text's begin, with the end behind."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    real = pc.not_equal(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty words
+    kept = real.to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+    words = flat.filter(real).cast(pa.binary()).dictionary_encode()
+    return word_hashes(words.dictionary, memo)[words.indices.to_numpy()], starts
 
-def gathered(met: DataFrame, groups: int, name: str) -> DataFrame:
-    """One row for each document, doc_id and at with all its positions, of rows as by_group makes them; written."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+#: From hashes of words, where texts begin, and the places each text brings: hashes (two columns), texts and starts.
+Picker = Callable[[np.ndarray, np.ndarray, list[bytes | None]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-        def each() -> pa.RecordBatch:
-            doc, at = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            order = np.argsort(doc, kind="stable")
-            doc, at = doc[order], at[order]
-            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-            blobs = [x.tobytes() for x in np.split(at, new[1:])] if len(doc) else []
-            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(blobs, pa.binary())], ["doc_id", "at"])
-
-        for b in batches:
-            for k, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if k != group and held:
-                    yield each()
-                    held = []
-                group = k
-                held.append((np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)))
-        if held:
-            yield each()
 
-    return written(met.repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id bigint, at binary"), name)
+def anchors(words: np.ndarray, starts: np.ndarray, _: list[bytes | None], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = window - PERIOD + 1
+    h = window_hashes(words[:, 0], size)
+    n = np.diff(starts)
+    of = np.repeat(np.arange(len(n)), n)[: len(h)]
+    at = np.arange(len(h)) - starts[of]
+    on = np.isin(np.arange(PERIOD), COVER)[at % PERIOD] & (at + size <= n[of]) & (n[of] >= window)
+    return h[on, None], of[on], at[on]
 
 
-Picker = Callable[[bytes, bytes | None], tuple[np.ndarray, np.ndarray]]
+def candidates(words: np.ndarray, starts: np.ndarray, places: list[bytes | None], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Full windows that hold an anchor in places."""
+    size = window - PERIOD + 1
+    near = np.zeros(len(words) + 1, np.int64)
+    for begin, n, p in zip(starts[:-1].tolist(), np.diff(starts).tolist(), places, strict=True):
+        if n >= window and p:
+            a, _, _ = unplace(p)
+            np.add.at(near, begin + np.maximum(a + size - window, 0), 1)
+            np.add.at(near, begin + np.minimum(a + 1, n - window + 1), -1)
+    at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    of = np.searchsorted(starts, at, side="right") - 1
+    h = np.stack([window_hashes(words[:, i], window)[at] for i in (0, 1)], axis=1) if len(at) else np.zeros((0, 2), np.uint64)
+    return h, of, at - starts[of]
 
 
 def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -> DataFrame:
-    """doc_id and at (positions, little-endian 32-bit, not in order) of the hashes that occur twice or more; a row a document.
+    """doc_id, key and places (not in order) of the hashes that occur twice or more; a row a document.
 
-    rows: doc_id, text and at; pick: the text's bytes and at to hashes and positions. A bucket holds one blob for each batch, in which each hash stands once, so a hash of any number of
-    documents adds no more rows to it than there are batches.
+    rows: doc_id, key, text and places. A bucket holds one blob for each batch, in which each hash stands once, so a hash of
+    any number of documents adds no more to it than there are batches. Hashes of one column are compared by 32 bits within
+    their bucket (candidates only), those of two columns by all 128.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[int] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            h = np.concatenate([x for x, _ in found])
-            at = np.concatenate([x for _, x in found]).astype(np.uint32)
-            doc = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(x) for x, _ in found])
-            order = np.argsort(h, kind="stable")
-            h, at, doc = h[order], at[order], doc[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-            run = np.cumsum(new) - 1
-            size = np.bincount(run) if len(h) else np.zeros(0, np.int64)
-            several = size > 1
-            # What repeats here is known already; one copy of it, marked, still tells the other batches.
-            own = h[new]
-            bucket = (own >> np.uint64(40)).astype(np.int64) % buckets
-            where = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[where], np.arange(buckets + 1))
+        memo: dict[bytes, bytes] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        docs: list[np.ndarray] = []
+        count, size = 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            who_are = np.concatenate(docs)
+            h, who, at = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.argsort(h[:, 0]) if h.shape[1] == 1 else np.lexsort((h[:, 1], h[:, 0]))
+            h, who, places = h[order], who[order], place(at[order])
+            new = np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)]) if len(h) else np.zeros(0, bool)
             first = np.flatnonzero(new)
-            out: dict[str, list] = {x: [] for x in ("bucket", "hashes", "several", "docs", "at", "counts")}
-            local = several[run]
-
-            def add(bucket: int, hashes: bytes, marks: bytes, d: np.ndarray, a: np.ndarray) -> None:
-                out["bucket"].append(bucket)
-                out["hashes"].append(hashes)
-                out["several"].append(marks)
-                out["docs"].append(d.tobytes())
-                out["at"].append(a.tobytes())
-
-            ids = np.array(docs, np.int64)
-            for b in range(buckets):
-                some = where[edges[b] : edges[b + 1]]
-                some = some[np.lexsort((at[first[some]], doc[first[some]]))]  # in the documents' order blobs compress better
-                if len(some):
-                    add(b, own[some].tobytes(), several[some].astype(np.uint8).tobytes(), ids[doc[first[some]]], at[first[some]])
-            if local.any():  # these need no answer: they pass through under a bucket of their own
-                mine = np.flatnonzero(local)
-                mine = mine[np.lexsort((at[mine], doc[mine]))]
-                add(int(h[0] % np.uint64(buckets)), b"", b"", ids[doc[mine]], at[mine])
-            return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[x], pa.binary()) for x in ("hashes", "several", "docs", "at")]], ["bucket", "hashes", "several", "docs", "at"])
+            several = np.diff(np.append(first, len(h))) > 1
+            # What repeats here is known already; one copy of it, marked, still tells the other batches.
+            local = several[np.cumsum(new) - 1] if len(h) else new
+            if local.any():
+                known = back(who_are, who[local], places[local], buckets)
+                yield pa.RecordBatch.from_arrays([known.column(0), pa.nulls(known.num_rows, pa.binary()), *known.columns[1:]], ["bucket", "hashes", "docs", "who", "places"])
+            h, who, places = h[first], who[first], np.where(several, places[first] | ASKED, places[first])
+            bucket = ((h[:, 0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((places & ~ASKED, who, bucket))  # in the documents' order blobs compress better
+            bucket, h, who, places = bucket[order], h[order], who[order], places[order]
+            cut = edges(bucket)
+            out = []
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                w = who[a:z]
+                begins = np.concatenate([[True], w[1:] != w[:-1]])
+                hashes = h[a:z].astype(np.uint32) if h.shape[1] == 1 else h[a:z]
+                out.append((int(bucket[a]), hashes.tobytes(), who_are[w[begins]].tobytes(), (np.cumsum(begins) - 1).astype(np.uint32).tobytes(), places[a:z].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["bucket", "hashes", "docs", "who", "places"])
 
         for b in batches:
-            for doc, text, at in zip(*[b.column(i) for i in range(3)], strict=True):
-                if doc.is_valid and text.is_valid:
-                    raw = text.as_buffer().to_pybytes()
-                    got = pick(raw, at.as_py())
-                    if len(got[0]):
-                        docs.append(doc.as_py())
-                        found.append(got)
-                        held += len(raw)
-                        if held >= PACK_BYTES:
-                            yield flush()
-                            docs, found, held = [], [], 0
-        if found:
-            yield flush()
+            for cut in in_batches(b.column(2), CHUNK_BYTES):
+                ids, keys, texts, places = (b.column(i)[cut] for i in range(4))
+                words, starts = words_of(texts, memo)
+                h, of, at = pick(words, starts, places.to_pylist())
+                held.append((h, of + count, at))
+                docs.append(np.stack([ids.to_numpy(), keys.to_numpy()], axis=1))
+                count += len(ids)
+                size += texts.nbytes
+                if size >= PACK_BYTES:
+                    yield from flush()
+                    held, docs, count, size = [], [], 0, 0
+        if held:
+            yield from flush()
+        pa.default_memory_pool().release_unused()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; each bucket's hashes meet, and those seen twice return to their documents."""
-        bucket, held = None, []
-
-        def answer() -> pa.RecordBatch | None:
-            h = np.concatenate([x[0] for x in held])
-            marks = np.concatenate([x[1] for x in held])
-            doc = np.concatenate([x[2] for x in held])
-            at = np.concatenate([x[3] for x in held])
-            _, run, size = np.unique(h, return_inverse=True, return_counts=True)
+        """A bucket's hashes meet, and those seen twice return to their documents."""
+        for _, hashes, docs, who, places in by_bucket(batches):
+            own = [i for i, h in enumerate(hashes) if h is not None]
+            for i in set(range(len(hashes))) - set(own):
+                yield back(np.frombuffer(docs[i], np.int64).reshape(-1, 2), np.frombuffer(who[i], np.uint32).astype(np.int64), np.frombuffer(places[i], np.uint64), buckets)
+            if not own:
+                continue
+            table, w = joined([(docs[i], who[i]) for i in own])
+            p = np.frombuffer(b"".join([places[i] for i in own]), np.uint64)
+            h = b"".join([hashes[i] for i in own])
+            h = np.frombuffer(h, np.uint32)[:, None] if len(h) == 4 * len(p) else np.frombuffer(h, np.uint64).reshape(-1, 2)
+            order = np.argsort(h[:, 0]) if h.shape[1] == 1 else np.lexsort((h[:, 1], h[:, 0]))
+            same = (h[order[1:]] == h[order[:-1]]).all(axis=1)
+            hit = np.zeros(len(p), bool)
+            hit[order[1:][same]] = True
+            hit[order[:-1][same]] = True
             # A marked hash was passed through by its own batch; here it answers for the others.
-            hit = (size > 1)[run] & (marks == 0)
-            return by_group(doc[hit], at[hit], buckets)
-
-        for b in batches:
-            for k, hashes, marks, doc, at in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                doc, at = np.frombuffer(doc, np.int64), np.frombuffer(at, np.uint32)
-                if not hashes:
-                    yield by_group(doc, at, buckets)
-                    continue
-                if k != bucket and held:
-                    yield answer()
-                    held = []
-                bucket = k
-                held.append((np.frombuffer(hashes, np.uint64), np.frombuffer(marks, np.uint8), doc, at))
-        if held:
-            yield answer()
-
-    packed = rows.select("doc_id", "text", "at").mapInArrow(pack, "bucket int, hashes binary, several binary, docs binary, at binary")
-    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, docs binary, at binary")
-    return gathered(met, buckets, name)
-
-
-def anchors(raw: bytes, _: bytes | None, memo: dict[bytes, int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    words = raw.split()
-    size = window - PERIOD + 1
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = window_hashes(word_hashes(words, memo), size)
-    at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(h)) % PERIOD])
-    return h[at], at
+            hit &= (p & ASKED) == 0
+            if hit.any():
+                yield back(table, w[hit], p[hit], buckets)
 
+    packed = rows.select("doc_id", "key", "text", "places").mapInArrow(pack, "bucket int, hashes binary, docs binary, who binary, places binary")
+    return gathered(dealt(packed, buckets).mapInArrow(meet, BACK), buckets, name)
 
-def candidates(raw: bytes, at: bytes | None, memo: dict[bytes, int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Full windows that hold an anchor in at."""
-    words = raw.split()
-    n = len(words) - window + 1
-    size = window - PERIOD + 1
-    if n < 1 or not at:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    near = np.zeros(n + 1, np.int64)
-    a = np.frombuffer(at, np.uint32).astype(np.int64)
-    np.add.at(near, np.maximum(a + size - window, 0), 1)
-    np.add.at(near, np.minimum(a + 1, n), -1)
-    starts = np.flatnonzero(np.cumsum(near[:n]) > 0)
-    h = window_hashes(word_hashes(words, memo), window)
-    return h[starts], starts
-
-
-def n_buckets(docs: DataFrame, bytes_each: int) -> tuple[int, int]:
-    """Rows of docs, and how many buckets keep BUCKET hashes or fewer, when there is one for so many bytes of text."""
-    n, total = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    return n, max(1, -(-(total or 0) // (bytes_each * BUCKET)))
 
-
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and at: starts of all windows whose word sequence also starts elsewhere, in the same document or another."""
+def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, key and places: starts of all windows of rows (doc_id, key, text) whose word sequence also starts elsewhere, in
+    the same row or another."""
     if window < PERIOD + 3:
         raise ValueError("a window must be longer than the cover's period")
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    _, buckets = n_buckets(rows, 20)
-    memo: dict[bytes, int] = {}
-    with_none = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("at"))
-    seen = repeated_positions(with_none, lambda raw, at: anchors(raw, at, memo, window), buckets, "anchors")
-    again = rows.join(seen, "doc_id")
-    return repeated_positions(again, lambda raw, at: candidates(raw, at, memo, window), buckets, "windows")
-
-
-def covered(starts: bytes | None, window: int, n: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of starts."""
-    edge = np.zeros(n + 1, np.int64)
-    if starts:
-        at = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
-        at = at[at + window <= n]
-        edge[at] += 1
-        edge[at + window] -= 1
-    return np.cumsum(edge[:n]) > 0
+    rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "key", "text")
+    buckets = n_buckets(rows, TEXT_A_BUCKET)
+    with_none = rows.withColumn("places", F.lit(None).cast("binary"))
+    seen = repeated_positions(with_none, lambda *x: anchors(*x, window), buckets, "anchors")
+    return repeated_positions(rows.join(seen, ["doc_id", "key"]), lambda *x: candidates(*x, window), buckets, "windows")
+
+
+def gone_words(places: bytes | None, n: int, window: int = WINDOW) -> np.ndarray:
+    """Which of a text's n words lie in a repeated window."""
+    at, count, _ = unplace(places)
+    return covered(at, count, window, n)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,21 +190,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 
     kept is the remaining words joined by one space; text keeps the white space before each of them and is the input
     itself where nothing goes. A null text has no words and stays null, with kept empty. Rows with a null id are left as
-    they are. Rows of one id are taken as one document's copies: an id should be unique; if it isn't, positions found
-    for one of its rows apply to all.
+    they are and remove nothing. Rows of one id are documents of their own. No rows give no rows; other columns go.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = with_key(docs, id_col, text_col)
     found = repeats(rows, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, removed, kept = [], [], [], []
-            for text, at in zip(b.column(1), b.column(2), strict=True):
+            for text, places in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 words = raw.split()
-                gone = covered(at.as_py(), window, len(words))
                 counts.append(len(words))
-                removed.append(int(gone.sum()))
+                gone = gone_words(places, len(words), window) if places else None
+                removed.append(int(gone.sum()) if places else 0)
                 if removed[-1]:
                     stay = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     kept.append(b" ".join(stay).decode())
@@ -288,7 +213,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
                     texts.append(text.as_py())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text", "n_words", "n_removed", "kept"])
 
-    return rows.join(found, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(run, "doc_id bigint, text string, n_words bigint, n_removed bigint, kept string")
+    both = rows.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "places")
+    return both.mapInArrow(run, "doc_id bigint, text string, n_words bigint, n_removed bigint, kept string")
 
 
 def without(raw: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
@@ -305,27 +231,26 @@ def without(raw: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with the words of repeated windows taken out of text, and n_chars, if there, as long as the text is then.
 
-    Rows of an id that is not unique, and rows with a null id, stay as they are.
+    Every row stays, also those with a null text or id, as they are.
     """
-    plain = ["doc_id", "text"]
-    others = [c for c in docs.columns if c not in plain]
-    once = docs.groupBy("doc_id").agg(F.count("*").alias("n_")).filter("n_ = 1 AND doc_id IS NOT NULL").select("doc_id")
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in others)).alias("rest_")) if others else docs.select("doc_id", "text", F.lit(None).alias("rest_"))
-    found = repeats(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest_"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    found = repeats(rows)
     kind = rows.schema["rest_"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, at in zip(b.column(1), b.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid and at.is_valid else b""
+            for text, places in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid and places else b""
                 words = raw.split()
-                gone = covered(at.as_py(), WINDOW, len(words))
+                gone = gone_words(places, len(words))
                 texts.append(without(raw, words, gone).decode() if gone.any() else text.as_py())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(3)], ["doc_id", "text", "rest_"])
 
-    found = found.join(once, "doc_id", "left_semi")
-    done = rows.join(found, "doc_id", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "at", "rest_")
+    done = rows.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "places", "rest_")
     done = done.mapInArrow(run, f"doc_id bigint, text string, rest_ {kind.simpleString()}")
     cells = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     cells |= {c: F.col("rest_").getField(c) for c in others}

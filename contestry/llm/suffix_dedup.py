@@ -1,9 +1,11 @@
 """Byte-string deduplication on a Burrows-Wheeler transform.
 
 Equal strings of LENGTH bytes have the same minimiser (the least hash of their K-byte parts), so texts are cut into
-runs of strings with one minimiser, and runs whose minimiser occurs twice meet in buckets of that hash. A bucket's runs
-form one text; on its Burrows-Wheeler transform, breadth-first backward extension finds the common prefixes of
-neighbouring suffixes by increasing value and stops at LENGTH: neighbours that are still unset share LENGTH bytes.
+runs of strings with one minimiser. Runs meet by their minimiser as hashes; equal runs are folded into one. Where a
+minimiser has several different runs, these meet again in buckets, as bytes: a bucket's runs form one text, and on its
+Burrows-Wheeler transform breadth-first backward extension finds the common prefixes of neighbouring suffixes by
+increasing value and stops at LENGTH: neighbours that are still unset share LENGTH bytes. A run that is alone with its
+minimiser after folding shares no string with any other, so the transform has nothing to find in it.
 """
 
 from __future__ import annotations
@@ -12,47 +14,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.llm.common import table
-from contestry.llm.substring import by_group, covered, gathered, mix, n_buckets, repeated_positions, window_hashes
+from contestry.llm.positions import ASKED, BACK, back, between, by_bucket, covered, dealt, edges, gathered, joined, mix, n_buckets, place, prefix_sums, unplace, window_hashes, with_key
 
 LENGTH, K = 50, 20
 #: Strings of one run at most; longer runs are cut.
 LONGEST_RUN = 512
-#: Bytes of runs that are held before they are sent.
-PACK_BYTES = 16 << 20
-#: Bytes of text for which there is one bucket.
-TEXT_A_BUCKET = 2 << 20
-#: Minimisers are counted in so many slots; strings of those in a slot of more than HOT_RUNS runs are sent one by one.
-SLOT_BITS, HOT_RUNS = 18, 1 << 15
+#: Bytes of texts that are cut together, and whose runs are sent together.
+CHUNK_BYTES, PACK_BYTES = 1 << 16, 12 << 20
+#: Bytes of text for which there is one bucket of runs; bytes of runs for which there is one bucket of bytes.
+TEXT_A_BUCKET, RUNS_A_BUCKET = 24 << 20, 2 << 20
+#: Minimisers are counted in slots, so many that a slot of average load has an eighth of HOT_RUNS or less, between these
+#: bounds; strings of those in a slot of more than HOT_RUNS runs are sent one by one.
+LEAST_SLOTS, MOST_SLOTS, HOT_RUNS = 16, 24, 1 << 20
+#: A run's 80-bit key: 32 bits of its minimiser, above 48 bits of its content (32, then 16).
+HALF = np.uint64(32)
 END = 256
 
-BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE_HASH, BYTE_HASH_2 = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
 
 
-def runs(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first string and number of strings of each run; the runs follow each other."""
-    n = len(raw) - length + 1
+def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser, content hash, first string and number of strings of each run of the texts that end at ends in data."""
+    n = len(data) - length + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = window_hashes(BYTE_HASH[np.frombuffer(raw, np.uint8)], K)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = window_hashes(BYTE_HASH[data], K)
     width, span = length - K + 1, 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    size = np.diff(np.append(first, n))
+    inside = np.ones(n + length, bool)
+    for e in ends.tolist():  # strings that reach over a text's end
+        inside[max(0, e - length + 1) : e] = False
+    at = np.flatnonzero(inside[:n])
+    if not len(at):
+        return runs(data[:0], ends, length)
+    own = low[at]
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
+    size = np.diff(np.append(first, len(at)))
+    minimiser, first = own[first], at[first]
     if size.max() > LONGEST_RUN:
         pieces = -(-size // LONGEST_RUN)
-        inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first, end = np.repeat(first, pieces) + inside * LONGEST_RUN, np.repeat(first + size, pieces)
+        inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        minimiser, first, end = np.repeat(minimiser, pieces), np.repeat(first, pieces) + inner * LONGEST_RUN, np.repeat(first + size, pieces)
         size = np.minimum(LONGEST_RUN, end - first)
-    return low[first], first, size
+    return minimiser, between(prefix_sums(BYTE_HASH_2[data]), first, first + size + length - 1), first, size
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents (doc_id and key), their bytes one after another, and where each ends, of rows doc_id, key, text."""
+    docs, parts, size = [], [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(docs, np.int64), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+
+    for b in batches:
+        for d, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            docs.append((d, k))
+            parts.append(t.as_buffer().to_pybytes())
+            size += len(parts[-1])
+            if size >= CHUNK_BYTES:
+                yield out()
+                docs, parts, size = [], [], 0
+    if docs:
+        yield out()
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -134,162 +165,219 @@ def later_strings(segments: list[bytes], numbers: np.ndarray, docs: np.ndarray,
     return numbers[of[at]], inside[at]
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def hot_slots(again: DataFrame, length: int) -> np.ndarray:
-    """For each slot whether more than HOT_RUNS of the runs that may repeat have their minimiser in it."""
+def hot_slots(rows: DataFrame, bits: int, length: int) -> np.ndarray:
+    """For each slot whether more than HOT_RUNS runs have their minimiser in it."""
+    block = min(bits, 12)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for b in batches:
-            found = [np.zeros(0, np.int64)]
-            for t, at in zip(b.column(1), b.column(2), strict=True):
-                h, first, _ = runs(t.as_buffer().to_pybytes(), length)
-                found.append(slots(h[np.isin(first, np.frombuffer(at.as_py(), np.uint32))]))
-            total += np.bincount(np.concatenate(found), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    rows = again.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_RUNS)
-    hot = np.zeros(1 << SLOT_BITS, bool)
-    hot[[r["slot"] for r in rows.collect()]] = True
+        total = np.zeros(1 << bits, np.uint32)
+        for _, data, ends in chunks(batches):
+            h = slots(runs(data, ends, length)[0], bits)
+            total += np.bincount(h, minlength=len(total)).astype(np.uint32) if len(h) > len(total) >> 4 else 0
+            if len(h) <= len(total) >> 4:
+                np.add.at(total, h, 1)
+        for i, part in enumerate(total.reshape(-1, 1 << block)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["bucket", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in by_bucket(batches):
+            total = np.sum([np.frombuffer(x, np.uint32) for x in blobs], axis=0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((bucket[0] << block) + np.flatnonzero(total > HOT_RUNS))], ["slot"])
+
+    counted = rows.mapInArrow(count, "bucket int, n binary")
+    hot = np.zeros(1 << bits, bool)  # 2**MOST_SLOTS bytes at most
+    hot[[r["slot"] for r in dealt(counted, 1 << (bits - block)).mapInArrow(add, "slot bigint").collect()]] = True
     return hot
 
 
-def sent_runs(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
-    """bucket, doc_id, start and part of the runs that may repeat, and the number of buckets; a null doc_id: positions already found.
+def folded(rows: DataFrame, hot: np.ndarray, bits: int, buckets: int, length: int) -> DataFrame:
+    """Rows of BACK: places of strings that also begin in a document with a smaller id, and (marked) of runs to compare."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
-    The strings of a hot minimiser go by their own hash, so that equal ones meet and the rest spreads over all buckets.
-    """
-    if length <= K:
-        raise ValueError("strings must be longer than a minimiser's part")
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    _, few = n_buckets(rows, 10)
-    _, buckets = n_buckets(rows, TEXT_A_BUCKET >> 19)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One of equal runs, of the smallest document, goes to its bucket; the others begin later."""
+        is_hot = np.unpackbits(shared.value).view(bool)
+        some_hot = bool(is_hot.any())
+        held: list[tuple[np.ndarray, ...]] = []
+        docs: list[np.ndarray] = []
+        count, size = 0, 0
 
-    def minimisers(raw: bytes, _: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        h, first, _ = runs(raw, length)
-        return h, first
+        def flush() -> Iterator[pa.RecordBatch]:
+            who_are = np.concatenate(docs)
+            h, c, who, places = (np.concatenate([x[i] for x in held]) for i in range(4))
+            order = np.lexsort((who_are[who, 0], c))
+            h, c, who, places = h[order], c[order], who[order], places[order]
+            cut = edges(c)
+            least = np.repeat(who_are[who[cut[:-1]], 0], np.diff(cut)) if len(c) else who_are[:0, 0]
+            later = who_are[who, 0] > least
+            if later.any():
+                known = back(who_are, who[later], places[later], buckets)
+                yield pa.RecordBatch.from_arrays([known.column(0), pa.nulls(known.num_rows, pa.binary()), *known.columns[1:]], ["bucket", "keys", "docs", "who", "places"])
+            stay = np.flatnonzero(~later)
+            h, c, who, places = h[stay], c[stay], who[stay], places[stay]
+            bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((places & np.uint64(0xFFFFFFFF), who, bucket))  # in the documents' order blobs compress better
+            bucket, who, places = bucket[order], who[order], places[order]
+            key = (h[order] << HALF) | (c[order] >> HALF)
+            rest = c[order].astype(np.uint16)
+            cut = edges(bucket)
+            out = []
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                w = who[a:z]
+                new = np.concatenate([[True], w[1:] != w[:-1]])
+                out.append((int(bucket[a]), key[a:z].tobytes() + rest[a:z].tobytes(), who_are[w[new]].tobytes(), (np.cumsum(new) - 1).astype(np.uint32).tobytes(), places[a:z].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["bucket", "keys", "docs", "who", "places"])
+
+        for ids, data, ends in chunks(batches):
+            h, c, first, n = runs(data, ends, length)
+            if some_hot and len(h):
+                single = is_hot[slots(h, bits)]
+                if single.any():  # each string on its own account: equal ones meet, the rest spreads over all buckets
+                    at = np.repeat(first[single], n[single]) + np.arange(n[single].sum()) - np.repeat(np.cumsum(n[single]) - n[single], n[single])
+                    own = between(prefix_sums(BYTE_HASH_2[data]), at, at + length)
+                    h, c = np.concatenate([h[~single], mix(own)]), np.concatenate([c[~single], own])
+                    first, n = np.concatenate([first[~single], at]), np.concatenate([n[~single], np.ones(len(at), np.int64)])
+            of = np.searchsorted(ends, first, side="right")
+            begin = ends - np.diff(ends, prepend=0)
+            held.append((h, c, of + count, place(first - begin[of], n)))
+            docs.append(ids)
+            count += len(ids)
+            size += len(data)
+            if size > PACK_BYTES:
+                yield from flush()
+                held, docs, count, size = [], [], 0, 0
+        if held:
+            yield from flush()
 
-    seen = repeated_positions(rows.select("doc_id", "text", F.lit(None).cast("binary").alias("at")), minimisers, few, "minimisers")
-    again = rows.select("doc_id", "text").join(seen, "doc_id")
-    hot = hot_slots(again, length)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, docs, who, places in by_bucket(batches):
+            for k, d, w, p in zip(keys, docs, who, places, strict=True):
+                if k is None:
+                    yield back(np.frombuffer(d, np.int64).reshape(-1, 2), np.frombuffer(w, np.uint32).astype(np.int64), np.frombuffer(p, np.uint64), buckets)
+            own = [i for i, k in enumerate(keys) if k is not None]
+            if not own:
+                continue
+            table, w = joined([(docs[i], who[i]) for i in own])
+            n = [len(places[i]) for i in own]
+            p = np.frombuffer(b"".join([places[i] for i in own]), np.uint64)
+            key = np.frombuffer(b"".join([keys[i][:k] for i, k in zip(own, n, strict=True)]), np.uint64)
+            rest = np.frombuffer(b"".join([keys[i][k:] for i, k in zip(own, n, strict=True)]), np.uint16)
+            order = np.lexsort((rest, key))
+            key, rest, w, p = key[order], rest[order], w[order], p[order]
+            doc, cut = table[w, 0], np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (rest[1:] != rest[:-1])) + 1, [len(key)]])
+            least = np.repeat(np.minimum.reduceat(doc, cut[:-1]), np.diff(cut))
+            # A minimiser with different runs: one of each is to be compared.
+            kinds = edges(key[cut[:-1]] >> HALF)
+            several = np.repeat(np.repeat(np.diff(kinds) > 1, np.diff(kinds)), np.diff(cut))
+            later = doc > least
+            send_on = later | several
+            if send_on.any():
+                p = np.where(later, p, p | ASKED)
+                yield back(table, w[send_on], p[send_on], buckets)
+
+    sent = rows.mapInArrow(send, "bucket int, keys binary, docs binary, who binary, places binary")
+    return gathered(dealt(sent, buckets).mapInArrow(meet, BACK), buckets, "runs")
+
+
+def compared(rows: DataFrame, found: DataFrame, buckets: int, length: int) -> DataFrame:
+    """doc_id, key and places of strings that also begin in a document with a smaller id, by the bytes of the marked runs."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs that may repeat; of equal ones in a batch only those of the smallest document go on."""
-        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        held: list[tuple[int, int, int, int, bytes]] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            out, doc, at = [], [], []
-            for (bucket, part), places in held.items():
-                low = min(d for d, _ in places)
-                for d, a in places:
-                    if d == low:
-                        out.append((bucket, d, a, part))
-                    else:
-                        at.append(np.arange(a, a + len(part) - length + 1))
-                        doc.append(np.full(len(at[-1]), d))
-            if doc:
-                b = by_group(np.concatenate(doc), np.concatenate(at), buckets)
-                out += [(g, None, None, d + a) for g, d, a in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-            for i in range(0, len(out), 1000):
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[i : i + 1000]], kind) for k, kind in enumerate(kinds)], ["bucket", "doc_id", "start", "part"])
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), kinds, strict=True)], ["bucket", "doc_id", "key", "start", "part"])
 
         for b in batches:
-            for d, t, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for d, k, t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                at, n, asked = unplace(places)
+                at, n = at[asked], n[asked]
+                if not len(at):
+                    continue
                 raw = t.as_buffer().to_pybytes()
-                h, first, n = runs(raw, length)
-                hit = np.flatnonzero(np.isin(first, np.frombuffer(at.as_py(), np.uint32)))
-                for i, k, single in zip(hit.tolist(), (mix(h[hit]) % np.uint64(buckets)).tolist(), hot[slots(h[hit])].tolist(), strict=True):
-                    a = int(first[i])
-                    if single:
-                        for j in range(a, a + int(n[i])):
-                            part = raw[j : j + length]
-                            held.setdefault((xxhash.xxh64_intdigest(part) % buckets, part), []).append((d, j))
-                        size += int(n[i]) * length
-                        continue
-                    part = raw[a : a + int(n[i]) + length - 1]
-                    held.setdefault((k, part), []).append((d, a))
-                    size += len(part)
+                data = np.frombuffer(raw, np.uint8)
+                h, _, first, _ = runs(data, np.array([len(raw)]), length)
+                own = h[np.searchsorted(first, at, side="right") - 1]
+                for bucket, a, m in zip((mix(own) % np.uint64(buckets)).tolist(), at.tolist(), n.tolist(), strict=True):
+                    held.append((bucket, d, k, a, raw[a : a + m + length - 1]))
+                    size += m + length
                 if size > PACK_BYTES:
-                    yield from flush()
-                    held.clear()
-                    size = 0
-        yield from flush()
-
-    return again.mapInArrow(send, "bucket int, doc_id bigint, start int, part binary"), buckets
-
-
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and at: starts of all strings of length bytes that also begin in a document with a smaller id."""
-    sent, buckets = sent_runs(docs, length)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-
-        def answer() -> pa.RecordBatch:
-            """Equal runs enter the text once, for their smallest document; its strings' fate is that of its other copies too."""
-            places: dict[bytes, list[tuple[int, int]]] = {}
-            for d, a, p in held:
-                places.setdefault(p, []).append((d, a))
-            once = [min(x) for x in places.values()]
-            own, inside = later_strings(list(places), np.arange(len(once)), np.array([d for d, _ in once]), length)
-            edges = np.searchsorted(own, np.arange(len(once) + 1))
-            doc, at = [], []
-            for i, (p, copies) in enumerate(places.items()):
-                least, every = once[i][0], np.arange(len(p) - length + 1)
-                for d, a in copies:
-                    later = every if d > least else inside[edges[i] : edges[i + 1]]
-                    if len(later):
-                        doc.append(np.full(len(later), d))
-                        at.append(later + a)
-            return by_group(np.concatenate([np.zeros(0, np.int64), *doc]), np.concatenate([np.zeros(0, np.int64), *at]), buckets)
-
-        for b in batches:
-            for k, d, a, part in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if d is None:
-                    n = len(part) // 12
-                    yield by_group(np.frombuffer(part[: 8 * n], np.int64), np.frombuffer(part[8 * n :], np.uint32), buckets)
-                    continue
-                if k != bucket and held:
-                    yield answer()
-                    held = []
-                bucket = k
-                held.append((d, a, part))
+                    yield flush()
+                    held, size = [], 0
         if held:
-            yield answer()
+            yield flush()
 
-    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, docs binary, at binary")
-    return gathered(met, buckets, "strings")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal runs enter the text once, for their smallest document; its strings' fate is that of its other copies too."""
+        for _, docs, keys, starts, parts in by_bucket(batches):
+            copies: dict[bytes, list[int]] = {}
+            for i, p in enumerate(parts):
+                copies.setdefault(p, []).append(i)
+            least = np.array([min(docs[i] for i in x) for x in copies.values()], np.int64)
+            own, inside = later_strings(list(copies), np.arange(len(least)), least, length)
+            if not len(own):
+                continue
+            # Strings that follow each other go as one place.
+            cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (inside[1:] != inside[:-1] + 1)]))
+            own, inside, n = own[cut], inside[cut], np.diff(np.append(cut, len(own)))
+            table, who, places = np.stack([docs, keys], axis=1).astype(np.int64), [], []
+            groups, begins = list(copies.values()), edges(own)
+            for a, z in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                for i in groups[own[a]]:
+                    who.append(np.full(z - a, i))
+                    places.append(place(inside[a:z] + starts[i], n[a:z]))
+            yield back(table, np.concatenate(who), np.concatenate(places), buckets)
+
+    asked = rows.join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "places")
+    sent = asked.mapInArrow(send, "bucket int, doc_id bigint, key bigint, start int, part binary")
+    return gathered(dealt(sent, buckets).mapInArrow(meet, BACK), buckets, "strings")
+
+
+def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Places of strings of length bytes of rows (doc_id, key, text) that also begin in a document with a smaller id: doc_id,
+    key and places of those that folding tells (and, marked, of the runs it can't tell), and of those the transform tells."""
+    if length <= K:
+        raise ValueError("strings must be longer than a minimiser's part")
+    rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "key", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, (8 * total // (12 * HOT_RUNS)).bit_length()))
+    hot = hot_slots(rows, bits, length)
+    found = folded(rows, hot, bits, max(1, -(-total // TEXT_A_BUCKET)), length)
+    return found, compared(rows, found, max(1, -(-total // RUNS_A_BUCKET)), length)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row.
 
     A byte goes if a string of length bytes that covers it also begins in a document with a smaller id. A null text has
-    no bytes; rows with a null id are left as they are and remove nothing. An id should be unique: rows of one id are one
-    document, and positions found for one apply to all.
+    no bytes; rows with a null id are left as they are and remove nothing. Rows of one id don't remove each other's bytes,
+    and each keeps its own positions. No rows give no rows; other columns go.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = repeats(rows, length)
+    rows = with_key(docs, id_col, text_col)
+    found, more = repeats(rows, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, at in zip(b.column(1), b.column(2), strict=True):
+            for text, places, more in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                gone = covered(at.as_py(), length, len(raw))
+                at, n, asked = unplace((places or b"") + (more or b""))
+                gone = covered(at[~asked], n[~asked], length, len(raw))
                 spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
                 out.append((len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "at")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    both = rows.join(found, ["doc_id", "key"], "left").join(more.withColumnRenamed("places", "more"), ["doc_id", "key"], "left").select("doc_id", "text", "places", "more")
+    return both.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

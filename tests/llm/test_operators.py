@@ -1,16 +1,18 @@
 """The text operators against brute force on a small table with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from contestry.llm import bpe, decontaminate, language, mixing, quality_classifier, quality_rules, simhash, substring, suffix_dedup, token_files
+from contestry.llm import bpe, decontaminate, language, mixing, positions, quality_classifier, quality_rules, simhash, substring, suffix_dedup, token_files
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, at string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,16 +63,33 @@ def test_bpe_is_the_library(docs, none):
     assert bpe.encode(none, path).count() == 0
 
 
-@pytest.mark.parametrize("library", [False, True])
-@pytest.mark.parametrize("texts", [[" hello world"], [" hello", "hello", " hello"], [" "], [None, "", " it\n", " a b"]])
-def test_bpe_first_text_begins_with_a_space(texts, library):
+def split(found):
+    ids, starts = found
+    return [ids[a:z].tolist() for a, z in zip(starts, starts[1:])]
+
+
+@pytest.mark.parametrize("texts", [[" hello world"], [" hello", "hello", " hello"], [" "], [None, "", " it\n", " a b"], ["a  b c", "x y", "\u2003 z", "p \x85q r", "<|endoftext|> a<|endoftext|>", "  "]])
+def test_bpe_spaces(texts):
     from tokenizers import Tokenizer
 
     path = bpe.default_path()
-    tk, own = Tokenizer.from_file(path), bpe.Encoder(path, library)
+    tk, own = Tokenizer.from_file(path), bpe.Encoder(path)
     want = [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column = pa.array(texts, pa.string())
     for _ in range(2):  # with words that are new, then with remembered ones
-        assert [x.tolist() for x in own.encode(texts)] == want
+        assert split(own.encode(column)) == want
+    own.forget()
+    assert split(own.encode(column)) == want
+    assert split(token_files.all_ids(column, bpe.vocabulary(path), token_files.compiled_merges(path))) == want
+
+
+def test_bpe_refuses_other_cuts(tmp_path):
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        data = json.load(f)
+    data["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    with pytest.raises(ValueError, match="cuts texts"):
+        bpe.Vocabulary(str(tmp_path / "t.json"))
 
 
 def test_bpe_first_text_of_a_partition_begins_with_a_space(spark):
@@ -86,7 +105,7 @@ def test_bpe_first_text_of_a_partition_begins_with_a_space(spark):
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000])
 def test_rans_round_trip(n):
     ids = R.zipf(1.3, n).clip(max=5000)
-    t = token_files.Table(Counter(ids.tolist()))
+    t = token_files.Table(token_files.frequencies(Counter(ids.tolist())))
     blocks = [b for b in (ids, ids[: n // 3]) if len(b)]
     if blocks:
         done = token_files.code(blocks, t)
@@ -99,15 +118,25 @@ def test_token_files(spark, docs, none, tmp_path):
 
     path = bpe.default_path()
     tk = Tokenizer.from_file(path)
-    t = token_files.write_files(docs, f"file://{tmp_path}/a", path)
-    got, start = by_id(token_files.read_files(spark, f"file://{tmp_path}/a", t)), 0
+    token_files.write_files(docs, f"file://{tmp_path}/a", path)
+    # Another session, that has nothing but the folder, decodes the files.
+    got, start = by_id(token_files.read_files(spark.newSession(), f"file://{tmp_path}/a")), 0
     for i, text, *_ in DOCS:
         ids = [*tk.encode(text or "", add_special_tokens=False).ids, 2]
         assert (got[i]["start"], got[i]["n_tokens"]) == (start, len(ids))
         assert zlib.crc32(got[i]["ids"]) == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
-    t = token_files.write_files(none, f"file://{tmp_path}/b", path)
-    assert token_files.read_files(spark, f"file://{tmp_path}/b", t).count() == 0
+    token_files.write_files(none, f"file://{tmp_path}/b", path)
+    assert token_files.read_files(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_token_files_order_repeated_and_null_ids(spark, tmp_path):
+    rows = [(7, "b b"), (7, "a"), (None, "x"), (None, "y y"), (7, "a"), (3, None)]
+    for k, n in enumerate((1, 4)):
+        token_files.write_files(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n), f"file://{tmp_path}/{k}", bpe.default_path())
+    one, four = (sorted((r["start"], r["doc_id"], bytes(r["ids"])) for r in token_files.read_files(spark, f"file://{tmp_path}/{k}").collect()) for k in (0, 1))
+    assert one == four
+    assert [d for _, d, _ in one] == [None, None, 3, 7, 7, 7]
 
 
 def lowest(n, linked):
@@ -190,29 +219,58 @@ def test_suffix(docs, none, monkeypatch, pack):
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_suffix_spreads_a_hot_minimiser(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 20)
-    first, passage = {}, bytes(R.integers(97, 123, 120, np.uint8)).decode()
-    rows = [(i, "".join(chr(c) for c in R.integers(97, 123, 60)) + passage + "".join(chr(c) for c in R.integers(97, 123, 60))) for i in range(300)]
-    rows += [(1000 + d, t) for d, t in enumerate(TEXTS)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = by_id(suffix_dedup.dedup(df))
+def brute_kept(rows):
+    first, out = {}, []
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        for i in range(len(raw) - 49):
+            first.setdefault(raw[i : i + 50], d)
     for d, t in rows:
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
         for i in range(len(raw) - 49):
-            if first.setdefault(raw[i : i + 50], d) < d:
+            if first[raw[i : i + 50]] < d:
                 gone[i : i + 50] = True
-        assert got[d]["kept"] == np.frombuffer(raw, np.uint8)[~gone].tobytes()
-    # Runs over the passage's edges differ in every document; sent whole, they would meet in a few buckets.
-    monkeypatch.setattr(suffix_dedup, "n_buckets", lambda rows, each: (0, 1 if each == 10 else 512))
+        out.append((d, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+    return sorted(out)
 
-    def largest(hot_runs):
+
+def test_suffix_spreads_a_hot_minimiser(spark, monkeypatch):
+    passage = bytes(R.integers(97, 123, 120, np.uint8)).decode()
+    rows = [(i, "".join(chr(c) for c in R.integers(97, 123, 60)) + passage + "".join(chr(c) for c in R.integers(97, 123, 60))) for i in range(300)]
+    rows += [(1000 + d, t) for d, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_kept(rows)
+    for hot_runs in (20, 1 << 30):
         monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot_runs)
-        sent, _ = suffix_dedup.sent_runs(df.filter("doc_id < 300"), 50)
-        return max(r["n"] for r in sent.filter("doc_id IS NOT NULL").groupBy("bucket").agg(F.sum(F.length("part")).alias("n")).collect())
+        assert sorted((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.dedup(df).collect()) == want
 
-    assert 3 * largest(20) < largest(1 << 30)
+
+def test_rows_of_one_id_keep_their_own_positions(spark):
+    p, q = prose(80), " ".join(f"w{i}" for i in range(90))
+    rows = [(1, p), (2, p), (2, q), (2, q), (None, p)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, bytes(r["kept"])) for r in suffix_dedup.dedup(df).collect())
+    assert got == sorted([(1, p.encode()), (2, b""), (2, q.encode()), (2, q.encode()), (0, p.encode())])
+    left = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring.dedup(df).collect())
+    n = len(p.split())
+    assert left == sorted([(1, n), (2, n), (2, 90), (2, 90), (0, 0)])
+
+
+def test_work_does_not_grow_with_buckets(spark, docs, monkeypatch):
+    """A million buckets, nearly all empty, in a few partitions."""
+    monkeypatch.setattr(positions, "MOST_PARTS", 4)
+    rows = positions.with_key(docs).filter("text IS NOT NULL").select("doc_id", "key", "text")
+    hot = np.zeros(1 << 16, bool)
+
+    def found(n):
+        out = {}
+        for r in suffix_dedup.folded(rows, hot, 16, n, 50).collect():
+            at, size, asked = positions.unplace(bytes(r["places"]))
+            out[r["doc_id"]] = sorted(zip(at[~asked].tolist(), size[~asked].tolist(), strict=True))
+        return {k: v for k, v in out.items() if v}
+
+    assert found(1) == found(1_000_000)
 
 
 def edits(a, b):
