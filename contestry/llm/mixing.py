@@ -1,410 +1,422 @@
 """Language-model scoring by logistic context mixing.
 
-A text (lower-cased A-Z, words joined by one space, one end byte) is coded bit by bit. For each order a hashed context
-of the bytes before (or of the word so far) and the byte's earlier bits finds two counts; their log-odds are combined by a weight set that a
-gate chooses (the longest known context and how often it was seen), and an adaptive map refines the mix. Spark gathers
-the counts of all training texts, every partition learns the weights and the map online over its share with each
-event's own occurrence left out, partitions' weights are averaged by their precision, and scoring uses the frozen model,
-so that a score does not depend on where its row is scored.
+A text (lower-cased A-Z, words joined by one space, one end byte) is coded bit by bit. For each of CONTEXTS, so many bytes
+before the byte and its earlier bits find two counts; their log-odds are combined by a weight set that a gate chooses (the
+longest known context and how often it was seen), and an adaptive map refines the mix.
+
+All counts are kept, however many there are. Texts are packed; each pack's distinct n-grams go to buckets by a hash of their
+last LOCAL bytes of context, so that a bucket holds all counts of the contexts of LOCAL bytes and more; the counts of the
+shortest context, at most 2**24 of them, go to every task. Each partition of buckets learns the weights and the map in small
+batches, each n-gram with one of its own occurrences left out; partitions' weights are averaged by their precision, and the
+model is frozen. Buckets then tell each pack what its n-grams are worth, and a pack adds up its texts' scores.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.llm.common import fold, table, written
+from contestry.llm.positions import by_bucket, dealt, edges, mix
 
-#: Bytes of the longest context.
-ORDER = 7
-#: Lengths in bytes of the contexts mixed, by how much they tell; WORD is the word so far, as far as the longest context
-#: reaches.
-WORD = -1
-CONTEXTS = (2, 3, WORD, 4, 6)
+#: Bytes of the longest context; of the contexts mixed, by how much they tell; and of the one that buckets go by.
+ORDER = 6
+CONTEXTS = (2, 4, 5, 6)
+SHORT, LOCAL = CONTEXTS[0], CONTEXTS[1]
 INPUTS = len(CONTEXTS) + 1
-#: Slots of the count table: eight for each distinct n-gram, 2**MOST_BITS (32 MB) at most.
-LEAST_BITS, MOST_BITS = 16, 24
-#: Where the n-grams are more than a table can tell apart, these contexts count only n-grams seen often enough: the least
-#: count with which no more than a seventh of the slots' number are left.
-LONG = (WORD, 4, 6)
-MOST_COUNT = 1 << 20
-#: A slot holds two steps of this scale: exact to 16, then in equal ratios.
-SCALE = np.concatenate([np.arange(17), 16 * (2.0**20) ** (np.arange(1, 240) / 239)])
-#: N-grams for each task that fills a table of counts, and the most such tasks.
-GRAMS_A_TASK, MOST_TASKS = 4_000_000, 256
 #: Gates: the last known context (none, or one of CONTEXTS) by how often it was seen (1, 2-3, 4-15, more).
 GATES = (len(CONTEXTS) + 1) * 4
 BUCKETS, REACH = 33, 8.0
 LEARNED = GATES * (INPUTS * (INPUTS + 1) + 2 * BUCKETS)
-#: Words whose counts every task holds; the others' counts are joined.
-COMMON_WORDS = 65_536
-BATCH_BYTES, MOST_HELD = 2 << 20, 2_500_000
-EVENTS_AT_ONCE = 16_384
-END_HASH = -1
-
-
-def normal(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def word_hash(w: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-
-
-def events(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte to code, the number of it and the ORDER bytes before; and each document's count of bytes."""
-    pad = b"\0" * ORDER
-    data = [pad + b" ".join(w) + b"\0" for w in words]
-    sizes = np.array([len(d) - ORDER for d in data], np.int64)
-    b = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    if not len(b):
-        return np.zeros(0, np.uint64), sizes
-    key = np.zeros(len(b) - ORDER, np.uint64)
-    for j in range(ORDER + 1):
-        key = (key << np.uint64(8)) | b[j : len(b) - ORDER + j]
-    ends = np.cumsum(sizes + ORDER)
-    first = np.arange(len(key)) < 0
-    coded = ~first
-    for e in (ends[:-1] - ORDER).tolist():  # contexts that reach over a document's end code nothing
-        coded[e : e + ORDER] = False
-    return key[coded], sizes
-
-
-def slots(key: np.ndarray, bits: int, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Slots of the bit's contexts, one array for each of CONTEXTS, and the bit itself."""
-    byte = key & np.uint64(255)
-    before = key >> np.uint64(8)
-    node = (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
-    out = []
-    for i, n in enumerate(CONTEXTS):
-        context = before & (word_mask(before) if n == WORD else np.uint64((1 << 8 * n) - 1))
-        h = (context * np.uint64(0x9E3779B97F4A7C15) ^ (node << np.uint64(4)) ^ np.uint64(i)) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((h >> np.uint64(64 - bits)).astype(np.int64))
-    return out, ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
-
-
-def word_mask(before: np.ndarray) -> np.ndarray:
-    """Ones over the bytes from the last space or start on."""
-    mask = np.full(len(before), (1 << 8 * ORDER) - 1, np.uint64)
-    for j in reversed(range(ORDER)):
-        b = (before >> np.uint64(8 * j)) & np.uint64(255)
-        mask[(b == 32) | (b == 0)] = (1 << 8 * (j + 1)) - 1
-    return mask
-
-
-def add_counts(total: np.ndarray, key: np.ndarray, n: np.ndarray, bits: int, least: int) -> None:
-    """Adds the n-grams to the counts of their slots, two numbers a slot."""
-    often = np.where(n >= least, n, 0).astype(total.dtype)
-    n = n.astype(total.dtype)
-    for bit in range(8):
-        where, y = slots(key, bits, bit)
-        for order, s in zip(CONTEXTS, where, strict=True):
-            np.add.at(total, 2 * s + y, often if order in LONG else n)
-
-
-def steps(total: np.ndarray) -> np.ndarray:
-    """The nearest steps of SCALE."""
-    return np.searchsorted((SCALE[1:] + SCALE[:-1]) / 2, total).astype(np.uint8)
+#: Bytes of text in a pack, and for which there is one bucket of n-grams or of words.
+PACK_BYTES, TEXT_A_BUCKET, TEXT_A_WORD_BUCKET = 8 << 20, 16 << 20, 64 << 20
+#: N-grams that are worked on at once; a context's n-grams stay together.
+AT_ONCE = 16_384
+
+PACKS = "pack bigint, ids array<bigint>, held array<boolean>, sizes array<int>, data binary"
+
+
+def normal(text: str | None) -> bytes:
+    return b" ".join((text or "").encode().lower().split())
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packs of documents (doc_id, text, held_out), normalised, each text with its end byte; in the order they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, parts, size = [], [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            cells = [uuid.uuid4().int >> 65, ids, held, list(map(len, parts)), b"".join(parts)]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names(PACKS))
+
+        for b in batches:
+            for d, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                ids.append(d)
+                held.append(h)
+                parts.append(normal(t.as_py()) + b"\0")
+                size += len(parts[-1])
+                if size >= PACK_BYTES:
+                    yield pack()
+                    ids, held, parts, size = [], [], [], 0
+        if ids:
+            yield pack()
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
+    return rows.mapInArrow(run, PACKS)
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def events(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """For each byte of the texts that follow each other in data: the ORDER bytes before it, the last one first, and itself."""
+    ends = np.cumsum(sizes)
+    b = np.frombuffer(data, np.uint8)
+    key = b.astype(np.uint64)
+    inside = np.arange(len(b)) - np.repeat(ends - sizes, sizes)
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(b), np.uint64)
+        before[k:] = b[:-k] if k <= len(b) else 0
+        before[inside < k] = 0  # before a text stand zeros
+        key |= before << np.uint64(8 * (ORDER - k + 1))
+    return key
+
+
+def masked(key: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of context, and the byte."""
+    return (key & np.uint64(((1 << 8 * n) - 1) << 8 * (ORDER - n + 1))) | (key & np.uint64(255))
+
+
+def context_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key >> np.uint64(8 * (ORDER - LOCAL + 1))) % np.uint64(buckets)).astype(np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers, all first bytes first: sorted or small numbers then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def words_of(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of a pack's distinct words, the place among them of each word, and each text's count of words."""
+    texts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(data)])
+    lists = pc.split_pattern(pc.binary_slice(texts, 0, -1), b" ")
+    counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    counts[sizes == 1] = 0
+    flat = lists.flatten()
+    flat = flat.filter(pa.array(np.repeat(sizes > 1, pc.list_value_length(lists).to_numpy())))
+    words = flat.dictionary_encode()
+    h = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words.dictionary.to_pylist()], np.uint64)
+    kinds, number = np.unique(h, return_inverse=True)
+    return kinds, number[words.indices.to_numpy()], counts
+
+
+def counted(packs: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
+    """A row for each bucket: its keys, how often each occurs in training texts, and which of them each pack holds.
+
+    Buckets below 0 are of words (-1 and down), the others of n-grams.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pack, held, sizes, data in zip(*[b.column(x).to_pylist() for x in ("pack", "held", "sizes", "data")], strict=True):
+                sizes, held = np.array(sizes), np.array(held)
+                rows = []
+                key = np.sort((events(data, sizes) << np.uint64(1)) | np.repeat(held, sizes).astype(np.uint64))
+                cut = edges(key >> np.uint64(1))
+                trained = np.concatenate([[0], np.cumsum(1 - (key & np.uint64(1)).astype(np.int64))])
+                n = np.diff(trained[cut])
+                key = key[cut[:-1]] >> np.uint64(1)
+                rows += by(context_bucket(key, buckets), key, n)
+                h, at, counts = words_of(data, sizes)
+                rows += [(-1 - g, k, c) for g, k, c in by((h % np.uint64(word_buckets)).astype(np.int64), h, np.bincount(at[~np.repeat(held, counts)], minlength=len(h)))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]], ["bucket", "pack", "keys", "n"])
+
+    def by(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, n = bucket[order], key[order], n[order].astype(np.uint32)
+        cut = edges(bucket)
+        return [(int(bucket[a]), planes(key[a:z]), planes(n[a:z])) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, packs_of, keys, n in by_bucket(batches):
+            parts = [unplanes(k, np.uint64) for k in keys]
+            key = np.concatenate(parts)
+            order = np.argsort(key)
+            key = key[order]
+            cut = edges(key)
+            total = np.add.reduceat(np.concatenate([unplanes(x, np.uint32) for x in n])[order].astype(np.int64), cut[:-1])
+            place = np.empty(len(key), np.int64)
+            place[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+            ends = np.cumsum([len(p) for p in parts])
+            steps = [planes(np.diff(place[a:z], prepend=0).astype(np.uint32)) for a, z in zip(ends - [len(p) for p in parts], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[0]], pa.int32()), pa.array([planes(key[cut[:-1]])], pa.binary()), pa.array([planes(total)], pa.binary()), pa.array([packs_of], pa.list_(pa.int64())), pa.array([steps], pa.list_(pa.binary()))], ["bucket", "keys", "n", "packs", "steps"])
+
+    sent = packs.select("pack", "held", "sizes", "data").mapInArrow(send, "bucket int, pack bigint, keys binary, n binary")
+    return dealt(sent, buckets + word_buckets).mapInArrow(add, "bucket int, keys binary, n binary, packs array<bigint>, steps array<binary>")
+
+
+def levels(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For sorted keys (context and byte): for 0 to 8 first bits of the byte, how often the context was followed by them."""
+    total = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty((9, len(key)), np.float32)
+    for bits in range(9):
+        cut = edges(key >> np.uint64(8 - bits))
+        out[bits] = np.repeat(np.diff(total[cut]), np.diff(cut))
+    return out
+
+
+def short_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the shortest context and their counts: 2**(8 * SHORT + 8) at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                key = masked(unplanes(keys, np.uint64), SHORT)
+                order = np.argsort(key)
+                key, n = key[order], unplanes(n, np.int64)[order]
+                cut = edges(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[cut[:-1]].view(np.int64)), pa.array(np.add.reduceat(n, cut[:-1]))], ["key", "n"])
+
+    got = rows.filter("bucket >= 0").select("keys", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = (got.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(key)
+    return key[order].view(np.uint64), n[order]
 
 
 @dataclass
 class Model:
-    """counts: [slots, 2]; weights: [GATES, INPUTS]; refined: log-odds by gate and bucket of the mix's log-odds."""
+    """short, short_levels: the shortest contexts' counts; weights: [GATES, INPUTS]; refined: log-odds by gate and bucket of
+    the mix's log-odds."""
 
-    bits: int
-    least: int
-    counts: np.ndarray
+    short: np.ndarray
+    short_levels: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
 
-    def inputs(self, key: np.ndarray, left_out: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each of the eight bits the log-odds of each context, the gate and the bit. left_out: how often each
-        n-gram was seen; one of them is left out.
-
-        A slot can't hold more of a context than the slot of the bit before had on this branch: counts above that come from
-        other contexts of the slot and are scaled down, to nothing if the branch was never seen.
-        """
-        flat = self.counts.reshape(-1)
-        most = np.full((len(CONTEXTS), len(key)), np.inf)
+    def slices(self, key: np.ndarray, n: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Parts of a bucket's sorted keys that hold whole contexts of LOCAL bytes, and their counts [context, bits, key]."""
+        cut = edges(key >> np.uint64(8 * (ORDER - LOCAL + 1)))
+        start = 0
+        for end in cut[1:].tolist():
+            if end - start >= AT_ONCE or end == len(key):
+                k = key[start:end]
+                out = np.empty((len(CONTEXTS), 9, len(k)), np.float32)
+                out[0] = self.short_levels[:, np.searchsorted(self.short, masked(k, SHORT))]
+                for i, c in enumerate(CONTEXTS[1:], 1):
+                    m = masked(k, c)
+                    if c == ORDER:
+                        out[i] = levels(m, n[start:end])
+                    else:
+                        order = np.argsort(m)
+                        out[i][:, order] = levels(m[order], n[start:end][order])
+                yield slice(start, end), out
+                start = end
+
+    def inputs(self, key: np.ndarray, counts: np.ndarray, left_out: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of the eight bits the log-odds of each context, the gate and the bit, with left_out own occurrences left out."""
+        byte = key & np.uint64(255)
         for bit in range(8):
-            at, y = slots(key, self.bits, bit)
+            y = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
             x = np.full((len(key), INPUTS), 0.3)
             gate = np.zeros(len(key), np.int64)
-            for i, (order, s) in enumerate(zip(CONTEXTS, at, strict=True)):
-                own = 0 if left_out is None else left_out >= self.least if order in LONG else 1
-                same, other = SCALE[flat[2 * s + y]], SCALE[flat[2 * s + 1 - y]]
-                share = np.minimum(1, most[i] / np.maximum(same + other, 1))
-                same, other = same * share, other * share
-                most[i] = same
-                same = np.maximum(same - own, 0)
-                total = same + other
-                x[:, i] = np.log((same + 0.2) / (other + 0.2)) * (2 * y - 1)
+            sign = 2.0 * y - 1
+            for i in range(len(CONTEXTS)):
+                total, same = counts[i, bit] - left_out, counts[i, bit + 1] - left_out
+                x[:, i] = np.log((same + 0.2) / (total - same + 0.2)) * sign
                 level = (total >= 1.9).astype(np.int64) + (total >= 3.9) + (total >= 15.5)
                 gate = np.where(total > 0, (i + 1) * 4 + level, gate)
             yield x, gate, y
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(axis=1), -REACH, REACH)
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -REACH, REACH)
 
     def place(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = (z + REACH) * ((BUCKETS - 1) / (2 * REACH))
         i = np.minimum(f.astype(np.int64), BUCKETS - 2)
         return i, f - i
 
-    def log2p(self, key: np.ndarray) -> np.ndarray:
-        """Log to base 2 of each byte's probability in its context."""
+    def log2p(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log to base 2 of each byte's probability in its context, of a bucket's sorted keys."""
         out = np.zeros(len(key))
-        for x, gate, y in self.inputs(key):
-            z = self.mix(x, gate)
-            i, f = self.place(z)
-            z = (z + (1 - f) * self.refined[gate, i] + f * self.refined[gate, i + 1]) / 2
-            out -= np.log1p(np.exp(np.where(y == 1, -z, z)))
+        for part, counts in self.slices(key, n):
+            for x, gate, y in self.inputs(key[part], counts, 0):
+                z = self.mix(x, gate)
+                i, f = self.place(z)
+                z = (z + (1 - f) * self.refined[gate, i] + f * self.refined[gate, i + 1]) / 2
+                out[part] -= np.log1p(np.exp(np.where(y == 1, -z, z)))
         return out / math.log(2)
 
 
-def gather_counts(docs: DataFrame) -> DataFrame:
-    """kind, key, n over all rows (text): kind 0 a word's hash (or the end), kind 1 an n-gram with its context."""
+def learn(model: Model, buckets: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Online over parts of buckets: after each, every gate's weights move by its gradient over the precision gathered so far.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate([k for k, _ in parts])
-            n = np.concatenate([c for _, c in parts])
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            return key[first], np.add.reduceat(n, first) if len(first) else n
-
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
-
-        grams = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        words: dict[bytes, int] = {}
-        ends, held, size = 0, [], 0
-
-        def spill(words: dict[bytes, int]) -> pa.RecordBatch:
-            return out(0, np.array([word_hash(w) for w in words], np.int64), np.fromiter(words.values(), np.int64, len(words)))
-
-        for b in batches:
-            for t in b.column(0):
-                w = normal(t.as_py())
-                held.append(w)
-                size += sum(map(len, w))
-                ends += 1
-                for x in w:
-                    words[x] = words.get(x, 0) + 1
-                if size > BATCH_BYTES:
-                    key, _ = events(held)
-                    grams = merged([grams, np.unique(key, return_counts=True)])
-                    held, size = [], 0
-                    if len(grams[0]) > MOST_HELD:
-                        yield out(1, *grams)
-                        grams = (grams[0][:0], grams[1][:0])
-                    if len(words) > MOST_HELD // 5:
-                        yield spill(words)
-                        words = {}
-        if held:
-            grams = merged([grams, np.unique(events(held)[0], return_counts=True)])
-        yield out(1, *grams)
-        yield spill(words)
-        yield out(0, np.array([END_HASH] * (ends > 0), np.int64), np.array([ends] * (ends > 0), np.int64))
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def count_table(grams: DataFrame, distinct: int, bits: int, least: int) -> np.ndarray:
-    """The hashed counts: a bounded number of tasks add up n-grams, then blocks of slots meet; the result has 2**bits slots."""
-    block = min(bits, 16)
-
-    def blobs(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        c = total.reshape(-1, 2)
-        for i in range(0, len(c), 1 << block):
-            part = c[i : i + (1 << block)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i >> block], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["block", "counts"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 << bits, np.float32)
-        for b in batches:
-            add_counts(total, b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), bits, least)
-        yield from blobs(total)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tables[i] = tables.get(i, 0) + np.frombuffer(c, np.float32).astype(np.float64)
-        for i, c in tables.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([steps(c).tobytes()], pa.binary())], ["block", "counts"])
-
-    tasks = min(MOST_TASKS, max(1, math.ceil(distinct / GRAMS_A_TASK)))
-    sums = grams.select("key", "n").coalesce(tasks).mapInArrow(spread, "block int, counts binary")
-    blocks = sums.repartition(max(1, 1 << (bits - block) >> 5), "block").mapInArrow(add, "block int, counts binary")
-    out = np.zeros((1 << bits, 2), np.uint8)
-    for r in blocks.toLocalIterator():
-        out[r["block"] << block : (r["block"] + 1) << block] = np.frombuffer(r["counts"], np.uint8).reshape(-1, 2)
-    return out
-
-
-def learned(grams: DataFrame, model: Model) -> np.ndarray:
-    """What learn gives for each partition, added up."""
-    shared = grams.sparkSession.sparkContext.broadcast((model.bits, model.least, model.counts, model.weights, model.refined))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            nonlocal held, size
-            for b in [*batches, None]:
-                if b is not None:
-                    held.append(b)
-                    size += b.num_rows
-                if held and (b is None or size >= EVENTS_AT_ONCE):
-                    key, n = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1))
-                    for i in range(0, size, EVENTS_AT_ONCE):
-                        yield key[i : i + EVENTS_AT_ONCE].view(np.uint64), n[i : i + EVENTS_AT_ONCE].astype(float)
-                    held, size = [], 0
-
-        total = learn(Model(*shared.value), parts())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
-
-    out = np.zeros(LEARNED)
-    for r in grams.select("key", "n").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    shared.destroy()
-    return out
-
-
-def learn(model: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Online: after each batch every gate's weights move by its gradient over the precision gathered so far.
-
-    Returns the precisions, precisions times weights, and for the refinement ones and all events by gate and bucket of the
-    mix, each event shared between its two nearest buckets.
+    An n-gram weighs as much as it was seen. Returns the precisions, precisions times weights, and for the refinement ones and
+    all events by gate and bucket of the mix, each event shared between its two nearest buckets.
     """
     w = model.weights.copy()
     h = np.zeros((GATES, INPUTS, INPUTS))
     prior = np.eye(INPUTS) * 5
     total = np.zeros((2, GATES * BUCKETS))
-    for key, n in parts:
-        for x, gate, y in model.inputs(key, n):
-            order = np.argsort(gate, kind="stable")
-            x, gate, y, times = x[order], gate[order], y[order], n[order]
-            p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(axis=1), -REACH, REACH)))
-            slope, pull = times * np.maximum(p * (1 - p), 1e-3), times * (y - p)
-            first = np.flatnonzero(np.diff(gate, prepend=-1)).tolist()
-            for a, b in zip(first, [*first[1:], len(gate)], strict=True):
-                g, xg = gate[a], x[a:b]
-                h[g] += (xg * slope[a:b, None]).T @ xg
-                w[g] += np.linalg.solve(h[g] + prior, xg.T @ pull[a:b])
-            i, f = model.place(np.clip((x * w[gate]).sum(axis=1), -REACH, REACH))
-            for at, share in ((i, 1 - f), (i + 1, f)):
-                total[0] += np.bincount(gate * BUCKETS + at, times * share * y, GATES * BUCKETS)
-                total[1] += np.bincount(gate * BUCKETS + at, times * share, GATES * BUCKETS)
+    for keys, times in buckets:
+        for part, counts in model.slices(keys, times):
+            seen = times[part] > 0  # the others occur in no training text
+            for x, gate, y in model.inputs(keys[part][seen], counts[:, :, seen], 1):
+                n = times[part][seen].astype(float)
+                order = np.argsort(gate, kind="stable")
+                x, gate, y, n = x[order], gate[order], y[order], n[order]
+                p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", x, w[gate]), -REACH, REACH)))
+                slope, pull = n * np.maximum(p * (1 - p), 1e-3), n * (y - p)
+                cut = edges(gate)
+                for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    g, xg = gate[a], x[a:z]
+                    h[g] += (xg * slope[a:z, None]).T @ xg
+                    w[g] += np.linalg.solve(h[g] + prior, xg.T @ pull[a:z])
+                i, f = model.place(np.clip(np.einsum("ij,ij->i", x, w[gate]), -REACH, REACH))
+                for at, share in ((i, 1 - f), (i + 1, f)):
+                    total[0] += np.bincount(gate * BUCKETS + at, n * share * y, GATES * BUCKETS)
+                    total[1] += np.bincount(gate * BUCKETS + at, n * share, GATES * BUCKETS)
     return np.concatenate([h.reshape(-1), np.einsum("gij,gj->gi", h, w).reshape(-1), total.reshape(-1)])
 
 
-def train(grams: DataFrame) -> Model:
-    """From key and n of all training n-grams; with none every bit has probability one half."""
-    often = sorted(map(tuple, grams.groupBy(F.least("n", F.lit(MOST_COUNT)).alias("n")).count().collect()))
-    distinct = sum(k for _, k in often)
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(8 * max(1, distinct)))))
-    least, left = 1, distinct
-    for n, k in often:
-        if left <= (1 << bits) // 7:
-            break
-        least, left = n + 1, left - k
+def untrained(short: np.ndarray, n: np.ndarray) -> Model:
     centre = np.tile(np.linspace(-REACH, REACH, BUCKETS), (GATES, 1))
-    model = Model(bits, least, count_table(grams, distinct, bits, least), np.tile(np.array([0.3] * len(CONTEXTS) + [0.0]), (GATES, 1)), centre)
-    got = learned(grams, model)
+    return Model(short, levels(short, n), np.tile(np.array([0.3] * len(CONTEXTS) + [0.0]), (GATES, 1)), centre)
+
+
+def trained(model: Model, got: np.ndarray) -> Model:
+    """The model with the weights and the map of what learn gave, added up over partitions."""
     h = got[: GATES * INPUTS**2].reshape(GATES, INPUTS, INPUTS)
     hw = got[GATES * INPUTS**2 : GATES * INPUTS * (INPUTS + 1)].reshape(GATES, INPUTS)
     prior = np.eye(INPUTS) * 5
-    model.weights = np.stack([np.linalg.solve(h[g] + prior, hw[g] + prior @ model.weights[g]) for g in range(GATES)])
+    weights = np.stack([np.linalg.solve(h[g] + prior, hw[g] + prior @ model.weights[g]) for g in range(GATES)])
     ones, seen = got[GATES * INPUTS * (INPUTS + 1) :].reshape(2, GATES, BUCKETS)
-    p = 1 / (1 + np.exp(-centre))
-    model.refined = np.log((ones + 2 * p) / (seen - ones + 2 * (1 - p)))
-    return model
+    p = 1 / (1 + np.exp(-model.refined))
+    return Model(model.short, model.short_levels, weights, np.log((ones + 2 * p) / (seen - ones + 2 * (1 - p))))
+
+
+def train(rows: DataFrame) -> Model:
+    """From counted buckets; with no training text every bit has probability one half."""
+    model = untrained(*short_counts(rows))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = learn(shared.value, ((unplanes(k, np.uint64), unplanes(n, np.int64)) for b in batches for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got), dtype=np.int32)), pa.array(got)], ["i", "v"])
+
+    got = np.zeros(LEARNED)
+    for r in rows.filter("bucket >= 0").select("keys", "n").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        got[r["i"]] = r["v"]
+    shared.destroy()
+    return trained(model, got)
+
+
+def answers(rows: DataFrame, model: Model) -> DataFrame:
+    """pack, bucket and worth: what the pack's keys in the bucket are worth (n-grams: log2 probabilities; words: counts)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, keys, n, packs, steps in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                n = unplanes(n, np.int64)
+                worth = n if bucket < 0 else shared.value.log2p(unplanes(keys, np.uint64), n).astype(np.float32)
+                for pack, s in zip(packs, steps, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([bucket], pa.int32()), pa.array([planes(worth[np.cumsum(unplanes(s, np.uint32).astype(np.int64))])], pa.binary())], ["pack", "bucket", "worth"])
+
+    return rows.mapInArrow(run, "pack bigint, bucket int, worth binary")
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of docs (doc_id, text).
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of docs (doc_id, text, held_out).
 
-    Rows with one id and text have equal scores, each its row. Null and empty texts are the end alone.
+    Learns from the rows that are not held out. Rows with one id and text have equal scores, each its row. Null and empty
+    texts are the end alone. With no training text all words are unknown and every bit has probability one half. Words are
+    told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    words = counts.filter("kind = 0").select(F.col("key").alias("h"), "n")
-    n_all, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = {r["h"]: r["n"] for r in words.orderBy(F.desc("n"), "h").limit(COMMON_WORDS).collect()}
-    shared = spark.sparkContext.broadcast((common, model.bits, model.least, model.counts, model.weights, model.refined))
+    packs = written(packed(docs), "lm-packs")
+    total = packs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    buckets, word_buckets = max(1, -(-total // TEXT_A_BUCKET)), max(1, -(-total // TEXT_A_WORD_BUCKET))
+    rows = written(counted(packs, buckets, word_buckets), "lm-counts")
+    model = train(rows)
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [unplanes(x, np.int64) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in n], pa.int64()), pa.array([int(np.count_nonzero(x)) for x in n], pa.int64())], ["n", "v"])
+
+    ends = packs.select(F.explode("held").alias("held")).filter("NOT held").count()
+    n, v = rows.filter("bucket < 0").select("n").mapInArrow(of_words, "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    n_all, distinct = n + ends, v + (ends > 0)
     below = n_all + 0.1 * (distinct + 1)
+    own_end = math.log10((ends + 0.1) / below)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *parts = shared.value
-        own = Model(*parts)
-        hashes: dict[bytes, int] = {}
-        held: list[tuple[int | None, list[bytes]]] = []
-
-        def flush() -> pa.RecordBatch:
-            key, sizes = events([w for _, w in held])
-            kinds, inverse = np.unique(key, return_inverse=True)
-            worth = np.concatenate([own.log2p(kinds[i : i + EVENTS_AT_ONCE]) for i in range(0, len(kinds), EVENTS_AT_ONCE)] or [np.zeros(0)])
-            bits = -np.bincount(np.repeat(np.arange(len(held)), sizes), worth[inverse], len(held))
-            rows = []
-            for doc, w in held:
-                total, seen, rare = 0.0, 0, {}
-                for h in [END_HASH, *[hashes[x] if x in hashes else hashes.setdefault(x, word_hash(x)) for x in w]]:
-                    c = known.get(h)
-                    if c is None:
-                        rare[h] = rare.get(h, 0) + 1
-                    else:
-                        total += math.log10((c + 0.1) / below)
-                        seen += 1
-                rows.append((doc, len(w) + 1, seen, total, list(rare), list(rare.values())))
-            if len(hashes) > 300_000:
-                hashes.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(bits), pa.array(sizes)], ["doc_id", "n_tokens", "seen", "total", "rare", "times", "bits", "size"])
-
-        size = 0
+        text, worth = None, {}
+
+        def scored() -> pa.RecordBatch:
+            ids, held, sizes, data = text
+            sizes = np.array(sizes)
+            key = events(data, sizes)
+            order = np.argsort(key)
+            cut = edges(key[order])
+            kinds = key[order][cut[:-1]]
+            each = np.empty(len(kinds), np.float32)
+            to = np.argsort(context_bucket(kinds, buckets), kind="stable")
+            each[to] = np.concatenate([unplanes(worth[g], np.float32) for g in sorted(g for g in worth if g >= 0)])
+            bits = np.empty(len(key), np.float32)
+            bits[order] = np.repeat(each, np.diff(cut))
+            starts = np.cumsum(sizes) - sizes
+            bits = -np.add.reduceat(bits.astype(np.float64), starts)
+            h, at, counts = words_of(data, sizes)
+            c = np.empty(len(h), np.int64)
+            to = np.argsort((h % np.uint64(word_buckets)).astype(np.int64), kind="stable")
+            if len(h):
+                c[to] = np.concatenate([unplanes(worth[g], np.int64) for g in sorted((g for g in worth if g < 0), reverse=True)])
+            of = np.repeat(np.arange(len(sizes)), counts)
+            base = np.bincount(of, np.log10((c + 0.1) / below)[at], len(sizes)) + own_end
+            known = np.bincount(of, (c > 0)[at], len(sizes)).astype(np.int64) + (ends > 0)
+            k = len(sizes)
+            cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(counts + 1), pa.array(known), pa.array(np.full(k, n_all, np.int64)), pa.array(base), pa.array(bits * -math.log10(2)), pa.array(bits / sizes)]
+            return pa.RecordBatch.from_arrays(cols, names(SCORES))
+
+        pack = None
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.append((doc, normal(t.as_py())))
-                size += sum(map(len, held[-1][1])) + 1
-                if size > BATCH_BYTES:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = written(rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, seen bigint, total double, rare array<bigint>, times array<int>, bits double, size bigint"), "lm-scores")
-    # What is not common: one row for each word of a document, joined with its count and added up again.
-    rare = scored.select("doc_id", "n_tokens", "total", "bits", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(F.struct("doc_id", "n_tokens", "total", "bits").alias("row"), F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
-    rare = rare.select(F.xxhash64("row").alias("id"), "h", "k").distinct()
-    worth = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.1) / F.lit(float(below)))
-    more = rare.join(words, "h", "left").groupBy("id").agg(F.sum(F.col("k") * worth).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("also"))
-    joined = scored.withColumn("id", F.xxhash64(F.struct("doc_id", "n_tokens", "total", "bits"))).join(more, "id", "left")
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("seen") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("bits") * -math.log10(2)).alias("score"),
-        (F.col("bits") / F.col("size")).alias("bits_per_byte"),
-    )
+            for p, bucket, ids, held, sizes, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if p != pack:
+                    if text:
+                        yield scored()
+                    pack, text, worth = p, None, {}
+                if ids is not None:
+                    text = (ids, held, sizes, data)
+                else:
+                    worth[bucket] = data
+        if text:
+            yield scored()
+
+    told = answers(rows, model).select("pack", "bucket", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("held", "array<boolean>"), ("sizes", "array<int>"))], F.col("worth").alias("data"))
+    both = packs.select("pack", F.lit(None).cast("int").alias("bucket"), "ids", "held", "sizes", "data").unionByName(told)
+    return both.repartition("pack").sortWithinPartitions("pack").mapInArrow(run, SCORES)
+
+
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = written(gather_counts(docs.filter(fold("doc_id", 10) != 0)), "lm-counts")
-    model = train(counts.filter("kind = 1"))
-    return score(docs, counts, model).withColumn("held_out", fold("doc_id", 10) == 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return score(docs.withColumn("held_out", fold("doc_id", 10) == 0))
