@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from contestry.llm.common import table, written
 
 #: Bytes in a q-gram (it fits a 64-bit number), and edits allowed for each hundred bytes of a passage.
 Q, EDITS = 8, 8
-#: Passages shorter than this (normalised) must occur without edits, and shorter than MIN_EXACT are not looked for.
-MIN_EDITED, MIN_EXACT = 40, 20
-#: Bytes of passages whose index goes to every task at once.
-BLOCK_BYTES = 4 << 20
+#: Passages shorter than MIN_EDITED bytes (normalised) must occur without edits, and shorter than MIN_PART as whole words.
+MIN_EDITED, MIN_PART = 40, 20
+#: Bytes of passages whose index goes to every task at once, and q-gram matches of a text that are held at once.
+BLOCK_BYTES, MOST_HITS = 4 << 20, 4_000_000
 
 GAP = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
@@ -53,12 +54,13 @@ def budget(m: int) -> int:
     return m * EDITS // 100 if m >= MIN_EDITED else 0
 
 
-@dataclass(frozen=True)
+@dataclass
 class Index:
-    """Passages of one block with their q-grams in ascending order."""
+    """Passages of one block with their q-grams in ascending order, and the short ones by their count of words."""
 
     ids: list[int]
     texts: list[bytes]
+    short: dict[int, dict[bytes, list[int]]]
     keys: np.ndarray
     item: np.ndarray
     at: np.ndarray
@@ -66,14 +68,18 @@ class Index:
 
     @staticmethod
     def of(items: list[tuple[int, bytes]]) -> Index:
-        parts = [grams(t) for _, t in items]
+        parts = [grams(t if len(t) >= MIN_PART else b"") for _, t in items]
+        short: dict[int, dict[bytes, list[int]]] = {}
+        for i, (_, t) in enumerate(items):
+            if len(t) < MIN_PART:
+                short.setdefault(t.count(b" ") + 1, {}).setdefault(t, []).append(i)
         keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         at = np.concatenate([*[np.arange(len(p), dtype=np.int32) for p in parts], np.zeros(0, np.int32)])
         order = np.argsort(keys, kind="stable")
         bits = np.zeros(1 << 20, bool)
         bits[slot(keys)] = True
-        return Index([i for i, _ in items], [t for _, t in items], keys[order], item[order], at[order], bits)
+        return Index([i for i, _ in items], [t for _, t in items], short, keys[order], item[order], at[order], bits)
 
 
 def banded(a: bytes, b: bytes, shift: int, most: int) -> tuple[int, int, int] | None:
@@ -112,8 +118,33 @@ def banded(a: bytes, b: bytes, shift: int, most: int) -> tuple[int, int, int] |
     return (edits, lo + begun, lo + len(a) + k) if edits <= most else None
 
 
+    @cached_property
+    def halves(self) -> tuple[Index, Index]:
+        """The passages that aren't short, in two parts."""
+        some = [i for i, t in enumerate(self.texts) if len(t) >= MIN_PART]
+        return tuple(Index.of([(i, self.texts[i]) for i in part]) for part in (some[: len(some) // 2], some[len(some) // 2 :]))
+
+
+def whole_words(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
+    """(item, 0, begin, end) of the first place of each short passage that stands in data as whole words."""
+    found: dict[int, tuple[int, int, int, int]] = {}
+    words = data.split(b" ")
+    begins = np.cumsum([0, *[len(w) + 1 for w in words]]).tolist()
+    for k, texts in index.short.items():
+        for a in range(len(words) - k + 1):
+            t = words[a] if k == 1 else b" ".join(words[a : a + k])
+            for i in texts.get(t, ()):
+                found.setdefault(i, (i, 0, begins[a], begins[a] + len(t)))
+    return list(found.values())
+
+
 def find(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
     """(item, edits, begin, end) of the best occurrence in data of each passage that occurs within its budget."""
+    return (whole_words(data, index) if index.short else []) + similar(data, index)
+
+
+def similar(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
+    """What find() tells of the passages that aren't short."""
     g = grams(data)
     pos = np.flatnonzero(index.filter[slot(g)])
     if not len(pos):
@@ -124,6 +155,8 @@ def find(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
     if not len(pos):
         return []
     ends = np.cumsum(n)
+    if ends[-1] > MOST_HITS and len(index.texts) > 1:  # q-grams that many passages have: half of the passages at a time
+        return [(half.ids[i], *rest) for half in index.halves for i, *rest in similar(data, half)]
     entry = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo, n)
     item, diagonal = index.item[entry].astype(np.int64), np.repeat(pos, n) - index.at[entry]
     found = []
@@ -158,42 +191,61 @@ def exact(text: bytes, data: bytes, at: int) -> tuple[int, int, int] | None:
     return (0, at, at + len(text)) if at >= 0 and data[at : at + len(text)] == text else None
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The passages in blocks of BLOCK_BYTES or less, one driver batch at a time; one longer than that has its own."""
-    out, size = [[]], 0
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The passages in blocks of BLOCK_BYTES or less, one at a time; one longer than that has its own."""
+    block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t").toLocalIterator():
         t = normal(r["t"])
-        if len(t) < MIN_EXACT:
+        if not t:
             continue
         if size and size + len(t) > BLOCK_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], t))
+            yield block
+            block, size = [], 0
+        block.append((r["i"], t))
         size += len(t)
-    return [b for b in out if b]
+    if block:
+        yield block
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document and passage found in it: doc_id, item_id, edits, begin and end in the normalised text.
+    """One row for each document and passage found in it: doc_id, item_id, edits, begin and end in the normalised text, and
+    n_bytes of that.
 
-    Texts and passages are compared in lower case with punctuation and white space as single spaces. A null text or
-    passage, an empty table and a passage shorter than MIN_EXACT find nothing; repeated item_ids give the best of theirs.
+    Texts and passages are compared in lower case with punctuation and white space as single spaces. A passage of fewer than
+    MIN_PART bytes is found as whole words, of fewer than MIN_EDITED without edits, any other within its budget; one without
+    a letter or digit finds nothing, as do null texts and passages and empty tables. Repeated item_ids each give rows of their
+    own.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, edits int, begin bigint, end bigint"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark):
+    schema = "doc_id bigint, item_id bigint, edits int, begin bigint, end bigint, n_bytes bigint"
+
+    def against(items: list[tuple[int, bytes]]) -> DataFrame:
         shared = sc.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index.of(shared.value)
             for b in batches:
-                got = [(doc, index.ids[i], e, a, z) for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if t.is_valid for i, e, a, z in find(normal(t.as_py()), index)]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "edits", "begin", "end"])
-
-        out = out.unionByName(rows.mapInArrow(run, schema))
+                got = []
+                for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    data = normal(t.as_py())
+                    got += [(doc, index.ids[i], e, a, z, len(data)) for i, e, a, z in find(data, index)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "edits", "begin", "end", "n_bytes"])
+
+        return rows.mapInArrow(run, schema)
+
+    found, each = [], blocks(benchmark)
+    items = next(each, None)
+    while items:
+        following = next(each, None)
+        part = against(items)
+        # With several blocks, each is worked off and written before the next one but one is read.
+        found.append(written(part, "leaks") if following or found else part)
+        items = following
+    out = docs.sparkSession.createDataFrame([], schema)
+    for part in found:
+        out = part if len(found) == 1 else out.unionByName(part)
     return out
 
 
@@ -205,6 +257,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark passage; rows with a null id stay."""
-    bad = written(leaks(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "leaks")
+    """docs without those that hold a benchmark passage; rows with a null id stay, as do all without a benchmark.
+
+    A passage of fewer than MIN_PART bytes is no evidence within a longer text: a document goes if it is nothing but that.
+    Rows of one id go together.
+    """
+    telling = (F.col("end") - F.col("begin") >= MIN_PART) | ((F.col("begin") == 0) & (F.col("end") == F.col("n_bytes")))
+    bad = written(leaks(docs, benchmark).filter(telling).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "leaks")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -1,8 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
-Each language has a Bloom filter of the character n-grams that are frequent in its training texts. The filters share
+Each language has a Bloom filter of all character n-grams of its training texts. The filters share
 their hash functions and lie bit-sliced: a slot holds one bit for each language, so the AND of an n-gram's slots is the
-set of all languages that may contain it. A document's n-grams are looked up, each language's hits counted from the
+set of all languages that contain it, and of those whose filter is wrong about it. A document's n-grams are looked up, each language's hits counted from the
 masks and corrected for its filter's false positives, and the highest share decides.
 """
 
@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm.common import fold, table
+from contestry.llm.common import fold, table, written
 
 #: Bytes of the n-grams: all these lengths, over lower-case letters with one space between words.
 SIZES = (3, 4, 5)
-#: Slots are 2**SLOT_BITS numbers of 64 bits (16 MB); each n-gram sets HASHES of them.
-SLOT_BITS, HASHES = 21, 3
-#: An n-gram enters a language's filter if it makes up this share of the language's n-grams, and if no other
-#: language's share is more than RATIO times its own.
-SHARE, RATIO = 4e-6, 8.0
+#: Each n-gram sets HASHES slots. There are SLOTS_A_GRAM slots for each distinct n-gram of all languages, between these powers of
+#: two; beyond, filters fill up and are wrong more often, which the correction takes out, but no n-gram is left out.
+HASHES, SLOTS_A_GRAM, LEAST_BITS, MOST_BITS = 3, 4, 16, 23
+#: Languages of a plane; slots that meet in one row while filters are put together.
+A_PLANE, BLOCK = 64, 1 << 14
 UNKNOWN = "und"
 
 
@@ -43,31 +43,44 @@ def ascii_letters(text: str) -> bytes:
 def ngrams(data: bytes) -> np.ndarray:
     """The n-grams of all SIZES, each a number that also tells its length."""
     b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    out = []
+    out, x, length = [], b, 1
     for n in SIZES:
-        k = len(b) - n + 1
-        if k > 0:
-            x = np.full(k, n, np.uint64)
-            for j in range(n):
-                x = (x << np.uint64(8)) | b[j : j + k]
-            out.append(x)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        for length in range(length + 1, n + 1):
+            x = (x[:-1] << np.uint64(8)) | b[length - 1 :] if len(x) else x
+        out.append(x | np.uint64(n << 8 * n))
+    return np.concatenate(out)
 
 
-def slots(x: np.ndarray) -> list[np.ndarray]:
+def slots(x: np.ndarray, bits: int) -> list[np.ndarray]:
     h = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    a, b = h >> np.uint64(64 - SLOT_BITS), ((h >> np.uint64(11)) | np.uint64(1)) & np.uint64((1 << SLOT_BITS) - 1)
-    mask = np.uint64((1 << SLOT_BITS) - 1)
+    mask = np.uint64((1 << bits) - 1)
+    a, b = h >> np.uint64(64 - bits), (h >> np.uint64(11)) | np.uint64(1)
     return [((a + np.uint64(i) * b) & mask).astype(np.int64) for i in range(HASHES)]
 
 
 @dataclass(frozen=True)
 class Filters:
+    """planes: one for each A_PLANE languages, a number of as many bits for each slot; false_rate: of each language's filter."""
+
     langs: list[str]
     planes: np.ndarray
     false_rate: np.ndarray
 
+    def hits(self, x: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language's filter has."""
+        at = slots(x, self.planes.shape[1].bit_length() - 1)
+        out = []
+        for plane in self.planes:
+            mask = plane[at[0]]
+            for s in at[1:]:
+                mask &= plane[s]
+            # Few different masks occur: count them, then each language's bit among them.
+            kinds, n = np.unique(mask, return_counts=True)
+            bits = (kinds[:, None] >> np.arange(A_PLANE, dtype=np.uint64)) & np.uint64(1)
+            out.append((bits * n[:, None].astype(np.uint64)).sum(axis=0))
+        return np.concatenate(out)[: len(self.langs)]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
@@ -75,67 +88,76 @@ class Filters:
         x = ngrams(data)
         if len(data.strip()) == 0 or not len(x):
             return UNKNOWN, 0.0
-        at = slots(x)
-        mask = self.planes[at[0]]
-        for s in at[1:]:
-            mask &= self.planes[s]
-        # Few different masks occur: count them, then each language's bit among them.
-        kinds, n = np.unique(mask, return_counts=True)
-        bits = (kinds[:, None] >> np.arange(len(self.langs), dtype=np.uint64)) & np.uint64(1)
-        hits = (bits * n[:, None].astype(np.uint64)).sum(axis=0).astype(float) / len(x)
-        real = np.clip((hits - self.false_rate) / (1 - self.false_rate), 0, 1)
+        real = np.clip((self.hits(x) / len(x) - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = int(np.argmax(real))
         total = real.sum()
         return self.langs[best], float(real[best] / total) if total > 0 else 1.0 / len(self.langs)
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n of rows (text, lang); a task adds up before it sends."""
+def distinct_ngrams(docs: DataFrame) -> DataFrame:
+    """lang and gram of rows (text, lang); each n-gram of a language once for each batch, not for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                x, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
         held: dict[str, list[np.ndarray]] = {}
         size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                x = np.sort(np.concatenate(parts))
+                x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array(x.view(np.int64))], ["lang", "gram"])
+
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 x = ngrams(letters_only(text.as_py()))
                 held.setdefault(lang, []).append(x)
                 size += len(x)
                 if size > 8_000_000:
-                    yield from flush(held)
+                    yield from flush()
                     held, size = {}, 0
-        yield from flush(held)
+        yield from flush()
 
-    return docs.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, gram bigint")
 
 
 def train(docs: DataFrame) -> Filters:
-    """From rows (text, lang) without nulls: at most 64 languages, and as many n-grams of each as SHARE lets in."""
-    from contestry.llm.common import written
-
-    counts = written(count_ngrams(docs), "lang-ngrams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
-    langs = sorted(totals)
-    if len(langs) > 64:
-        raise ValueError("a slot's mask has 64 bits: no more languages than that")
-    planes = np.zeros(1 << SLOT_BITS, np.uint64)
-    if not langs:
-        return Filters([], planes, np.zeros(0))
-    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))]), F.col("lang"))
-    # 1 / SHARE n-grams of a language at most.
-    frequent = counts.withColumn("share", share).filter(F.col("share") >= SHARE)
-    by_gram = frequent.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("own"))
-    kept = by_gram.select("gram", F.explode("own").alias("o"), "top").filter(F.col("o.share") * RATIO >= F.col("top")).select("o.lang", "gram")
-    bit = {k: np.uint64(1 << i) for i, k in enumerate(langs)}
-    for lang in langs:
-        grams = np.array([r["gram"] for r in kept.filter(F.col("lang") == lang).select("gram").collect()], np.int64).view(np.uint64)
-        for s in slots(grams):
-            planes[s] |= bit[lang]
-    fill = np.array([np.count_nonzero(planes & bit[k]) for k in langs]) / len(planes)
+    """From rows (text, lang) without nulls: all n-grams of every language."""
+    grams = written(distinct_ngrams(docs), "lang-ngrams")
+    sizes = grams.groupBy("lang").agg(F.approx_count_distinct("gram", 0.02).alias("n")).orderBy("lang").collect()  # a row for each language
+    langs = [r["lang"] for r in sizes]
+    bits = min(MOST_BITS, max(LEAST_BITS, (SLOTS_A_GRAM * max([r["n"] for r in sizes], default=1)).bit_length()))
+    planes = np.zeros((max(1, -(-len(langs) // A_PLANE)), 1 << bits), np.uint64)
+    number = {k: i for i, k in enumerate(langs)}
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(planes.shape, np.uint64)
+        for b in batches:
+            words = b.column(0).dictionary_encode()
+            at, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+            x = b.column(1).to_numpy().view(np.uint64)
+            for i, name in enumerate(names):
+                plane, bit = divmod(number[name], A_PLANE)
+                for s in slots(x[at == i], bits):
+                    own[plane, s] |= np.uint64(1 << bit)
+        for plane, row in enumerate(own):
+            for k, part in enumerate(row.reshape(-1, BLOCK)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([plane], pa.int32()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["plane", "block", "slots"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for plane, k, part in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                part = np.frombuffer(part, np.uint64)
+                whole[plane, k] = whole[plane, k] | part if (plane, k) in whole else part
+        for (plane, k), part in whole.items():
+            yield pa.RecordBatch.from_arrays([pa.array([plane], pa.int32()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["plane", "block", "slots"])
+
+    schema = "plane int, block int, slots binary"
+    parts = grams.coalesce(64).mapInArrow(set_bits, schema).repartition(16, "plane", "block").mapInArrow(join, schema)
+    for r in parts.toLocalIterator():  # the filters themselves: 2**MOST_BITS numbers for each plane at most
+        planes[r["plane"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["slots"], np.uint64)
+    fill = np.array([np.count_nonzero(planes[i // A_PLANE] & np.uint64(1 << i % A_PLANE)) for i in range(len(langs))]) / planes.shape[1]
     return Filters(langs, planes, fill**HASHES)
 
 

@@ -283,7 +283,7 @@ def edits(a, b):
     return min(row)
 
 
-def test_decontaminate(spark, docs, none):
+def test_decontaminate(spark, docs, none, monkeypatch):
     item = "a passage of some length that a benchmark asks about, with a few words more than forty"
     near = item.replace("some", "sone").replace("few", "fw")
     far = " ".join(reversed(item.split()))
@@ -294,6 +294,19 @@ def test_decontaminate(spark, docs, none):
     n = decontaminate.normal(item)
     want = {(i, 7): e for i, t in enumerate(texts) if (e := edits(n, decontaminate.normal(t))) <= decontaminate.budget(len(n))}
     assert got == want and set(want) == {(0, 7), (1, 7)}
+    # Short passages are found as whole words; a q-gram that many passages share is worked off in halves.
+    few = spark.createDataFrame([(0, "they came, SHORT of breath"), (1, "shorter shorts"), (2, "Short!"), (3, "ten bytes.")], "doc_id bigint, text string")
+    shorts = spark.createDataFrame([(9, "short"), (10, "ten bytes"), (11, "?")], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in decontaminate.leaks(few, shorts).collect()} == {(0, 9, 10, 15), (2, 9, 0, 5), (3, 10, 0, 9)}
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(few, shorts).orderBy("doc_id").collect()] == [0, 1]
+    monkeypatch.setattr(decontaminate, "MOST_HITS", 30)
+    many = bench.unionByName(spark.createDataFrame([(20 + i, item + f" and {i}") for i in range(9)], "item_id bigint, text string"))
+    alike = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(rows, many).collect()}
+    assert {k: e for k, e in alike.items() if k[1] == 7} == want
+    every = {(d, i): e for d, t in enumerate(texts) for i, x in [(7, item), *[(20 + i, item + f" and {i}") for i in range(9)]] if (e := edits(decontaminate.normal(x), decontaminate.normal(t))) <= decontaminate.budget(len(decontaminate.normal(x)))}
+    assert alike == every
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(rows, many).collect()} == every
     assert decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
@@ -348,20 +361,72 @@ def test_language(spark, none):
     assert language.identify(tests, empty).count() == 53
 
 
-def test_mixing(spark, docs, none):
-    counts = mixing.written(mixing.gather_counts(docs), "t")
-    model = mixing.train(counts.filter("kind = 1"))
-    got = by_id(mixing.score(docs, counts, model))
+@pytest.mark.parametrize("pack, text", [(8 << 20, 16 << 20), (3000, 5000)])
+def test_mixing(spark, docs, none, monkeypatch, pack, text):
+    monkeypatch.setattr(mixing, "PACK_BYTES", pack)
+    monkeypatch.setattr(mixing, "TEXT_A_BUCKET", text)
+    monkeypatch.setattr(mixing, "TEXT_A_WORD_BUCKET", text)
+    held = docs.withColumn("held_out", F.col("doc_id") % 7 == 3)
+    got = by_id(mixing.score(held))
     words = [(t or "").encode().lower().split() for t in TEXTS]
-    c = Counter(w for ws in words for w in [*ws, None])
+    c = Counter(w for d, ws in enumerate(words) if d % 7 != 3 for w in [*ws, None])
     n, v = sum(c.values()), len(c)
     for d, ws in enumerate(words):
         assert got[d]["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, None]))
-        assert got[d]["n_known"] == got[d]["n_tokens"] == len(ws) + 1
+        assert got[d]["n_known"] == sum(c[w] > 0 for w in [*ws, None])
+        assert (got[d]["n_tokens"], got[d]["train_tokens"], got[d]["held_out"]) == (len(ws) + 1, n, d % 7 == 3)
+    # The model by brute force: all texts in one bucket, each n-gram's worth looked up.
+    data = [b" ".join(w) + b"\0" for w in words]
+    keys = [mixing.events(x, np.array([len(x)])) for x in data]
+    kinds = np.unique(np.concatenate(keys))
+    seen = Counter(np.concatenate([k for d, k in enumerate(keys) if d % 7 != 3]).tolist())
+    n = np.array([seen[k] for k in kinds.tolist()])
+    short = Counter()
+    for k, x in zip(mixing.masked(kinds, mixing.SHORT).tolist(), n.tolist(), strict=True):
+        short[k] += x
+    model = mixing.untrained(np.array(sorted(short), np.uint64), np.array([short[k] for k in sorted(short)]))
+    if pack > 8 << 19:  # one bucket, as here
+        model = mixing.trained(model, mixing.learn(model, [(kinds, n)]))
+        worth = dict(zip(kinds.tolist(), model.log2p(kinds, n).tolist(), strict=True))
+        for d, k in enumerate(keys):
+            assert got[d]["score"] == pytest.approx(sum(worth[x] for x in k.tolist()) * np.log10(2), rel=1e-4)
     # The bytes' probabilities in one context sum to one.
-    key = np.arange(256, dtype=np.uint64) | np.uint64(int.from_bytes(b"runs t", "big") << 8)
-    assert np.exp2(model.log2p(key)).sum() == pytest.approx(1)
+    key = mixing.masked(np.arange(256, dtype=np.uint64) | np.uint64(int.from_bytes(b"t snur", "big") << 8), mixing.ORDER)
+    times = np.array([seen[k] for k in key.tolist()])
+    model.short = mixing.masked(key, mixing.SHORT)
+    model.short_levels = mixing.levels(model.short, np.array([short[k] for k in model.short.tolist()]))
+    assert np.exp2(model.log2p(key, times)).sum() == pytest.approx(1)
     assert sum(got[d]["score"] for d in got) > sum(-len(b" ".join(w)) * 8 * np.log10(2) for w in words)
-    nothing = mixing.written(mixing.gather_counts(none), "t")
-    flat = by_id(mixing.score(docs, nothing, mixing.train(nothing.filter("kind = 1"))))
-    assert flat[3]["n_known"] == 0 and np.isfinite(flat[3]["score"])
+    assert all(got[d]["bits_per_byte"] == pytest.approx(-got[d]["score"] / np.log10(2) / len(data[d])) for d in got)
+
+
+def test_mixing_without_training(spark, docs, none):
+    flat = by_id(mixing.score(docs.withColumn("held_out", F.lit(True))))
+    assert flat[3]["n_known"] == 0 and np.isfinite(flat[3]["score"]) and np.isfinite(flat[3]["base_score"])
+    assert flat[3]["train_tokens"] == 0
+    assert mixing.score(none.withColumn("held_out", F.lit(True))).count() == 0
+    again = docs.filter("doc_id = 5").unionByName(docs).unionByName(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("bigint")))
+    rows = mixing.score(again.withColumn("held_out", F.col("doc_id") % 2 == 0).fillna(False, ["held_out"])).collect()
+    assert len(rows) == len(TEXTS) + 2
+    assert len({r["score"] for r in rows if r["doc_id"] in (5, None)}) == 1
+
+
+def test_masks_hold_every_language_of_an_ngram(spark):
+    words = {"l%02d" % i: [f"{chr(97 + i % 26)}{w}{chr(97 + i // 26)}" for w in ("abc", "xyzz", "éa", "mnop")] for i in range(70)}
+    rows = [(" ".join(R.choice(w, 30)), lang) for lang, w in words.items() for _ in range(3)] + [("shared words everywhere", lang) for lang in words]
+    filters = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert filters.langs == sorted(words) and filters.planes.shape[0] == 2
+    own = {}
+    for text, lang in rows:
+        own.setdefault(lang, set()).update(language.ngrams(language.letters_only(text)).tolist())
+    for i, lang in enumerate(filters.langs):  # every n-gram's mask has its language's bit
+        x = np.array(sorted(own[lang]), np.uint64)
+        assert filters.hits(x)[i] == len(x)
+    shared = language.ngrams(language.letters_only("shared words everywhere"))
+    assert (filters.hits(shared) == len(shared)).all()
+    for text, lang in rows[:30]:
+        x = language.ngrams(language.letters_only(text))
+        true = np.array([sum(g in own[k] for g in x.tolist()) for k in filters.langs])
+        assert (filters.hits(x) >= true).all()
+        assert filters.predict(text)[0] == filters.langs[int(np.argmax(true))] == lang
+
