@@ -38,11 +38,13 @@ GATES = (len(CONTEXTS) + 1) * 4
 BUCKETS, REACH = 33, 8.0
 LEARNED = GATES * (INPUTS * (INPUTS + 1) + 2 * BUCKETS)
 #: Bytes of text in a pack, and for which there is one bucket of n-grams or of words.
-PACK_BYTES, TEXT_A_BUCKET, TEXT_A_WORD_BUCKET = 8 << 20, 16 << 20, 64 << 20
+PACK_BYTES, TEXT_A_BUCKET, TEXT_A_WORD_BUCKET = 8 << 20, 8 << 20, 64 << 20
+#: Bytes of a pack whose n-grams are sorted at once, and the steps in which log2 probabilities return to packs.
+CHUNK_BYTES, STEP = 1 << 20, 512
 #: N-grams that are worked on at once; a context's n-grams stay together.
 AT_ONCE = 16_384
 
-PACKS = "pack bigint, ids array<bigint>, held array<boolean>, sizes array<int>, data binary"
+PACKS = "pack bigint, bytes bigint, ids array<bigint>, held array<boolean>, sizes array<int>, data binary"
 
 
 def normal(text: str | None) -> bytes:
@@ -56,8 +58,8 @@ def packed(docs: DataFrame) -> DataFrame:
         ids, held, parts, size = [], [], [], 0
 
         def pack() -> pa.RecordBatch:
-            cells = [uuid.uuid4().int >> 65, ids, held, list(map(len, parts)), b"".join(parts)]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+            cells = [uuid.uuid4().int >> 65, size, ids, held, list(map(len, parts)), b"".join(parts)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names(PACKS))
 
         for b in batches:
@@ -94,6 +96,24 @@ def events(data: bytes, sizes: np.ndarray) -> np.ndarray:
     return key
 
 
+def chunks(data: bytes, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The events of a pack's texts, some texts at a time."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        first = int(ends[start] - sizes[start])
+        stop = max(start + 1, int(np.searchsorted(ends, first + CHUNK_BYTES)))
+        yield slice(start, stop), events(data[first : int(ends[stop - 1])], sizes[start:stop])
+        start = stop
+
+
+def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the sums of their numbers."""
+    order = np.argsort(key)
+    cut = edges(key[order])
+    return key[order][cut[:-1]], np.add.reduceat(n[order], cut[:-1]) if len(key) else n
+
+
 def masked(key: np.ndarray, n: int) -> np.ndarray:
     """The last n bytes of context, and the byte."""
     return (key & np.uint64(((1 << 8 * n) - 1) << 8 * (ORDER - n + 1))) | (key & np.uint64(255))
@@ -138,11 +158,13 @@ def counted(packs: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
             for pack, held, sizes, data in zip(*[b.column(x).to_pylist() for x in ("pack", "held", "sizes", "data")], strict=True):
                 sizes, held = np.array(sizes), np.array(held)
                 rows = []
-                key = np.sort((events(data, sizes) << np.uint64(1)) | np.repeat(held, sizes).astype(np.uint64))
-                cut = edges(key >> np.uint64(1))
-                trained = np.concatenate([[0], np.cumsum(1 - (key & np.uint64(1)).astype(np.int64))])
-                n = np.diff(trained[cut])
-                key = key[cut[:-1]] >> np.uint64(1)
+                parts = []
+                for texts, key in chunks(data, sizes):
+                    key = np.sort((key << np.uint64(1)) | np.repeat(held[texts], sizes[texts]).astype(np.uint64))
+                    cut = edges(key >> np.uint64(1))
+                    in_training = np.concatenate([[0], np.cumsum(1 - (key & np.uint64(1)).astype(np.int64))])
+                    parts.append((key[cut[:-1]] >> np.uint64(1), np.diff(in_training[cut])))
+                key, n = added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 rows += by(context_bucket(key, buckets), key, n)
                 h, at, counts = words_of(data, sizes)
                 rows += [(-1 - g, k, c) for g, k, c in by((h % np.uint64(word_buckets)).astype(np.int64), h, np.bincount(at[~np.repeat(held, counts)], minlength=len(h)))]
@@ -328,14 +350,15 @@ def train(rows: DataFrame) -> Model:
 
 
 def answers(rows: DataFrame, model: Model) -> DataFrame:
-    """pack, bucket and worth: what the pack's keys in the bucket are worth (n-grams: log2 probabilities; words: counts)."""
+    """pack, bucket and worth: what the pack's keys in the bucket are worth (n-grams: bits in steps of 1 / STEP, 16 bits a key;
+    words: counts)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, keys, n, packs, steps in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 n = unplanes(n, np.int64)
-                worth = n if bucket < 0 else shared.value.log2p(unplanes(keys, np.uint64), n).astype(np.float32)
+                worth = n if bucket < 0 else np.minimum(np.rint(-STEP * shared.value.log2p(unplanes(keys, np.uint64), n)), 65_535).astype(np.uint16)
                 for pack, s in zip(packs, steps, strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([bucket], pa.int32()), pa.array([planes(worth[np.cumsum(unplanes(s, np.uint32).astype(np.int64))])], pa.binary())], ["pack", "bucket", "worth"])
 
@@ -350,7 +373,7 @@ def score(docs: DataFrame) -> DataFrame:
     told apart by 64-bit hashes.
     """
     packs = written(packed(docs), "lm-packs")
-    total = packs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets, word_buckets = max(1, -(-total // TEXT_A_BUCKET)), max(1, -(-total // TEXT_A_WORD_BUCKET))
     rows = written(counted(packs, buckets, word_buckets), "lm-counts")
     model = train(rows)
@@ -372,17 +395,19 @@ def score(docs: DataFrame) -> DataFrame:
         def scored() -> pa.RecordBatch:
             ids, held, sizes, data = text
             sizes = np.array(sizes)
-            key = events(data, sizes)
-            order = np.argsort(key)
-            cut = edges(key[order])
-            kinds = key[order][cut[:-1]]
-            each = np.empty(len(kinds), np.float32)
+            parts = []
+            for _, key in chunks(data, sizes):
+                order = np.argsort(key)
+                cut = edges(key[order])
+                place = np.empty(len(key), np.uint32)
+                place[order] = np.repeat(np.arange(len(cut) - 1, dtype=np.uint32), np.diff(cut))
+                parts.append((key[order][cut[:-1]], place))
+            kinds = added(np.concatenate([k for k, _ in parts]), np.zeros(sum(len(k) for k, _ in parts), np.int8))[0]
+            each = np.empty(len(kinds))
             to = np.argsort(context_bucket(kinds, buckets), kind="stable")
-            each[to] = np.concatenate([unplanes(worth[g], np.float32) for g in sorted(g for g in worth if g >= 0)])
-            bits = np.empty(len(key), np.float32)
-            bits[order] = np.repeat(each, np.diff(cut))
-            starts = np.cumsum(sizes) - sizes
-            bits = -np.add.reduceat(bits.astype(np.float64), starts)
+            each[to] = np.concatenate([unplanes(worth[g], np.uint16) for g in sorted(g for g in worth if g >= 0)])
+            bits = np.concatenate([each[np.searchsorted(kinds, k)][place] for k, place in parts]) / STEP
+            bits = np.add.reduceat(bits, np.cumsum(sizes) - sizes)
             h, at, counts = words_of(data, sizes)
             c = np.empty(len(h), np.int64)
             to = np.argsort((h % np.uint64(word_buckets)).astype(np.int64), kind="stable")
@@ -408,6 +433,7 @@ def score(docs: DataFrame) -> DataFrame:
                     worth[bucket] = data
         if text:
             yield scored()
+        pa.default_memory_pool().release_unused()
 
     told = answers(rows, model).select("pack", "bucket", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("held", "array<boolean>"), ("sizes", "array<int>"))], F.col("worth").alias("data"))
     both = packs.select("pack", F.lit(None).cast("int").alias("bucket"), "ids", "held", "sizes", "data").unionByName(told)
