@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
-#: Rows of long texts that pass to Python at once.
-ROWS_AT_ONCE = 1000
+#: Rows, and bytes of rows, that pass to Python at once; a row may be a very long text.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold no more than ROWS_AT_ONCE rows, as a row may be a very long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
-        spark.conf.set(key, str(ROWS_AT_ONCE))
+    """Let Arrow batches of this session hold no more than ROWS_AT_ONCE rows and BYTES_AT_ONCE bytes, or one row."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
