@@ -265,8 +265,8 @@ def merge_children(spark, d):
     CASE c_custkey % 2 WHEN 0 THEN substr(lower(n_name), 1, 4) ELSE lower(n_name) END || ' ' || lower(c_mktsegment) b FROM customer JOIN nation ON n_nationkey = c_nationkey),
   t AS (SELECT *, string_split(a, ' ') x, string_split(b, ' ') y FROM n)
   SELECT c_custkey, (len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 OR len(list_filter(y, lambda v: NOT list_contains(x, v))) = 0)
-      AND len(list_distinct(list_filter(x, lambda v: list_contains(y, v) AND v NOT IN ('da','de','del','do','dos','el','jr','la','van','von')))) >= 2 is_subset,
-    len(x) = len(y) AND len(x) >= 2 AND x[2:] = y[2:] AND (starts_with(x[1], y[1]) OR starts_with(y[1], x[1])) AND least(length(x[1]), length(y[1])) >= 4 is_diminutive FROM t""")
+      AND len(list_distinct(list_filter(x, lambda v: list_contains(y, v) AND length(v) >= 2 AND v NOT IN ('al','da','das','de','del','der','di','do','dos','du','el','ii','iii','jr','la','le','los','sr','st','van','von')))) >= 2 is_subset,
+    len(x) = len(y) AND len(x) >= 2 AND x[2:] = y[2:] AND x[1] <> y[1] AND (starts_with(x[1], y[1]) OR starts_with(y[1], x[1])) AND least(length(x[1]), length(y[1])) >= 4 is_diminutive FROM t""")
 def name_matches(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
@@ -299,7 +299,7 @@ def accents_stripped(spark, d):
 @query("""WITH t AS (SELECT o_orderkey k, o_orderkey % 301 s, o_custkey % 301 l, 1 + o_custkey % 5 r, o_orderpriority = '3-MEDIUM' decision FROM orders)
   SELECT k o_orderkey, (r - 1) * 300 + s duration, (r - 1) * 300 + 300 - l axis, CASE WHEN decision THEN 300 WHEN abs(300 - s - l) <= abs(s - l) THEN s ELSE 300 - s END end_s FROM t""")
 def clocks(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 301).alias("s"), (F.col("o_custkey") % 301).alias("l"), (1 + F.col("o_custkey") % 5).alias("r"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "U-DEC").otherwise("Other").alias("m"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 301).alias("s"), (F.col("o_custkey") % 301).alias("l"), (1 + F.col("o_custkey") % 5).alias("r"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "Decision - Unanimous").otherwise("U-DEC").alias("m"))
     clock = lambda c: F.format_string("%d:%02d", F.floor(F.col(c) / 60), F.col(c) % 60)
     return o.select("o_orderkey", sc.duration_seconds(F.col("r"), clock("s")).alias("duration"), sc.sample_axis(F.col("r"), F.col("l")).alias("axis"), sc.end_seconds(clock("s"), F.col("m"), clock("l")).cast("bigint").alias("end_s"))
 
