@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm.common import table
+from contestry.llm.common import give_back, table
 
 #: Fixed: how byte-level BPE files cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,7 +270,7 @@ class Encoder:
         """At a task's end, so that a reused worker holds no more than one task's words."""
         self.words.clear()
         self.parts.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def cut(self, words: list[str]) -> list[list[str]]:
         """The pieces of each word; special tokens stand for themselves."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,12 @@ def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; rows with a null id go to fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string")) % n, F.lit(0))
+
+
+def give_back() -> None:
+    """Return memory that a worker holds but doesn't use to the system: workers live on when a task ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm.common import fold, table, written
+from contestry.llm.common import fold, give_back, table, written
 from contestry.llm.positions import by_bucket, dealt, edges, mix
 
 #: Bytes of the longest context; of the contexts mixed, by how much they tell; and of the one that buckets go by.
@@ -38,7 +38,7 @@ GATES = (len(CONTEXTS) + 1) * 4
 BUCKETS, REACH = 33, 8.0
 LEARNED = GATES * (INPUTS * (INPUTS + 1) + 2 * BUCKETS)
 #: Bytes of text in a pack, and for which there is one bucket of n-grams or of words.
-PACK_BYTES, TEXT_A_BUCKET, TEXT_A_WORD_BUCKET = 8 << 20, 8 << 20, 64 << 20
+PACK_BYTES, TEXT_A_BUCKET, TEXT_A_WORD_BUCKET = 6 << 20, 8 << 20, 64 << 20
 #: Bytes of a pack whose n-grams are sorted at once, and the steps in which log2 probabilities return to packs.
 CHUNK_BYTES, STEP = 1 << 20, 512
 #: N-grams that are worked on at once; a context's n-grams stay together.
@@ -169,6 +169,7 @@ def counted(packs: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
                 h, at, counts = words_of(data, sizes)
                 rows += [(-1 - g, k, c) for g, k, c in by((h % np.uint64(word_buckets)).astype(np.int64), h, np.bincount(at[~np.repeat(held, counts)], minlength=len(h)))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]], ["bucket", "pack", "keys", "n"])
+                give_back()
 
     def by(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes]]:
         order = np.argsort(bucket, kind="stable")
@@ -392,22 +393,22 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, worth = None, {}
 
-        def scored() -> pa.RecordBatch:
-            ids, held, sizes, data = text
+        def scored(ids: list, held: list, sizes: list, data: bytes) -> pa.RecordBatch:
             sizes = np.array(sizes)
             parts = []
-            for _, key in chunks(data, sizes):
+            for own, key in chunks(data, sizes):
                 order = np.argsort(key)
                 cut = edges(key[order])
                 place = np.empty(len(key), np.uint32)
                 place[order] = np.repeat(np.arange(len(cut) - 1, dtype=np.uint32), np.diff(cut))
-                parts.append((key[order][cut[:-1]], place))
-            kinds = added(np.concatenate([k for k, _ in parts]), np.zeros(sum(len(k) for k, _ in parts), np.int8))[0]
+                parts.append((own, key[order][cut[:-1]], place))
+            kinds = np.sort(np.concatenate([k for _, k, _ in parts]))
+            kinds = kinds[edges(kinds)[:-1]]
             each = np.empty(len(kinds))
             to = np.argsort(context_bucket(kinds, buckets), kind="stable")
             each[to] = np.concatenate([unplanes(worth[g], np.uint16) for g in sorted(g for g in worth if g >= 0)])
-            bits = np.concatenate([each[np.searchsorted(kinds, k)][place] for k, place in parts]) / STEP
-            bits = np.add.reduceat(bits, np.cumsum(sizes) - sizes)
+            bits = np.concatenate([np.add.reduceat(each[np.searchsorted(kinds, k)][place], np.cumsum(sizes[own]) - sizes[own]) for own, k, place in parts]) / STEP
+            del parts, kinds, each, to
             h, at, counts = words_of(data, sizes)
             c = np.empty(len(h), np.int64)
             to = np.argsort((h % np.uint64(word_buckets)).astype(np.int64), kind="stable")
@@ -418,6 +419,7 @@ def score(docs: DataFrame) -> DataFrame:
             known = np.bincount(of, (c > 0)[at], len(sizes)).astype(np.int64) + (ends > 0)
             k = len(sizes)
             cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(counts + 1), pa.array(known), pa.array(np.full(k, n_all, np.int64)), pa.array(base), pa.array(bits * -math.log10(2)), pa.array(bits / sizes)]
+            give_back()
             return pa.RecordBatch.from_arrays(cols, names(SCORES))
 
         pack = None
@@ -425,15 +427,15 @@ def score(docs: DataFrame) -> DataFrame:
             for p, bucket, ids, held, sizes, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if p != pack:
                     if text:
-                        yield scored()
+                        yield scored(*text)
                     pack, text, worth = p, None, {}
                 if ids is not None:
                     text = (ids, held, sizes, data)
                 else:
                     worth[bucket] = data
         if text:
-            yield scored()
-        pa.default_memory_pool().release_unused()
+            yield scored(*text)
+        give_back()
 
     told = answers(rows, model).select("pack", "bucket", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("held", "array<boolean>"), ("sizes", "array<int>"))], F.col("worth").alias("data"))
     both = packs.select("pack", F.lit(None).cast("int").alias("bucket"), "ids", "held", "sizes", "data").unionByName(told)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.llm.bpe import in_batches
-from contestry.llm.common import table
+from contestry.llm.common import give_back, table
 from contestry.llm.positions import ASKED, BACK, back, by_bucket, covered, dealt, edges, gathered, joined, n_buckets, place, unplace, window_hashes, with_key
 
 WINDOW = 35
@@ -139,7 +139,7 @@ def repeated_positions(rows: DataFrame, pick: Picker, buckets: int, name: str) -
                     held, docs, count, size = [], [], 0, 0
         if held:
             yield from flush()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A bucket's hashes meet, and those seen twice return to their documents."""

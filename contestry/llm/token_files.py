@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestry.llm.bpe import PIECES, Vocabulary, default_path, escaped, in_batches, placed, vocabulary, words_in
-from contestry.llm.common import shared_dir, table, written
+from contestry.llm.common import give_back, shared_dir, table, written
 
 LANES, BLOCK = 32, 16_384
 #: The table's frequencies sum to 2**SCALE; states lie in [LOW, LOW * 2**32).
@@ -175,7 +175,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((np.diff(edges) // size).astype(np.int32)), cells, *[pa.nulls(b.num_rows, x.type) for x in none]], names(RAW))
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([met.astype(np.int32)]), pa.array([total[met]])], names(RAW))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RAW)
 
