@@ -56,9 +56,9 @@ FEATURES = ("n_prior", "win_streak", "wins_last_5", "days_since", "accuracy", "d
 
 def pair_features(bouts: DataFrame) -> DataFrame:
     """Red minus blue for each feature, the target, and the first reason that excludes the bout (NULL: it stays)."""
-    s = summaries(bouts)
-    red, blue = (s.filter(F.col("side") == x).select("bout_id", *([] if x == "blue" else ["event_date", "result"]), *[F.col(c).alias(f"{x}_{c}") for c in FEATURES]) for x in ("red", "blue"))
-    pair = red.join(blue, "bout_id")
+    cells = F.struct("result", *FEATURES)
+    sides = summaries(bouts).groupBy("bout_id", "event_date").agg(*[F.max(F.when(F.col("side") == x, cells)).alias(x) for x in ("red", "blue")])
+    pair = sides.select("bout_id", "event_date", "red.result", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("red", "blue") for c in FEATURES])
     missing = [F.col(f"{x}_{c}").isNull() for x in ("red", "blue") for c in FEATURES[4:]]
     gone = missing[0]
     for m in missing[1:]:
@@ -70,20 +70,6 @@ def pair_features(bouts: DataFrame) -> DataFrame:
     )
 
 
-def latest_snapshot(anchors: DataFrame, snapshots: DataFrame, strict_division: bool = False) -> DataFrame:
-    """anchors (fighter_id, division, anchor_date) with the rank of the latest earlier snapshot.
-
-    A snapshot of the anchor's division goes before any other, however old; then the latest date, then the best rank.
-    strict_division: compare divisions as they are written; else spaces and underscores are the same.
-    """
-    plain = (lambda c: F.lower(c)) if strict_division else (lambda c: F.regexp_replace(F.lower(c), " ", "_"))
-    s = snapshots.select("fighter_id", F.col("division").alias("s_division"), "snapshot_date", "rank_position")
-    hit = anchors.join(s, (anchors.fighter_id == s.fighter_id) & (s.snapshot_date < anchors.anchor_date), "left").drop(s.fighter_id)
-    match = F.coalesce(plain(F.col("s_division")) == plain(F.col("division")), F.lit(False))
-    key = F.when(F.col("snapshot_date").isNotNull(), F.struct(match.alias("m"), F.col("snapshot_date"), -F.col("rank_position")))
-    return hit.groupBy(*anchors.columns).agg(F.max_by("rank_position", key).alias("ranking_position"))
-
-
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with at_, their place from 1 in the total order: a count for each value of its first column, then places within one."""
     first = order[0]

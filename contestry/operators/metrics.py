@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,60 @@ def segment_metrics(rows: DataFrame, by: str) -> DataFrame:
     )
 
 
+def bin_of(p: Column, bins: int) -> Column:
+    """The equal bin [a, b) of p, the last one closed, by comparison with the same doubles that split 0 to 1 into bins."""
+    edges = [i * (1.0 / bins) for i in range(1, bins)]
+    return sum((F.when(p >= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+
 def calibration_table(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Equal bins [a, b) of p, empty ones too."""
     spark = rows.sparkSession
-    got = rows.groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("observed"))
+    got = rows.groupBy(bin_of(F.col("p"), bins).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("observed"))
     return spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").na.fill(0, ["n"])
 
 
+def log_loss(p: Column, y: Column) -> Column:
+    """Of one row; p is kept off 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+    return -F.when(y == 1, F.ln(q)).otherwise(F.ln(1 - q))
+
+
+def binary_metrics(rows: DataFrame) -> DataFrame:
+    """One row: n, accuracy, brier, log_loss, the confusion counts, precision, recall and f1 at 0.5 (NULL: nothing to divide by)."""
+    hit = (F.col("p") >= 0.5).cast("int")
+    counts = {k: F.count_if((hit == a) & (F.col("y") == b)) for k, a, b in (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))}
+    got = rows.agg(F.count("*").alias("n"), *[c.alias(k) for k, c in counts.items()], F.avg((F.col("p") - F.col("y")) ** 2).alias("b"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("l"))
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return got.select("n", "tp", "fp", "fn", "tn", F.round(share(tp + F.col("tn"), F.col("n")), 6).alias("accuracy"), F.round("b", 6).alias("brier"), F.round("l", 6).alias("log_loss"),
+        F.round(share(tp, tp + fp), 6).alias("precision"), F.round(share(tp, tp + fn), 6).alias("recall"), F.round(share(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))
+
+
+def multiclass_metrics(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """class, n, hits, log_loss (of the class's own rows) and auc (one against the rest) of rows with y (a class's number) and a
+    probability p_<class> each. The first of the highest probabilities is the prediction."""
+    p = F.array(*[F.col(f"p_{c}") for c in classes])
+    guess = F.array_position(p, F.array_max(p)).cast("int") - 1
+    each = rows.select("y", guess.alias("g"), *[f"p_{c}" for c in classes])
+    out = None
+    for i, c in enumerate(classes):
+        own = each.filter(F.col("y") == i).agg(F.lit(c).alias("class"), F.count("*").alias("n"), F.count_if(F.col("g") == i).alias("hits"), F.round(F.avg(log_loss(F.col(f"p_{c}"), F.lit(1))), 6).alias("log_loss"))
+        against = auc(each.select(F.col(f"p_{c}").alias("p"), (F.col("y") == i).cast("int").alias("y"))).select("auc")
+        one = own.crossJoin(against)  # one row by one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def baselines(train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: the majority class of train's y (ties: the smaller), its accuracy on test, the Brier score of a constant half and
+    the log-loss of train's rate of ones as a constant."""
+    t = train.agg(F.mode("y", True).alias("majority"), F.avg("y").alias("rate"))
+    hit = (F.col("y") == F.col("majority")).cast("int")
+    return test.select("y").crossJoin(F.broadcast(t)).groupBy("majority").agg(  # t is one row
+        F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg((F.lit(0.5) - F.col("y")) ** 2), 6).alias("brier_half"), F.round(F.avg(log_loss(F.col("rate"), F.col("y"))), 6).alias("prior_log_loss"))
+
+
 def below(ties: DataFrame, buckets: int = 256) -> DataFrame:
     """ties (distinct p, n) with below, the sum of n of smaller p: ranks within ranges of p, plus the sums of the ranges before."""
     edges = sorted(set(ties.approxQuantile("p", [k / buckets for k in range(1, buckets)], 0.1 / buckets)))

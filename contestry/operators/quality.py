@@ -40,3 +40,8 @@ def phantom_pairs(bouts: DataFrame, event: str) -> DataFrame:
     """event, a, b, n and keeper of pairs that meet twice or more at one event, whichever side each is on."""
     a, b = F.least("red_fighter_id", "blue_fighter_id").alias("a"), F.greatest("red_fighter_id", "blue_fighter_id").alias("b")
     return bouts.groupBy(event, a, b).agg(F.count("*").alias("n"), F.min("bout_id").alias("keeper")).filter("n > 1")
+
+
+def duplicate_names(rows: DataFrame, key: str, entity: str, told_apart_by: str) -> DataFrame:
+    """key, n, keeper (smallest id), homonyms (two values of told_apart_by) and ids in order of keys that occur twice or more."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(entity).alias("keeper"), (F.countDistinct(told_apart_by) > 1).alias("homonyms"), F.sort_array(F.collect_list(entity)).alias("ids")).filter("n > 1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contestry.functions import names
 from contestry.functions import scalar as sc
 from contestry.functions import text
-from contestry.operators import entity, history, merge, metrics, models, quality, series
+from contestry.operators import career, entity, history, merge, metrics, models, quality, series
 from contestry.sources import documents
 from contestry.sources.proxy import bouts, sides, table
 from contestry.streaming import changes
@@ -119,7 +119,7 @@ def ranking_as_of(spark, d):
     rank = F.row_number().over(Window.partitionBy("snapshot_date", "division").orderBy(F.desc("cents"), "fighter_id"))
     snaps = cents.join(home, "fighter_id").withColumn("rank_position", rank.cast("bigint"))
     anchors = bouts(spark, d).join(F.broadcast(nation), F.col("red_fighter_id") % 25 == F.col("n_nationkey")).select(F.col("red_fighter_id").alias("fighter_id"), F.col("n_name").alias("division"), F.col("event_date").alias("anchor_date")).distinct()
-    return history.latest_snapshot(anchors, snaps)
+    return career.latest_rank(anchors, snaps).withColumnRenamed("ranking", "ranking_position")
 
 
 @query(f"""WITH {BOUTS_SQL} SELECT bout_id, method, CASE WHEN lower(method) LIKE '%ko%' THEN 'KO' WHEN lower(method) LIKE 'sub%' THEN 'SUB' WHEN lower(method) LIKE '%-dec%' THEN 'DEC' END method_class FROM bouts""")
@@ -150,7 +150,7 @@ def segment_metrics(spark, d):
     return metrics.segment_metrics(scored(spark, d), "lang")
 
 
-@query(f"WITH {SCORED_SQL} SELECT CAST(b.i AS INTEGER) bin, count(p) n, round(avg(p), 6) mean_p, round(avg(y), 6) observed FROM range(10) b(i) LEFT JOIN scored ON least(floor(p * 10), 9) = b.i GROUP BY b.i")
+@query(f"WITH {SCORED_SQL} SELECT CAST(b.i AS INTEGER) bin, count(p) n, round(avg(p), 6) mean_p, round(avg(y), 6) observed FROM range(10) b(i) LEFT JOIN scored ON len(list_filter([0.1, 0.2, 0.1 * 3::DOUBLE, 0.4, 0.5, 0.1::DOUBLE * 6, 0.1::DOUBLE * 7, 0.8, 0.9]::DOUBLE[], lambda e: p >= e)) = b.i GROUP BY b.i")
 def calibration_table(spark, d):
     return metrics.calibration_table(scored(spark, d))
 
@@ -185,14 +185,15 @@ def completeness(spark, d):
     return full.groupBy(F.col("l_orderkey").alias("bout_id")).agg(F.count("*").alias("done"))
 
 
-@query("""WITH c AS (SELECT c_custkey id, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name, c_nationkey % 5 AS b FROM customer), g AS (SELECT substr(name, 1, 16) AS key, count(*) n, count(DISTINCT b) births, min(id) keeper FROM c GROUP BY ALL)
-  SELECT key, n, keeper, births > 1 homonyms FROM g WHERE n > 1""")
+@query("""WITH c AS (SELECT e.event_id id, trim(regexp_replace(lower(event_type || ' / ' || c_name), '[^a-z0-9]+', ' ', 'g')) AS key, e.user_id % 5 AS b FROM events e JOIN customer ON c_custkey = user_id)
+  SELECT key, count(*) n, min(id) keeper, count(DISTINCT b) > 1 homonyms, array_to_string(list_sort(list(id)), ',') ids FROM c GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_names(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.substring(sc.alnum_name(F.col("c_name")), 1, 16).alias("key"), (F.col("c_nationkey") % 5).alias("b"))
-    return c.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("keeper"), (F.countDistinct("b") > 1).alias("homonyms")).filter("n > 1")
+    e = table(spark, d, "events").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("user_id"))
+    c = e.select(F.col("event_id").alias("id"), sc.alnum_name(F.concat_ws(" / ", "event_type", "c_name")).alias("key"), (F.col("user_id") % 5).alias("b"))
+    return quality.duplicate_names(c, "key", "id", "b").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-same_sql("not_in_null_aware", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey > 0 THEN o_custkey END FROM orders)")
+same_sql("not_in_null_aware", "customer orders", "SELECT 'with null' AS list, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_orderkey % 50 = 0 OR o_custkey = 1) UNION ALL SELECT 'without' AS list, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
 same_sql("orphans", "lineitem orders", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 same_sql("unique_names", "customer", "SELECT c_custkey, c_name FROM (SELECT *, count(*) OVER (PARTITION BY lower(c_name)) n FROM customer) x WHERE n = 1")
 same_sql("main_line_done", "lineitem", "SELECT l_orderkey, min(l_linenumber) AS main_line, min(lpad(CAST(l_linenumber AS STRING), 9, '0') || l_returnflag) AS flag FROM lineitem WHERE l_linestatus <> 'F' GROUP BY l_orderkey")

@@ -22,14 +22,15 @@ def scoreboard(docs: DataFrame, text: str) -> DataFrame:
 
 
 def statistics(text: Column, sums: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """name -> value over all categories, the last of a name staying; sums adds names whose value is the sum of others."""
+    """name -> whole number over all categories, the last of a name staying; sums adds names whose value is the sum of those
+    known of others. NULL where nothing is usable."""
     stats = F.filter(F.flatten(F.transform(F.from_json(text, STATISTICS)["splits"]["categories"], lambda c: c["stats"])), lambda s: s["name"].isNotNull() & s["value"].isNotNull())
-    whole = F.aggregate(stats, F.create_map().cast("map<string,double>"), lambda m, s: F.map_concat(F.map_filter(m, lambda k, v: k != s["name"]), F.create_map(s["name"], s["value"])))
+    whole = F.aggregate(stats, F.create_map().cast("map<string,double>"), lambda m, s: F.map_concat(F.map_filter(m, lambda k, v: k != s["name"]), F.create_map(s["name"], F.rint(s["value"]))))
     for name, parts in (sums or {}).items():
         known = F.filter(F.array(*[F.try_element_at(whole, F.lit(p)) for p in parts]), lambda v: v.isNotNull())
         total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v))
         whole = F.when(total.isNull(), whole).otherwise(F.map_concat(whole, F.create_map(F.lit(name), total)))
-    return whole
+    return F.when(F.cardinality(whole) > 0, whole)
 
 
 def unreadable(docs: DataFrame, text: str, schema: str = SCOREBOARD) -> DataFrame:
