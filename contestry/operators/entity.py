@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.functions.text import fold_name, similarity
+from contestry.functions.names import corner_of
+from contestry.functions.scalar import event_tokens
+from contestry.functions.text import casefold_name, fold_name, similarity, strip_accents
+from contestry.operators.lookups import plain_key
 
 
 def unambiguous_index(entities: DataFrame, key: str, entity: str) -> DataFrame:
@@ -15,16 +18,17 @@ def unambiguous_index(entities: DataFrame, key: str, entity: str) -> DataFrame:
 
 
 def best_unambiguous(candidates: DataFrame, key: str, entity: str, score: str, least: float, margin: float) -> DataFrame:
-    """For each key the entity of the best score, if that is at least `least` and every other entity is `margin` or more below.
+    """For each key the entity of the best score, if that is at least `least` and no other entity that reaches `least` itself is
+    nearer to it than `margin`.
 
     Two aggregations: the best score of each pair, then the two best entities of each key as a fold over one struct, so no
     key's candidates are ever gathered or sorted in one task.
     """
-    pairs = candidates.groupBy(key, entity).agg(F.max(score).alias(score))
+    pairs = candidates.groupBy(key, entity).agg(F.max(score).alias(score)).filter(F.col(score) >= least)
     best = pairs.groupBy(key).agg(F.max(F.struct(F.col(score).alias("s"), F.col(entity).alias("e"))).alias("top_"))
     rest = pairs.join(best, key).filter(F.col(entity) != F.col("top_.e")).groupBy(key).agg(F.max(score).alias("next_"))
     clear = F.col("next_").isNull() | (F.col("top_.s") - F.col("next_") >= margin)
-    return best.filter(F.col("top_.s") >= least).join(rest, key, "left").filter(clear).select(key, F.col("top_.e").alias(entity), F.col("top_.s").alias(score))
+    return best.join(rest, key, "left").filter(clear).select(key, F.col("top_.e").alias(entity), F.col("top_.s").alias(score))
 
 
 def keepers(entities: DataFrame, key: str, entity: str, rank: list[Column], told_apart_by: list[str]) -> DataFrame:
@@ -51,21 +55,169 @@ def repoint(children: DataFrame, entity: str, merged: DataFrame, unique: list[st
     return at.groupBy(*unique).agg(F.min(F.struct("moved_", *order, *[c for c in children.columns if c not in order])).alias("row_")).select(*[F.col(f"row_.{c}").alias(c) for c in children.columns])
 
 
-def tiered_match(names: DataFrame, entities: DataFrame, name: str, entity: str, least: float = 0.92) -> DataFrame:
-    """name, entity and tier of names found by exact form, else by folded form, else by similarity of least or more.
+def bigrams(text: Column) -> Column:
+    """Pairs of neighbouring letters, each with its number among equal ones, so that sets of them count repeats."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2))
+    return F.transform(each, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(each, 1, i), lambda h: h == g)).cast("string")))
 
-    Each tier takes what the one before left. Keys of two entities match nobody. The last tier compares only names of one
-    first word and number of words (an equi-join, no cross join), and takes the best if it is the only best.
+
+def similar_candidates(asked: DataFrame, known: DataFrame, text: str, other: str, least: float) -> DataFrame:
+    """Pairs of asked and known whose similarity can reach least: every such pair is among them.
+
+    With a similarity of s over lengths a and b, (1 - s) * (a + b) letters don't match, so the matching blocks hold all but
+    twice as many neighbouring pairs less one: of its rarest pairs a text must show one to its partner (an equi-join on rare
+    pairs; frequent ones aren't joined).
+    """
+    own = asked.select(text).distinct().select(F.col(text).alias("t_"))
+    grams = own.unionByName(known.select(F.col(other).alias("t_")).distinct()).distinct().select("t_", F.explode(bigrams(F.col("t_"))).alias("g_"))
+    common = grams.groupBy("g_").agg(F.count("*").alias("f_"))
+    ranked = grams.join(common, "g_").groupBy("t_").agg(F.sort_array(F.collect_list(F.struct("f_", "g_"))).alias("all_"))  # as many as the text has letters
+    n = F.length("t_")
+    shortest = least / (2 - least)  # of two similar texts the shorter has this share of the longer one's length at least
+    shared = F.floor((least / 2 - (1 - least)) * (1 + shortest) * n) - 1
+    prefix = F.greatest(F.lit(1), (F.size("all_") - F.greatest(shared, F.lit(1)) + 1).cast("int"))
+    rare = ranked.select("t_", F.explode(F.slice("all_", F.lit(1), prefix)).alias("x")).select("t_", F.col("x.g_").alias("g_"))
+    left = asked.join(rare, asked[text] == rare["t_"]).select(*asked.columns, "g_")
+    right = known.join(rare.withColumnRenamed("g_", "h_"), known[other] == F.col("t_")).select(*known.columns, "h_")
+    a, b = F.length(text), F.length(other)
+    return left.join(right, F.col("g_") == F.col("h_")).filter(2 * F.least(a, b) >= least * (a + b)).drop("g_", "h_").distinct()
+
+
+def tiered_match(names: DataFrame, entities: DataFrame, name: str, entity: str, least: float = 0.92, guarded: bool = False) -> DataFrame:
+    """name, entity and tier of names found by exact form (case and spacing aside), else by folded form, else by similarity of
+    least or more: the best, and of equals the smallest id.
+
+    Each tier takes what the one before left. Keys of two entities match nobody, in no tier. guarded: the last tier compares
+    only names of one first word and number of words.
     """
     asked = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    asked = asked.withColumns({"exact_": F.lower(name), "folded_": fold_name(F.col(name))})
-    known = entities.select(F.col("name").alias("name_"), entity).filter("name_ IS NOT NULL").withColumns({"exact_": F.lower("name_"), "folded_": fold_name(F.col("name_"))})
+    asked = asked.withColumns({"exact_": casefold_name(F.col(name)), "folded_": fold_name(F.col(name))})
+    known = entities.select(F.col("name").alias("name_"), entity).filter("name_ IS NOT NULL").withColumns({"exact_": casefold_name(F.col("name_")), "folded_": fold_name(F.col("name_"))})
     exact, folded = (unambiguous_index(known, k, entity) for k in ("exact_", "folded_"))
     first = asked.join(exact, "exact_").select(name, entity, F.lit("exact").alias("tier"))
     left = asked.join(first, name, "left_anti")
     second = left.join(folded, "folded_").select(name, entity, F.lit("folded").alias("tier"))
-    left = left.join(second, name, "left_anti")
-    block = lambda df: df.withColumns({"first_": F.split_part("folded_", F.lit(" "), F.lit(1)), "words_": F.size(F.split("folded_", " "))})
-    pairs = block(left).join(block(known.select(entity, F.col("folded_"))).withColumnRenamed("folded_", "other_"), ["first_", "words_"])
-    best = best_unambiguous(pairs.withColumn("s_", similarity("folded_", "other_")), name, entity, "s_", least, 1e-9)
-    return first.unionByName(second).unionByName(best.select(name, entity, F.lit("similar").alias("tier")))
+    left = left.join(second, name, "left_anti").filter("folded_ <> ''").select(name, "folded_")
+    pairs = similar_candidates(left, folded.withColumnRenamed("folded_", "other_"), "folded_", "other_", least)
+    if guarded:
+        guard = lambda c: F.struct(F.split_part(c, F.lit(" "), F.lit(1)), F.size(F.split(c, " ")))
+        pairs = pairs.filter(guard(F.col("folded_")) == guard(F.col("other_")))
+    best = pairs.withColumn("s_", similarity("folded_", "other_")).filter(F.col("s_") >= least).groupBy(name).agg(F.max(F.struct("s_", (-F.col(entity)).alias("e_"))).alias("b_"))
+    return first.unionByName(second).unionByName(best.select(name, (-F.col("b_.e_")).cast(entities.schema[entity].dataType).alias(entity), F.lit("similar").alias("tier")))
+
+
+def priced_pairs(prices: DataFrame, bouts: DataFrame, least: float = 0.85) -> DataFrame:
+    """price_id, bout_id, score and swapped: the bout of the day whose two names are nearest to the priced pair in either
+    orientation (score: the less similar of the two sides), the smaller id of equals; each bout goes to its first price_id.
+
+    prices: price_id, day, first_name, second_name; bouts: bout_id, day, red_name, blue_name. Names are compared folded.
+    """
+    p = prices.withColumns({"a_": fold_name(F.col("first_name")), "b_": fold_name(F.col("second_name"))})
+    q = bouts.withColumns({"r_": fold_name(F.col("red_name")), "l_": fold_name(F.col("blue_name"))}).drop("red_name", "blue_name")
+    met = p.join(q, "day")  # the bouts of one day
+    scored = met.select("price_id", "bout_id", similarity("a_", "r_").alias("ar"), similarity("b_", "l_").alias("bl"), similarity("a_", "l_").alias("al"), similarity("b_", "r_").alias("br"))
+    straight, crossed = F.least("ar", "bl"), F.least("al", "br")
+    best = scored.select("price_id", "bout_id", F.greatest(straight, crossed).alias("score"), (crossed > straight).alias("swapped")).filter(F.col("score") >= least)
+    top = best.groupBy("price_id").agg(F.max(F.struct("score", (-F.col("bout_id")).alias("b_"), "swapped")).alias("t_"))
+    claims = top.select("price_id", (-F.col("t_.b_")).alias("bout_id"), "t_.score", "t_.swapped")
+    return claims.groupBy("bout_id").agg(F.min(F.struct("price_id", "score", "swapped")).alias("c_")).select("c_.price_id", "bout_id", "c_.score", "c_.swapped")
+
+
+def bout_of_page(bouts: DataFrame, pages: DataFrame) -> DataFrame:
+    """bout_id and page_id: the page whose two names are the bout's, folded and in any order; else the only page whose names
+    belong to different corners of the bout.
+
+    bouts: bout_id, event_id, red_name, blue_name; pages: page_id, event_id, name_1, name_2.
+    """
+    met = bouts.join(pages, "event_id")  # the bouts and pages of one event
+    key = lambda a, b: F.array_sort(F.array(fold_name(F.col(a)), fold_name(F.col(b))))
+    one, two = (corner_of(F.col(c), F.col("red_name"), F.col("blue_name")) for c in ("name_1", "name_2"))
+    judged = met.select("bout_id", "page_id", (key("red_name", "blue_name") == key("name_1", "name_2")).alias("exact_"), one.alias("one_"), two.alias("two_")).withColumn("corners_", F.coalesce(F.col("one_") != F.col("two_"), F.lit(False)))
+    by = judged.groupBy("bout_id").agg(F.max(F.when(F.col("exact_"), F.col("page_id"))).alias("same_"), F.count_if("corners_").alias("n_"), F.max(F.when(F.col("corners_"), F.col("page_id"))).alias("only_"))
+    found = F.coalesce(F.col("same_"), F.when(F.col("n_") == 1, F.col("only_")))
+    return by.select("bout_id", found.alias("page_id")).filter("page_id IS NOT NULL")
+
+
+def event_match(incoming: DataFrame, stored: DataFrame, least: int = 2) -> DataFrame:
+    """in_id and event_id of incoming events (id, name, event_date, location, promotion_id): the stored one with the same name,
+    date, place and promotion, else of those of the date and promotion the one that shares most telling tokens of its name, least
+    or more; the smaller id of equals. A date alone tells nothing."""
+    tokens = lambda df: df.withColumn("w_", event_tokens(strip_accents(F.col("name"))))
+    a = tokens(incoming).select(F.col("id").alias("in_id"), F.col("name").alias("n_"), "event_date", F.col("location").alias("l_"), "promotion_id", F.col("w_").alias("v_"))
+    met = a.join(tokens(stored).withColumnRenamed("id", "event_id"), ["event_date", "promotion_id"])
+    exact = (F.col("n_") == F.col("name")) & F.col("l_").eqNullSafe(F.col("location"))
+    overlap = F.size(F.array_intersect("v_", "w_"))
+    ranked = met.select("in_id", "event_id", F.when(exact, 1_000_000).otherwise(overlap).alias("s_")).filter(F.col("s_") >= least)
+    return ranked.groupBy("in_id").agg(F.max(F.struct("s_", (-F.col("event_id")).alias("e_"))).alias("b_")).select("in_id", (-F.col("b_.e_")).alias("event_id"))
+
+
+def winner_plan(bouts: DataFrame, scraped: DataFrame, people: DataFrame) -> DataFrame:
+    """bout_id, red_id, blue_id (by ascending source id), winner_id and outcome for every bout that was scraped.
+
+    bouts: bout_id, source_id, red_id, red_src, blue_id, blue_src, winner_id; scraped: source_id, status (decided, draw_nc or
+    other), winner_src; people: id, src. A stored winner goes only by a confirmed draw.
+    """
+    at = bouts.join(scraped, "source_id").join(people.select(F.col("src").alias("winner_src"), F.col("id").alias("w_")), "winner_src", "left")
+    swap = F.col("red_src") > F.col("blue_src")
+    decided = F.col("status") == "decided"
+    inside = F.coalesce((F.col("w_") == F.col("red_id")) | (F.col("w_") == F.col("blue_id")), F.lit(False))
+    outcome = F.when(decided & F.col("w_").isNull(), "winner_unknown").when(decided & ~inside, "winner_not_in_bout").when(decided, "decided").when(F.col("status") == "draw_nc", "draw_nc").otherwise("undetermined")
+    winner = F.when(F.col("outcome") == "decided", F.col("w_")).when(F.col("outcome") == "draw_nc", F.lit(None)).otherwise(F.col("winner_id"))
+    both = at.withColumn("outcome", outcome)
+    return both.select("bout_id", F.when(swap, F.col("blue_id")).otherwise(F.col("red_id")).alias("red_id"), F.when(swap, F.col("red_id")).otherwise(F.col("blue_id")).alias("blue_id"), winner.alias("winner_id"), "outcome")
+
+
+def winner_repair(bouts: DataFrame, pages: DataFrame) -> DataFrame:
+    """bout_id, winner_id and outcome: a page (bout_id, id_1, id_2, status_1, status_2) names the winner only if its two
+    participants are the bout's (bout_id, red_id, blue_id, winner_id) as a set and one is marked w and the other l."""
+    at = bouts.join(pages, "bout_id")
+    same = F.coalesce(F.array_sort(F.array("red_id", "blue_id")) == F.array_sort(F.array("id_1", "id_2")), F.lit(False))
+    won = F.when((F.lower("status_1") == "w") & (F.lower("status_2") == "l"), F.col("id_1")).when((F.lower("status_1") == "l") & (F.lower("status_2") == "w"), F.col("id_2"))
+    outcome = F.when(~same, "mismatch").when(won.isNull(), "no_winner").otherwise("updated")
+    return at.select("bout_id", F.when(same & won.isNotNull(), won).otherwise(F.col("winner_id")).alias("winner_id"), outcome.alias("outcome"))
+
+
+def missing_events(index: DataFrame, stored: DataFrame, today: Column) -> DataFrame:
+    """Events of an index (url, id, name, event_date, location, promotion_id) that lie in the past and match no stored one, each url
+    once; the oldest first is an order of event_date and id."""
+    once = index.groupBy("url").agg(F.min_by(F.struct(*[c for c in index.columns if c != "url"]), "id").alias("r_")).select("url", "r_.*")
+    past = once.filter(F.col("event_date") <= today)
+    return past.join(event_match(past, stored).select(F.col("in_id").alias("id")), "id", "left_anti")
+
+
+def resolve_or_create(incoming: DataFrame, people: DataFrame, source: str) -> DataFrame:
+    """source_id, id and action: a known source id resolves; else the only namesake under another source is adopted; with none or
+    several a participant is to be created (id NULL). incoming: source_id, name; people: id, name, source, source_id."""
+    own = people.filter(F.col("source") == source).select("source_id", F.col("id").alias("known_"))
+    others = people.filter(F.col("source") != source).groupBy(plain_key(F.col("name")).alias("k_")).agg(F.min("id").alias("one_"), F.count("*").alias("n_"))
+    at = incoming.withColumn("k_", plain_key(F.col("name"))).join(own, "source_id", "left").join(others, "k_", "left")
+    action = F.when(F.col("known_").isNotNull(), "resolved").when(F.col("n_") == 1, "adopted").otherwise("create")
+    return at.select("source_id", F.coalesce("known_", F.when(F.col("n_") == 1, F.col("one_"))).alias("id"), action.alias("action"))
+
+
+def card_orientation(persons: DataFrame, bouts: DataFrame, least: float = 0.92) -> DataFrame:
+    """bout_id and first_is_red: whether a page's first person is the red corner, by source ids, else by names that are alike to one
+    corner only; the second person counts where the first tells nothing; NULL where neither does.
+
+    persons: bout_id, src_1, name_1, src_2, name_2; bouts: bout_id, red_src, red_name, blue_src, blue_name.
+    """
+    at = persons.join(bouts, "bout_id")
+    alike = lambda a, b: F.coalesce(similarity(fold_name(F.col(a)), fold_name(F.col(b))) >= least, F.lit(False))
+    said = at.select("bout_id", *[F.col(c) for c in ("src_1", "src_2", "red_src", "blue_src")], *[alike(f"name_{i}", f"{c}_name").alias(f"{c}_{i}") for i in (1, 2) for c in ("red", "blue")])
+    one = lambda i, here: F.when(F.col(f"src_{i}") == F.col("red_src"), here).when(F.col(f"src_{i}") == F.col("blue_src"), ~here).when(F.col(f"red_{i}") != F.col(f"blue_{i}"), F.when(F.col(f"red_{i}"), here).otherwise(~here))
+    return said.select("bout_id", F.coalesce(one(1, F.lit(True)), one(2, F.lit(False))).alias("first_is_red"))
+
+
+def phantoms(bouts: DataFrame) -> DataFrame:
+    """event_id, bout_order, n, active, cancelled and ids of slots with two bouts or more (the first signature of a phantom)."""
+    live = ~F.col("status").eqNullSafe(F.lit("cancelled"))
+    at = bouts.filter("bout_order IS NOT NULL").groupBy("event_id", "bout_order")
+    return at.agg(F.count("*").alias("n"), F.count_if(live).alias("active"), F.count_if(~live).alias("cancelled"), F.sort_array(F.collect_list("id")).alias("ids")).filter("n > 1")
+
+
+def childless(candidates: DataFrame, children: list[DataFrame], key: str = "id") -> DataFrame:
+    """Candidates that no child table refers to: only these may be deleted."""
+    out = candidates
+    for c in children:
+        out = out.join(c.select(F.col("bout_id").alias(key)).distinct(), key, "left_anti")
+    return out

@@ -233,7 +233,7 @@ def unambiguous_index(spark, d):
 
 @query("""WITH p AS (SELECT l_orderkey, l_suppkey, max(CAST(round(l_discount * 100) AS BIGINT)) score FROM lineitem GROUP BY ALL),
   r AS (SELECT *, row_number() OVER w i, lead(score) OVER w s2 FROM p WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_suppkey DESC))
-  SELECT l_orderkey, l_suppkey, score FROM r WHERE i = 1 AND score >= 5 AND (s2 IS NULL OR score - s2 >= 2)""")
+  SELECT l_orderkey, l_suppkey, score FROM r WHERE i = 1 AND score >= 5 AND (s2 IS NULL OR s2 < 5 OR score - s2 >= 2)""")
 def best_unambiguous(spark, d):
     scored_pairs = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_discount") * 100).cast("bigint").alias("score"))
     return entity.best_unambiguous(scored_pairs, "l_orderkey", "l_suppkey", "score", 5, 2)
@@ -362,10 +362,12 @@ def calibrated_scores(spark, d):
 
 @query()
 def tiered_names(spark, d):
-    """Nation names with a slip, an accent or another case, found again; tested against plain Python."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(" of the whole round world")).alias("name"))
-    k = F.col("id") % 3
-    asked = n.select(F.when(k == 0, F.lower("name")).when(k == 1, F.concat("name", F.lit("́"))).otherwise(F.regexp_replace("name", "round", "rund")).alias("asked"))
+    """Names made of the first words of documents, found again in another case, with an accent, or with a slip anywhere; tested against plain Python."""
+    words = F.slice(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) > 2), 1, 4)
+    n = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_join(words, " ").alias("name")).filter(F.length("name") > 12)
+    k, at = F.col("id") % 5, (F.col("id") % F.length("name") + 1).cast("int")
+    slip = F.concat(F.substring(F.col("name"), F.lit(1), at - 1), F.substring(F.col("name"), at + 1, F.length("name")))
+    asked = n.select(F.when(k == 0, F.upper("name")).when(k == 1, F.concat("name", F.lit("\u0301"))).otherwise(slip).alias("asked"))
     return entity.tiered_match(asked, n, "asked", "id")
 
 
