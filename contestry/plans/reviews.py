@@ -11,8 +11,19 @@ from contestry.plans.lookups import PEOPLE_SQL, people
 from contestry.plans.registry import query
 from contestry.sources.proxy import table
 
-K, C = F.col("o_orderkey"), F.col("o_custkey")
-AS_OF = F.lit("2026-02-01").cast("date")
+
+def order_key():
+    return F.col("o_orderkey")
+
+
+def customer_key():
+    return F.col("o_custkey")
+
+
+def as_of():
+    return F.lit("2026-02-01").cast("date")
+
+
 DAY0 = "DATE '2026-01-01'"
 
 
@@ -23,8 +34,8 @@ def events(spark, d):
 
 def bouts(spark, d):
     return table(spark, d, "orders").filter("o_custkey % 5 > 0").select(
-        K.alias("bout_id"), C.alias("event_id"), F.when(K % 9 > 0, K % 6).cast("int").alias("bout_order"), F.when(K % 7 == 0, "cancelled").alias("status"), F.when(K % 3 == 0, K % 20).alias("winner_id"),
-        F.when(K % 4 == 0, "Decision").when(K % 4 == 1, "U-DEC").alias("method"), F.when(K % 4 < 2, 1 + K % 3).cast("int").alias("end_round"), F.when(K % 5 > 0, "r").alias("referee"),
+        order_key().alias("bout_id"), customer_key().alias("event_id"), F.when(order_key() % 9 > 0, order_key() % 6).cast("int").alias("bout_order"), F.when(order_key() % 7 == 0, "cancelled").alias("status"), F.when(order_key() % 3 == 0, order_key() % 20).alias("winner_id"),
+        F.when(order_key() % 4 == 0, "Decision").when(order_key() % 4 == 1, "U-DEC").alias("method"), F.when(order_key() % 4 < 2, 1 + order_key() % 3).cast("int").alias("end_round"), F.when(order_key() % 5 > 0, "r").alias("referee"),
     )
 
 
@@ -53,35 +64,35 @@ def main_events(spark, d):
 
 @query(f"WITH {SQL} SELECT bout_id, event_id, event_date, 'CRITICAL' severity FROM bouts JOIN events USING (event_id) JOIN resolved USING (event_id) WHERE resolved AND live AND NOT decided AND event_date BETWEEN DATE '2026-01-22' AND DATE '2026-01-31'")
 def ghost_bouts(spark, d):
-    return audit.ghosts(events(spark, d), bouts(spark, d), AS_OF)
+    return audit.ghosts(events(spark, d), bouts(spark, d), as_of())
 
 
 @query(f"""WITH {SQL}, s AS (SELECT DISTINCT l_orderkey bout_id, true has FROM lineitem WHERE l_orderkey % 4 > 0), g AS (SELECT event_id, event_date, count(*) FILTER (referee IS NULL) no_referee, count(*) FILTER (has IS NULL) no_stats, count(*) FILTER (n < end_round) partly
   FROM bouts JOIN events USING (event_id) LEFT JOIN s USING (bout_id) LEFT JOIN full_rounds USING (bout_id) WHERE live AND decided AND event_date BETWEEN DATE '2026-02-01' - 60 AND DATE '2026-01-31' GROUP BY ALL)
   SELECT *, CAST(DATE '2026-02-01' - event_date AS INT) age, CASE WHEN DATE '2026-02-01' - event_date < 3 THEN 'INFO' WHEN DATE '2026-02-01' - event_date > 30 THEN 'WARNING' ELSE 'CRITICAL' END severity FROM g WHERE no_referee + no_stats + partly > 0""")
 def missing_data(spark, d):
-    return audit.data_gaps(events(spark, d), bouts(spark, d), stats(spark, d), rounds(spark, d), AS_OF)
+    return audit.data_gaps(events(spark, d), bouts(spark, d), stats(spark, d), rounds(spark, d), as_of())
 
 
 @query(f"WITH {SQL} SELECT event_id, CAST(DATE '2026-02-01' - event_date AS INT) AS days, CASE WHEN event_date = DATE '2026-01-31' THEN 'WARNING' ELSE 'CRITICAL' END severity FROM events WHERE event_date < DATE '2026-02-01' AND status = 'upcoming'")
 def unclosed_events(spark, d):
-    return audit.unclosed(events(spark, d), AS_OF)
+    return audit.unclosed(events(spark, d), as_of())
 
 
 @query(f"WITH {SQL} SELECT bout_id, method, 'WARNING' severity FROM bouts JOIN events USING (event_id) WHERE live AND method = 'Decision' AND event_date <= DATE '2026-01-29'")
 def unrefined_methods(spark, d):
-    return audit.unrefined(events(spark, d), bouts(spark, d), AS_OF)
+    return audit.unrefined(events(spark, d), bouts(spark, d), as_of())
 
 
 @query(f"""WITH {SQL}, g AS (SELECT event_id, count(bout_id) k, count(*) FILTER (NOT decided) o, count(*) FILTER (decided AND coalesce(n, 0) < end_round) s FROM events e LEFT JOIN (SELECT * FROM bouts LEFT JOIN full_rounds USING (bout_id) WHERE live) b USING (event_id)
   WHERE event_date BETWEEN DATE '2026-01-02' AND DATE '2026-01-31' GROUP BY ALL) SELECT event_id, CASE WHEN k = 0 THEN 'bouts' WHEN o > 0 THEN 'results' ELSE 'rounds' END reason FROM g WHERE k = 0 OR o > 0 OR s > 0""")
 def events_needing_data(spark, d):
-    return audit.events_to_fill(events(spark, d), bouts(spark, d), rounds(spark, d), AS_OF)
+    return audit.events_to_fill(events(spark, d), bouts(spark, d), rounds(spark, d), as_of())
 
 
 @query(f"WITH {SQL} SELECT event_id, event_date, 'CRITICAL' severity FROM events WHERE event_date BETWEEN DATE '2026-02-01' AND DATE '2026-02-22' AND event_id NOT IN (SELECT event_id FROM bouts)")
 def imminent_empty_events(spark, d):
-    return audit.empty_events(events(spark, d), bouts(spark, d), AS_OF)
+    return audit.empty_events(events(spark, d), bouts(spark, d), as_of())
 
 
 @query(f"""WITH {SQL}, s AS (SELECT user_id event_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-02 00:00:00') fresh, max(ts) FILTER (event_type = 'error') beat FROM events_t GROUP BY ALL), a AS (SELECT event_id, count(*) active, count(*) FILTER (decided) res FROM bouts WHERE live GROUP BY ALL)
@@ -97,26 +108,26 @@ def night_watch(spark, d):
   SELECT bout_id, coalesce(x.name, 'red ' || red_id) AS red, coalesce(y.name, 'blue ' || blue_id) AS blue, coalesce(cards, 0) cards, coalesce(stats, 0) stats, w IS NOT NULL AND referee IS NOT NULL AND coalesce(stats, 0) >= 2 whole
   FROM b LEFT JOIN people x ON x.id = red_id LEFT JOIN people y ON y.id = blue_id LEFT JOIN n USING (bout_id)""")
 def bout_checkpoint(spark, d):
-    red, blue = C % 30, K % 30
-    b = table(spark, d, "orders").select(K.alias("bout_id"), red.alias("red_id"), blue.alias("blue_id"), F.concat(F.lit("red "), red.cast("string")).alias("red_scraped"), F.concat(F.lit("blue "), blue.cast("string")).alias("blue_scraped"), F.when(K % 3 == 0, 1).alias("winner_id"), F.lit(None).cast("string").alias("method"), F.when(K % 5 > 0, "r").alias("referee"))
+    red, blue = customer_key() % 30, order_key() % 30
+    b = table(spark, d, "orders").select(order_key().alias("bout_id"), red.alias("red_id"), blue.alias("blue_id"), F.concat(F.lit("red "), red.cast("string")).alias("red_scraped"), F.concat(F.lit("blue "), blue.cast("string")).alias("blue_scraped"), F.when(order_key() % 3 == 0, 1).alias("winner_id"), F.lit(None).cast("string").alias("method"), F.when(order_key() % 5 > 0, "r").alias("referee"))
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("bout_id"), "l_returnflag")
     return audit.checkpoint(b, people(spark, d), lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'"))
 
 
 @query(f"WITH {PEOPLE_SQL}, c AS (SELECT DISTINCT unnest([o_custkey % 30, o_orderkey % 25]) id FROM orders WHERE o_orderkey % 10 = 0), g AS (SELECT id, unnest([CASE WHEN photo IS NULL THEN 'photo' END, CASE WHEN source IS NULL THEN 'source' END]) gap FROM people WHERE id IN (SELECT id FROM c)) SELECT * FROM g WHERE gap IS NOT NULL")
 def card_gaps(spark, d):
-    b = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select((C % 30).alias("red_id"), (K % 25).alias("blue_id"))
+    b = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select((customer_key() % 30).alias("red_id"), (order_key() % 25).alias("blue_id"))
     return audit.gaps_on_cards(people(spark, d), b, {"photo": F.col("photo").isNull(), "source": F.col("source").isNull()})
 
 
 @query("WITH b AS (SELECT o_orderkey bout_id, nullif(o_orderkey % 5, 2) r, nullif(o_custkey % 4, 1) l FROM orders) SELECT bout_id, 'red' side, l anchor_id FROM b WHERE r IS NULL AND l IS NOT NULL UNION ALL SELECT bout_id, 'blue', r FROM b WHERE l IS NULL AND r IS NOT NULL")
 def slots_without_link(spark, d):
-    return audit.unlinked_slots(table(spark, d, "orders").select(K.alias("bout_id"), F.when(K % 5 != 2, K % 5).alias("red_id"), F.when(C % 4 != 1, C % 4).alias("blue_id")))
+    return audit.unlinked_slots(table(spark, d, "orders").select(order_key().alias("bout_id"), F.when(order_key() % 5 != 2, order_key() % 5).alias("red_id"), F.when(customer_key() % 4 != 1, customer_key() % 4).alias("blue_id")))
 
 
 @query("SELECT count(*) n, count(*) FILTER (o_orderkey % 3 = 0) AS \"right\", round(count(*) FILTER (o_orderkey % 3 = 0) / count(*)::DOUBLE, 6) rate FROM (SELECT * FROM orders ORDER BY md5('7|' || o_orderkey) LIMIT 50)")
 def sampled_check(spark, d):
-    return audit.sampled_rate(table(spark, d, "orders").select("o_orderkey"), K % 3 == 0, 50, 7)
+    return audit.sampled_rate(table(spark, d, "orders").select("o_orderkey"), order_key() % 3 == 0, 50, 7)
 
 
 @query("WITH g AS (SELECT user_id, count(*) passes, count(*) FILTER (event_type = 'error') failed, CAST(sum(event_id % 3) AS BIGINT) written, 0::BIGINT unresolved FROM events GROUP BY ALL) SELECT count(*) passes, count(*) FILTER (failed > passes / 2) failed, CAST(sum(written) AS BIGINT) written, CAST(sum(unresolved) AS BIGINT) unresolved, CASE WHEN count(*) FILTER (failed > passes / 2) = count(*) OR sum(written) = 0 THEN 'fail' WHEN count(*) FILTER (failed > passes / 2) > 0 OR sum(unresolved) > 0 THEN 'warn' ELSE 'ok' END verdict FROM g")
@@ -134,7 +145,7 @@ def mapped_rate(spark, d):
 @query("""WITH s AS (SELECT o_orderkey bout_id, unnest([o_orderkey % 4, o_custkey % 4]) x FROM orders), b AS (SELECT bout_id, count(*) FILTER (x = 0) e, count(*) FILTER (x = 1) m, count(*) FILTER (x = 3) n FROM s GROUP BY ALL)
   SELECT CAST(sum(e) AS BIGINT) AS exact, CAST(sum(m) AS BIGINT) mirrored, CAST(sum(n) AS BIGINT) AS none, count(*) FILTER (n = 1) discordant FROM b""")
 def photo_counts(spark, d):
-    each = table(spark, d, "orders").select(K.alias("bout_id"), F.explode(F.array(K % 4, C % 4)).alias("x"))
+    each = table(spark, d, "orders").select(order_key().alias("bout_id"), F.explode(F.array(order_key() % 4, customer_key() % 4)).alias("x"))
     pick = sc.corner_photo("L", F.when(F.col("x") == 0, "l"), F.when(F.col("x") == 1, "r"), F.when(F.col("x") == 2, "s"), F.lit(None).cast("string"))
     return audit.photo_report(each.select("bout_id", pick["source"].alias("source"), pick["mirror"].alias("mirror")))
 
@@ -161,8 +172,8 @@ STORE_SQL = """s AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 4 > 0 THEN CASE
   CASE WHEN s.k IS NULL THEN i.f ELSE coalesce(s.f, false) OR coalesce(i.f, false) END f, CASE WHEN s.k IS NULL THEN 'insert' WHEN i.k IS NULL THEN 'keep' ELSE 'update' END change FROM s FULL JOIN i USING (k)""")
 def write_rules(spark, d):
     o = table(spark, d, "orders")
-    s = o.filter("o_orderkey % 3 <> 0").select(K.alias("k"), F.when(K % 4 == 1, "").when(K % 4 > 1, "old").alias("a"), F.when(K % 5 > 0, "old").alias("b"), (C % 7).alias("w"), (C % 3).alias("l"), (K % 2 == 0).alias("f"))
-    i = o.filter("o_orderkey % 3 <> 1").select(K.alias("k"), F.lit("new").alias("a"), F.when(K % 4 == 1, "").when(K % 4 > 1, "new").alias("b"), (K % 7).alias("w"), (K % 3 - 1).alias("l"), (K % 5 == 0).alias("f"))
+    s = o.filter("o_orderkey % 3 <> 0").select(order_key().alias("k"), F.when(order_key() % 4 == 1, "").when(order_key() % 4 > 1, "old").alias("a"), F.when(order_key() % 5 > 0, "old").alias("b"), (customer_key() % 7).alias("w"), (customer_key() % 3).alias("l"), (order_key() % 2 == 0).alias("f"))
+    i = o.filter("o_orderkey % 3 <> 1").select(order_key().alias("k"), F.lit("new").alias("a"), F.when(order_key() % 4 == 1, "").when(order_key() % 4 > 1, "new").alias("b"), (order_key() % 7).alias("w"), (order_key() % 3 - 1).alias("l"), (order_key() % 5 == 0).alias("f"))
     return merge.merge_upsert(s, i, ["k"], {"a": "first_writer", "b": "new_wins_if_present", **merge.grows(["w", "l"]), "f": "any_of"})
 
 
@@ -170,8 +181,8 @@ def write_rules(spark, d):
   ok AS (SELECT day FROM i GROUP BY day HAVING count(*) = count(DISTINCT slot)) SELECT * FROM s WHERE day NOT IN (SELECT day FROM ok) UNION ALL SELECT * FROM i WHERE day IN (SELECT day FROM ok)""")
 def replaced_snapshots(spark, d):
     o = table(spark, d, "orders")
-    s = o.filter("o_custkey % 20 < 15").select((C % 20).alias("day"), K.alias("slot"), F.lit("old").alias("v"))
-    i = o.filter("o_custkey % 20 >= 10").select((C % 20).alias("day"), F.when(C % 20 == 12, 1).otherwise(K).alias("slot"), F.lit("new").alias("v"))
+    s = o.filter("o_custkey % 20 < 15").select((customer_key() % 20).alias("day"), order_key().alias("slot"), F.lit("old").alias("v"))
+    i = o.filter("o_custkey % 20 >= 10").select((customer_key() % 20).alias("day"), F.when(customer_key() % 20 == 12, 1).otherwise(order_key()).alias("slot"), F.lit("new").alias("v"))
     return merge.replace_snapshot(s, i, ["day"], ["slot"])
 
 
@@ -184,7 +195,7 @@ def cancelled_by_absence(spark, d):
 @query(f"WITH {SQL} SELECT event_id, CASE WHEN status = 'upcoming' AND event_id % 8 > 0 AND event_date < DATE '2026-02-01' THEN 'completed' ELSE status END status FROM events")
 def completed_by_absence(spark, d):
     e = events(spark, d)
-    return merge.complete_dropped(e, e.filter("event_id % 8 = 0"), AS_OF).select("event_id", "status")
+    return merge.complete_dropped(e, e.filter("event_id % 8 = 0"), as_of()).select("event_id", "status")
 
 
 @query("WITH a AS (SELECT l_orderkey k, l_linenumber n FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT l_orderkey k, l_linenumber n FROM lineitem WHERE l_linestatus = 'F'), t AS (SELECT k FROM orders JOIN (SELECT o_orderkey k FROM orders) USING (k)), ca AS (SELECT k, count(*) c FROM a GROUP BY ALL), cb AS (SELECT k, count(*) c FROM b GROUP BY ALL), w AS (SELECT cb.k FROM cb LEFT JOIN ca USING (k) WHERE cb.c > coalesce(ca.c, 0)) SELECT k, n, 'old' v FROM a WHERE k NOT IN (SELECT k FROM w) UNION ALL SELECT k, n, 'new' FROM b WHERE k IN (SELECT k FROM w)".replace("t AS (SELECT k FROM orders JOIN (SELECT o_orderkey k FROM orders) USING (k)), ", ""))
