@@ -112,11 +112,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns, and those with no text to judge.
+    """The documents that the classifier accepts, with all their columns; null and empty texts are judged as texts of no words.
 
-    The texts stay where they are: each is judged in place by the fitted expressions.
+    The texts stay where they are: labels meet statistics, not texts, and each text is judged in place by the fitted expressions.
     """
-    model = train(features(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels)
+    model = train(features(docs), labels)
     kept = ["id_", "text_", "row_"]
     rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("id_"), F.col("text").alias("text_"))
     stats = with_stats(rows.select(F.struct(*kept).alias("all_"), "text_"), "all_", "text_")
