@@ -166,3 +166,10 @@ def name_hygiene(rows: DataFrame, key: str, name: str) -> DataFrame:
     n = F.col(name)
     problem = F.when(F.length(n) > LONG_NAME, "long").when(suspicious_name(n), "keyword").when(n.rlike("Ã.|Â.|�"), "mojibake")
     return rows.select(key, problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def caption_matches(name: Column, caption: Column, least: float = 0.87) -> Column:
+    """Whether a picture's caption is alike to the participant's name, both folded."""
+    from contestry.functions.text import fold_name, similarity
+
+    return similarity(fold_name(name), fold_name(caption)) >= least

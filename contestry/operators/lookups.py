@@ -149,3 +149,52 @@ def mentions(texts: DataFrame, people: DataFrame, most: int = 4) -> DataFrame:
     met = texts.select("id", F.explode(F.array_distinct(runs)).alias("k_")).join(known, "k_")
     first = F.slice(F.sort_array(F.collect_set(F.struct("who_", "name"))), 1, most)
     return met.groupBy("id").agg(F.transform(first, lambda x: x["name"]).alias("names"))
+
+
+def with_parent(children: DataFrame, parents: DataFrame, keys: list[str], parent: str) -> DataFrame:
+    """children all of whose keys (NULL ones aside) have a parent; the others are orphans that a clean-up drops."""
+    ids = parents.select(F.col(parent).alias("p_")).distinct()
+    out = children
+    for k in keys:
+        lost = out.filter(F.col(k).isNotNull()).select(F.col(k).alias("p_")).distinct().join(ids, "p_", "left_anti")
+        out = out.join(lost, out[k] == lost["p_"], "left_anti")
+    return out
+
+
+def childless(parents: DataFrame, parent: str, children: DataFrame, key: str) -> DataFrame:
+    """Parents that no child refers to."""
+    return parents.join(children.select(F.col(key).alias(parent)).distinct(), parent, "left_anti")
+
+
+def homonym_free(people: DataFrame, name: str) -> DataFrame:
+    """People whose name, case aside, no other has; one window, no self join."""
+    return people.withColumn("n_", F.count("*").over(Window.partitionBy(F.lower(name)))).filter("n_ = 1").drop("n_")
+
+
+def nearest_event(events: DataFrame, day: str, key: str, as_of: Column, before: int = 1, after: int = 7) -> DataFrame:
+    """The earliest event from `before` days before as_of to `after` behind it; of a day's the smallest id."""
+    return events.filter(F.col(day).between(F.date_sub(as_of, before), F.date_add(as_of, after))).orderBy(day, key).limit(1)
+
+
+def freshness(samples: DataFrame, key: str, ts: str, as_of: Column) -> DataFrame:
+    """key, newest, age in whole seconds and n of each key's samples."""
+    return samples.groupBy(key).agg(F.max(ts).alias("newest"), F.count("*").alias("n")).withColumn("age", F.unix_seconds(as_of) - F.unix_seconds(F.col("newest").cast("timestamp")))
+
+
+def differences(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that only one side has, with only_a and only_b."""
+    left, right = (df.select(*key).distinct().withColumn(c, F.lit(True)) for df, c in ((a, "a_"), (b, "b_")))
+    both = left.join(right, key, "full_outer").filter("a_ IS NULL OR b_ IS NULL")
+    return both.select(*key, F.col("b_").isNull().alias("only_a"), F.col("a_").isNull().alias("only_b"))
+
+
+def pair_groups(rows: DataFrame, ids: tuple[str, str], names: tuple[str, str], least: int = 2) -> DataFrame:
+    """lo, hi and n of pairs, by id or, without one, by lower-case name, that occur `least` times in either order. Where one side is
+    unknown the other stands for both, as LEAST and GREATEST pass over NULL."""
+    one, two = (F.coalesce(F.col(i).cast("string"), F.lower(n)) for i, n in zip(ids, names, strict=True))
+    return rows.groupBy(F.least(one, two).alias("lo"), F.greatest(one, two).alias("hi")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def counts_where(rows: DataFrame, by: str, flags: dict[str, Column], distinct: dict[str, str]) -> DataFrame:
+    """by, how many rows each flag holds for, and how many different values each column has, in one aggregation."""
+    return rows.groupBy(by).agg(*[F.count_if(c).alias(k) for k, c in flags.items()], *[F.countDistinct(c).alias(k) for k, c in distinct.items()])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from contestry.functions import names
 from contestry.functions import scalar as sc
 from contestry.functions import text
+from contestry.operators import audit
 from contestry.plans.registry import query
 from contestry.sources.proxy import table
 
@@ -156,3 +157,6 @@ cases("result_known", gives("has", "near", "corner")(lambda a, b, c: {"has": sc.
 cases("rounds_and_ages", gives("rounds", "age", "total")(lambda a, b: {"rounds": sc.scheduled_rounds(a), "age": sc.age_years(b, F.lit("2026-01-01").cast("date")), "total": sc.pair_sum(F.col("x0").try_cast("int"), F.year(b))}), "string date -> INTEGER DOUBLE DOUBLE", [
     ("5", dt.date(1996, 1, 1), 5, 30.0014, 2001.0), ("x", dt.date(2000, 6, 1), 3, 25.5852, None), ("-1", None, 3, None, None), (None, dt.date(2025, 12, 31), 3, 0.0027, None),
 ])
+cases("headshots", one(lambda a, b: audit.caption_matches(a, b)), "string string -> BOOLEAN", [
+    ("Jiří Procházka", "Jiri Prochazka", True), ("Jon Jones", "Jon Jone", True), ("Jon Jones", "Tom Aspinall", False), ("Alex Pereira", "alex-pereira", True), (None, "x", None), ("Weili Zhang", "Zhang Weili", False),
+])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contestry.functions import names
 from contestry.functions import scalar as sc
 from contestry.functions import text
-from contestry.operators import career, entity, history, merge, metrics, models, quality, series
+from contestry.operators import audit, career, entity, history, lookups, merge, metrics, models, quality, series
 from contestry.sources import documents
 from contestry.sources.proxy import bouts, sides, table
 from contestry.streaming import changes
@@ -194,17 +194,60 @@ def duplicate_names(spark, d):
 
 
 same_sql("not_in_null_aware", "customer orders", "SELECT 'with null' AS list, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders WHERE o_orderkey % 50 = 0 OR o_custkey = 1) UNION ALL SELECT 'without' AS list, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
-same_sql("orphans", "lineitem orders", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-same_sql("unique_names", "customer", "SELECT c_custkey, c_name FROM (SELECT *, count(*) OVER (PARTITION BY lower(c_name)) n FROM customer) x WHERE n = 1")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def orphans(spark, d):
+    return lookups.childless(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 5 > 0 LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 7 > 0 WHERE (l_suppkey % 10 = 0 OR s_suppkey IS NOT NULL) AND o_orderkey IS NOT NULL")
+def cleaned_orphans(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 10 > 0, F.col("l_suppkey")).alias("s"))
+    owned = lookups.with_parent(lines, table(spark, d, "orders").filter("o_orderkey % 7 > 0"), ["l_orderkey"], "o_orderkey")
+    return lookups.with_parent(owned, table(spark, d, "supplier").filter("s_suppkey % 5 > 0"), ["s"], "s_suppkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id, k FROM (SELECT event_id, upper(event_type) || user_id % 400 || event_id % 5 k, count(*) OVER (PARTITION BY lower(event_type || user_id % 400 || event_id % 5)) n FROM events) WHERE n = 1")
+def unique_names(spark, d):
+    e = table(spark, d, "events").select("event_id", F.concat(F.upper("event_type"), (F.col("user_id") % 400).cast("string"), (F.col("event_id") % 5).cast("string")).alias("k"))
+    return lookups.homonym_free(e, "k")
+
+
 same_sql("main_line_done", "lineitem", "SELECT l_orderkey, min(l_linenumber) AS main_line, min(lpad(CAST(l_linenumber AS STRING), 9, '0') || l_returnflag) AS flag FROM lineitem WHERE l_linestatus <> 'F' GROUP BY l_orderkey")
 same_sql("null_safe_filter", "orders", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'F') IS DISTINCT FROM 'O'")
-same_sql("conditional_counts", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_totalprice > 1000) AS big, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority")
-same_sql("freshness", "events", "SELECT user_id, max(ts) AS newest, count(*) AS n FROM events GROUP BY user_id")
-same_sql("duplicate_slots", "lineitem", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
-same_sql("pair_groups", "lineitem", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
-same_sql("nearest_event", "orders", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-09' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_totalprice > 1000) AS big, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority")
+def conditional_counts(spark, d):
+    return lookups.counts_where(table(spark, d, "orders"), "o_orderpriority", {"f": F.col("o_orderstatus") == "F", "big": F.col("o_totalprice") > 1000}, {"customers": "o_custkey"})
+
+
+@query("SELECT user_id, count(*) n, CAST(epoch(TIMESTAMP '2024-03-01 00:00:00') - floor(epoch(max(ts))) AS BIGINT) age FROM events GROUP BY user_id")
+def freshness(spark, d):
+    return lookups.freshness(table(spark, d, "events"), "user_id", "ts", F.lit("2024-03-01").cast("timestamp")).drop("newest")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n, 'CRITICAL' severity FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def duplicate_slots(spark, d):
+    return audit.duplicate_slots(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("WITH p AS (SELECT coalesce(CAST(CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 40 END AS VARCHAR), CASE WHEN l_partkey % 2 = 0 THEN lower('N' || l_suppkey) END) a, coalesce(CAST(CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey END AS VARCHAR), lower('N' || l_suppkey)) b FROM lineitem) SELECT least(a, b) lo, greatest(a, b) hi, count(*) n FROM p GROUP BY ALL HAVING count(*) > 1")
+def pair_groups(spark, d):
+    p, k = F.col("l_partkey"), F.col("l_suppkey")
+    name = F.concat(F.lit("N"), k.cast("string"))
+    rows = table(spark, d, "lineitem").select(F.when(p % 3 > 0, p % 40).alias("a"), F.when(k % 4 > 0, k).alias("b"), F.when(p % 2 == 0, name).alias("x"), name.alias("y"))
+    return lookups.pair_groups(rows, ("a", "b"), ("x", "y"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-09' ORDER BY CAST(o_orderdate AS DATE), o_orderkey LIMIT 1")
+def nearest_event(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return lookups.nearest_event(o, "day", "o_orderkey", F.lit("1998-01-02").cast("date")).select("o_orderkey")
+
+
 same_sql("key_sets", "orders customer", "SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
-same_sql("readiness_diff", "lineitem orders", "SELECT coalesce(o_orderkey, l_orderkey) AS k, o_orderkey IS NULL AS only_lines, l_orderkey IS NULL AS only_orders FROM orders FULL OUTER JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25) x ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR l_orderkey IS NULL")
+@query("WITH a AS (SELECT DISTINCT least(o_orderkey % 30, o_custkey % 30) lo, greatest(o_orderkey % 30, o_custkey % 30) hi FROM orders), b AS (SELECT DISTINCT least(l_partkey % 30, l_suppkey % 30) lo, greatest(l_partkey % 30, l_suppkey % 30) hi FROM lineitem WHERE l_quantity > 25) SELECT lo, hi, b.f IS NULL only_a, a.f IS NULL only_b FROM (SELECT *, 1 f FROM a) a FULL JOIN (SELECT *, 1 f FROM b) b USING (lo, hi) WHERE a.f IS NULL OR b.f IS NULL")
+def readiness_diff(spark, d):
+    pair = lambda df, a, b: df.select(F.least(F.col(a) % 30, F.col(b) % 30).alias("lo"), F.greatest(F.col(a) % 30, F.col(b) % 30).alias("hi"))
+    return lookups.differences(pair(table(spark, d, "orders"), "o_orderkey", "o_custkey"), pair(table(spark, d, "lineitem").filter("l_quantity > 25"), "l_partkey", "l_suppkey"), ["lo", "hi"])
 
 
 @query("""SELECT l_orderkey AS bout_id, CAST(sum(l_quantity) AS BIGINT) total, max(l_linenumber) last_round, count(DISTINCT l_linenumber) = max(l_linenumber) whole FROM lineitem GROUP BY ALL""")
