@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
+import contestry.plans  # noqa: F401  isort:skip
 from contestry.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations embeddings".split()
 
 
 def rows(names, data):
