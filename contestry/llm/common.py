@@ -54,6 +54,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that join_hot() broadcasts at most.
+MOST_HOT = 4096
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows with the columns of their group; groups has one row for each combination of keys, which are not null, and its count of rows.
+
+    The MOST_HOT largest groups are broadcast, so no task gets all rows of one of them; any other group has at most one
+    MOST_HOT-th of the rows and is joined by a shuffle.
+    """
+    hot = groups.orderBy(F.desc(size), *keys).limit(MOST_HOT)
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("hot_"))), keys, "left")
+    # Names of the broadcast side end in "_" so that both forms have the same columns in the same order.
+    named = hot.select(*[F.col(k) if k in keys else F.col(k).alias(f"{k}_") for k in groups.columns])
+    near = rows.join(F.broadcast(named), keys).select(*rows.columns, *[F.col(f"{k}_").alias(k) for k in groups.columns if k not in keys])
+    far = marked.filter("hot_ IS NULL").drop("hot_").join(groups, keys).select(*rows.columns, *[k for k in groups.columns if k not in keys])
+    return near.unionByName(far)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; rows with a null id go to fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contestry.llm.bpe import op2_bpe
 from contestry.llm.decontaminate import op8_decontaminate
+from contestry.llm.divergence import OP12_SQL, op12_source_divergence
+from contestry.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from contestry.llm.language import op9_language
 from contestry.llm.mixing import op3_mixing
 from contestry.llm.quality_classifier import op5_quality_classifier
@@ -16,6 +18,7 @@ from contestry.llm.simhash import op1_simhash
 from contestry.llm.substring import op10_substring
 from contestry.llm.suffix_dedup import op6_suffix_dedup
 from contestry.llm.token_files import op7_token_files
+from contestry.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_substring": op10_substring,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_exact_dedup": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_vector_codes": OP13_SQL}
