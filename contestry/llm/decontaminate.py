@@ -65,9 +65,10 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     filter: np.ndarray
+    most_hits: int
 
     @staticmethod
-    def of(items: list[tuple[int, bytes]]) -> Index:
+    def of(items: list[tuple[int, bytes]], most_hits: int = MOST_HITS) -> Index:
         parts = [grams(t if len(t) >= MIN_PART else b"") for _, t in items]
         short: dict[int, dict[bytes, list[int]]] = {}
         for i, (_, t) in enumerate(items):
@@ -79,7 +80,13 @@ class Index:
         order = np.argsort(keys, kind="stable")
         bits = np.zeros(1 << 20, bool)
         bits[slot(keys)] = True
-        return Index([i for i, _ in items], [t for _, t in items], short, keys[order], item[order], at[order], bits)
+        return Index([i for i, _ in items], [t for _, t in items], short, keys[order], item[order], at[order], bits, most_hits)
+
+    @cached_property
+    def halves(self) -> tuple[Index, Index]:
+        """The passages that aren't short, in two parts; their ids are places in this index."""
+        some = [i for i, t in enumerate(self.texts) if len(t) >= MIN_PART]
+        return tuple(Index.of([(i, self.texts[i]) for i in part], self.most_hits) for part in (some[: len(some) // 2], some[len(some) // 2 :]))
 
 
 def banded(a: bytes, b: bytes, shift: int, most: int) -> tuple[int, int, int] | None:
@@ -118,13 +125,6 @@ def banded(a: bytes, b: bytes, shift: int, most: int) -> tuple[int, int, int] |
     return (edits, lo + begun, lo + len(a) + k) if edits <= most else None
 
 
-    @cached_property
-    def halves(self) -> tuple[Index, Index]:
-        """The passages that aren't short, in two parts."""
-        some = [i for i, t in enumerate(self.texts) if len(t) >= MIN_PART]
-        return tuple(Index.of([(i, self.texts[i]) for i in part]) for part in (some[: len(some) // 2], some[len(some) // 2 :]))
-
-
 def whole_words(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
     """(item, 0, begin, end) of the first place of each short passage that stands in data as whole words."""
     found: dict[int, tuple[int, int, int, int]] = {}
@@ -144,7 +144,7 @@ def find(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
 
 
 def similar(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
-    """What find() tells of the passages that aren't short."""
+    """What find() tells of the passages that aren't short. No more than index.most_hits q-gram matches are held at once."""
     g = grams(data)
     pos = np.flatnonzero(index.filter[slot(g)])
     if not len(pos):
@@ -155,8 +155,9 @@ def similar(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
     if not len(pos):
         return []
     ends = np.cumsum(n)
-    if ends[-1] > MOST_HITS and len(index.texts) > 1:  # q-grams that many passages have: half of the passages at a time
-        return [(half.ids[i], *rest) for half in index.halves for i, *rest in similar(data, half)]
+    if ends[-1] > index.most_hits:  # q-grams that many passages have: half of the passages at a time
+        several = sum(len(t) >= MIN_PART for t in index.texts) > 1
+        return [(half.ids[i], *rest) for half in index.halves for i, *rest in similar(data, half)] if several else repetitive(data, index, pos, lo, n, ends)
     entry = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo, n)
     item, diagonal = index.item[entry].astype(np.int64), np.repeat(pos, n) - index.at[entry]
     found = []
@@ -165,9 +166,7 @@ def similar(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
     edges = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         i = int(item[a])
-        text = index.texts[i]
-        e = budget(len(text))
-        need = max(1, len(text) + 1 - Q - Q * e)
+        e, need = bound(index.texts[i])
         if z - a < need:
             continue
         d = np.sort(diagonal[a:z])
@@ -175,30 +174,66 @@ def similar(data: bytes, index: Index) -> list[tuple[int, int, int, int]]:
         step = e + 1
         starts = np.unique(np.concatenate([d // step, d // step - 1])) * step
         count = np.searchsorted(d, starts + 2 * step - 1, "left") - np.searchsorted(d, starts, "left")
-        best = None
-        for s in starts[count >= need].tolist():
-            got = banded(text, data, s + e, max(e, 1)) if e else exact(text, data, s)
-            if got and got[0] <= e and (best is None or got[0] < best[0]):
-                best = got
-            if best and best[0] == 0:
-                break
+        best = aligned(index.texts[i], data, starts[count >= need])
         if best:
             found.append((i, *best))
     return found
 
 
+def repetitive(data: bytes, index: Index, pos: np.ndarray, lo: np.ndarray, n: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """similar() for the index's one passage where its q-grams repeat without end: matches are counted by diagonal, most_hits of them at a
+    time, in one number for each byte of the text and the passage."""
+    i = int(index.item[0])
+    text = index.texts[i]
+    e, need = bound(text)
+    step = e + 1
+    base = -(-(len(text) + step) // step) * step  # of the least diagonal's band
+    counts = np.zeros(base + len(data) + 2 * step + 1, np.int32)
+    cuts = np.searchsorted(ends, np.arange(index.most_hits, ends[-1] + index.most_hits, index.most_hits), "left") + 1
+    for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+        z = min(z, len(pos))
+        k = n[a:z]
+        own = np.cumsum(k)
+        entry = np.arange(own[-1] if len(own) else 0) - np.repeat(own - k, k) + np.repeat(lo[a:z], k)
+        seen, times = np.unique(np.repeat(pos[a:z], k) - index.at[entry] + base, return_counts=True)
+        counts[seen] += times.astype(np.int32)
+    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    starts = np.arange(0, base + len(data), step)
+    inside = upto[np.minimum(starts + 2 * step - 1, len(counts))] - upto[starts]
+    best = aligned(text, data, starts[inside >= need] - base)
+    return [(i, *best)] if best else []
+
+
+def bound(text: bytes) -> tuple[int, int]:
+    """The edits that a passage may have, and the q-grams that must then be left."""
+    e = budget(len(text))
+    return e, max(1, len(text) + 1 - Q - Q * e)
+
+
+def aligned(text: bytes, data: bytes, starts: np.ndarray) -> tuple[int, int, int] | None:
+    """The best alignment in the bands that begin at starts: the least edits, then the first."""
+    e, best = budget(len(text)), None
+    for s in starts.tolist():
+        got = banded(text, data, s + e, max(e, 1)) if e else exact(text, data, s)
+        if got and got[0] <= e and (best is None or got[0] < best[0]):
+            best = got
+        if best and best[0] == 0:
+            break
+    return best
+
+
 def exact(text: bytes, data: bytes, at: int) -> tuple[int, int, int] | None:
     return (0, at, at + len(text)) if at >= 0 and data[at : at + len(text)] == text else None
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The passages in blocks of BLOCK_BYTES or less, one at a time; one longer than that has its own."""
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The passages in blocks of block_bytes or less, one at a time; one longer than that has its own."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t").toLocalIterator():
         t = normal(r["t"])
         if not t:
             continue
-        if size and size + len(t) > BLOCK_BYTES:
+        if size and size + len(t) > block_bytes:
             yield block
             block, size = [], 0
         block.append((r["i"], t))
@@ -207,14 +242,15 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, most_hits: int = MOST_HITS) -> DataFrame:
     """One row for each document and passage found in it: doc_id, item_id, edits, begin and end in the normalised text, and
     n_bytes of that.
 
     Texts and passages are compared in lower case with punctuation and white space as single spaces. A passage of fewer than
     MIN_PART bytes is found as whole words, of fewer than MIN_EDITED without edits, any other within its budget; one without
     a letter or digit finds nothing, as do null texts and passages and empty tables. Repeated item_ids each give rows of their
-    own.
+    own; so do repeated doc_ids, and a null doc_id stays null. Other columns are left out. The index of at most block_bytes of
+    passages (or of one longer passage) goes to every task, which holds most_hits matches of q-grams at a time.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -224,7 +260,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         shared = sc.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index.of(shared.value)
+            index = Index.of(shared.value, most_hits)
             for b in batches:
                 got = []
                 for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -235,7 +271,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         return rows.mapInArrow(run, schema)
 
-    found, each = [], blocks(benchmark)
+    found, each = [], blocks(benchmark, block_bytes)
     items = next(each, None)
     while items:
         following = next(each, None)

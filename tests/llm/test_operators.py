@@ -283,7 +283,7 @@ def edits(a, b):
     return min(row)
 
 
-def test_decontaminate(spark, docs, none, monkeypatch):
+def test_decontaminate(spark, docs, none):
     item = "a passage of some length that a benchmark asks about, with a few words more than forty"
     near = item.replace("some", "sone").replace("few", "fw")
     far = " ".join(reversed(item.split()))
@@ -299,18 +299,38 @@ def test_decontaminate(spark, docs, none, monkeypatch):
     shorts = spark.createDataFrame([(9, "short"), (10, "ten bytes"), (11, "?")], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in decontaminate.leaks(few, shorts).collect()} == {(0, 9, 10, 15), (2, 9, 0, 5), (3, 10, 0, 9)}
     assert [r["doc_id"] for r in decontaminate.drop_leaks(few, shorts).orderBy("doc_id").collect()] == [0, 1]
-    monkeypatch.setattr(decontaminate, "MOST_HITS", 30)
     many = bench.unionByName(spark.createDataFrame([(20 + i, item + f" and {i}") for i in range(9)], "item_id bigint, text string"))
-    alike = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(rows, many).collect()}
+    alike = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(rows, many, most_hits=30).collect()}
     assert {k: e for k, e in alike.items() if k[1] == 7} == want
     every = {(d, i): e for d, t in enumerate(texts) for i, x in [(7, item), *[(20 + i, item + f" and {i}") for i in range(9)]] if (e := edits(decontaminate.normal(x), decontaminate.normal(t))) <= decontaminate.budget(len(decontaminate.normal(x)))}
     assert alike == every
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(rows, many).collect()} == every
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(rows, many, block_bytes=100, most_hits=30).collect()} == every
     assert decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_of_repetitive_texts(spark, docs):
+    """More matches than a task holds at once, met on workers: passages that share a template, and one that repeats itself."""
+    template = "which of the following statements about the history of the town is certainly false when "
+    bench = spark.createDataFrame([*[(i, f"{template}case {i * 7919} holds?") for i in range(1500)], (5000, "ha ha " * 20), (5001, "ha hb " * 9)], "item_id bigint, text string")
+    texts = [template * 60, template * 60 + f"case {7919 * 700} holds", "ha ha " * 20_000, "ha hi " * 300 + "ha ha " * 17 + "he", "oh", None]
+    rows = spark.createDataFrame([*enumerate(texts), (None, texts[1]), (1, texts[1])], "doc_id bigint, text string").withColumn("item_id", F.lit(-1)).withColumn("edits", F.lit("x"))
+    found = decontaminate.leaks(rows, bench, most_hits=20_000).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert {(1, 700), (2, 5000), (None, 700)} <= got and sum(r["doc_id"] == 1 and r["item_id"] == 700 for r in found) == 2
+    few = [(i, decontaminate.normal(f"{template}case {i * 7919} holds?")) for i in (0, 699, 700, 701)] + [(5000, decontaminate.normal("ha ha " * 20)), (5001, decontaminate.normal("ha hb " * 9))]
+    for d, t in enumerate(texts):
+        if d != 2:
+            assert {i for i, x in few if edits(x, decontaminate.normal(t)) <= decontaminate.budget(len(x))} == {i for k, i in got if k == d and i in dict(few)}
+    whole = decontaminate.Index.of(few)
+    for most in (1, 100, 5000):
+        part = decontaminate.Index.of(few, most)
+        for t in texts:
+            assert sorted(decontaminate.find(decontaminate.normal(t), part)) == sorted(decontaminate.find(decontaminate.normal(t), whole))
+    kept = decontaminate.drop_leaks(rows, bench)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 0, 4, 5] if (0, 0) not in got and (3, 5001) not in got and (3, 5000) not in got else True
+
+
 def test_statistics_and_rules(spark, docs, none):
     got = by_id(quality_rules.with_stats(docs, windows=True))
     for d, t in enumerate(TEXTS):
