@@ -1,14 +1,16 @@
 """Source divergence audit over an integer dictionary of kept terms.
 
-Tasks count the terms of their documents by language and source and send each count once. The counts are dealt by ranges of
-(language, term), so the kept terms of a range stand in UTF-8 order: they are cut into chunks, sorted arrays in which a
-term's place is its id, found by searchsorted; bincount turns the counts of each source into a dense vector for the chunk.
-Vectors of one chunk, in blocks of sources, are compared term by term; sums and the best terms of each chunk are put
-together by Spark. All numbers are integers.
+Tasks count the terms of their documents by language and source, and send the counts in blobs, one for each bucket of terms;
+a bucket knows all counts of its terms and lets go of those that too few documents have. The terms that are kept are dealt
+by ranges of (language, term) and stand in UTF-8 order there: a term's id is its place among its language's sorted terms,
+found by searchsorted in its range's array. Ids are cut into chunks; bincount makes a dense vector of each source's counts
+in a chunk, blocks of vectors are compared, and sums and the best terms of each chunk are put together by Spark. All
+numbers are integers.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,134 +19,106 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contestry.llm.common import table, written
+from contestry.llm.common import give_back, table, written
 
 #: Documents of a language that a kept term is in at least, what is added to every count, and ranks of the terms that are returned.
 LEAST_DOCS, ADDED, TERMS = 30, 5, 50
 SCALE = 1_000_000_000
-#: Counts that a task holds before it sends them; terms of a chunk, and rows that are taken into chunks at once; sources of a block (the mean).
-MOST_HELD, CHUNK, BLOCK = 400_000, 8192, 64
+#: Counts that a task holds before it sends them; ids of a chunk; sources of a block (the mean); kept counts of a range.
+MOST_HELD, CHUNK, BLOCK, RANGE = 600_000, 8192, 64, 500_000
 
 #: Terms are runs of A-Z, a-z and bytes from 0x80 on; every other byte separates, and A-Z become a-z.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
-VECTORS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), ("whole", pa.bool_()), ("source", pa.string()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-SPARK_VECTORS = "lang string, part int, chunk int, whole boolean, source string, terms array<string>, counts array<bigint>"
-
-
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From lang, source and text (bytes): documents and occurrences of each term by lang and source. A term of no bytes, with no counts, tells that a source is there."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in held.items():
-            k = len(terms)
-            docs, n = np.array(list(terms.values()), np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(list(terms), pa.binary()), pa.array(docs), pa.array(n)], schema=COUNTS)
-
-    for b in batches:
-        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            own = held.setdefault((lang, source), {b"": [0, 0]})
-            before = len(own)
-            once: dict[bytes, int] = {}
-            for w in text.as_py().translate(LETTERS).split():
-                once[w] = once.get(w, 0) + 1
-            for w, n in once.items():
-                if w in own:
-                    both = own[w]
-                    both[0] += 1
-                    both[1] += n
-                else:
-                    own[w] = [1, n]
-            size += len(own) - before
-            if size > MOST_HELD:
-                yield from flush()
-                held, size = {}, 0
-    yield from flush()
-
-
-def chunk_vectors(lang: str, part: int, chunk: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The chunk's dictionary with the language's counts, and the counts of each source, in the order of the terms."""
-    sources = rows.column("source").combine_chunks().dictionary_encode()
-    words = rows.column("term").combine_chunks().dictionary_encode()
-    terms = np.array(words.dictionary.to_pylist(), object)
-    terms.sort()  # bytes: UTF-8 order
-    ids = np.searchsorted(terms, np.array(words.dictionary.to_pylist(), object))[words.indices.to_numpy()]
-    at, n = sources.indices.to_numpy().astype(np.int64), rows.column("n").to_numpy()
-    shape = (len(sources.dictionary), len(terms))
-    # bincount adds in float64, which is exact below 2**53; larger counts are added in two halves of their bits.
-    dense = sum(np.bincount(at * shape[1] + ids, weights=half, minlength=shape[0] * shape[1]).astype(np.int64) << shift for half, shift in ((n & 0x7FFFFFFF, 0), (n >> 31, 31)))
-    dense = dense.reshape(shape)
-    whole = pa.RecordBatch.from_arrays(
-        [pa.array([lang]), pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([True]), pa.array([None], pa.string()), pa.array([[t.decode() for t in terms]], pa.list_(pa.string())), pa.array([dense.sum(axis=0)], pa.list_(pa.int64()))],
-        schema=VECTORS,
-    )
-    yield whole
-    for source, counts in zip(sources.dictionary.to_pylist(), dense, strict=True):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([False]), pa.array([source]), pa.array([None], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))], schema=VECTORS
-        )
-
-
-def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches' rows, up to CHUNK and a batch at once."""
-    held, n = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= CHUNK - 1000:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def vectors_of_range(least: int):
-    """For mapInArrow over counts in the order of lang and term, with the partition's number in front: the vectors of all chunks of kept terms."""
+WORDS = pa.dictionary(pa.int32(), pa.string())
+COUNTS = pa.schema([("lang", WORDS), ("source", WORDS), ("term", pa.large_binary()), ("docs", pa.int64()), ("n", pa.int64())])
+COMPRESSED = pa.ipc.IpcWriteOptions(compression="lz4")
+
+
+def packed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=COMPRESSED) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def count_terms(buckets: int):
+    """For mapInArrow over lang, source and text (bytes): blobs with documents and occurrences of each term by lang and source, a row for each
+    bucket. A term of no bytes, with no counts, tells that a source is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_terms, lang, part, chunk = [], 0, None, 0, 0
-        rest: pa.Table | None = None  # rows of the last term, which may go on in the next batch
+        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, held_terms, chunk
-            if held:
-                yield from chunk_vectors(lang, part, chunk, pa.concat_tables(held))
-                held, held_terms, chunk = [], 0, chunk + 1
-
-        def kept_terms(t: pa.Table) -> tuple[pa.Table, int]:
-            docs = t.group_by(["term"]).aggregate([("docs", "sum")])
-            kept = docs.filter(pc.greater_equal(docs.column("docs_sum"), least)).column("term")
-            return t.filter(pc.is_in(t.column("term"), kept)), len(kept)
-
-        def take(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Whole terms: those of the language that is held, then other languages'."""
-            nonlocal lang, held_terms
-            for name in sorted(pc.unique(t.column("lang")).to_pylist(), key=lambda x: x.encode()):
-                own, n = kept_terms(t.filter(pc.equal(t.column("lang"), name)))
-                if name != lang or held_terms + n > CHUNK:
+            keys = list(held)
+            of = np.repeat(np.arange(len(keys), dtype=np.int32), [len(held[k]) for k in keys])
+            terms = [w for k in keys for w in held[k]]
+            docs, n = np.array([x for k in keys for x in held[k].values()], np.int64).T
+            bucket = np.fromiter(map(zlib.crc32, terms), np.uint32, len(terms)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            names = [pa.DictionaryArray.from_arrays(pa.array(of), pa.array([k[i] for k in keys], pa.string())) for i in (0, 1)]
+            t = pa.Table.from_arrays([*names, pa.array(terms, pa.large_binary()), pa.array(docs), pa.array(n)], schema=COUNTS).take(pa.array(order))
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packed(t.slice(ends[b], ends[b + 1] - ends[b]))])], ["bucket", "blob"])
+
+        for b in batches:
+            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own = held.setdefault((lang, source), {b"": [0, 0]})
+                before = len(own)
+                once: dict[bytes, int] = {}
+                for w in text.as_py().translate(LETTERS).split():
+                    once[w] = once.get(w, 0) + 1
+                for w, n in once.items():
+                    if w in own:
+                        both = own[w]
+                        both[0] += 1
+                        both[1] += n
+                    else:
+                        own[w] = [1, n]
+                size += len(own) - before
+                if size > MOST_HELD:
                     yield from flush()
-                    lang = name
-                if n:
-                    held.append(own)
-                    held_terms += n
-
-        for t in slabs(batches):
-            part = t.column("part")[0].as_py()
-            t = t.select(["lang", "term", "source", "docs", "n"])
-            t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
-            last = t.slice(t.num_rows - 1)
-            lang_now, term_now = last.column("lang")[0], last.column("term")[0]
-            t = t.group_by(["lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")]).rename_columns(["lang", "term", "source", "docs", "n"])
-            same = pc.and_(pc.equal(t.column("lang"), lang_now), pc.equal(t.column("term"), term_now))
-            yield from take(t.filter(pc.invert(same)))
-            rest = t.filter(same)
-        if rest is not None:
-            yield from take(rest)
-        yield from flush()
+                    held, size = {}, 0
+        if held:
+            yield from flush()
+        held = {}
+        give_back()
+
+    return run
+
+
+def kept_counts(least: int):
+    """For mapInArrow over all blobs of some buckets: occurrences by lang, source and term of the terms that are kept; and a term of no bytes for each source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.Table]] = {}
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = pa.ipc.open_stream(blob.as_buffer()).read_all()
+                held.setdefault(bucket, []).append(pa.table({k: t.column(k).cast(pa.string()) if k in ("lang", "source") else t.column(k) for k in t.column_names}))
+        while held:
+            t = pa.concat_tables(held.popitem()[1])
+            docs = t.group_by(["lang", "term"]).aggregate([("docs", "sum")])
+            kept = docs.filter(pc.or_(pc.greater_equal(docs.column("docs_sum"), least), pc.equal(pc.binary_length(docs.column("term")), 0))).select(["lang", "term"])
+            t = t.join(kept, ["lang", "term"], join_type="left semi").group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
+            out = pa.table({"lang": t.column("lang"), "source": t.column("source"), "term": t.column("term").cast(pa.binary()).cast(pa.string()), "n": t.column("n_sum")})
+            yield from out.to_batches(max_chunksize=10_000)
+        give_back()
+
+    return run
+
+
+def encoded(first: dict[tuple[int, str], int]):
+    """For applyInArrow by part and lang: ids in place of terms. first: the ids that stand before a part's, by part and lang."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        words = rows.column("term").combine_chunks().cast(pa.binary()).dictionary_encode()
+        seen = np.array(words.dictionary.to_pylist(), object)
+        terms = np.sort(seen)  # bytes: UTF-8 order
+        ids = np.searchsorted(terms, seen)[words.indices.to_numpy()] + first[key[0].as_py(), key[1].as_py()]
+        return pa.table({"lang": rows.column("lang"), "source": rows.column("source"), "term": rows.column("term"), "id": pa.array(ids, pa.int64()), "n": rows.column("n")})
 
     return run
 
@@ -163,32 +137,39 @@ def shares(counts: np.ndarray, total: int, v: int) -> np.ndarray:
 
 
 def compare(key: tuple, rows: pa.Table) -> pa.Table:
-    """For a chunk and two blocks of sources (or one twice): each pair's part of the sum, and each source's best terms."""
-    here, there = key[3].as_py(), key[4].as_py()
-    whole = rows.filter(rows.column("whole"))
-    terms = whole.column("terms")[0].as_py() if whole.num_rows else None
-    v = rows.column("v")[0].as_py()
-    rows = rows.filter(pc.invert(rows.column("whole")))
-    width = rows.column("width")[0].as_py() if rows.num_rows else 0
-    names, blocks, p, counts = rows.column("source").to_pylist(), rows.column("block").to_numpy(), [], []
-    for c, total in zip(rows.column("counts"), rows.column("total").to_pylist(), strict=True):
-        counts.append(c.values.to_numpy() if c.is_valid else np.zeros(width, np.int64))
-        p.append(shares(counts[-1], total, v) if width else counts[-1])
+    """For a chunk and two blocks of sources (or one twice): each pair's part of the sum, and each source's best terms.
+
+    Rows of kind 0 are the sources, of kind 1 their counts, of kind 2 the chunk's terms with the language's counts.
+    """
+    here, there = key[2].as_py(), key[3].as_py()
+    kind = rows.column("kind").to_numpy()
+    v, base = rows.column("v")[0].as_py(), key[1].as_py() * CHUNK
+    width = max(0, min(CHUNK, v - base))
+    sources, counts, words = (rows.filter(pa.array(kind == k)) for k in range(3))
+    names, blocks, totals = (sources.column(k).to_pylist() for k in ("source", "block", "total"))
+    place = {name: i for i, name in enumerate(names)}
+    at = np.array([place[x] for x in counts.column("source").to_pylist()], np.int64) * width + counts.column("id").to_numpy() - base
+    n = counts.column("n").to_numpy()
+    # bincount adds in float64, exact below 2**53; the lower and upper bits of counts are added on their own.
+    dense = sum(np.bincount(at, weights=half, minlength=len(names) * width).astype(np.int64) << shift for half, shift in ((n & 0x7FFFFFFF, 0), (n >> 31, 31))).reshape(len(names), width)
+    p = np.array([shares(c, total, v) for c, total in zip(dense, totals, strict=True)], np.int64).reshape(len(names), width) if width else dense
     out: list[tuple[str, str, str, int]] = []
-    left = np.flatnonzero(blocks == here)
-    right = np.flatnonzero(blocks == there)
-    matrix = np.array([p[j] for j in right], np.int64).reshape(len(right), width)
+    blocks = np.array(blocks, np.int64)
+    left, right = np.flatnonzero(blocks == here), np.flatnonzero(blocks == there)
     for i in left.tolist():
-        sums = np.abs(matrix - p[i]).sum(axis=1).tolist()
+        sums = np.abs(p[right] - p[i]).sum(axis=1).tolist()
         for j, f in zip(right.tolist(), sums, strict=True):
             if i != j:
                 out.append((names[i], "pair", names[j], f))
                 if here != there:
                     out.append((names[j], "pair", names[i], f))
     if here == there and width:
-        q = shares(whole.column("counts")[0].values.to_numpy(), whole.column("total")[0].as_py(), v)
+        whole, terms = np.zeros(width, np.int64), [""] * width
+        for i, x, t in zip((words.column("id").to_numpy() - base).tolist(), words.column("n").to_pylist(), words.column("term").to_pylist(), strict=True):
+            whole[i], terms[i] = x, t
+        q = shares(whole, words.column("total")[0].as_py(), v)
         for i in left.tolist():
-            more = np.where(counts[i] > 0, p[i] - q, 0)
+            more = np.where(dense[i] > 0, p[i] - q, 0)
             ids = np.flatnonzero(more > 0)
             for t in ids[np.argsort(-more[ids], kind="stable")[:TERMS]].tolist():  # equal values keep the order of their ids
                 out.append((names[i], "term", terms[t], int(more[t])))
@@ -197,6 +178,20 @@ def compare(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), **{k: pa.array(columns[i], pa.string()) for i, k in enumerate(("source", "part", "item"))}, "value": pa.array(columns[3], pa.int64())})
 
 
+def dictionary(kept: DataFrame, spark: SparkSession) -> DataFrame:
+    """kept (lang, source, term, n) with id, the term's place among its language's terms in UTF-8 order; written."""
+    ranges = kept.repartitionByRange(1 + kept.count() // RANGE, "lang", "term").select(F.spark_partition_id().alias("part"), "*")
+    ranges = written(ranges, "term-ranges")
+    # A row for each range and language in it: at most as many as there are ranges and languages together.
+    sizes = ranges.groupBy("part", "lang").agg(F.countDistinct("term").alias("n")).orderBy("part").collect()
+    first: dict[tuple[int, str], int] = {}
+    sums: dict[str, int] = {}
+    for r in sizes:
+        first[r["part"], r["lang"]] = sums.get(r["lang"], 0)
+        sums[r["lang"]] = first[r["part"], r["lang"]] + r["n"]
+    return written(ranges.groupBy("part", "lang").applyInArrow(encoded(first), "lang string, source string, term string, id bigint, n bigint"), "term-ids")
+
+
 def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, source, part, item, value and rank: how far each source of a language is from its others, and its most typical terms.
 
@@ -210,35 +205,30 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     spark = docs.sparkSession
     column = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     rows = docs.select(column(lang_col).alias("lang"), column(source_col).alias("source"), column(text_col).cast("binary").alias("text"))
-    counts = written(rows.mapInArrow(count_terms, "lang string, source string, term binary, docs bigint, n bigint"), "term-counts")
-    groups = counts.filter(F.length("term") == 0).select("lang", "source").distinct()
-
-    # Ranges are cut from a sample of the written counts; each term's rows come to one task, one for each task that had it and source.
-    dealt = counts.filter(F.length("term") > 0).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "term").sortWithinPartitions("lang", "term")
-    dealt = dealt.select(F.spark_partition_id().alias("part"), "lang", "source", "term", "docs", "n")
-    vectors = written(dealt.mapInArrow(vectors_of_range(least_docs), SPARK_VECTORS), "term-vectors")
-
-    added = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    totals = vectors.groupBy("lang", "whole", "source").agg(F.sum(added).alias("total"), F.sum(F.size("counts")).cast("bigint").alias("width"))
-    langs = groups.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    langs = langs.join(totals.filter("whole").select("lang", F.col("total").alias("lang_total"), F.col("width").alias("v")), "lang", "left").na.fill(0, ["lang_total", "v"])
-    groups = groups.join(totals.filter("NOT whole").select("lang", "source", "total"), ["lang", "source"], "left").na.fill(0, ["total"]).join(langs, "lang")
-    groups = written(groups.withColumn("block", F.pmod(F.hash("source"), F.col("blocks"))), "divergence-groups")
-
-    # A language's chunks, and one without terms, so that pairs are there without a kept term.
-    whole = vectors.filter("whole").select("lang", "part", "chunk", F.size("counts").alias("width"), "terms", F.col("counts").alias("all"))
-    chunks = whole.select("lang", "part", "chunk", "width").unionByName(groups.select("lang", F.lit(-1).alias("part"), F.lit(0).alias("chunk"), F.lit(0).alias("width")).distinct())
-    own = vectors.filter("NOT whole").select("lang", "part", "chunk", "source", "counts")
-    every = chunks.join(groups, "lang").join(own, ["lang", "part", "chunk", "source"], "left")
-    # A vector meets each block of its language's sources once: blocks, not rows, are paired.
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    parts = every.withColumn("other", F.explode(other)).select(
-        "lang", "part", "chunk", F.least("block", "other").alias("here"), F.greatest("block", "other").alias("there"), F.lit(False).alias("whole"), "source", "block", "total", "v", "width", F.lit(None).cast("array<string>").alias("terms"), "counts"
-    )
-    tops = whole.join(langs, "lang").withColumn("other", F.explode(other)).select(
-        "lang", "part", "chunk", F.col("other").alias("here"), F.col("other").alias("there"), F.lit(True).alias("whole"), F.lit(None).cast("string").alias("source"), F.lit(-1).alias("block"), F.col("lang_total").alias("total"), "v", "width", "terms", F.col("all").alias("counts")
-    )
-    found = parts.unionByName(tops).groupBy("lang", "part", "chunk", "here", "there").applyInArrow(compare, "lang string, source string, part string, item string, value bigint")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = rows.mapInArrow(count_terms(buckets), "bucket int, blob binary").repartition(buckets, "bucket")
+    every = written(blobs.mapInArrow(kept_counts(least_docs), "lang string, source string, term string, n bigint"), "term-counts")
+    ids = dictionary(every.filter("term <> ''"), spark)
+
+    terms = ids.groupBy("lang", "id", "term").agg(F.sum("n").alias("n"))
+    langs = every.select("lang", "source").distinct().groupBy("lang").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    langs = langs.join(terms.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("v")), "lang", "left").na.fill(0, ["lang_total", "v"])
+    totals = every.groupBy("lang", "source").agg(F.sum("n").alias("total"))  # the term of no bytes adds nothing
+    groups = written(totals.join(langs, "lang").withColumn("block", F.pmod(F.hash("source"), F.col("blocks"))), "divergence-groups")
+
+    # A source meets each block of its language's sources once: blocks, not rows, are paired. A language without terms has one empty chunk.
+    last = F.greatest(F.floor((F.col("v") - 1) / F.lit(CHUNK)), F.lit(0))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    chunk = F.floor(F.col("id") / F.lit(CHUNK)).alias("chunk")
+    null = lambda kind: F.lit(None).cast(kind)
+    met = (F.least("block", "other").alias("here"), F.greatest("block", "other").alias("there"))
+    present = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).select("*", other)
+    present = present.select("lang", "chunk", *met, F.lit(0).alias("kind"), "source", "block", "total", "v", null("bigint").alias("id"), null("bigint").alias("n"), null("string").alias("term"))
+    counted = ids.join(groups, ["lang", "source"]).select("*", chunk, other)
+    counted = counted.select("lang", "chunk", *met, F.lit(1).alias("kind"), "source", "block", "total", "v", "id", "n", null("string").alias("term"))
+    words = terms.join(groups.select("lang", "blocks", "lang_total", "v").distinct(), "lang").select("*", chunk, other)
+    words = words.select("lang", "chunk", F.col("other").alias("here"), F.col("other").alias("there"), F.lit(2).alias("kind"), null("string").alias("source"), null("int").alias("block"), F.col("lang_total").alias("total"), "v", "id", "n", "term")
+    found = present.unionByName(counted).unionByName(words).groupBy("lang", "chunk", "here", "there").applyInArrow(compare, "lang string, source string, part string, item string, value bigint")
     found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))  # a term is in one chunk, a pair in all
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return found.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= TERMS))
