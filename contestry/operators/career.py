@@ -29,6 +29,11 @@ SUMS = (
 #: Without these on both sides a pairing lacks statistics.
 NEEDED = ("sig_per_bout", "sig_accuracy", "knockdowns_per_bout", "td_per_bout", "td_accuracy", "subs_per_bout", "control_per_bout")
 PLACES = 6
+#: What a summary holds.
+FIELDS = (
+    "n_prior", "rounds", "n_stats", *PER_BOUT, "sig_accuracy", "td_accuracy", "sig_defence", "td_defence", "opponents_win_rate", "win_streak", "wins_last_5", "ko_win_share", "sub_win_share", "dec_win_share",
+    "ko_loss_share", "sub_loss_share", "distance_share", "duration", "days_since", "last_date",
+)
 
 
 def to_long(bouts: DataFrame) -> DataFrame:
@@ -52,39 +57,66 @@ def with_prior_rates(long: DataFrame) -> DataFrame:
     return rated.withColumn("opponent_rate", F.when(F.col("side") == "blue", F.lead("prior_rate").over(pair)).otherwise(F.lag("prior_rate").over(pair)))
 
 
-def summaries(bouts: DataFrame) -> DataFrame:
-    """One row a bout and side: the participant's summary over bouts on strictly earlier days, all NULL where there is none or
-    none with statistics. One partitioning serves all frames over a participant."""
-    by = Window.partitionBy("fighter_id")
-    rows = by.orderBy("event_date", "bout_id")
-    days = by.orderBy(F.unix_date("event_date")).rangeBetween(Window.unboundedPreceding, -1)
-    win, loss = ((F.col("result") == r).cast("int") for r in ("win", "loss"))
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of whole numbers, rounded to PLACES by whole numbers too, so that a tie falls the same way in every engine; NULL where b is 0."""
+    unit = 10**PLACES
+    return F.call_function("div", 2 * unit * a.cast("bigint") + b.cast("bigint"), F.nullif(2 * b.cast("bigint"), F.lit(0))) / F.lit(float(unit))
+
+
+def with_runs(long: DataFrame) -> DataFrame:
+    """long with what a later summary takes from the participant's last row: streak_ and w5_, the wins among the last five; and known_."""
+    rows = Window.partitionBy("fighter_id").orderBy("event_date", "bout_id")
+    win = (F.col("result") == "win").cast("int")
     known = F.coalesce(*[F.col(c).cast("double") for c in STATS]).isNotNull()
-    long = with_prior_rates(to_long(bouts)).withColumns({"n_": F.row_number().over(rows), "w5_": F.sum(win).over(rows.rowsBetween(-4, 0)), "known_": known})
-    long = long.withColumn("streak_", F.col("n_") - F.coalesce(F.max(F.when(win == 0, F.col("n_"))).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    last = F.max(F.struct("event_date", "bout_id", "streak_", "w5_")).over(days)
-    of_stats = {c: F.sum(F.when(F.col("known_"), F.coalesce(F.col(c), F.lit(0)).cast("double")).otherwise(0.0)).over(days) for c in (*STATS, *[f"opp_{c}" for c in OPPONENT])}
-    count = lambda x: F.sum(x.cast("int")).over(days)
-    of_class = lambda c, r: F.coalesce(F.col("class") == c, F.lit(False)) & (F.col("result") == r)
+    long = with_prior_rates(long).withColumns({"n_": F.row_number().over(rows), "w5_": F.sum(win).over(rows.rowsBetween(-4, 0)), "known_": known, "real_": F.lit(True)})
+    return long.withColumn("streak_", F.col("n_") - F.coalesce(F.max(F.when(win == 0, F.col("n_"))).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+
+
+def summed_up(long: DataFrame) -> DataFrame:
+    """For every row of long (with_runs, and rows that only ask, whose real_ is false) the summary over the participant's real rows on
+    strictly earlier days. One partitioning serves all frames."""
+    days = Window.partitionBy("fighter_id").orderBy(F.unix_date("event_date")).rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("real_"), F.struct("event_date", "bout_id", "streak_", "w5_"))).over(days)
+    count = lambda x: F.coalesce(F.sum((F.col("real_") & F.coalesce(x, F.lit(False))).cast("int")).over(days), F.lit(0).cast("bigint"))
+    total = lambda c: F.sum(F.when(F.col("known_"), F.coalesce(F.col(c), F.lit(0)).cast("bigint")).otherwise(0)).over(days)
+    of_class = lambda c, r: (F.col("class") == c) & (F.col("result") == r)
     long = long.select(
-        "bout_id", "event_date", "side", "fighter_id", "opponent_id", "result", F.count("*").over(days).alias("n_prior"), count(F.col("known_")).alias("n_stats"),
-        F.sum(F.coalesce("end_round", F.lit(0))).over(days).alias("rounds"), *[x.alias(f"s_{c}") for c, x in of_stats.items()], count(win).alias("wins"), count(loss).alias("losses"),
-        count(F.col("class").isNotNull()).alias("classified"), count(F.coalesce(F.col("class") == "DEC", F.lit(False))).alias("decided"),
+        "bout_id", "event_date", "side", "fighter_id", "opponent_id", "result", "real_", count(F.lit(True)).alias("n_prior"), count(F.col("known_")).alias("n_stats"),
+        F.sum(F.coalesce("end_round", F.lit(0))).over(days).alias("rounds"), *[total(c).alias(f"s_{c}") for c in (*STATS, *[f"opp_{c}" for c in OPPONENT])], count(F.col("result") == "win").alias("wins"), count(F.col("result") == "loss").alias("losses"),
+        count(F.col("class").isNotNull()).alias("classified"), count(F.col("class") == "DEC").alias("decided"),
         *[count(of_class(c, "win")).alias(f"w_{c}") for c in ("KO", "SUB", "DEC")], *[count(of_class(c, "loss")).alias(f"l_{c}") for c in ("KO", "SUB")],
-        F.avg("seconds").over(days).alias("duration"), F.avg("opponent_rate").over(days).alias("opponents_win_rate"), last.alias("last_"),
+        F.sum("seconds").over(days).alias("seconds"), F.count("seconds").over(days).alias("n_seconds"), F.avg("opponent_rate").over(days).alias("opponents_win_rate"), last.alias("last_"),
     )
-    share = lambda a, b: sc.safe_divide(F.col(a), F.col(b))
+    share = lambda a, b: ratio(F.col(a), F.col(b))
+    missed = lambda a, b: ratio(F.col(b) - F.col(a), F.col(b))
     fields = {
-        "n_prior": F.col("n_prior"), "rounds": F.col("rounds"), "n_stats": F.col("n_stats"), **{k: share(f"s_{c}", "n_stats") for k, c in PER_BOUT.items()},
+        "n_prior": F.col("n_prior"), "rounds": F.col("rounds").cast("bigint"), "n_stats": F.col("n_stats"), **{k: share(f"s_{c}", "n_stats") for k, c in PER_BOUT.items()},
         "sig_accuracy": share("s_sig_landed", "s_sig_attempted"), "td_accuracy": share("s_td_landed", "s_td_attempted"),
-        "sig_defence": 1 - share("s_opp_sig_landed", "s_opp_sig_attempted"), "td_defence": 1 - share("s_opp_td_landed", "s_opp_td_attempted"), "opponents_win_rate": F.col("opponents_win_rate"),
-        "win_streak": F.col("last_.streak_"), "wins_last_5": F.col("last_.w5_"), "ko_win_share": share("w_KO", "wins"), "sub_win_share": share("w_SUB", "wins"), "dec_win_share": share("w_DEC", "wins"),
-        "ko_loss_share": share("l_KO", "losses"), "sub_loss_share": share("l_SUB", "losses"), "distance_share": share("decided", "classified"), "duration": F.col("duration"),
-        "days_since": F.datediff("event_date", F.col("last_.event_date")), "last_date": F.col("last_.event_date"),
+        "sig_defence": missed("s_opp_sig_landed", "s_opp_sig_attempted"), "td_defence": missed("s_opp_td_landed", "s_opp_td_attempted"), "opponents_win_rate": F.round("opponents_win_rate", PLACES),
+        "win_streak": F.col("last_.streak_").cast("bigint"), "wins_last_5": F.col("last_.w5_").cast("bigint"), "ko_win_share": share("w_KO", "wins"), "sub_win_share": share("w_SUB", "wins"), "dec_win_share": share("w_DEC", "wins"),
+        "ko_loss_share": share("l_KO", "losses"), "sub_loss_share": share("l_SUB", "losses"), "distance_share": share("decided", "classified"), "duration": share("seconds", "n_seconds"),
+        "days_since": F.datediff("event_date", F.col("last_.event_date")).cast("bigint"), "last_date": F.col("last_.event_date"),
     }
     exists = (F.col("n_prior") > 0) & (F.col("n_stats") > 0)
-    tidy = lambda k, c: F.round(c, PLACES) if k in {*PER_BOUT, "sig_accuracy", "td_accuracy", "sig_defence", "td_defence", "opponents_win_rate", "duration"} or k.endswith("_share") else c if k == "last_date" else c.cast("bigint")
-    return long.select("bout_id", "event_date", "side", "fighter_id", "opponent_id", "result", exists.alias("has_summary"), *[F.when(exists, tidy(k, c)).alias(k) for k, c in fields.items()])
+    return long.select("bout_id", "event_date", "side", "fighter_id", "opponent_id", "result", "real_", exists.alias("has_summary"), *[F.when(exists, c).alias(k) for k, c in fields.items()])
+
+
+def summaries(bouts: DataFrame) -> DataFrame:
+    """One row a bout and side: the participant's summary over bouts on strictly earlier days, all NULL where there is none or
+    none with statistics. A participant's whole career is one task's: hundreds of rows, at most."""
+    return summed_up(with_runs(to_long(bouts))).drop("real_")
+
+
+def summaries_at(bouts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same summaries on any day: a row for each row of asked (bout_id, event_date, side, fighter_id, opponent_id), whether or not
+    the participant has a bout that day, or any; result is NULL.
+
+    Rows of asked are merged into the participants' careers and read the same frames, in which they count as nothing; no row
+    meets the bouts before it, and as many may ask on one day as want to.
+    """
+    long = with_runs(to_long(bouts))
+    asks = asked.select("bout_id", "event_date", "side", "fighter_id", "opponent_id", F.lit(False).alias("real_"), F.lit(False).alias("known_"))
+    return summed_up(long.unionByName(asks, allowMissingColumns=True)).filter("NOT real_").drop("real_")
 
 
 def latest_rank(anchors: DataFrame, snapshots: DataFrame, strict_division: bool = False) -> DataFrame:
@@ -107,12 +139,23 @@ def latest_rank(anchors: DataFrame, snapshots: DataFrame, strict_division: bool
     return both.filter("asks_").select("fighter_id", "division", F.col("day_").alias("anchor_date"), (-rank).alias("ranking"))
 
 
-def pairs(bouts: DataFrame, fighters: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+def both_sides(pairings: DataFrame) -> DataFrame:
+    """Two rows for each of pairings (bout_id, event_date, red_id, blue_id), to be asked for."""
+
+    def side(own: str, other: str) -> Column:
+        return F.struct(F.lit(own).alias("side"), F.col(f"{own}_id").alias("fighter_id"), F.col(f"{other}_id").alias("opponent_id"))
+
+    return pairings.select("bout_id", "event_date", F.inline(F.array(side("red", "blue"), side("blue", "red"))))
+
+
+def pairs(bouts: DataFrame, fighters: DataFrame, ranks: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """One row a bout with both sides' summaries as structs red and blue, one aggregation over the summaries.
 
     fighters: fighter_id, height_cm, reach_cm, birth_date. ranks: bout_id, side and ranking; without it no one is ranked.
+    asked: pairings (bout_id, event_date, red_id, blue_id) that need not be bouts; with it there is a row for each of them
+    instead, by the same expressions.
     """
-    s = summaries(bouts).join(fighters, "fighter_id", "left").withColumn("age", sc.age_years(F.col("birth_date"), F.col("event_date")))
+    s = (summaries(bouts) if asked is None else summaries_at(bouts, both_sides(asked))).join(fighters, "fighter_id", "left").withColumn("age", sc.age_years(F.col("birth_date"), F.col("event_date")))
     s = s.join(ranks, ["bout_id", "side"], "left") if ranks is not None else s.withColumn("ranking", F.lit(None).cast("bigint"))
     cells = F.struct("has_summary", "result", "last_date", *sorted({*DIFFS, *SUMS, *NEEDED}))
     return s.groupBy("bout_id", "event_date").agg(*[F.max(F.when(F.col("side") == x, cells)).alias(x) for x in ("red", "blue")])

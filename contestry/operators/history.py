@@ -1,74 +1,10 @@
-"""Point-in-time history: what was known of a participant before a bout, from one long table and window frames."""
+"""Rows in order of time: their places, chronological splits and walk-forward folds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestry.functions.scalar import safe_divide
-
-
-def to_long(bouts: DataFrame) -> DataFrame:
-    """Two rows per bout, one for each side, with the opponent's numbers beside its own."""
-    def side(own: str, other: str):
-        own_id = F.col(f"{own}_fighter_id")
-        result = F.when(F.col("winner_id") == own_id, "win").when(F.col("winner_id") == F.col(f"{other}_fighter_id"), "loss").otherwise("other")
-        return F.struct(
-            F.lit(own).alias("side"), own_id.alias("fighter_id"), F.col(f"{other}_fighter_id").alias("opponent_id"), result.alias("result"),
-            F.col(f"{own}_attempted").alias("attempted"), F.col(f"{own}_landed").alias("landed"), F.col(f"{other}_attempted").alias("opp_attempted"), F.col(f"{other}_landed").alias("opp_landed"),
-        )
-
-    return bouts.select("bout_id", "event_date", "method", F.explode(F.array(side("red", "blue"), side("blue", "red"))).alias("s")).select("bout_id", "event_date", "method", "s.*")
-
-
-def summaries(bouts: DataFrame) -> DataFrame:
-    """One row per bout and side with the participant's summary over bouts on strictly earlier days.
-
-    prior_win_rate alone counts earlier bouts of the same day too, in order of bout_id. All frames share one partitioning.
-    """
-    by = Window.partitionBy("fighter_id")
-    rows = by.orderBy("event_date", "bout_id")
-    days = by.orderBy(F.unix_date("event_date")).rangeBetween(Window.unboundedPreceding, -1)
-    win = (F.col("result") == "win").cast("int")
-    long = to_long(bouts).withColumns({"n_": F.row_number().over(rows), "w5_": F.sum(win).over(rows.rowsBetween(-4, 0)), "earlier_": F.count("*").over(rows.rowsBetween(Window.unboundedPreceding, -1)), "won_": F.sum(win).over(rows.rowsBetween(Window.unboundedPreceding, -1))})
-    long = long.withColumn("streak_", F.col("n_") - F.coalesce(F.max(F.when(win == 0, F.col("n_"))).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    last = F.max(F.struct("event_date", "bout_id", "streak_", "w5_")).over(days)
-    total = lambda c: F.sum(c).over(days)
-    long = long.select(
-        "bout_id", "event_date", "side", "fighter_id", "opponent_id", "result",
-        F.count("*").over(days).alias("n_prior"), total(win).alias("wins"), total((F.col("result") == "loss").cast("int")).alias("losses"),
-        total("landed").alias("landed"), total("attempted").alias("attempted"), total("opp_landed").alias("opp_landed"), total("opp_attempted").alias("opp_attempted"),
-        F.coalesce(last["streak_"], F.lit(0)).alias("win_streak"), F.coalesce(last["w5_"], F.lit(0)).alias("wins_last_5"), F.datediff("event_date", last["event_date"]).alias("days_since"),
-        safe_divide(F.col("won_"), F.nullif(F.col("earlier_"), F.lit(0))).alias("prior_win_rate"),
-    )
-    return long.select(
-        "bout_id", "event_date", "side", "fighter_id", "opponent_id", "result", "n_prior", "win_streak", "wins_last_5", "days_since",
-        F.round("prior_win_rate", 6).alias("prior_win_rate"),
-        F.round(safe_divide(F.col("landed"), F.col("attempted")), 6).alias("accuracy"),
-        F.round(1 - safe_divide(F.col("opp_landed"), F.col("opp_attempted")), 6).alias("defence"),
-        F.round(safe_divide(F.col("landed"), F.nullif(F.col("n_prior"), F.lit(0))), 6).alias("landed_per_bout"),
-        F.round(safe_divide(F.col("wins"), F.nullif(F.col("n_prior"), F.lit(0))), 6).alias("win_share"),
-    )
-
-
-FEATURES = ("n_prior", "win_streak", "wins_last_5", "days_since", "accuracy", "defence", "landed_per_bout")
-
-
-def pair_features(bouts: DataFrame) -> DataFrame:
-    """Red minus blue for each feature, the target, and the first reason that excludes the bout (NULL: it stays)."""
-    cells = F.struct("result", *FEATURES)
-    sides = summaries(bouts).groupBy("bout_id", "event_date").agg(*[F.max(F.when(F.col("side") == x, cells)).alias(x) for x in ("red", "blue")])
-    pair = sides.select("bout_id", "event_date", "red.result", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("red", "blue") for c in FEATURES])
-    missing = [F.col(f"{x}_{c}").isNull() for x in ("red", "blue") for c in FEATURES[4:]]
-    gone = missing[0]
-    for m in missing[1:]:
-        gone = gone | m
-    reason = F.when(F.col("result") == "other", "no_target").when((F.col("red_n_prior") == 0) | (F.col("blue_n_prior") == 0), "no_history").when(gone, "no_stats")
-    return pair.select(
-        "bout_id", "event_date", F.when(F.col("result") == "win", 1).when(F.col("result") == "loss", 0).alias("target"), reason.alias("exclusion_reason"),
-        *[F.round(F.col(f"red_{c}").cast("double") - F.col(f"blue_{c}"), 6).alias(f"{c}_diff") for c in FEATURES],
-    )
-
 
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with at_, their place from 1 in the total order: a count for each value of its first column, then places within one."""

@@ -27,25 +27,6 @@ bouts AS (SELECT e.bout_id, CAST(o_orderdate AS DATE) event_date,
   r red_fighter_id, x.attempted red_attempted, x.landed red_landed, b blue_fighter_id, y.attempted blue_attempted, y.landed blue_landed
   FROM ends e JOIN side x ON x.bout_id = e.bout_id AND x.fighter_id = r JOIN side y ON y.bout_id = e.bout_id AND y.fighter_id = b JOIN orders ON o_orderkey = e.bout_id)"""
 
-LONG_SQL = """
-long AS (SELECT bout_id, event_date, 'red' AS side, red_fighter_id fighter_id, blue_fighter_id opponent_id, red_attempted attempted, red_landed landed, blue_attempted opp_attempted, blue_landed opp_landed,
-    CASE WHEN winner_id = red_fighter_id THEN 'win' WHEN winner_id = blue_fighter_id THEN 'loss' ELSE 'other' END result FROM bouts
-  UNION ALL SELECT bout_id, event_date, 'blue', blue_fighter_id, red_fighter_id, blue_attempted, blue_landed, red_attempted, red_landed,
-    CASE WHEN winner_id = blue_fighter_id THEN 'win' WHEN winner_id = red_fighter_id THEN 'loss' ELSE 'other' END FROM bouts)"""
-
-HISTORY_SQL = """
-days AS (SELECT a.bout_id, a.side, count(h.bout_id) n_prior, count(*) FILTER (h.result = 'win') wins, sum(h.landed) landed, sum(h.attempted) attempted, sum(h.opp_landed) opp_landed, sum(h.opp_attempted) opp_attempted,
-    max(h.event_date) last_date, list(h.result = 'win' ORDER BY h.event_date DESC, h.bout_id DESC) FILTER (h.bout_id IS NOT NULL) results
-  FROM long a LEFT JOIN long h ON h.fighter_id = a.fighter_id AND h.event_date < a.event_date GROUP BY ALL),
-before AS (SELECT a.bout_id, a.side, avg(CASE WHEN h.result = 'win' THEN 1.0 WHEN h.result IS NOT NULL THEN 0.0 END) prior_win_rate
-  FROM long a LEFT JOIN long h ON h.fighter_id = a.fighter_id AND (h.event_date, h.bout_id) < (a.event_date, a.bout_id) GROUP BY ALL),
-summary AS (SELECT a.bout_id, a.event_date, a.side, a.fighter_id, a.opponent_id, a.result, n_prior,
-  CAST(coalesce(CASE WHEN list_position(results, false) > 0 THEN list_position(results, false) - 1 ELSE len(results) END, 0) AS BIGINT) win_streak,
-  CAST(coalesce(len(list_filter(results[1:5], lambda x: x)), 0) AS BIGINT) wins_last_5, CAST(a.event_date - last_date AS INTEGER) days_since,
-  round(prior_win_rate, 6) prior_win_rate, round(d.landed / nullif(d.attempted, 0)::DOUBLE, 6) accuracy, round(1 - d.opp_landed / nullif(d.opp_attempted, 0)::DOUBLE, 6) defence,
-  round(d.landed / nullif(n_prior, 0)::DOUBLE, 6) landed_per_bout, round(wins / nullif(n_prior, 0)::DOUBLE, 6) win_share
-  FROM long a JOIN days d USING (bout_id, side) JOIN before b USING (bout_id, side))"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -75,28 +56,6 @@ def bouts_wide(spark, d):
     return bouts(spark, d)
 
 
-@query(f"WITH {BOUTS_SQL}, {LONG_SQL}, {HISTORY_SQL} SELECT * FROM summary")
-def history_slice(spark, d):
-    return history.summaries(bouts(spark, d)).withColumns({c: F.col(c).cast("bigint") for c in ("win_streak", "wins_last_5")})
-
-
-DIFFS = ", ".join(f"round(CAST(r.{c} AS DOUBLE) - b.{c}, 6) {c}_diff" for c in history.FEATURES)
-NULLS = " OR ".join(f"{x}.{c} IS NULL" for x in "rb" for c in history.FEATURES[4:])
-PAIR_SQL = f"""pair AS (SELECT r.bout_id, r.event_date, CASE r.result WHEN 'win' THEN 1 WHEN 'loss' THEN 0 END target,
-  CASE WHEN r.result = 'other' THEN 'no_target' WHEN r.n_prior = 0 OR b.n_prior = 0 THEN 'no_history' WHEN {NULLS} THEN 'no_stats' END exclusion_reason, {DIFFS}
-  FROM summary r JOIN summary b ON r.bout_id = b.bout_id AND r.side = 'red' AND b.side = 'blue')"""
-
-
-@query(f"WITH {BOUTS_SQL}, {LONG_SQL}, {HISTORY_SQL}, {PAIR_SQL} SELECT * FROM pair")
-def pair_features(spark, d):
-    return history.pair_features(bouts(spark, d))
-
-
-@query(f"WITH {BOUTS_SQL}, {LONG_SQL}, {HISTORY_SQL}, {PAIR_SQL} SELECT coalesce(exclusion_reason, 'kept') reason, count(*) n FROM pair GROUP BY ALL")
-def exclusion_counters(spark, d):
-    return history.pair_features(bouts(spark, d)).groupBy(F.coalesce("exclusion_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {BOUTS_SQL}, n AS (SELECT count(*) n, greatest(CAST(floor(count(*) * 0.8) AS BIGINT), 40) e0 FROM bouts), e AS (SELECT least(e0, greatest(n - 1, 0)) e FROM n),
   o AS (SELECT bout_id, row_number() OVER (ORDER BY event_date, bout_id) i FROM bouts)
   SELECT CASE WHEN i <= floor(e * 0.8) THEN 'train' WHEN i <= e THEN 'calibration' ELSE 'test' END AS split, count(*) n, min(bout_id) first_id FROM o, e GROUP BY ALL""")
