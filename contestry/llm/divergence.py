@@ -42,7 +42,7 @@ def packed(t: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def count_terms(buckets: int):
+def count_terms(buckets: int, most: int):
     """For mapInArrow over lang, source and text (bytes): blobs with documents and occurrences of each term by lang and source, a row for each
     bucket. A term of no bytes, with no counts, tells that a source is there."""
 
@@ -78,7 +78,7 @@ def count_terms(buckets: int):
                     else:
                         own[w] = [1, n]
                 size += len(own) - before
-                if size > MOST_HELD:
+                if size > most:
                     yield from flush()
                     held, size = {}, 0
         if held:
@@ -136,15 +136,15 @@ def shares(counts: np.ndarray, total: int, v: int) -> np.ndarray:
     return out + 1
 
 
-def compare(key: tuple, rows: pa.Table) -> pa.Table:
+def compare(key: tuple, rows: pa.Table, chunk: int) -> pa.Table:
     """For a chunk and two blocks of sources (or one twice): each pair's part of the sum, and each source's best terms.
 
     Rows of kind 0 are the sources, of kind 1 their counts, of kind 2 the chunk's terms with the language's counts.
     """
     here, there = key[2].as_py(), key[3].as_py()
     kind = rows.column("kind").to_numpy()
-    v, base = rows.column("v")[0].as_py(), key[1].as_py() * CHUNK
-    width = max(0, min(CHUNK, v - base))
+    v, base = rows.column("v")[0].as_py(), key[1].as_py() * chunk
+    width = max(0, min(chunk, v - base))
     sources, counts, words = (rows.filter(pa.array(kind == k)) for k in range(3))
     names, blocks, totals = (sources.column(k).to_pylist() for k in ("source", "block", "total"))
     place = {name: i for i, name in enumerate(names)}
@@ -178,9 +178,9 @@ def compare(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), **{k: pa.array(columns[i], pa.string()) for i, k in enumerate(("source", "part", "item"))}, "value": pa.array(columns[3], pa.int64())})
 
 
-def dictionary(kept: DataFrame, spark: SparkSession) -> DataFrame:
-    """kept (lang, source, term, n) with id, the term's place among its language's terms in UTF-8 order; written."""
-    ranges = kept.repartitionByRange(1 + kept.count() // RANGE, "lang", "term").select(F.spark_partition_id().alias("part"), "*")
+def dictionary(kept: DataFrame, most: int = RANGE) -> DataFrame:
+    """kept (lang, source, term, n) with id, the term's place among its language's terms in UTF-8 order; written. Ranges hold about most rows."""
+    ranges = kept.repartitionByRange(1 + kept.count() // most, "lang", "term").select(F.spark_partition_id().alias("part"), "*")
     ranges = written(ranges, "term-ranges")
     # A row for each range and language in it: at most as many as there are ranges and languages together.
     sizes = ranges.groupBy("part", "lang").agg(F.countDistinct("term").alias("n")).orderBy("part").collect()
@@ -192,7 +192,7 @@ def dictionary(kept: DataFrame, spark: SparkSession) -> DataFrame:
     return written(ranges.groupBy("part", "lang").applyInArrow(encoded(first), "lang string, source string, term string, id bigint, n bigint"), "term-ids")
 
 
-def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS) -> DataFrame:
+def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, chunk: int = CHUNK, block: int = BLOCK, most_held: int = MOST_HELD) -> DataFrame:
     """lang, source, part, item, value and rank: how far each source of a language is from its others, and its most typical terms.
 
     A language keeps the terms that at least least_docs of its documents have; a source's share of a term is
@@ -200,35 +200,35 @@ def divergences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     the sum of the shares' differences over all kept terms, part `term` the TERMS terms by which a source exceeds its
     language most, ties in UTF-8 order. Null text, language or source counts as ''; sources without a term, and languages
     without a kept term, have their pairs, those with sum 0. Repeated rows count each; other columns are left out. An empty
-    table gives no rows.
+    table gives no rows. Tasks hold chunk ids of about 2 * block sources, and most_held counts, at a time.
     """
     spark = docs.sparkSession
     column = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     rows = docs.select(column(lang_col).alias("lang"), column(source_col).alias("source"), column(text_col).cast("binary").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = rows.mapInArrow(count_terms(buckets), "bucket int, blob binary").repartition(buckets, "bucket")
+    blobs = rows.mapInArrow(count_terms(buckets, most_held), "bucket int, blob binary").repartition(buckets, "bucket")
     every = written(blobs.mapInArrow(kept_counts(least_docs), "lang string, source string, term string, n bigint"), "term-counts")
-    ids = dictionary(every.filter("term <> ''"), spark)
+    ids = dictionary(every.filter("term <> ''"))
 
     terms = ids.groupBy("lang", "id", "term").agg(F.sum("n").alias("n"))
-    langs = every.select("lang", "source").distinct().groupBy("lang").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    langs = every.select("lang", "source").distinct().groupBy("lang").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     langs = langs.join(terms.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("v")), "lang", "left").na.fill(0, ["lang_total", "v"])
     totals = every.groupBy("lang", "source").agg(F.sum("n").alias("total"))  # the term of no bytes adds nothing
     groups = written(totals.join(langs, "lang").withColumn("block", F.pmod(F.hash("source"), F.col("blocks"))), "divergence-groups")
 
     # A source meets each block of its language's sources once: blocks, not rows, are paired. A language without terms has one empty chunk.
-    last = F.greatest(F.floor((F.col("v") - 1) / F.lit(CHUNK)), F.lit(0))
+    last = F.greatest(F.floor((F.col("v") - 1) / F.lit(chunk)), F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    chunk = F.floor(F.col("id") / F.lit(CHUNK)).alias("chunk")
+    of_id = F.floor(F.col("id") / F.lit(chunk)).alias("chunk")
     null = lambda kind: F.lit(None).cast(kind)
     met = (F.least("block", "other").alias("here"), F.greatest("block", "other").alias("there"))
     present = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).select("*", other)
     present = present.select("lang", "chunk", *met, F.lit(0).alias("kind"), "source", "block", "total", "v", null("bigint").alias("id"), null("bigint").alias("n"), null("string").alias("term"))
-    counted = ids.join(groups, ["lang", "source"]).select("*", chunk, other)
+    counted = ids.join(groups, ["lang", "source"]).select("*", of_id, other)
     counted = counted.select("lang", "chunk", *met, F.lit(1).alias("kind"), "source", "block", "total", "v", "id", "n", null("string").alias("term"))
-    words = terms.join(groups.select("lang", "blocks", "lang_total", "v").distinct(), "lang").select("*", chunk, other)
+    words = terms.join(groups.select("lang", "blocks", "lang_total", "v").distinct(), "lang").select("*", of_id, other)
     words = words.select("lang", "chunk", F.col("other").alias("here"), F.col("other").alias("there"), F.lit(2).alias("kind"), null("string").alias("source"), null("int").alias("block"), F.col("lang_total").alias("total"), "v", "id", "n", "term")
-    found = present.unionByName(counted).unionByName(words).groupBy("lang", "chunk", "here", "there").applyInArrow(compare, "lang string, source string, part string, item string, value bigint")
+    found = present.unionByName(counted).unionByName(words).groupBy("lang", "chunk", "here", "there").applyInArrow(lambda key, rows: compare(key, rows, chunk), "lang string, source string, part string, item string, value bigint")
     found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))  # a term is in one chunk, a pair in all
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return found.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= TERMS))
