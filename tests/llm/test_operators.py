@@ -434,7 +434,7 @@ def test_mixing_without_training(spark, docs, none):
 def test_masks_hold_every_language_of_an_ngram(spark):
     words = {"l%02d" % i: [f"{chr(97 + i % 26)}{w}{chr(97 + i // 26)}" for w in ("abc", "xyzz", "éa", "mnop")] for i in range(70)}
     rows = [(" ".join(R.choice(w, 30)), lang) for lang, w in words.items() for _ in range(3)] + [("shared words everywhere", lang) for lang in words]
-    filters = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    filters = language.train(spark.createDataFrame(rows, "text string, lang string")).filters(0)
     assert filters.langs == sorted(words) and filters.planes.shape[0] == 2
     own = {}
     for text, lang in rows:
@@ -448,5 +448,37 @@ def test_masks_hold_every_language_of_an_ngram(spark):
         x = language.ngrams(language.letters_only(text))
         true = np.array([sum(g in own[k] for g in x.tolist()) for k in filters.langs])
         assert (filters.hits(x) >= true).all()
-        assert filters.predict(text)[0] == filters.langs[int(np.argmax(true))] == lang
+        told = language.decide(filters.langs, np.array([len(x)]), filters.hits(x)[None, :], filters.false_rate[None, :])
+        assert told[0] == filters.langs[int(np.argmax(true))] == lang
+
+
+def test_shards_answer_as_one_filter(spark, docs):
+    """Filters that are split by n-gram give what one filter gives, repeated and null ids and very long texts included."""
+    own = {"aa": ["kala", "maki", "toru", "nima"], "bb": ["strend", "wicht", "grolf", "pless"], "cc": ["øre", "ærø", "ål"]}
+    rows = [(i % 150, " ".join(R.choice(own[k], 3000 if i == 7 else 30)), k, "x", 1.0) for i, k in enumerate(list(own) * 60)]
+    learned = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, score double")
+    asked = learned.unionByName(spark.createDataFrame([(None, "kala maki", "x", "y", 0.0), (1, None, None, None, None), (1, " 12 ", "x", "y", 0.0), (2, "ål", "x", "y", 0.0)], learned.schema))
+    texts = learned.select("text", "lang")
+    whole, split = language.train(texts), language.train(texts, most_bytes=1 << 17)
+    assert whole.shards == 1 and (split.bits, split.shards) == (14, 4)
+    told = [Counter((r["doc_id"], r["lang_pred"]) for r in language.identify(asked, t).collect()) for t in (whole, split)]
+    assert told[0] == told[1] and sum(told[0].values()) == asked.count()
+    assert {lang for _, lang in told[0]} == {"aa", "bb", "cc", "und"}
+    assert language.sized(10_000_000, 4, 64 << 20) == (23, 8) and language.sized(50_000, 4, 64 << 20) == (18, 1)
+
+
+def test_many_ngrams_keep_the_false_rate():
+    """Filters of a hundredth of a shard's size, and as many n-grams: the rate of false hits follows from slots a gram, not from a size."""
+    rates = []
+    for n in (20_000, 400_000):
+        bits, shards = language.sized(n, 4, 1 << 18)
+        x = R.integers(1, 1 << 40, n, dtype=np.uint64)
+        rate = []
+        for k in range(min(shards, 4)):
+            plane = np.zeros(1 << bits, np.uint64)
+            for s in language.slots(x[language.shard_of(x, shards) == k], bits):
+                plane[s] |= np.uint64(1)
+            rate.append((np.count_nonzero(plane) / len(plane)) ** language.HASHES)
+        rates.append(np.mean(rate))
+    assert max(rates) < 0.2 and abs(rates[0] - rates[1]) < 0.1
 
