@@ -8,7 +8,7 @@ from collections.abc import Callable
 from itertools import product
 from pathlib import Path
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -72,9 +72,13 @@ def with_vector(rows: DataFrame, features: list[str], scaled: str | None = None)
     return VectorAssembler(inputCols=features, outputCol=scaled or "x_").transform(rows)
 
 
+def fitted(train: DataFrame, features: list[str], setting: dict, label: str = "y", seed: int = 42) -> GBTClassificationModel:
+    return GBTClassifier(featuresCol="x_", labelCol="y_", seed=seed, **setting).fit(with_vector(train, features).select("x_", F.col(label).cast("double").alias("y_")))
+
+
 def boosted(train: DataFrame, features: list[str], setting: dict, label: str = "y", seed: int = 42) -> Callable[[DataFrame, str], DataFrame]:
     """Boosted trees on train; gives a function that adds their probability of 1 to rows under a name. Features must be known."""
-    model = GBTClassifier(featuresCol="x_", labelCol="y_", seed=seed, **setting).fit(with_vector(train, features).select("x_", F.col(label).cast("double").alias("y_")))
+    model = fitted(train, features, setting, label, seed)
     return lambda rows, name: model.transform(with_vector(rows, features)).withColumn(name, vector_to_array("probability")[1]).drop("x_", "rawPrediction", "probability", "prediction")
 
 
