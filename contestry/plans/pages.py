@@ -124,18 +124,30 @@ def weigh_in_lines(spark, d):
     return feeds.weigh_ins(docs, "o_orderkey", "text")
 
 
-RSS = "<rss><channel><title>no</title><item><title><![CDATA[T & %d]]></title><link>http://x/%d</link><description>&lt;p&gt;Some  text&lt;/p&gt;</description><pubDate>lun, 12 ene 2026 08:30:00 +0000</pubDate></item><item><title>No link</title></item></channel></rss>"
+RSS = """<rss xmlns:media="urn:m"><channel><title>no</title><item><title><![CDATA[T & <%d>]]> &#8217;x&amp;</title><media:thumbnail url="u"/><link>http://x/%d</link><description>&lt;p&gt;Some  <![CDATA[text]]>&lt;/p&gt;</description>
+<pubDate>lun, 12 ene 2026 08:30:00 +0000</pubDate></item><item><title>No link</title></item><item><title>Second</title><link>http://y/%d</link></item></channel></rss>"""
 
 
-@query("SELECT o_orderkey, 'T & ' || o_custkey title, 'http://x/' || o_orderkey link, 'Some text' summary, '2026-01-12 08:30:00' published FROM orders")
+def feed_documents(spark, d):
+    """One feed an order; one of seven breaks off."""
+    whole = say(RSS, customer_key(), order_key(), order_key())
+    return table(spark, d, "orders").select("o_orderkey", (order_key() % 5).alias("source"), F.when(order_key() % 7 == 0, F.substring(whole, 1, 150)).otherwise(whole).alias("xml"))
+
+
+@query("""SELECT o_orderkey, 'T & <' || o_custkey || '> ’x&' title, 'http://x/' || o_orderkey link, 'Some text' summary, '2026-01-12 08:30:00' published FROM orders WHERE o_orderkey % 7 <> 0
+  UNION ALL SELECT o_orderkey, 'Second', 'http://y/' || o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 7 <> 0""")
 def feed_rows(spark, d):
-    docs = table(spark, d, "orders").select("o_orderkey", say(RSS, customer_key(), order_key()).alias("xml"))
-    return feeds.feed_items(docs, "o_orderkey", "xml").withColumn("published", F.col("published_at").cast("string")).drop("published_at")
+    return feeds.feed_items(feed_documents(spark, d), "o_orderkey", "xml").withColumn("published", F.col("published_at").cast("string")).drop("published_at")
+
+
+@query("SELECT o_orderkey % 5 source, count(*) n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY ALL")
+def broken_feeds(spark, d):
+    return feeds.broken_feeds(feed_documents(spark, d), "source", "xml")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END::BIGINT n, o_orderkey % 3 = 0 dead FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 2 ELSE 0 END::BIGINT n, o_orderkey % 3 = 0 dead FROM orders")
 def feed_health(spark, d):
-    docs = table(spark, d, "orders").select("o_orderkey", F.when(order_key() % 3 > 0, say(RSS, customer_key(), order_key())).otherwise("<rss/>").alias("xml"))
+    docs = table(spark, d, "orders").select("o_orderkey", F.when(order_key() % 3 > 0, say(RSS, customer_key(), order_key(), order_key())).otherwise("<rss/>").alias("xml"))
     return feeds.feed_counts(feeds.feed_items(docs, "o_orderkey", "xml"), docs, "o_orderkey")
 
 
