@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from contestry.plans.registry import query
 from contestry.sources.proxy import table
-from contestry.streaming import live
+from contestry.sources.staged import new_path
+from contestry.streaming import live, ordered
 from contestry.streaming.changes import replay
 
 PASS_SQL = """p AS (SELECT user_id bout_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, CASE event_id % 10 WHEN 0 THEN 'pre' WHEN 8 THEN 'post' WHEN 9 THEN 'post' ELSE 'in' END st,
@@ -25,8 +26,9 @@ WALK_SQL = f"""WITH RECURSIVE {PASS_SQL}, r AS (
     FROM r JOIN p ON p.bout_id = r.bout_id AND p.i = r.i + 1)))"""
 
 
-def passes(spark, d):
-    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream's plain path has to be a folder
+def passes(spark, d, stream=None):
+    if stream is None:
+        stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream's plain path has to be a folder
     k = F.col("event_id")
     error = F.col("event_type") == "error"
     return stream.select(
@@ -57,3 +59,32 @@ def live_states(spark, d):
 @query(f"{WALK_SQL}, c AS (SELECT bout_id, max(i) FILTER (cut) i0 FROM r GROUP BY ALL) SELECT bout_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, st state, period, clock, sa stats_a, sb stats_b FROM r JOIN c USING (bout_id) WHERE sampled AND (i0 IS NULL OR i > i0)")
 def live_series(spark, d):
     return live.series(replayed(spark, d)).withColumn("at", second("ts")).drop("ts")
+
+
+#: The walk in which a row that nobody wrote for two days is gone before the next pass.
+GONE = "(r.alive AND p.ts > r.upd + INTERVAL 48 HOUR)"
+WALK_ENDING_SQL = WALK_SQL
+for _old, _new in (
+    ("r.alive, r.st ost, r.period operiod, r.clock oclock, r.sa osa, r.sb osb, r.fin, r.upd, r.smp,", f"r.alive AND NOT {GONE} alive, " + ", ".join(f"CASE WHEN NOT coalesce({GONE}, false) THEN r.{c} END {n}" for c, n in (("st", "ost"), ("period", "operiod"), ("clock", "oclock"), ("sa", "osa"), ("sb", "osb"))) + f", r.fin AND NOT coalesce({GONE}, false) fin, r.upd, CASE WHEN NOT coalesce({GONE}, false) THEN r.smp END smp,"),
+    ("CASE WHEN r.st = 'post' THEN", f"CASE WHEN r.st = 'post' AND NOT coalesce({GONE}, false) THEN"),
+    ("coalesce(p.sa, r.sa) nsa, coalesce(p.sb, r.sb) nsb", f"coalesce(p.sa, CASE WHEN NOT coalesce({GONE}, false) THEN r.sa END) nsa, coalesce(p.sb, CASE WHEN NOT coalesce({GONE}, false) THEN r.sb END) nsb"),
+    ("r.fin OR (p.st", f"(r.fin AND NOT coalesce({GONE}, false)) OR (p.st"),
+):
+    assert _old in WALK_ENDING_SQL
+    WALK_ENDING_SQL = WALK_ENDING_SQL.replace(_old, _new)
+
+
+def ordered_replay(spark, d):
+    """The events as passes in a folder of three files, none of which is in order, replayed a file a batch."""
+    at = passes(spark, d, table(spark, d, "events"))
+    folder = new_path(spark, "passes")
+    at.withColumn("place", F.col("place").cast("bigint")).repartition(3, F.xxhash64("place")).write.parquet(folder)
+    return ordered.replay_folder(spark, folder, 1, delay="400 days")  # the files hold all times each, so everything waits for the last one
+
+
+@query(f"""{WALK_ENDING_SQL}, w AS (SELECT *, lead(ts) OVER (PARTITION BY bout_id ORDER BY i) nts FROM r WHERE wrote OR dropped)
+  SELECT bout_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, unnest(list_filter([CASE WHEN dropped THEN 'drop' END, CASE WHEN cut THEN 'drop_series' END, CASE WHEN wrote THEN 'write' END, CASE WHEN sampled THEN 'sample' END], lambda k: k IS NOT NULL)) kind, st state, period, clock, sa stats_a, sb stats_b, fin is_final FROM r WHERE i > 0
+  UNION ALL SELECT bout_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S'), 'reseal_due', st, period, clock, sa, sb, fin FROM w WHERE wrote AND fin AND (nts IS NULL OR nts > ts + INTERVAL 2 HOUR)
+  UNION ALL SELECT bout_id, strftime(ts + INTERVAL 48 HOUR, '%Y-%m-%d %H:%M:%S'), 'expired', st, period, clock, sa, sb, fin FROM w WHERE wrote AND (nts IS NULL OR nts > ts + INTERVAL 48 HOUR)""")
+def ordered_live_log(spark, d):
+    return ordered_replay(spark, d).withColumn("at", second("ts")).drop("ts")
