@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contestry.sources.staged import staged
+
 
 def with_roles(bouts: DataFrame, facts: DataFrame, roles: tuple[str, ...] = ("red", "blue"), keys: tuple[str, str] = ("bout_id", "fighter_id")) -> DataFrame:
     """bouts with facts' other columns for each role, by bout and the role's participant; what isn't known is NULL.
@@ -115,9 +117,13 @@ def by_priority(people: DataFrame, ranked: DataFrame, on_card: DataFrame) -> Dat
     flag = lambda ids, name: ids.select("id").distinct().withColumn(name, F.lit(True))
     at = people.join(flag(ranked, "ranked_"), "id", "left").join(flag(on_card, "card_"), "id", "left")
     group = F.when(F.col("ranked_"), 0).when(F.col("card_"), 1).when(F.col("photo").isNotNull(), 2).otherwise(3)
-    at = at.withColumn("group", group)
-    before = at.groupBy("group").agg(F.count("*").alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")  # four rows
-    return at.join(F.broadcast(before), "group").withColumn("place", F.col("before_") + F.row_number().over(Window.partitionBy("group").orderBy("name", "id"))).select("id", "group", "place")
+    order = ("group", "name", "id")
+    parts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = at.withColumn("group", group).repartitionByRange(parts, *order).select(F.spark_partition_id().alias("part_"), *order)
+    dealt = staged(dealt, "priority")  # its ranges are fixed with it
+    before = dealt.groupBy("part_").agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).drop("n_")  # a row for each range
+    own = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return dealt.withColumn("own_", own).join(F.broadcast(before), "part_").select("id", "group", (F.col("before_") + F.col("own_")).alias("place"))
 
 
 def key_counts(bouts: DataFrame, keys: tuple[str, str] = ("red_fighter_id", "blue_fighter_id")) -> DataFrame:
@@ -136,21 +142,6 @@ def source_report(people: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return people.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
 
 
-def mentions(texts: DataFrame, people: DataFrame, most: int = 4) -> DataFrame:
-    """id and names: the first `most` people, in order of their id, whose key stands in the text's key as whole words.
-
-    Names are looked up by their words (an equi-join on every run of as many words), so no text meets every name.
-    """
-    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    known = people.select(F.col("id").alias("who_"), "name", words(F.col("name")).alias("w_")).withColumns({"k_": F.array_join("w_", " "), "n_": F.size("w_")}).filter("n_ > 0")
-    lengths = sorted(r["n_"] for r in known.select("n_").distinct().collect())  # as many as names have words
-    w = words(F.col("text"))
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in lengths])) if lengths else F.array().cast("array<string>")
-    met = texts.select("id", F.explode(F.array_distinct(runs)).alias("k_")).join(known, "k_")
-    first = F.slice(F.sort_array(F.collect_set(F.struct("who_", "name"))), 1, most)
-    return met.groupBy("id").agg(F.transform(first, lambda x: x["name"]).alias("names"))
-
-
 def with_parent(children: DataFrame, parents: DataFrame, keys: list[str], parent: str) -> DataFrame:
     """children all of whose keys (NULL ones aside) have a parent; the others are orphans that a clean-up drops."""
     ids = parents.select(F.col(parent).alias("p_")).distinct()

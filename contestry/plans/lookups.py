@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contestry.functions import scalar as sc
 from contestry.operators import lookups as lk
 from contestry.operators import metrics
+from contestry.operators.mentions import mentions
 from contestry.plans.careers import FULL_SQL
 from contestry.plans.registry import SCORED_SQL, query, scored
 from contestry.sources.proxy import full_bouts, stat_sides, table
@@ -167,14 +168,16 @@ def class_scores(spark, d):
     return metrics.multiclass_metrics(rows, ["ko", "sub", "dec"])
 
 
-@query("""WITH n AS (SELECT c_custkey id, c_name AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) k FROM customer), t AS (SELECT o_orderkey id, 'Story of Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || ' and customer ' || lpad(CAST(o_custkey // 2 AS VARCHAR), 9, '0') AS text FROM orders),
-  h AS (SELECT t.id, n.id who, name FROM t JOIN n ON contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || k || ' ')) SELECT id, array_to_string(list(name ORDER BY who)[1:4], '|') AS names FROM h GROUP BY ALL""")
+KEY_SQL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT doc_id who, substring(text, 1, 9) AS name, {KEY_SQL.format("substring(text, 1, 9)")} AS k FROM documents WHERE doc_id % 10 = 0), t AS (SELECT doc_id id, {KEY_SQL.format("text")} AS t FROM documents),
+  h AS (SELECT t.id, n.who, name FROM t JOIN n ON k <> '' AND contains(t, k)) SELECT id, array_to_string(list(name ORDER BY who)[1:4], '|') AS names FROM h GROUP BY ALL""")
 def people_mentioned(spark, d):
-    c = F.col("o_custkey")
-    number = lambda x: F.lpad(x.cast("string"), 9, "0")
-    texts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Story of Customer#"), number(c), F.lit(" and customer "), number(F.floor(c / 2))).alias("text"))
-    got = lk.mentions(texts, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
-    return got.select("id", F.array_join("names", "|").alias("names"))
+    """The beginnings of some documents, looked for in all of them."""
+    docs = table(spark, d, "documents")
+    people = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 9).alias("name"))
+    return mentions(docs.select(F.col("doc_id").alias("id"), "text"), people).select("id", F.array_join("names", "|").alias("names"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority ILIKE '%high%' OR regexp_matches(o_orderpriority, '(?i)\\burgent\\b')")
