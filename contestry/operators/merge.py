@@ -11,7 +11,8 @@ RULES = {
     "stored_wins": lambda old, new: F.coalesce(old, new),
     "stored_text_wins": lambda old, new: F.coalesce(F.nullif(old, F.lit("")), new),
     "monotonic": lambda old, new: F.greatest(old, new),
-    "key_merge": lambda old, new: F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,bigint>")), lambda k, v: ~F.array_contains(F.map_keys(F.coalesce(new, F.create_map().cast("map<string,bigint>"))), k)), F.coalesce(new, F.create_map().cast("map<string,bigint>"))),
+    # Keys that come replace stored ones of the same name, the others stay; values of any type. NULL where neither side has a map.
+    "key_merge": lambda old, new: F.coalesce(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new), new, old),
 }
 
 
@@ -36,9 +37,9 @@ def total(parts: list[Column]) -> Column:
 
 RULES |= {
     # Written once: a stored value stays whatever comes, an empty text counts as none.
-    "first_writer": lambda old, new: F.coalesce(F.nullif(old.cast("string"), F.lit("")), new.cast("string")),
+    "first_writer": lambda old, new: F.coalesce(F.when(old.cast("string") != "", old), new),
     # A value that comes replaces the stored one; none leaves it.
-    "new_wins_if_present": lambda old, new: F.coalesce(F.nullif(new.cast("string"), F.lit("")), old.cast("string")),
+    "new_wins_if_present": lambda old, new: F.coalesce(F.when(new.cast("string") != "", new), old),
     # A flag once set stays set.
     "any_of": lambda old, new: F.coalesce(old, F.lit(False)) | F.coalesce(new, F.lit(False)),
 }

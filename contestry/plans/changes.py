@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from contestry.operators import applying, merging
+from contestry.operators import applying, merge, merging
 from contestry.plans.registry import query
 from contestry.sources.proxy import table
 
@@ -47,3 +47,23 @@ def applied_plan(spark, d):
     changed = c.filter((k % 5 > 0) & (k % 7 != 0)).withColumn("segment", F.when(k % 7 == 2, "new").otherwise(F.col("segment"))).unionByName(c.filter((k % 5 == 0) & (k % 2 == 0)).withColumn("segment", F.lit("added")))
     applying.apply(spark, applying.planned(spark, name, changed, "c_custkey"))
     return applying.stored(spark, name)
+
+
+@query("""WITH s AS (SELECT c_custkey k, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END n, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END b, c_custkey % 3 m FROM customer WHERE c_custkey % 7 > 0),
+  i AS (SELECT c_custkey k, CASE WHEN c_custkey % 2 > 0 THEN c_nationkey + 100 END n, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal + 1 END b, c_custkey % 2 m FROM customer WHERE c_custkey % 6 > 0)
+  SELECT coalesce(s.k, i.k) k, CASE WHEN i.k IS NULL THEN s.n ELSE i.n END overwritten, coalesce(s.n, i.n) first_n, coalesce(i.b, s.b) new_b,
+    CASE WHEN s.k IS NULL THEN CASE WHEN i.m = 0 THEN 'a=1.5;c=' || i.k ELSE '' END WHEN i.k IS NULL THEN CASE WHEN s.m > 0 THEN 'a=' || s.k || ';b=0.5' ELSE '' END
+      WHEN s.m > 0 AND i.m = 0 THEN 'a=1.5;b=0.5;c=' || s.k WHEN s.m > 0 THEN 'a=' || s.k || ';b=0.5' WHEN i.m = 0 THEN 'a=1.5;c=' || s.k ELSE '' END merged
+  FROM s FULL JOIN i USING (k)""")
+def typed_rules(spark, d):
+    """Rules that keep the column's type: overwrite even by NULL, first writer, new wins if present, maps key by key."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    text = k.cast("string")
+    side = lambda n, b, m: c.select(k.alias("k"), n.alias("overwritten"), n.alias("first_n"), b.alias("new_b"), m.alias("merged"))
+    one = F.when(k % 3 > 0, F.create_map(F.lit("a"), text, F.lit("b"), F.lit("0.5")))
+    two = F.when(k % 2 == 0, F.create_map(F.lit("c"), text, F.lit("a"), F.lit("1.5")))
+    stored = side(F.when(k % 4 > 0, F.col("c_nationkey")), F.when(k % 5 > 0, F.col("c_acctbal")), one).filter("k % 7 > 0")
+    incoming = side(F.when(k % 2 > 0, F.col("c_nationkey") + 100), F.when(k % 3 > 0, F.col("c_acctbal") + 1), two).filter("k % 6 > 0")
+    got = merge.merge_upsert(stored, incoming, ["k"], {"overwritten": "incoming", "first_n": "first_writer", "new_b": "new_wins_if_present", "merged": "key_merge"})
+    pairs = F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return got.select("k", "overwritten", "first_n", "new_b", F.coalesce(F.array_join(pairs, ";"), F.lit("")).alias("merged"))

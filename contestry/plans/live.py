@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contestry.plans.registry import query
 from contestry.sources.proxy import table
 from contestry.sources.staged import new_path
-from contestry.streaming import live, ordered
+from contestry.streaming import live, metering, ordered
 from contestry.streaming.changes import replay
 
 PASS_SQL = """p AS (SELECT user_id bout_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, CASE event_id % 10 WHEN 0 THEN 'pre' WHEN 8 THEN 'post' WHEN 9 THEN 'post' ELSE 'in' END st,
@@ -88,3 +88,19 @@ def ordered_replay(spark, d):
   UNION ALL SELECT bout_id, strftime(ts + INTERVAL 48 HOUR, '%Y-%m-%d %H:%M:%S'), 'expired', st, period, clock, sa, sb, fin FROM w WHERE wrote AND (nts IS NULL OR nts > ts + INTERVAL 48 HOUR)""")
 def ordered_live_log(spark, d):
     return ordered_replay(spark, d).withColumn("at", second("ts")).drop("ts")
+
+
+@query("""SELECT unnest(['rows', 'live', 'over', 'cancelled', 'fresh']) metric, unnest([count(*), count(*) FILTER (event_id % 10 BETWEEN 1 AND 7), count(*) FILTER (event_id % 10 >= 8), count(*) FILTER (event_type = 'error' AND event_id % 3 < 2), count(*) FILTER (event_id % 3 > 0 OR event_id % 4 <> 1)]) AS value FROM events""")
+def loop_metrics(spark, d):
+    """What a replayed stream's observed counts add up to."""
+    state = F.col("state")
+    counted = metering.observed(passes(spark, d), "passes", {"live": state == "in", "over": state == "post", "cancelled": live.is_cancelled(F.col("status")), "fresh": F.col("stats_a").isNotNull() | F.col("stats_b").isNotNull()})
+    meter = metering.Meter(spark, new_path(spark, "metrics"))
+    spark.streams.addListener(meter)
+    try:
+        replay(counted.select("bout_id", "ts", "state"))
+        metering.await_listeners(spark)
+    finally:
+        spark.streams.removeListener(meter)
+    meter.flush()
+    return metering.totals(spark, meter.path, "passes")

@@ -314,15 +314,21 @@ def safe_changes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sc.safe_record_change([k % 9, c % 5, k % 2], [k % 9 + c % 3, c % 5, (k + c) % 2], 2).alias("safe"))
 
 
-@query("""SELECT CAST(o_custkey AS VARCHAR) event_id, CAST(o_orderkey AS VARCHAR) bout_id, (o_orderkey % 5) || ':30' clock, CAST(1 + o_orderkey % 3 AS INTEGER) period, CASE WHEN o_orderstatus = 'F' THEN 'post' ELSE 'in' END state,
-  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) || 'r' END winner_id FROM orders""")
+@query("""SELECT CAST(o_custkey AS VARCHAR) event_id, 'Card ' || o_custkey event_name, strftime(o_orderdate, '%Y-%m-%d') || ' 22:30' AS start, CAST(o_orderkey AS VARCHAR) bout_id, o_orderkey || 'b' red_id, o_orderkey || 'r' blue_id, CASE WHEN o_orderkey % 3 > 0 THEN 'N ' || o_custkey END red_name, NULL::VARCHAR blue_name,
+  (o_orderkey % 5) || ':30' clock, CAST(1 + o_orderkey % 3 AS INTEGER) period, CASE WHEN o_orderstatus = 'F' THEN 'post' ELSE 'in' END state, o_orderstatus = 'F' completed, 'STATUS_' || o_orderstatus status, CASE o_orderkey % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' END status_detail,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'unofficial winner kotko' END unofficial, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 > 0 THEN CAST(o_orderkey AS VARCHAR) || 'r' END winner_id FROM orders WHERE o_orderkey % 11 > 0""")
 def scoreboard_rows(spark, d):
+    """Competitions of one competitor aren't read; two marked winners are none."""
     o = table(spark, d, "orders")
-    k, done = F.col("o_orderkey").cast("string"), F.col("o_orderstatus") == "F"
-    status = F.struct(F.concat(F.col("o_orderkey") % 5, F.lit(":30")).alias("displayClock"), (1 + F.col("o_orderkey") % 3).alias("period"), F.struct(F.when(done, "post").otherwise("in").alias("state"), done.alias("completed")).alias("type"))
-    sides = F.array(F.struct(F.concat(k, F.lit("b")).alias("id"), F.lit(False).alias("winner")), F.struct(F.concat(k, F.lit("r")).alias("id"), done.alias("winner")))
-    event = F.struct(F.col("o_custkey").cast("string").alias("id"), F.array(F.struct(k.alias("id"), sides.alias("competitors"), status.alias("status"))).alias("competitions"))
-    return documents.scoreboard(o.select(F.to_json(F.struct(F.array(event).alias("events"))).alias("doc")), "doc")
+    key, k, done = F.col("o_orderkey"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus") == "F"
+    kind = F.struct(F.concat(F.lit("STATUS_"), "o_orderstatus").alias("name"), F.when(done, "post").otherwise("in").alias("state"), done.alias("completed"), F.when(key % 3 == 0, "short").when(key % 3 == 1, "").alias("shortDetail"), F.when(key % 3 < 2, "long").alias("detail"))
+    status = F.struct(F.concat(key % 5, F.lit(":30")).alias("displayClock"), (1 + key % 3).alias("period"), kind.alias("type"))
+    athlete = F.struct(F.when(key % 3 > 0, F.concat(F.lit("N "), F.col("o_custkey").cast("string"))).alias("displayName"))
+    side = lambda letter, won, who: F.struct(F.concat(k, F.lit(letter)).alias("id"), won.alias("winner"), who.alias("athlete"))
+    sides = F.array(side("b", done & (key % 7 == 0), athlete), side("r", done, F.lit(None).cast("struct<displayName:string>")))
+    details = F.array(F.struct(F.struct(F.lit("Round 1").alias("text")).alias("type")), F.struct(F.struct(F.when(key % 4 == 1, " Unofficial Winner Kotko ").otherwise("x").alias("text")).alias("type")))
+    event = F.struct(F.col("o_custkey").cast("string").alias("id"), F.concat(F.lit(" Card "), "o_custkey").alias("name"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T22:30Z")).alias("date"), F.array(F.struct(k.alias("id"), F.slice(sides, F.lit(1), F.when(key % 11 == 0, 1).otherwise(2)).alias("competitors"), details.alias("details"), status.alias("status"))).alias("competitions"))
+    return documents.scoreboard(o.select(F.to_json(F.struct(F.array(event).alias("events"))).alias("doc")), "doc").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderkey % 7 AS DOUBLE) landed, CASE WHEN o_custkey % 4 > 0 THEN CAST(o_custkey % 4 AS DOUBLE) END missed, CAST(o_orderkey % 7 + o_custkey % 4 AS DOUBLE) thrown FROM orders""")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from contestry.operators import attributions, career, models, trigrams
+from contestry.operators import attributions, career, isotonic, metrics, models, trigrams
 from contestry.plans.careers import pairings
-from contestry.plans.registry import query
-from contestry.sources.proxy import table
+from contestry.plans.registry import SCORED_SQL, query, scored
+from contestry.sources.proxy import full_bouts, table
+from contestry.sources.staged import staged
 
 NAMES = (("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"))
 TRIGRAM_SQL = f"""WITH n AS ({' UNION ALL '.join(f"SELECT '{t}-' || {k} AS id, {k} % 100 = 0 AS asks, {c} AS name FROM {t}" for t, k, c in NAMES)}),
@@ -42,12 +43,57 @@ def names_searched(spark, d):
     return found.withColumn("i_", place).filter("i_ <= 5").drop("i_")
 
 
+#: Each fitted score's value is the greatest, over the scores at or before it, of the least mean from there to any score at or after it.
+@query(f"""WITH {SCORED_SQL}, t AS (SELECT p, sum(y)::BIGINT s, count(*) n, row_number() OVER (ORDER BY p) i FROM scored WHERE doc_id % 2 = 0 GROUP BY p), c AS (SELECT *, sum(s) OVER (ORDER BY i) cs, sum(n) OVER (ORDER BY i) cn FROM t),
+  m AS (SELECT a.i a, b.i b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::DOUBLE m FROM c a JOIN c b ON b.i >= a.i), l AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) least FROM m),
+  f AS (SELECT p, max(least) v FROM l JOIN t ON t.i = l.b GROUP BY p), x AS (SELECT s.doc_id, s.p, (SELECT max(p) FROM f WHERE f.p <= s.p) lo, (SELECT min(p) FROM f WHERE f.p >= s.p) hi FROM scored s)
+  SELECT doc_id, x.p, round(CASE WHEN lo IS NULL THEN h.v WHEN hi IS NULL OR lo = hi THEN g.v ELSE (h.v - g.v) / (hi - lo) * (x.p - lo) + g.v END, 6) calibrated FROM x LEFT JOIN f g ON g.p = lo LEFT JOIN f h ON h.p = hi""")
+def isotonic_scores(spark, d):
+    """Every score calibrated by an isotonic fit to the documents of even ids."""
+    rows = scored(spark, d).select("doc_id", "p", "y")
+    return isotonic.calibrated(rows, isotonic.fit(rows.filter("doc_id % 2 = 0"))).select("doc_id", "p", F.round("calibrated", 6).alias("calibrated"))
+
+
+def split_rows(spark, d):
+    """Winner rows that may be used, imputed by the medians of the first four fifths of the days (fits), and the day's place among the rest (late: the last tenth)."""
+    names_ = [f"{c}_diff" for c in career.DIFFS]
+    rows = staged(career.winner_rows(pairings(spark, d)).filter("exclusion_reason IS NULL").withColumnRenamed("target", "y"), "winner-rows")
+    cut = rows.select(F.percentile(F.unix_date("event_date"), F.array(F.lit(0.8), F.lit(0.9))).alias("c")).first()["c"] or [0, 0]
+    day = F.unix_date("event_date")
+    rows = rows.withColumns({"fits": day <= cut[0], "late": day > cut[1]})
+    return names_, models.median_impute(rows, names_, "fits").na.fill(0.0, names_)
+
+
+@query()
+def held_out_variants(spark, d):
+    """The four forms of the boosted trees' probability on the last tenth of the days, and the baselines there: accuracy, log loss, Brier score and AUC."""
+    names_, rows = split_rows(spark, d)
+    score = models.boosted(rows.filter("fits"), names_, {"maxDepth": 3, "maxIter": 10})
+    got = models.variants(rows.filter("NOT fits AND NOT late"), rows.filter("late"), "bout_id", names_, score, "sigmoid")
+    forms = ("raw", "symmetrised", "raw_calibrated", "symmetrised_calibrated")
+    share = rows.filter("fits").agg(F.avg("y").alias("m")).first()["m"]
+    each = got.select("y", F.explode(F.array(*[F.struct(F.lit(f).alias("model"), F.col(f).alias("p")) for f in forms], F.struct(F.lit("baseline").alias("model"), F.lit(share).alias("p")))).alias("r")).select("y", "r.*")
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    told = each.groupBy("model").agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy"), F.avg(-F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p))).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
+    return told
+
+
+@query()
+def held_out_methods(spark, d):
+    """The three-class blend on the last tenth of the days: each class's scores beside the classes' own shares."""
+    names_ = [f"{c}_diff" for c in career.DIFFS] + [f"{c}_sum" for c in career.SUMS]
+    bouts = staged(full_bouts(spark, d), "bouts")
+    rows = staged(career.method_rows(pairings(spark, d, bouts), bouts).filter("exclusion_reason IS NULL").withColumnRenamed("target", "y"), "method-rows")
+    cut = rows.select(F.percentile(F.unix_date("event_date"), F.lit(0.9)).alias("c")).first()["c"] or 0
+    rows = models.median_impute(rows.withColumn("fits", F.unix_date("event_date") <= cut), names_, "fits").na.fill(0.0, names_)
+    classes = ["ko", "sub", "dec"]
+    score = models.method_model(rows.filter("fits"), names_, classes, {"maxDepth": 3, "maxIter": 5})
+    return metrics.multiclass_metrics(score(rows.filter("NOT fits")), classes)
+
+
 @query()
 def attributed_predictions(spark, d):
     """The five features that told most for either side of every pairing, by boosted trees fitted on the first four fifths of the days."""
-    names_ = [f"{c}_diff" for c in career.DIFFS]
-    rows = career.winner_rows(pairings(spark, d)).filter("exclusion_reason IS NULL").withColumnRenamed("target", "y")
-    cut = rows.select(F.percentile(F.unix_date("event_date"), F.lit(0.8)).alias("c")).first()["c"] or 0
-    rows = models.median_impute(rows.withColumn("fits", F.unix_date("event_date") <= cut), names_, "fits").na.fill(0.0, names_)
+    names_, rows = split_rows(spark, d)
     trees = attributions.leaves(models.fitted(rows.filter("fits"), names_, {"maxDepth": 3, "maxIter": 10}), spark)
     return attributions.top_features(attributions.symmetrised_parts(rows, "bout_id", names_, trees), "bout_id", names_)

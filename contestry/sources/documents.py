@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCOREBOARD = """events array<struct<id:string, name:string, date:string, competitions:array<struct<id:string,
-  competitors:array<struct<id:string, winner:boolean>>, status:struct<displayClock:string, period:int, type:struct<state:string, completed:boolean>>>>>>"""
+  competitors:array<struct<id:string, winner:boolean, athlete:struct<displayName:string>>>, details:array<struct<type:struct<text:string>>>,
+  status:struct<displayClock:string, period:int, type:struct<name:string, state:string, completed:boolean, detail:string, shortDetail:string>>>>>>"""
+#: Fixed value: what a detail begins with that tells a winner before the result is official.
+UNOFFICIAL = "unofficial winner"
 STATISTICS = "splits struct<categories:array<struct<stats:array<struct<name:string, value:double>>>>>"
 
 
 def scoreboard(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each competition of each event, with its clock, period, state and winner (NULL: none yet)."""
+    """A row for each competition of two competitors or more: its event with name and start (UTC), both sides' ids and names, clock, period, state,
+    the status's name and detail, the text of the first detail that tells an unofficial winner, and the winner, where exactly one of the two is marked.
+    What a document doesn't say, or says with nothing, is NULL."""
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
     events = docs.select(F.explode(F.from_json(text, SCOREBOARD)["events"]).alias("e"))
-    bouts = events.select(F.col("e.id").alias("event_id"), F.explode("e.competitions").alias("c"))
-    winner = F.filter("c.competitors", lambda x: x["winner"])
+    bouts = events.select(F.col("e.id").alias("event_id"), said(F.col("e.name")).alias("event_name"), F.coalesce(F.try_to_timestamp(F.col("e.date"), F.lit("yyyy-MM-dd'T'HH:mmX")), F.try_to_timestamp(F.col("e.date"))).alias("start"), F.explode("e.competitions").alias("c")).filter(F.size("c.competitors") >= 2)
+    two = F.slice("c.competitors", 1, 2)
+    won = F.filter(two, lambda x: x["winner"])
+    told = F.filter("c.details", lambda x: F.lower(F.trim(x["type"]["text"])).startswith(UNOFFICIAL))
+    kind = lambda c: F.col(f"c.status.type.{c}")
     return bouts.select(
-        "event_id", F.col("c.id").alias("bout_id"), F.col("c.status.displayClock").alias("clock"), F.col("c.status.period").alias("period"),
-        F.col("c.status.type.state").alias("state"), F.try_element_at(winner, F.lit(1))["id"].alias("winner_id"),
+        "event_id", "event_name", "start", F.col("c.id").alias("bout_id"), *[x for i, side in enumerate(("red", "blue")) for x in (two[i]["id"].alias(f"{side}_id"), said(two[i]["athlete"]["displayName"]).alias(f"{side}_name"))],
+        said(F.col("c.status.displayClock")).alias("clock"), F.col("c.status.period").alias("period"), kind("state").alias("state"), F.coalesce(kind("completed"), F.lit(False)).alias("completed"), said(kind("name")).alias("status"),
+        F.coalesce(said(kind("shortDetail")), said(kind("detail"))).alias("status_detail"), F.lower(F.trim(F.try_element_at(told, F.lit(1))["type"]["text"])).alias("unofficial"), F.when(F.size(won) == 1, won[0]["id"]).alias("winner_id"),
     )
 
 
