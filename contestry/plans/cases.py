@@ -40,8 +40,9 @@ def cases(name: str, f: Callable[..., dict[str, Column]], kinds: str, rows: list
 
     def run(spark, d) -> DataFrame:
         given = spark.createDataFrame([(i, *r[:n]) for i, r in enumerate(rows)], "case_ int, " + ", ".join(f"x{i} {t}" for i, t in enumerate(types)))
-        out = given.select("case_", *[c.alias(k) for k, c in f(*[F.col(f"x{i}") for i in range(n)]).items()])
-        return table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(rows)).cast("int").alias("case_")).join(F.broadcast(out), "case_").drop("case_")
+        # The inputs are broadcast, not the results: the function runs over the table's rows.
+        dealt = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(rows)).cast("int").alias("case_")).join(F.broadcast(given), "case_")
+        return dealt.select("c_custkey", *[c.alias(k) for k, c in f(*[F.col(f"x{i}") for i in range(n)]).items()])
 
     run.__name__ = name
     wanted = [f"list_extract([{', '.join(literal(r[n + j]) for r in rows)}]::{t}[], (c_custkey % {len(rows)} + 1)::INT)" for j, t in enumerate(results)]

@@ -76,15 +76,6 @@ def card_orientations(spark, d):
     return entity.card_orientation(grouped(spark, d, CARDS_SEEN, "bout_id bigint, src_1 string, name_1 string, src_2 string, name_2 string", ["bout_id"]), grouped(spark, d, CARDS_HELD, "bout_id bigint, red_src string, red_name string, blue_src string, blue_name string", ["bout_id"]))
 
 
-ADOPT_IN = [("/1", "Known One"), ("/2", " new  NAME"), ("/3", "Two Fold"), ("/4", "Nobody")]
-ADOPT_HELD = [(1, "Known One", "main", "/1"), (2, "New Name", "other", "9"), (3, "Two Fold", "other", "8"), (4, "two fold", "third", "7"), (5, "Nobody", "main", "/44")]
-
-
-@query("SELECT * FROM (VALUES ('/1', 1::BIGINT, 'resolved'), ('/2', 2::BIGINT, 'adopted'), ('/3', NULL, 'create'), ('/4', NULL, 'create')) x(source_id, id, action)")
-def resolved_or_created(spark, d):
-    return entity.resolve_or_create(spark.createDataFrame(ADOPT_IN, "source_id string, name string"), spark.createDataFrame(ADOPT_HELD, "id bigint, name string, source string, source_id string"), "main")
-
-
 @query("""WITH b AS (SELECT o_orderkey bout_id, o_orderkey % 20 red_id, 20 + o_custkey % 20 blue_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 20 END winner_id FROM orders WHERE o_orderkey % 7 > 0),
   s AS (SELECT bout_id, CASE bout_id % 5 WHEN 0 THEN 'draw_nc' WHEN 1 THEN 'unclear' ELSE 'decided' END st, CASE bout_id % 4 WHEN 0 THEN red_id WHEN 1 THEN blue_id WHEN 2 THEN 99 END w FROM b),
   o AS (SELECT bout_id, b.*, CASE WHEN st = 'decided' AND w IS NULL THEN 'winner_unknown' WHEN st = 'decided' AND w = 99 THEN 'winner_not_in_bout' WHEN st = 'decided' THEN 'decided' WHEN st = 'draw_nc' THEN 'draw_nc' ELSE 'undetermined' END outcome, w FROM b JOIN s USING (bout_id))
