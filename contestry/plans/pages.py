@@ -18,7 +18,9 @@ def customer_key():
 
 
 def orders(spark, d, html):
-    return table(spark, d, "orders").select("o_orderkey", html.alias("html"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    # A small file is one task; its rows are dealt out before they become pages.
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey").select("o_orderkey", html.alias("html"))
 
 
 def say(pattern: str, *cols):

@@ -19,8 +19,14 @@ ENDS = {"tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "li":
 
 
 class Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
+    """A tag. order is the page's list of all nodes as they begin; those inside this one stand from place + 1 up to end."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "order", "place", "end")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, order: list[Node]) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.order, self.place, self.end = order, len(order), 0
+        order.append(self)
 
     def text(self) -> str:
         """All text inside, with single spaces."""
@@ -38,11 +44,9 @@ class Node:
 
     def all(self, tag: str | None = None, cls: str | None = None, test: Callable[[Node], bool] | None = None) -> Iterator[Node]:
         """Nodes inside, in the page's order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                if (tag is None or c.tag == tag) and (cls is None or c.has(cls)) and (test is None or test(c)):
-                    yield c
-                yield from c.all(tag, cls, test)
+        for c in self.order[self.place + 1 : self.end]:
+            if (tag is None or c.tag == tag) and (cls is None or c.has(cls)) and (test is None or test(c)):
+                yield c
 
     def first(self, *what, **how) -> Node | None:
         return next(self.all(*what, **how), None)
@@ -54,16 +58,21 @@ class Node:
 class Page(HTMLParser):
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.order: list[Node] = []
+        self.root = self.at = Node("", {}, None, self.order)
         self.feed(html)
         self.close()
+        for n in reversed(self.order):  # children come before their parents
+            n.end = max(n.end, n.place + 1)
+            if n.parent is not None:
+                n.parent.end = max(n.parent.end, n.end)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.at.tag in ENDS.get(tag, ()):
             self.handle_endtag(self.at.tag)
             if tag == "tr" and self.at.tag == "tr":
                 self.handle_endtag("tr")
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.order)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
