@@ -211,9 +211,24 @@ def bound(text: bytes) -> tuple[int, int]:
 
 
 def aligned(text: bytes, data: bytes, starts: np.ndarray) -> tuple[int, int, int] | None:
-    """The best alignment in the bands that begin at starts: the least edits, then the first."""
-    e, best = budget(len(text)), None
+    """The best alignment in the bands that begin at starts: the least edits, then the first.
+
+    A band whose bytes were looked at before can't be better, nor can one where the passage needs as many edits anywhere in
+    those bytes; only the others are aligned. So a text that repeats itself costs little more than what it repeats.
+    """
+    e, best, seen = budget(len(text)), None, set()
+    letters: dict[int, int] = {}
+    for i, c in enumerate(text if e else b""):
+        letters[c] = letters.get(c, 0) | 1 << i
     for s in starts.tolist():
+        if e:
+            reach = 2 * e
+            window = data[max(0, s + e - reach) : max(0, s + e + len(text) + reach + 1)]
+            if window in seen:
+                continue
+            seen.add(window)
+            if fewest(letters, len(text), window) > (e if best is None else best[0] - 1):
+                continue
         got = banded(text, data, s + e, max(e, 1)) if e else exact(text, data, s)
         if got and got[0] <= e and (best is None or got[0] < best[0]):
             best = got
@@ -222,6 +237,25 @@ def aligned(text: bytes, data: bytes, starts: np.ndarray) -> tuple[int, int, int
     return best
 
 
+def fewest(letters: dict[int, int], m: int, window: bytes) -> int:
+    """The least edits that turn a passage of m bytes into any part of window. letters: for each byte the bits of its places in the passage.
+
+    A column of the table of distances is kept as its steps up and down, a bit for each row.
+    """
+    every, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, now, least = every, 0, m, m
+    for c in window:
+        same = letters.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (every & ~(across | up)), up & across
+        now += bool(rise & last) - bool(fall & last)
+        least = min(least, now)
+        rise, fall = rise << 1 & every, fall << 1 & every
+        up, down = fall | (every & ~(level | rise)), rise & level
+    return least
+
+
 def exact(text: bytes, data: bytes, at: int) -> tuple[int, int, int] | None:
     return (0, at, at + len(text)) if at >= 0 and data[at : at + len(text)] == text else None
 

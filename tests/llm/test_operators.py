@@ -320,15 +320,24 @@ def test_decontaminate_of_repetitive_texts(spark, docs):
     assert {(1, 700), (2, 5000), (None, 700)} <= got and sum(r["doc_id"] == 1 and r["item_id"] == 700 for r in found) == 2
     few = [(i, decontaminate.normal(f"{template}case {i * 7919} holds?")) for i in (0, 699, 700, 701)] + [(5000, decontaminate.normal("ha ha " * 20)), (5001, decontaminate.normal("ha hb " * 9))]
     for d, t in enumerate(texts):
-        if d != 2:
+        if d not in (0, 2):  # long texts
             assert {i for i, x in few if edits(x, decontaminate.normal(t)) <= decontaminate.budget(len(x))} == {i for k, i in got if k == d and i in dict(few)}
     whole = decontaminate.Index.of(few)
-    for most in (1, 100, 5000):
+    for most in (300, 5000):
         part = decontaminate.Index.of(few, most)
-        for t in texts:
+        for t in [texts[0][:2000], *texts[3:]]:
             assert sorted(decontaminate.find(decontaminate.normal(t), part)) == sorted(decontaminate.find(decontaminate.normal(t), whole))
     kept = decontaminate.drop_leaks(rows, bench)
-    assert kept.columns == rows.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 0, 4, 5] if (0, 0) not in got and (3, 5001) not in got and (3, 5000) not in got else True
+    assert kept.columns == rows.columns
+    # Rows with a null id stay; any other that holds a passage goes.
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted([-1, *({*range(len(texts))} - {d for d, _ in got})])
+
+
+def test_fewest_edits_of_a_part():
+    for _ in range(60):
+        a, b = (bytes(R.choice(list(b"abc "), n).tolist()) for n in (int(R.integers(1, 30)), int(R.integers(0, 60))))
+        letters = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a)}
+        assert decontaminate.fewest(letters, len(a), b) == edits(a, b)
 
 
 def test_statistics_and_rules(spark, docs, none):
