@@ -27,6 +27,8 @@ Q, EDITS = 8, 8
 MIN_EDITED, MIN_PART = 40, 20
 #: Bytes of passages whose index goes to every task at once, and q-gram matches of a text that are held at once.
 BLOCK_BYTES, MOST_HITS = 4 << 20, 4_000_000
+#: Bands of a passage and a text that are aligned at once.
+FEW_BANDS = 12
 
 GAP = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
@@ -214,11 +216,12 @@ def aligned(text: bytes, data: bytes, starts: np.ndarray) -> tuple[int, int, int
     """The best alignment in the bands that begin at starts: the least edits, then the first.
 
     A band whose bytes were looked at before can't be better, nor can one where the passage needs as many edits anywhere in
-    those bytes; only the others are aligned. So a text that repeats itself costs little more than what it repeats.
+    those bytes, which is counted where there are many bands; only the others are aligned. So a text that repeats itself costs little more than what it repeats.
     """
     e, best, seen = budget(len(text)), None, set()
+    many = len(starts) > FEW_BANDS  # else aligning them costs no more than counting first
     letters: dict[int, int] = {}
-    for i, c in enumerate(text if e else b""):
+    for i, c in enumerate(text if e and many else b""):
         letters[c] = letters.get(c, 0) | 1 << i
     for s in starts.tolist():
         if e:
@@ -227,7 +230,7 @@ def aligned(text: bytes, data: bytes, starts: np.ndarray) -> tuple[int, int, int
             if window in seen:
                 continue
             seen.add(window)
-            if fewest(letters, len(text), window) > (e if best is None else best[0] - 1):
+            if many and fewest(letters, len(text), window) > (e if best is None else best[0] - 1):
                 continue
         got = banded(text, data, s + e, max(e, 1)) if e else exact(text, data, s)
         if got and got[0] <= e and (best is None or got[0] < best[0]):
