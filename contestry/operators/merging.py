@@ -83,7 +83,7 @@ def moved(rows: DataFrame, references: list[Reference], losers: dict[str, DataFr
         same = Window.partitionBy(*unique, F.when(~known, F.col(key))).orderBy("moved_", key)
         first = F.coalesce(first, F.when(F.col("moved_") & (F.row_number().over(same) > 1), F.first(key).over(same)))
     at = staged(at.withColumn("first_", first), "moved")
-    return at.filter("first_ IS NULL").select(*rows.columns), at.filter("first_ IS NOT NULL").select(F.col(key).alias("loser"), F.col("first_").alias("keeper"))
+    return at.filter("first_ IS NULL").select(*rows.columns), at.filter(F.col("first_") != F.col(key)).select(F.col(key).alias("loser"), F.col("first_").alias("keeper"))
 
 
 def merged_everywhere(tables: dict[str, DataFrame], root: str, key: str, merged: DataFrame, registry: list[Reference]) -> dict[str, DataFrame]:

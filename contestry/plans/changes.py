@@ -18,22 +18,22 @@ REGISTRY = [merging.Reference("orders", "custkey", "customer", "orderkey", ("cus
   kept AS (SELECT coalesce(keeper, id) id, arg_min(phone, (keeper IS NOT NULL, id)) FILTER (phone IS NOT NULL) phone, arg_min(name, (keeper IS NOT NULL, id)) FILTER (name IS NOT NULL) AS name FROM c LEFT JOIN m ON loser = id GROUP BY 1),
   o AS (SELECT o_orderkey id, coalesce(keeper, o_custkey) ck, keeper IS NOT NULL moved, date_trunc('month', o_orderdate) AS day FROM orders LEFT JOIN m ON loser = o_custkey),
   o2 AS (SELECT *, row_number() OVER w i, first_value(id) OVER w f FROM o WINDOW w AS (PARTITION BY ck, day ORDER BY moved, id)),
-  l AS (SELECT l_orderkey * 10 + l_linenumber id, CASE WHEN moved AND i > 1 THEN f ELSE l_orderkey END ok, moved AND i > 1 AS went, l_partkey FROM lineitem JOIN o2 ON o2.id = l_orderkey),
+  l AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) id, CASE WHEN moved AND i > 1 THEN f ELSE l_orderkey END ok, moved AND i > 1 AS went, l_partkey FROM lineitem JOIN o2 ON o2.id = l_orderkey),
   l2 AS (SELECT *, row_number() OVER (PARTITION BY ok, l_partkey ORDER BY went, id) j FROM l)
-  SELECT 'customer' AS tbl, id, NULL::BIGINT AS ref, coalesce(phone, '-') || '|' || coalesce(name, '-') AS said FROM kept
-  UNION ALL SELECT 'orders', id, ck, '' FROM o2 WHERE NOT (moved AND i > 1) UNION ALL SELECT 'lines', id, ok, '' FROM l2 WHERE NOT (went AND j > 1)""")
+  SELECT 'customer' AS tbl, id::VARCHAR AS id, NULL::BIGINT AS ref, coalesce(phone, '-') || '|' || coalesce(name, '-') AS said FROM kept
+  UNION ALL SELECT 'orders', id::VARCHAR, ck, '' FROM o2 WHERE NOT (moved AND i > 1) UNION ALL SELECT 'lines', id, ok, '' FROM l2 WHERE NOT (went AND j > 1)""")
 def merged_everywhere(spark, d):
     """Customers merged in chains of three, their orders (one a customer and month where a merge moves one) and the lines of those."""
     k = F.col("c_custkey")
     customers = table(spark, d, "customer").select(k.alias("custkey"), F.when(k % 20 != 3, F.col("c_mktsegment")).alias("phone"), F.when((k % 10 != 3) & (k % 30 != 1), F.col("c_name")).alias("name"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), F.date_trunc("month", "o_orderdate").alias("day"))
-    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"))
+    lines = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line"), F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey")).distinct()
     chain = table(spark, d, "customer").filter(k % 10 < 3).filter(k % 10 > 0).select(k.alias("loser"), (k + 1).alias("keeper"))
     got = merging.merged_everywhere({"customer": customers, "orders": orders, "lines": lines}, "customer", "custkey", chain, REGISTRY)
     none = F.lit(None).cast("bigint")
     said = F.concat(F.coalesce("phone", F.lit("-")), F.lit("|"), F.coalesce("name", F.lit("-")))
-    rows = got["customer"].select(F.lit("customer").alias("tbl"), F.col("custkey").alias("id"), none.alias("ref"), said.alias("said"))
-    rows = rows.unionByName(got["orders"].select(F.lit("orders").alias("tbl"), F.col("orderkey").alias("id"), F.col("custkey").alias("ref"), F.lit("").alias("said")))
+    rows = got["customer"].select(F.lit("customer").alias("tbl"), F.col("custkey").cast("string").alias("id"), none.alias("ref"), said.alias("said"))
+    rows = rows.unionByName(got["orders"].select(F.lit("orders").alias("tbl"), F.col("orderkey").cast("string").alias("id"), F.col("custkey").alias("ref"), F.lit("").alias("said")))
     return rows.unionByName(got["lines"].select(F.lit("lines").alias("tbl"), F.col("line").alias("id"), F.col("orderkey").alias("ref"), F.lit("").alias("said")))
 
 
