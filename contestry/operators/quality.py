@@ -30,9 +30,10 @@ def rounds_refused(rounds: DataFrame, totals: DataFrame, value: str) -> DataFram
 
 
 def live_verdict(samples: DataFrame, key: str, ts: str, now, fresh_seconds: int) -> DataFrame:
-    """key, n, newest and verdict of samples with period of 1 or more: idle (one at most), stale, or growing."""
+    """key, n, newest and verdict of samples with period of 1 or more: idle (one at most), stale (older than fresh_seconds, fractions
+    of a second count), or growing."""
     started = samples.filter("period >= 1").groupBy(key).agg(F.count("*").alias("n"), F.max(ts).alias("newest"))
-    late = F.unix_seconds(now) - F.unix_seconds(F.col("newest").cast("timestamp")) > fresh_seconds
+    late = F.unix_micros(now) - F.unix_micros(F.col("newest").cast("timestamp")) > fresh_seconds * 1_000_000
     return started.withColumn("verdict", F.when(F.col("n") <= 1, "idle").when(late, "stale").otherwise("growing"))
 
 
