@@ -106,7 +106,8 @@ def event_on_either_day(events: DataFrame, starts: DataFrame) -> DataFrame:
     local = F.to_date(F.from_utc_timestamp("start", "America/New_York"))
     days = F.array_distinct(F.array(local, F.to_date("start")))
     asked = starts.select("start_id", F.posexplode(days).alias("r_", "event_date"))
-    return asked.join(events, "event_date").groupBy("start_id").agg(F.min(F.struct("r_", "event_id")).alias("m_")).select("start_id", F.col("m_.event_id").alias("event_id"))
+    first = events.groupBy("event_date").agg(F.min("event_id").alias("event_id"))  # so a start meets one row a day
+    return asked.join(first, "event_date").groupBy("start_id").agg(F.min(F.struct("r_", "event_id")).alias("m_")).select("start_id", F.col("m_.event_id").alias("event_id"))
 
 
 def by_priority(people: DataFrame, ranked: DataFrame, on_card: DataFrame) -> DataFrame:
