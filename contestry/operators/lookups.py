@@ -66,7 +66,8 @@ def same_pairs(stored: DataFrame, incoming: DataFrame, placeholder: str = "tbd")
         keys = F.array(F.concat(F.lit("id "), ids), F.concat(F.lit("name "), pair_key(name("red_name"), name("blue_name"))))
         return df.select("id", F.explode(F.array_compact(keys)).alias("k"))
 
-    met = keyed(incoming).withColumnRenamed("id", "in_id").join(keyed(stored).withColumnRenamed("id", "bout_id"), "k")
+    first = keyed(stored).groupBy("k").agg(F.min("id").alias("bout_id"))  # so an incoming bout meets one row a key
+    met = keyed(incoming).withColumnRenamed("id", "in_id").join(first, "k")
     return met.groupBy("in_id").agg(F.min("bout_id").alias("bout_id"))
 
 

@@ -41,3 +41,10 @@ def test_a_start_meets_one_event_a_day(spark):
     got = lookups.event_on_either_day(events, starts)
     assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(100)}
     assert joined_rows(got, spark) <= 200
+
+
+def test_an_incoming_pair_meets_one_stored_bout_a_key(spark):
+    bouts = lambda n, first: spark.range(first, first + n).select("id", F.lit(1).alias("red_id"), F.lit(2).alias("blue_id"), F.lit("A").alias("red_name"), F.lit("B").alias("blue_name"))
+    got = lookups.same_pairs(bouts(500, 7), bouts(100, 1000))
+    assert {tuple(r) for r in got.collect()} == {(i, 7) for i in range(1000, 1100)}
+    assert joined_rows(got, spark) <= 200
