@@ -1,10 +1,11 @@
-"""Near copies by similarity of their shingles: MinHash bands find candidates, exact Jaccard verifies them.
+"""Near copies by similarity of their shingles: SimHash fingerprints and MinHash bands find candidates, exact Jaccard verifies them.
 
-Documents with equal shingle sets are one from the start. A band is some minima of the set under fixed hash functions;
+Documents with equal shingle sets are one from the start. Fingerprints of the same shingles link by the bit-sliced comparison of
+simhash, within its radius; that finds the nearest copies, and few of those near a similarity of 0.8, which are the bands' part. A band is some minima of the set under fixed hash functions;
 sets of Jaccard similarity s share one of the bands with probability 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8. Candidates are
-verified in two rounds: first each against the smallest id of its band, then, where these links leave a band's documents in
-different components, by segments of the band: a task holds two segments, compares what isn't linked yet, and gives the links it
-finds, never the pairs.
+verified in two rounds: first the fingerprints' links and each document against the smallest id of its band, then, where these links
+leave three documents or more of a band in different components, by segments of the band (of bands with the same documents the first
+is enough): a task holds two segments, compares what isn't linked yet, and gives the links it finds, never the pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.llm.common import written
-from contestry.llm.simhash import SEGMENT, components, shingle_hashes
+from contestry.llm.simhash import SEGMENT, components, majority, shingle_hashes
+from contestry.llm.simhash import links as fingerprint_links
 from contestry.llm.positions import mix
 
 SHINGLE = 5
@@ -94,18 +96,30 @@ def links_in(ids: np.ndarray, component: np.ndarray, segment: np.ndarray, bucket
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """doc_id, digest of the shingle set, its size n, and bands (array of long; none for an empty set)."""
+    """doc_id, digest of the shingle set, its size n, bands (array of long; none for an empty set), and fp, the shingles' SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(1)]
+            sets, fps = [], np.zeros(b.num_rows, np.uint64)
+            for i, t in enumerate(b.column(1)):
+                hashes = shingle_hashes(t.as_py(), SHINGLE)
+                sets.append(np.unique(hashes))
+                fps[i] = majority(hashes)
             keys = [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), lists, pa.array(fps.view(np.int64))], ["doc_id", "digest", "n", "bands", "fp"])
 
-    return rows.mapInArrow(run, "doc_id bigint, digest binary, n bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, digest binary, n bigint, bands array<bigint>, fp bigint")
+
+
+def alike(reps: DataFrame) -> DataFrame:
+    """Links a, b of reps (id, fp) whose fingerprints are equal or within the radius."""
+    prints = written(reps.groupBy("fp").agg(F.min("id").alias("id")), "near-fingerprints")
+    equal = reps.join(prints.select("fp", F.col("id").alias("low")), "fp").filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    near = fingerprint_links(prints, prints.count())
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -121,8 +135,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links a, b that connect all candidates of reps (id, n, bands) that are similar. rows: doc_id and text."""
-    spread = reps.select("id", F.explode("bands").alias("bucket"))
+    """Links a, b that connect all candidates of reps (id, n, bands, fp) that are similar. rows: doc_id and text."""
+    spread = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("low")).filter("m > 1")
     met = written(spread.join(sizes, "bucket"), "near-met")
 
@@ -130,15 +144,20 @@ def links(reps: DataFrame, rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short(shingle_set(t.as_py())) for t in b.column(1)], pa.binary())], ["id", "own"])
 
-    asked = written(met.select(F.col("id").alias("doc_id")).distinct(), "near-asked")
+    stars = met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    stars = written(stars.unionByName(alike(reps.select("id", "fp"))).distinct(), "near-stars")
+    asked = written(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-asked")
     few = asked.count() <= MOST_SENT  # then the ids go to every task, and the texts stay where they are
     sets = written(rows.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id bigint, own binary"), "near-sets")
-    stars = written(met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "near-stars")
     found = written(verified(stars, sets), "near-links")
     # What the stars leave apart: documents of one bucket in different components, by pairs of segments of the bucket.
     of = components(found, "near-stars-components")
-    at = met.select("id", "bucket").join(of, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    mixed = at.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("bucket", "m")
+    # A pair of two documents was compared as a star. Of bands that hold the same documents the first is enough: their pairs' first
+    # common band is no later one.
+    at = met.filter("m > 2").select("id", "band", "bucket").join(of, "id", "left").select("id", "band", "bucket", F.coalesce("component", "id").alias("component"))
+    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    mixed = at.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.min("component").alias("c"), F.max("component").alias("d"), *same).filter("c <> d")
+    mixed = mixed.groupBy("m", "x0", "x1").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket", "m")
     s = F.ceil(F.col("m") / SEGMENT).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least("own_", j.cast("bigint")).alias("i"), F.greatest("own_", j.cast("bigint")).alias("j")))
     dealt = at.join(mixed, "bucket").withColumn("s", s).withColumn("own_", F.pmod(F.xxhash64("id"), F.col("s"))).select("id", "component", "bucket", "own_", F.explode(units).alias("u")).select("id", "component", "bucket", F.col("own_").alias("segment"), "u.i", "u.j")
@@ -174,7 +193,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     signed = written(signatures(rows), "near-signatures")
-    reps = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-reps")
-    linked = components(links(reps.select("id", "n", "bands"), rows), "near-components")
+    reps = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "near-reps")
+    linked = components(links(reps.select("id", "n", "bands", "fp"), rows), "near-components")
     of = reps.select("digest", "id").join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return signed.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id")

@@ -42,9 +42,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter([digest(joined[a:z], SEED) for a, z in zip(begins, ends, strict=True)], np.uint64, n)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the shingles' hashes; no word: 0."""
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingles' hashes: each bit as in over half of them; none: 0."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 14):
@@ -52,6 +51,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the shingles' hashes; no word: 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row; a null text has no word."""
 
