@@ -41,6 +41,8 @@ LEARNED = GATES * (INPUTS * (INPUTS + 1) + 2 * BUCKETS)
 PACK_BYTES, TEXT_A_BUCKET, TEXT_A_WORD_BUCKET = 6 << 20, 8 << 20, 64 << 20
 #: Bytes of a pack whose n-grams are sorted at once, and the steps in which log2 probabilities return to packs.
 CHUNK_BYTES, STEP = 1 << 20, 512
+#: Shares of the buckets in which a pack's n-grams are put together.
+SHARES = 16
 #: N-grams that are worked on at once; a context's n-grams stay together.
 AT_ONCE = 16_384
 
@@ -110,8 +112,9 @@ def chunks(data: bytes, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]
 def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order, and the sums of their numbers."""
     order = np.argsort(key)
-    cut = edges(key[order])
-    return key[order][cut[:-1]], np.add.reduceat(n[order], cut[:-1]) if len(key) else n
+    key = key[order]
+    cut = edges(key)
+    return key[cut[:-1]], np.add.reduceat(n[order], cut[:-1]) if len(key) else n
 
 
 def masked(key: np.ndarray, n: int) -> np.ndarray:
@@ -147,6 +150,39 @@ def words_of(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return kinds, number[words.indices.to_numpy()], counts
 
 
+def by(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """bucket, keys and numbers of each bucket, in ascending order; keys of a bucket stay in order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, n = bucket[order], key[order], n[order].astype(np.uint32)
+    cut = edges(bucket)
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(bucket[a]), planes(key[a:z]), planes(n[a:z])
+
+
+def pack_counts(data: bytes, sizes: np.ndarray, held: np.ndarray, buckets: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Rows (bucket, distinct n-grams, their counts in training texts) of a pack, a few buckets at a time.
+
+    Each chunk's n-grams lie in order of their share of the buckets, so only one share is put together at once.
+    """
+    parts = []
+    for texts, key in chunks(data, sizes):
+        key <<= np.uint64(1)
+        key |= np.repeat(held[texts], sizes[texts])
+        key.sort()
+        cut = edges(key >> np.uint64(1))
+        in_training = np.concatenate([[0], np.cumsum(1 - (key & np.uint64(1)).astype(np.int8), dtype=np.int32)])
+        n = np.diff(in_training[cut]).astype(np.uint32)
+        key = key[cut[:-1]] >> np.uint64(1)
+        share = (context_bucket(key, buckets) * SHARES // buckets).astype(np.uint8)
+        order = np.argsort(share, kind="stable")
+        parts.append((key[order], n[order], np.searchsorted(share[order], np.arange(SHARES + 1, dtype=np.uint8))))
+    for i in range(SHARES):
+        key, n = (np.concatenate([p[j][p[2][i] : p[2][i + 1]] for p in parts]) for j in (0, 1))
+        if len(key):
+            key, n = added(key, n)
+            yield list(by(context_bucket(key, buckets), key, n))
+
+
 def counted(packs: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
     """A row for each bucket: its keys, how often each occurs in training texts, and which of them each pack holds.
 
@@ -155,41 +191,35 @@ def counted(packs: DataFrame, buckets: int, word_buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, held, sizes, data in zip(*[b.column(x).to_pylist() for x in ("pack", "held", "sizes", "data")], strict=True):
+            for i in range(b.num_rows):
+                pack, held, sizes, data = (b.column(x)[i].as_py() for x in ("pack", "held", "sizes", "data"))
                 sizes, held = np.array(sizes), np.array(held)
-                rows = []
-                parts = []
-                for texts, key in chunks(data, sizes):
-                    key = np.sort((key << np.uint64(1)) | np.repeat(held[texts], sizes[texts]).astype(np.uint64))
-                    cut = edges(key >> np.uint64(1))
-                    in_training = np.concatenate([[0], np.cumsum(1 - (key & np.uint64(1)).astype(np.int64))])
-                    parts.append((key[cut[:-1]] >> np.uint64(1), np.diff(in_training[cut])))
-                key, n = added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                rows += by(context_bucket(key, buckets), key, n)
+                for rows in pack_counts(data, sizes, held, buckets):
+                    yield told(pack, rows)
                 h, at, counts = words_of(data, sizes)
-                rows += [(-1 - g, k, c) for g, k, c in by((h % np.uint64(word_buckets)).astype(np.int64), h, np.bincount(at[~np.repeat(held, counts)], minlength=len(h)))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]], ["bucket", "pack", "keys", "n"])
+                yield told(pack, [(-1 - g, k, c) for g, k, c in by((h % np.uint64(word_buckets)).astype(np.int64), h, np.bincount(at[~np.repeat(held, counts)], minlength=len(h)))])
                 give_back()
 
-    def by(bucket: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-        order = np.argsort(bucket, kind="stable")
-        bucket, key, n = bucket[order], key[order], n[order].astype(np.uint32)
-        cut = edges(bucket)
-        return [(int(bucket[a]), planes(key[a:z]), planes(n[a:z])) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    def told(pack: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]], ["bucket", "pack", "keys", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packs_of, keys, n in by_bucket(batches):
-            parts = [unplanes(k, np.uint64) for k in keys]
-            key = np.concatenate(parts)
-            order = np.argsort(key)
+            sizes = np.array([len(k) // 8 for k in keys])
+            key = np.concatenate([unplanes(k, np.uint64) for k in keys])
+            keys.clear()
+            order = np.argsort(key).astype(np.uint32)
             key = key[order]
             cut = edges(key)
-            total = np.add.reduceat(np.concatenate([unplanes(x, np.uint32) for x in n])[order].astype(np.int64), cut[:-1])
-            place = np.empty(len(key), np.int64)
-            place[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-            ends = np.cumsum([len(p) for p in parts])
-            steps = [planes(np.diff(place[a:z], prepend=0).astype(np.uint32)) for a, z in zip(ends - [len(p) for p in parts], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[0]], pa.int32()), pa.array([planes(key[cut[:-1]])], pa.binary()), pa.array([planes(total)], pa.binary()), pa.array([packs_of], pa.list_(pa.int64())), pa.array([steps], pa.list_(pa.binary()))], ["bucket", "keys", "n", "packs", "steps"])
+            key = key[cut[:-1]]
+            total = np.add.reduceat(np.concatenate([unplanes(x, np.uint32) for x in n])[order], cut[:-1], dtype=np.int64)
+            n.clear()
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.repeat(np.arange(len(key), dtype=np.uint32), np.diff(cut))
+            del order, cut
+            ends = np.cumsum(sizes)
+            steps = [planes(np.diff(place[a:z], prepend=np.uint32(0))) for a, z in zip(ends - sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[0]], pa.int32()), pa.array([planes(key)], pa.binary()), pa.array([planes(total)], pa.binary()), pa.array([packs_of], pa.list_(pa.int64())), pa.array([steps], pa.list_(pa.binary()))], ["bucket", "keys", "n", "packs", "steps"])
 
     sent = packs.select("pack", "held", "sizes", "data").mapInArrow(send, "bucket int, pack bigint, keys binary, n binary")
     return dealt(sent, buckets + word_buckets).mapInArrow(add, "bucket int, keys binary, n binary, packs array<bigint>, steps array<binary>")
@@ -373,10 +403,10 @@ def score(docs: DataFrame) -> DataFrame:
     texts are the end alone. With no training text all words are unknown and every bit has probability one half. Words are
     told apart by 64-bit hashes.
     """
-    packs = written(packed(docs), "lm-packs")
+    packs = written(packed(docs), "lm-packs", large=True)
     total = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets, word_buckets = max(1, -(-total // TEXT_A_BUCKET)), max(1, -(-total // TEXT_A_WORD_BUCKET))
-    rows = written(counted(packs, buckets, word_buckets), "lm-counts")
+    rows = written(counted(packs, buckets, word_buckets), "lm-counts", large=True)
     model = train(rows)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,10 +434,10 @@ def score(docs: DataFrame) -> DataFrame:
                 parts.append((own, key[order][cut[:-1]], place))
             kinds = np.sort(np.concatenate([k for _, k, _ in parts]))
             kinds = kinds[edges(kinds)[:-1]]
-            each = np.empty(len(kinds))
+            each = np.empty(len(kinds), np.uint16)
             to = np.argsort(context_bucket(kinds, buckets), kind="stable")
             each[to] = np.concatenate([unplanes(worth[g], np.uint16) for g in sorted(g for g in worth if g >= 0)])
-            bits = np.concatenate([np.add.reduceat(each[np.searchsorted(kinds, k)][place], np.cumsum(sizes[own]) - sizes[own]) for own, k, place in parts]) / STEP
+            bits = np.concatenate([np.add.reduceat(each[np.searchsorted(kinds, k)][place], np.cumsum(sizes[own]) - sizes[own], dtype=np.int64) for own, k, place in parts]) / STEP
             del parts, kinds, each, to
             h, at, counts = words_of(data, sizes)
             c = np.empty(len(h), np.int64)
