@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from contestry.operators import lookups, quality
+from contestry.operators import lookups, quality, trigrams
 
 
 def joined_rows(df, spark):
@@ -48,3 +48,17 @@ def test_an_incoming_pair_meets_one_stored_bout_a_key(spark):
     got = lookups.same_pairs(bouts(500, 7), bouts(100, 1000))
     assert {tuple(r) for r in got.collect()} == {(i, 7) for i in range(1000, 1100)}
     assert joined_rows(got, spark) <= 200
+
+
+def test_first_answers_are_found_once_a_text(spark):
+    """2,000 rows of four names, a tenth of them asked: three answers each, from far fewer joined rows than pairs."""
+    words = F.element_at(F.array(*map(F.lit, ("red bolt", "red bolts", "blue ring", "Réd bolt"))), (F.col("id") % 4 + 1).cast("int"))
+    known = spark.range(2000).select(F.col("id").alias("known_id"), words.alias("name"))
+    asked = known.filter("known_id % 10 = 0").withColumnRenamed("known_id", "asked_id")
+    got = trigrams.most_similar(asked, known, "asked_id", "known_id", 3)
+    pairs = trigrams.similar_names(asked, known, "asked_id", "known_id").collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r["similarity"], r["known_id"])):
+        want.setdefault(r["asked_id"], []).append((r["known_id"], r["similarity"]))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, *x) for a, own in want.items() for x in own[:3])
+    assert joined_rows(got, spark) < 2000 < len(pairs)
