@@ -9,6 +9,7 @@ from contestry.functions.names import corner_of
 from contestry.functions.scalar import event_tokens
 from contestry.functions.text import casefold_name, fold_name, similarity, strip_accents
 from contestry.operators.lookups import plain_key
+from contestry.sources.staged import staged
 
 
 def unambiguous_index(entities: DataFrame, key: str, entity: str) -> DataFrame:
@@ -55,32 +56,60 @@ def repoint(children: DataFrame, entity: str, merged: DataFrame, unique: list[st
     return at.groupBy(*unique).agg(F.min(F.struct("moved_", *order, *[c for c in children.columns if c not in order])).alias("row_")).select(*[F.col(f"row_.{c}").alias(c) for c in children.columns])
 
 
-def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring letters, each with its number among equal ones, so that sets of them count repeats."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2))
-    return F.transform(each, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(each, 1, i), lambda h: h == g)).cast("string")))
+def grams(text: Column, q: int) -> Column:
+    """The runs of q neighbouring letters, each with its number among equal ones, so that sets of them count repeats; none in a shorter text."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1))), lambda i: F.substring(text, i, q))
+    return F.when(F.length(text) >= q, F.transform(each, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(each, 1, i), lambda h: h == g)).cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
+def lost_grams(n: int, q: int, least: float) -> int:
+    """The most grams of a text of n letters that a text similar by least can lack: of a similarity of s, with d letters only in the one and e only in
+    the other, (2 - s) * d + s * e <= 2 * (1 - s) * n; each of d takes q grams at most, each of e one less."""
+    room = 2 * (1 - least) * n + 1e-9
+    return max(q * d + (q - 1) * int((room - (2 - least) * d) / least) for d in range(int(room / (2 - least)) + 1))
+
+
+#: Lengths whose bounds are told one by one; beyond, the bound is the line that they lie under.
+LENGTHS = 400
+
+
+def gram_keys(texts: DataFrame, q: int, least: float) -> DataFrame:
+    """t_ and k_, hashes of two of its rarest grams: of those that are left when all are lost that may be lost, a text shows two to each text that
+    is similar. texts: t_."""
+    each = texts.select("t_", F.explode(grams(F.col("t_"), q)).alias("g_"))
+    counts = each.groupBy("g_").agg(F.count("*").alias("f_"))
+    ranked = each.join(counts, "g_").groupBy("t_").agg(F.sort_array(F.collect_list(F.struct("f_", "g_"))).alias("all_"))  # as many as the text has letters
+    n = F.length("t_")
+    slope = 2 * (1 - least) * max(q / (2 - least), (q - 1) / least)
+    lost = F.when(n < LENGTHS, F.array(*[F.lit(lost_grams(i, q, least)) for i in range(LENGTHS)])[F.least(n, F.lit(LENGTHS - 1))]).otherwise(F.ceil(n * slope).cast("int"))
+    rare = ranked.select("t_", F.transform(F.slice("all_", F.lit(1), lost + 2), lambda x: x["g_"]).alias("r_"))
+    two = F.flatten(F.transform("r_", lambda x, i: F.transform(F.slice("r_", i + 2, F.size("r_")), lambda y: F.xxhash64(x, y))))
+    return rare.select("t_", F.explode(two).alias("k_"))
 
 
 def similar_candidates(asked: DataFrame, known: DataFrame, text: str, other: str, least: float) -> DataFrame:
     """Pairs of asked and known whose similarity can reach least: every such pair is among them.
 
-    With a similarity of s over lengths a and b, (1 - s) * (a + b) letters don't match, so the matching blocks hold all but
-    twice as many neighbouring pairs less one: of its rarest pairs a text must show one to its partner (an equi-join on rare
-    pairs; frequent ones aren't joined).
+    Texts are met once, whatever rows have them, by two common grams of three letters among each one's rarest (two rare ones together are far rarer
+    than one); texts too short to be sure of two are met by letters, as are those that such a text may be similar to. Of what meets, those
+    go on whose edit distance leaves enough in common. least: over 2 / 3.
     """
-    own = asked.select(text).distinct().select(F.col(text).alias("t_"))
-    grams = own.unionByName(known.select(F.col(other).alias("t_")).distinct()).distinct().select("t_", F.explode(bigrams(F.col("t_"))).alias("g_"))
-    common = grams.groupBy("g_").agg(F.count("*").alias("f_"))
-    ranked = grams.join(common, "g_").groupBy("t_").agg(F.sort_array(F.collect_list(F.struct("f_", "g_"))).alias("all_"))  # as many as the text has letters
-    n = F.length("t_")
-    shortest = least / (2 - least)  # of two similar texts the shorter has this share of the longer one's length at least
-    shared = F.floor((least / 2 - (1 - least)) * (1 + shortest) * n) - 1
-    prefix = F.greatest(F.lit(1), (F.size("all_") - F.greatest(shared, F.lit(1)) + 1).cast("int"))
-    rare = ranked.select("t_", F.explode(F.slice("all_", F.lit(1), prefix)).alias("x")).select("t_", F.col("x.g_").alias("g_"))
-    left = asked.join(rare, asked[text] == rare["t_"]).select(*asked.columns, "g_")
-    right = known.join(rare.withColumnRenamed("g_", "h_"), known[other] == F.col("t_")).select(*known.columns, "h_")
-    a, b = F.length(text), F.length(other)
-    return left.join(right, F.col("g_") == F.col("h_")).filter(2 * F.least(a, b) >= least * (a + b)).drop("g_", "h_").distinct()
+    if not 2 / 3 < least <= 1:
+        raise ValueError("least must lie over 2 / 3: of texts less alike two common letters aren't sure")
+    own, others = (df.select(F.col(c).alias("t_")).filter("t_ IS NOT NULL").distinct() for df, c in ((asked, text), (known, other)))
+    each = staged(own.unionByName(others).distinct(), "similar-texts")
+    # From this length on two grams of three are sure; where that isn't so at LENGTHS, all texts are met by letters.
+    first = next((i + 1 for i in range(LENGTHS - 1, -1, -1) if i - 2 - lost_grams(i, 3, least) < 2), 0)
+    first = first if first < LENGTHS else 1 << 30
+    reach = int(first * (2 - least) / least) + 1
+    keys = gram_keys(each.filter(F.length("t_") >= first), 3, least).unionByName(gram_keys(each.filter(F.length("t_") <= reach), 1, least))
+    keys = staged(keys.unionByName(each.select("t_", F.xxhash64(F.lit(""), "t_").alias("k_"))).distinct(), "similar-keys")
+    left, right = (df.join(keys, "t_").select(F.col("t_").alias(c), "k_") for df, c in ((own, "a_"), (others, "b_")))
+    n = F.length("a_") + F.length("b_")
+    room = F.floor((1 - least) * n + 1e-9).cast("int")
+    met = left.join(right, "k_").filter(2 * F.least(F.length("a_"), F.length("b_")) >= least * n - 1e-9).select("a_", "b_").distinct()
+    near = met.filter(F.levenshtein("a_", "b_") <= room)
+    return asked.join(near, asked[text] == near["a_"]).drop("a_").join(known, F.col("b_") == known[other]).drop("b_")
 
 
 def tiered_match(names: DataFrame, entities: DataFrame, name: str, entity: str, least: float = 0.92, guarded: bool = False) -> DataFrame:
@@ -91,13 +120,15 @@ def tiered_match(names: DataFrame, entities: DataFrame, name: str, entity: str,
     only names of one first word and number of words.
     """
     asked = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    asked = asked.withColumns({"exact_": casefold_name(F.col(name)), "folded_": fold_name(F.col(name))})
-    known = entities.select(F.col("name").alias("name_"), entity).filter("name_ IS NOT NULL").withColumns({"exact_": casefold_name(F.col("name_")), "folded_": fold_name(F.col("name_"))})
+    asked = staged(asked.withColumns({"exact_": casefold_name(F.col(name)), "folded_": fold_name(F.col(name))}), "names-asked")
+    known = entities.select(F.col("name").alias("name_"), entity).filter("name_ IS NOT NULL")
+    known = staged(known.withColumns({"exact_": casefold_name(F.col("name_")), "folded_": fold_name(F.col("name_"))}), "names-known")
     exact, folded = (unambiguous_index(known, k, entity) for k in ("exact_", "folded_"))
     first = asked.join(exact, "exact_").select(name, entity, F.lit("exact").alias("tier"))
     left = asked.join(first, name, "left_anti")
     second = left.join(folded, "folded_").select(name, entity, F.lit("folded").alias("tier"))
     left = left.join(second, name, "left_anti").filter("folded_ <> ''").select(name, "folded_")
+    left, folded = staged(left, "names-left"), staged(folded, "names-folded")
     pairs = similar_candidates(left, folded.withColumnRenamed("folded_", "other_"), "folded_", "other_", least)
     if guarded:
         guard = lambda c: F.struct(F.split_part(c, F.lit(" "), F.lit(1)), F.size(F.split(c, " ")))

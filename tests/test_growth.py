@@ -1,10 +1,12 @@
 """Rows that a lookup meets grow with its input, not with its square; ages count fractions of a second."""
 
 import datetime as dt
+import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from contestry.operators import lookups, quality, trigrams
+from contestry.operators import entity, lookups, quality, trigrams
 
 
 def joined_rows(df, spark):
@@ -62,3 +64,18 @@ def test_first_answers_are_found_once_a_text(spark):
         want.setdefault(r["asked_id"], []).append((r["known_id"], r["similarity"]))
     assert sorted(tuple(r) for r in got.collect()) == sorted((a, *x) for a, own in want.items() for x in own[:3])
     assert joined_rows(got, spark) < 2000 < len(pairs)
+
+
+def test_similar_texts_are_candidates_and_few_others(spark):
+    """Names of few letters, slipped names of all lengths: every pair that is similar is found, and few others go on to be compared."""
+    r = random.Random(5)
+    parts = list("aeinorst")
+    names = ["".join(r.choice(parts) + (" " if r.random() < 0.1 else "") for _ in range(r.randint(1, 30))).strip() for _ in range(250)]
+    slips = [n[:i] + r.choice(("", "x", "er")) + n[i + r.randint(0, 2) :] for n in names for i in [r.randrange(len(n))]]
+    texts = lambda own, c: spark.createDataFrame([(x,) for x in sorted(set(own))], f"{c} string")
+    for least in (0.92, 0.8):
+        got = entity.similar_candidates(texts(slips, "a"), texts(names, "b"), "a", "b", least)
+        want = {(a, b) for a in slips for b in names if SequenceMatcher(None, a, b).ratio() >= least}
+        assert want <= {tuple(x) for x in got.collect()}
+    got = entity.similar_candidates(texts(slips, "a"), texts(names, "b"), "a", "b", 0.92)
+    assert got.count() < 1_500
