@@ -79,3 +79,11 @@ def test_similar_texts_are_candidates_and_few_others(spark):
         assert want <= {tuple(x) for x in got.collect()}
     got = entity.similar_candidates(texts(slips, "a"), texts(names, "b"), "a", "b", 0.92)
     assert got.count() < 1_500
+
+
+def test_a_pairing_makes_only_what_is_read(spark):
+    """Whether a summary saw the future needs no sums of statistics and no rank."""
+    from contestry.plans import careers
+
+    plan = careers.leak_check(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_td_landed" not in plan and "rank_position" not in plan and "last_" in plan
