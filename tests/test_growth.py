@@ -87,3 +87,21 @@ def test_a_pairing_makes_only_what_is_read(spark):
 
     plan = careers.leak_check(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "s_td_landed" not in plan and "rank_position" not in plan and "last_" in plan
+
+
+def test_events_match_without_pairs(spark):
+    """Names of few and of many tokens against plain Python; a day's names don't all meet."""
+    r = random.Random(3)
+    day = dt.date(2026, 1, 1)
+    event = lambda i: (i, " ".join(r.sample("abcdefghijklmnopqrtu", r.choice((1, 3, 5, 14)))), day, r.choice((None, "x", "y")), 1)
+    stored = [event(i) for i in range(1000, 1300)]
+    asked = [event(i) for i in range(60)] + [(100 + i, *s[1:]) for i, s in enumerate(stored[:40])]
+    table = lambda rows: spark.createDataFrame(rows, "id int, name string, event_date date, location string, promotion_id int")
+    want = set()
+    for i, name, _, place, _ in asked:
+        found = [(10**6 if (n, p) == (name, place) else len({*n.split()} & {*name.split()}), -k) for k, n, _, p, _ in stored]
+        if max(found)[0] >= 2:
+            want.add((i, -max(found)[1]))
+    assert {tuple(x) for x in entity.event_match(table(asked), table(stored)).collect()} == want
+    few = table([x for x in asked if len(x[1]) < 12]), table([x for x in stored if len(x[1]) < 12])
+    assert joined_rows(entity.event_match(*few), spark) < few[0].count() * few[1].count() / 3
