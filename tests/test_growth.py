@@ -28,6 +28,25 @@ def joined_rows(df, spark):
     return sum(out)
 
 
+def broadcast_rows(df):
+    """Rows of the largest table that the plan sent to every task, as it ran."""
+    df.collect()
+    out = [0]
+
+    def walk(p):
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(p.executedPlan())
+        if p.nodeName().endswith("QueryStage"):
+            return walk(p.plan())
+        if p.nodeName().startswith("BroadcastExchange"):
+            out.append(p.metrics().apply("numOutputRows").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(out)
+
+
 def test_verdicts_count_fractions_of_a_second(spark):
     now = dt.datetime(2024, 1, 3, 0, 0, 0, 900_000)
     rows = [(k, 1, now - dt.timedelta(seconds=86401, microseconds=us) if i else now - dt.timedelta(days=9)) for k, us in ((1, 800_000), (2, 0), (3, 1)) for i in (0, 1)]
@@ -66,6 +85,16 @@ def test_first_answers_are_found_once_a_text(spark):
     assert joined_rows(got, spark) < 2000 < len(pairs)
 
 
+def test_no_postings_are_broadcast(spark, tmp_path):
+    """A file of distinct names looks far smaller than their trigrams, which must not go to every task."""
+    spark.range(3000).select("id", F.format_string("Name#%09d", F.col("id") * 7919).alias("name")).write.parquet(str(tmp_path / "names"))
+    known = spark.read.parquet(str(tmp_path / "names"))
+    asked = known.filter("id % 2 = 0").withColumnRenamed("id", "asked_id")
+    got = trigrams.similar_names(asked, known, "asked_id", "id", least=0.7)
+    assert broadcast_rows(got) < 1000
+    assert got.filter("asked_id = id AND similarity = 1").count() == 1500
+
+
 def test_similar_texts_are_candidates_and_few_others(spark):
     """Names of few letters, slipped names of all lengths: every pair that is similar is found, and few others go on to be compared."""
     r = random.Random(5)
