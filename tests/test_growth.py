@@ -95,6 +95,16 @@ def test_no_postings_are_broadcast(spark, tmp_path):
     assert got.filter("asked_id = id AND similarity = 1").count() == 1500
 
 
+def test_first_answers_need_no_broadcast(spark, tmp_path):
+    """Three answers for each of 1,500 names, while 3,000 distinct ones with thousands of postings are known."""
+    spark.range(3000).select("id", F.format_string("Name#%09d", F.col("id") * 7919).alias("name")).write.parquet(str(tmp_path / "names"))
+    known = spark.read.parquet(str(tmp_path / "names"))
+    got = trigrams.most_similar(known.filter("id % 2 = 0").withColumnRenamed("id", "asked_id"), known, "asked_id", "id", 3, least=0.7)
+    assert broadcast_rows(got) < 1000
+    assert got.filter("asked_id = id AND similarity = 1").count() == 1500
+    assert got.groupBy("asked_id").count().agg(F.max("count")).first()[0] == 3
+
+
 def test_similar_texts_are_candidates_and_few_others(spark):
     """Names of few letters, slipped names of all lengths: every pair that is similar is found, and few others go on to be compared."""
     r = random.Random(5)
