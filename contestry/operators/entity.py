@@ -181,35 +181,37 @@ def event_match(incoming: DataFrame, stored: DataFrame, least: int = 2) -> DataF
     No pairs are made: what two names share is a set of tokens, so each date and promotion keeps the least stored id of every set of
     least tokens or more, and an incoming name takes the largest of its own sets that is kept. Tokens that only one side has, or only one name
     of the stored, are left out before; names that still have more than MOST_LISTED tokens meet the others by two tokens each.
+    What is exploded looks as small as what it comes from, so it is joined by sorted merges and dealt to many tasks before.
     """
     both = ["event_date", "promotion_id"]
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = lambda df, own: staged(df.select(F.col("id").alias(own), "name", F.col("location").alias("place"), *both, event_tokens(strip_accents(F.col("name"))).alias("w_")).filter("name IS NOT NULL AND event_date IS NOT NULL AND promotion_id IS NOT NULL"), "event-names")
     a, b = named(incoming, "in_id"), named(stored, "event_id")
     same = b.groupBy("name", "place", *both).agg(F.min("event_id").alias("event_id"))
-    at = a.alias("a").join(same.alias("b"), F.expr("a.name = b.name AND a.place <=> b.place AND a.event_date = b.event_date AND a.promotion_id = b.promotion_id"))
+    at = a.alias("a").hint("merge").join(same.alias("b").hint("merge"), F.expr("a.name = b.name AND a.place <=> b.place AND a.event_date = b.event_date AND a.promotion_id = b.promotion_id"))
     exact = at.select("in_id", "b.event_id", F.lit(1_000_000).alias("s_"))
     # Tokens of both sides; names of the same remaining tokens are one.
     each = lambda df, own: df.select(own, *both, F.col("w_").alias("all_"), F.explode("w_").alias("t_"))
-    tokens = each(a, "in_id").select(*both, "t_").distinct().join(each(b, "event_id").select(*both, "t_").distinct(), [*both, "t_"])
-    left = lambda df, own: each(df, own).join(tokens, [*both, "t_"]).groupBy(own, *both, "all_").agg(F.sort_array(F.collect_set("t_")).alias("w_")).filter(F.size("w_") >= least)
+    tokens = each(a, "in_id").select(*both, "t_").distinct().hint("merge").join(each(b, "event_id").select(*both, "t_").distinct(), [*both, "t_"])
+    left = lambda df, own: each(df, own).hint("merge").join(tokens.hint("merge"), [*both, "t_"]).groupBy(own, *both, "all_").agg(F.sort_array(F.collect_set("t_")).alias("w_")).filter(F.size("w_") >= least)
     asks = staged(left(a, "in_id"), "event-asks")
-    kinds = asks.select(*both, F.col("w_").alias("v_")).distinct()
-    known = staged(left(b, "event_id").groupBy(*both, "w_").agg(F.min("event_id").alias("event_id")), "event-known")
+    kinds = staged(asks.select(*both, F.col("w_").alias("v_")).distinct().repartition(parts, *both, "v_"), "event-kinds")
+    known = staged(left(b, "event_id").groupBy(*both, "w_").agg(F.min("event_id").alias("event_id")).repartition(parts, *both, "w_"), "event-known")
     few = lambda c: F.size(c) <= MOST_LISTED
     # The sets by bits of a number: which tokens of the name are in.
     held = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit((1 << MOST_LISTED) - 1)), lambda m: F.when(F.bit_count(m) >= least, m)), lambda m: m.isNotNull() & (m < F.pow(F.lit(2), F.size(c))))
     of = lambda c: F.transform(held(c), lambda m: F.array_join(F.filter(c, lambda _, i: F.expr("0") != m.bitwiseAND(F.pow(F.lit(2), i).cast("int"))), " "))
     kept = known.filter(few("w_")).select(*both, "event_id", F.explode(of(F.col("w_"))).alias("k_")).groupBy(*both, "k_").agg(F.min("event_id").alias("event_id"))
     own = kinds.filter(few("v_")).select(*both, "v_", F.explode(of(F.col("v_"))).alias("k_"))
-    listed = own.join(kept, [*both, "k_"]).select(*both, "v_", "event_id", (F.size(F.split("k_", " "))).alias("s_"))
+    listed = own.hint("merge").join(kept.hint("merge"), [*both, "k_"]).select(*both, "v_", "event_id", (F.size(F.split("k_", " "))).alias("s_"))
     # Names of many tokens, on either side.
     two = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.concat(x, F.lit(" "), y)))) if least > 1 else c
     pairs = lambda df, c, *more: df.select(*both, c, *more, F.explode(two(F.col(c))).alias("k_"))
-    many = lambda x, y: pairs(x, "v_").join(pairs(y, "w_", "event_id"), [*both, "k_"]).drop("k_").distinct()
+    many = lambda x, y: pairs(x, "v_").hint("merge").join(pairs(y, "w_", "event_id").hint("merge"), [*both, "k_"]).drop("k_").distinct()
     met = many(kinds.filter(~few("v_")), known).unionByName(many(kinds.filter(few("v_")), known.filter(~few("w_"))))
     met = met.select(*both, "v_", "event_id", F.size(F.array_intersect("v_", "w_")).alias("s_"))
     best = listed.unionByName(met).filter(F.col("s_") >= least).groupBy(*both, "v_").agg(F.max(F.struct("s_", (-F.col("event_id")).alias("e_"))).alias("b_"))
-    told = asks.join(best, (asks["w_"] == best["v_"]) & (asks["event_date"] == best["event_date"]) & (asks["promotion_id"] == best["promotion_id"]))
+    told = asks.hint("merge").join(best.hint("merge"), (asks["w_"] == best["v_"]) & (asks["event_date"] == best["event_date"]) & (asks["promotion_id"] == best["promotion_id"]))
     told = told.select("in_id", (-F.col("b_.e_")).alias("event_id"), F.col("b_.s_").alias("s_"))
     return exact.unionByName(told).groupBy("in_id").agg(F.max(F.struct("s_", (-F.col("event_id")).alias("e_"))).alias("b_")).select("in_id", (-F.col("b_.e_")).cast(stored.schema["id"].dataType).alias("event_id"))
 

@@ -144,3 +144,15 @@ def test_events_match_without_pairs(spark):
     assert {tuple(x) for x in entity.event_match(table(asked), table(stored)).collect()} == want
     few = table([x for x in asked if len(x[1]) < 12]), table([x for x in stored if len(x[1]) < 12])
     assert joined_rows(entity.event_match(*few), spark) < few[0].count() * few[1].count() / 3
+
+
+def test_sets_of_tokens_are_not_broadcast(spark):
+    """300 names of eight tokens have 74,100 sets of two or more; none of them goes to every task."""
+    r = random.Random(7)
+    rows = lambda first: [(first + i, " ".join(r.sample("abcdefghijklmnopqrtu", 8)), dt.date(2026, 1, 1), None, 1) for i in range(300)]
+    one, two = rows(0), rows(1000)
+    table = lambda x: spark.createDataFrame(x, "id int, name string, event_date date, location string, promotion_id int")
+    got = entity.event_match(table(one), table(two))
+    assert broadcast_rows(got) < 1000
+    want = {(i, -max((len({*n.split()} & {*name.split()}), -k) for k, n, *_ in two)[1]) for i, name, *_ in one}
+    assert {tuple(x) for x in got.collect()} == want
