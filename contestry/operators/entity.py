@@ -73,18 +73,32 @@ def lost_grams(n: int, q: int, least: float) -> int:
 LENGTHS = 400
 
 
+#: The most grams whose numbers are broadcast, and the texts of a key on either side that meet in one task.
+OFTEN, MEETING = 1 << 16, 4_000
+
+
 def gram_keys(texts: DataFrame, q: int, least: float) -> DataFrame:
-    """t_ and k_, hashes of two of its rarest grams: of those that are left when all are lost that may be lost, a text shows two to each text that
-    is similar. texts: t_."""
-    each = texts.select("t_", F.explode(grams(F.col("t_"), q)).alias("g_"))
-    counts = each.groupBy("g_").agg(F.count("*").alias("f_"))
-    ranked = each.join(counts, "g_").groupBy("t_").agg(F.sort_array(F.collect_list(F.struct("f_", "g_"))).alias("all_"))  # as many as the text has letters
+    """texts (t_ and more, t_ unique) with k_, hashes of two of t_'s rarest grams: of those that are left when all are lost that may be lost, a text
+    shows two to each text that is similar. Any one order of the grams will do: the frequent ones are counted, the others are before them."""
+    own = texts.columns
+    each = texts.select(*own, F.explode(grams(F.col("t_"), q)).alias("g_"))
+    every = texts.agg(F.sum(F.greatest(F.length("t_") - (q - 1), F.lit(0)))).first()[0] or 0
+    often = each.groupBy("g_").agg(F.count("*").alias("f_")).filter(F.col("f_") * OFTEN >= every)
+    counted = each.join(F.broadcast(often), "g_", "left")
+    ranked = counted.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f_", F.lit(0)).alias("f_"), "g_"))).alias("all_"))  # as many as the text has letters
     n = F.length("t_")
     slope = 2 * (1 - least) * max(q / (2 - least), (q - 1) / least)
     lost = F.when(n < LENGTHS, F.array(*[F.lit(lost_grams(i, q, least)) for i in range(LENGTHS)])[F.least(n, F.lit(LENGTHS - 1))]).otherwise(F.ceil(n * slope).cast("int"))
-    rare = ranked.select("t_", F.transform(F.slice("all_", F.lit(1), lost + 2), lambda x: x["g_"]).alias("r_"))
+    rare = ranked.select(*own, F.transform(F.slice("all_", F.lit(1), lost + 2), lambda x: x["g_"]).alias("r_"))
     two = F.flatten(F.transform("r_", lambda x, i: F.transform(F.slice("r_", i + 2, F.size("r_")), lambda y: F.xxhash64(x, y))))
-    return rare.select("t_", F.explode(two).alias("k_"))
+    return rare.select(*own, F.explode(two).alias("k_"))
+
+
+def letters(text: Column) -> Column:
+    """64 bits of which letters (in 32 classes) a text has at least once and twice: a letter more or less changes one bit at most."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: 2 * F.pmod(F.ascii(F.substring(text, i, 1)), F.lit(32)))
+    return F.aggregate(at, F.lit(0).cast("bigint"), lambda have, i: have.bitwiseOR(F.when(have.bitwiseAND(bit(i)) == 0, bit(i)).otherwise(bit(i + 1))))
 
 
 def similar_candidates(asked: DataFrame, known: DataFrame, text: str, other: str, least: float) -> DataFrame:
@@ -92,24 +106,37 @@ def similar_candidates(asked: DataFrame, known: DataFrame, text: str, other: str
 
     Texts are met once, whatever rows have them, by two common grams of three letters among each one's rarest (two rare ones together are far rarer
     than one); texts too short to be sure of two are met by letters, as are those that such a text may be similar to. Of what meets, those
-    go on whose edit distance leaves enough in common. least: over 2 / 3.
+    go on whose letters and then whose edit distance leave enough in common. What meets still grows faster than the texts where their words
+    are few, so it is told by numbers and bits, the texts are joined to what is left. least: over 2 / 3.
     """
     if not 2 / 3 < least <= 1:
         raise ValueError("least must lie over 2 / 3: of texts less alike two common letters aren't sure")
-    own, others = (df.select(F.col(c).alias("t_")).filter("t_ IS NOT NULL").distinct() for df, c in ((asked, text), (known, other)))
-    each = staged(own.unionByName(others).distinct(), "similar-texts")
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda df, c, asks: df.select(F.col(c).alias("t_"), F.lit(asks).alias("asks_"), F.lit(not asks).alias("has_")).filter("t_ IS NOT NULL")
+    each = side(asked, text, True).unionByName(side(known, other, False)).groupBy("t_").agg(F.max("asks_").alias("asks_"), F.max("has_").alias("has_"))
+    each = staged(each, "similar-texts").repartition(parts, "t_")  # a small file would be one task's
+    each = staged(each.withColumns({"i_": F.xxhash64("t_"), "s_": letters(F.col("t_")), "n_": F.length("t_")}), "similar-texts")
     # From this length on two grams of three are sure; where that isn't so at LENGTHS, all texts are met by letters.
     first = next((i + 1 for i in range(LENGTHS - 1, -1, -1) if i - 2 - lost_grams(i, 3, least) < 2), 0)
     first = first if first < LENGTHS else 1 << 30
     reach = int(first * (2 - least) / least) + 1
-    keys = gram_keys(each.filter(F.length("t_") >= first), 3, least).unionByName(gram_keys(each.filter(F.length("t_") <= reach), 1, least))
-    keys = staged(keys.unionByName(each.select("t_", F.xxhash64(F.lit(""), "t_").alias("k_"))).distinct(), "similar-keys")
-    left, right = (df.join(keys, "t_").select(F.col("t_").alias(c), "k_") for df, c in ((own, "a_"), (others, "b_")))
-    n = F.length("a_") + F.length("b_")
+    keys = gram_keys(each.filter(F.col("n_") >= first), 3, least).unionByName(gram_keys(each.filter(F.col("n_") <= reach), 1, least))
+    keys = staged(keys.unionByName(each.withColumn("k_", F.xxhash64(F.lit(""), "t_"))).drop("t_"), "similar-keys")
+    # The texts of a hot key meet in cells of some that ask and some known; the cells lie in different tasks.
+    size = lambda c: F.ceil(F.count_if(c) / F.lit(MEETING)).cast("int")
+    hot = keys.groupBy("k_").agg(size("has_").alias("rows_"), size("asks_").alias("columns_")).filter("rows_ > 0 AND columns_ > 0 AND rows_ + columns_ > 2")
+    dealt = keys.join(F.broadcast(hot), "k_", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("rows_", "columns_")})  # one for each so many texts
+    cells, own = (lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))), (lambda c: F.pmod(F.col("i_"), F.col(c)).cast("int"))
+    left = dealt.filter("asks_").select("k_", cells("rows_").alias("row_"), own("columns_").alias("column_"), *[F.col(c).alias(f"a{c}") for c in ("i_", "s_", "n_")])
+    right = dealt.filter("has_").select("k_", own("rows_").alias("row_"), cells("columns_").alias("column_"), *[F.col(c).alias(f"b{c}") for c in ("i_", "s_", "n_")])
+    n = F.col("an_") + F.col("bn_")
     room = F.floor((1 - least) * n + 1e-9).cast("int")
-    met = left.join(right, "k_").filter(2 * F.least(F.length("a_"), F.length("b_")) >= least * n - 1e-9).select("a_", "b_").distinct()
-    near = met.filter(F.levenshtein("a_", "b_") <= room)
-    return asked.join(near, asked[text] == near["a_"]).drop("a_").join(known, F.col("b_") == known[other]).drop("b_")
+    met = left.hint("merge").join(right.hint("merge"), ["k_", "row_", "column_"])
+    met = met.filter((2 * F.least("an_", "bn_") >= least * n - 1e-9) & (F.bit_count(F.col("as_").bitwiseXOR(F.col("bs_"))) <= room)).select("ai_", "bi_", room.alias("room_")).distinct()
+    for c in ("a", "b"):
+        met = met.hint("merge").join(each.select(F.col("i_").alias(f"{c}i_"), F.col("t_").alias(f"{c}_")).hint("merge"), f"{c}i_")
+    near = met.filter(F.levenshtein("a_", "b_") <= F.col("room_")).select("a_", "b_").distinct()
+    return asked.hint("merge").join(near.hint("merge"), asked[text] == near["a_"]).drop("a_").join(known.hint("merge"), F.col("b_") == known[other]).drop("b_")
 
 
 def tiered_match(names: DataFrame, entities: DataFrame, name: str, entity: str, least: float = 0.92, guarded: bool = False) -> DataFrame:
@@ -195,8 +222,8 @@ def event_match(incoming: DataFrame, stored: DataFrame, least: int = 2) -> DataF
     tokens = each(a, "in_id").select(*both, "t_").distinct().hint("merge").join(each(b, "event_id").select(*both, "t_").distinct(), [*both, "t_"])
     left = lambda df, own: each(df, own).hint("merge").join(tokens.hint("merge"), [*both, "t_"]).groupBy(own, *both, "all_").agg(F.sort_array(F.collect_set("t_")).alias("w_")).filter(F.size("w_") >= least)
     asks = staged(left(a, "in_id"), "event-asks")
-    kinds = staged(asks.select(*both, F.col("w_").alias("v_")).distinct().repartition(parts, *both, "v_"), "event-kinds")
-    known = staged(left(b, "event_id").groupBy(*both, "w_").agg(F.min("event_id").alias("event_id")).repartition(parts, *both, "w_"), "event-known")
+    kinds = staged(asks.select(*both, F.col("w_").alias("v_")).distinct(), "event-kinds").repartition(parts, *both, "v_")
+    known = staged(left(b, "event_id").groupBy(*both, "w_").agg(F.min("event_id").alias("event_id")), "event-known").repartition(parts, *both, "w_")
     few = lambda c: F.size(c) <= MOST_LISTED
     # The sets by bits of a number: which tokens of the name are in.
     held = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit((1 << MOST_LISTED) - 1)), lambda m: F.when(F.bit_count(m) >= least, m)), lambda m: m.isNotNull() & (m < F.pow(F.lit(2), F.size(c))))

@@ -120,6 +120,21 @@ def test_similar_texts_are_candidates_and_few_others(spark):
     assert got.count() < 1_500
 
 
+def test_names_of_few_words_meet_by_their_letters(spark):
+    """A few words make all names, so many share two grams: bits of their letters tell which are compared, no keys go to every task."""
+    r = random.Random(8)
+    words = ["".join(r.choice("aeinorstdl") for _ in range(6)) for _ in range(12)]
+    names = sorted({" ".join(r.choice(words) for _ in range(4)) for _ in range(400)})
+    texts = lambda own, c: spark.createDataFrame([(x,) for x in own], f"{c} string")
+    slips = sorted({n[:i] + n[i + 1 :] for n in names for i in [r.randrange(len(n))]})
+    got = entity.similar_candidates(texts(slips, "a"), texts(names, "b"), "a", "b", 0.92)
+    assert broadcast_rows(got) < 1000
+    assert {(a, b) for a in slips for b in names if SequenceMatcher(None, a, b).ratio() >= 0.92} <= {tuple(x) for x in got.collect()}
+    bits = {x["t"]: x["b"] for x in texts(slips + names, "t").withColumn("b", entity.letters(F.col("t"))).collect()}
+    changed = [(bits[a] ^ bits[b]) & (1 << 64) - 1 for n in names for a, b in [(n, n[:i] + n[i + 1 :]) for i in range(len(n))] if b in bits]
+    assert changed and all(c.bit_count() <= 1 for c in changed)
+
+
 def test_a_pairing_makes_only_what_is_read(spark):
     """Whether a summary saw the future needs no sums of statistics and no rank."""
     from contestry.plans import careers
