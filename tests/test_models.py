@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from contestry.operators import metrics, models
 
@@ -17,6 +18,21 @@ def rows(spark):
     return spark.createDataFrame(out, "id int, day string, a double, b double, y int, c int").cache()
 
 
+def test_medians_are_those_of_percentile(spark, monkeypatch):
+    """Odd and even counts, ties, NULLs, nothing known, and bounds that miss the middle; no exact aggregate holds a whole column."""
+    r = random.Random(2)
+    pick = lambda: (r.choice((None, r.gauss(0, 1))), float(r.randint(0, 2)), r.choice((None, None, r.random())), None, float(r.random() < 0.5))
+    for n in (0, 1, 2, 9, 5001):
+        rows = spark.createDataFrame([pick() for _ in range(n)], "a double, b double, c double, d double, e double")
+        want = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in rows.columns]).first().asDict()
+        assert models.medians(rows, rows.columns) == want
+    with monkeypatch.context() as m:
+        m.setattr(F, "percentile", None)
+        assert models.medians(rows, rows.columns) == want
+    monkeypatch.setattr(models, "AROUND", -0.3)
+    assert models.medians(rows, rows.columns) == want
+
+
 def test_grid_has_all_settings():
     got = models.settings(models.GRID)
     assert len(got) == 108 and len({tuple(x.items()) for x in got}) == 108
