@@ -70,6 +70,21 @@ def baselines(train: DataFrame, test: DataFrame) -> DataFrame:
         F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg((F.lit(0.5) - F.col("y")) ** 2), 6).alias("brier_half"), F.round(F.avg(log_loss(F.col("rate"), F.col("y"))), 6).alias("prior_log_loss"))
 
 
+def against_baselines(rows: DataFrame, forms: list[str], train: DataFrame) -> DataFrame:
+    """model, n, accuracy, log_loss, brier and auc of each form (a column of rows with a probability) and of two constants: baseline, the rate of ones of
+    train's y, and majority, whose accuracy is that of train's majority class (ties: the smaller) and whose probability is a half."""
+    t = train.agg(F.mode("y", True).alias("majority"), F.avg("y").alias("rate")).first()
+    hit = lambda p: (p >= 0.5).cast("int")
+    told = [(f, F.col(f), hit(F.col(f))) for f in forms] + [("baseline", F.lit(t["rate"]), hit(F.lit(t["rate"]))), ("majority", F.lit(0.5), F.lit(t["majority"]))]
+    out = None
+    for name, p, guess in told:
+        each = rows.select("y", p.cast("double").alias("p"), guess.alias("g"))
+        own = each.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.avg((F.col("g") == F.col("y")).cast("int")).alias("accuracy"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
+        one = own.crossJoin(auc(each.select("p", "y")).select("auc"))  # one row by one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def below(ties: DataFrame, buckets: int = 256) -> DataFrame:
     """ties (distinct p, n) with below, the sum of n of smaller p: ranks within ranges of p, plus the sums of the ranges before."""
     edges = sorted(set(ties.approxQuantile("p", [k / buckets for k in range(1, buckets)], 0.1 / buckets)))

@@ -63,6 +63,34 @@ def test_variants_are_corner_symmetric(rows):
         assert 0 <= one[i]["raw"] <= 1 and 0 <= one[i]["raw_calibrated"] <= 1
 
 
+def test_missing_differences_are_imputed_after_the_swap(rows):
+    """A pairing and its mirror have probabilities that add up to 1, where a difference is missing too; the better calibration is taken."""
+    gaps = rows.withColumn("b", F.when(F.col("id") % 3 > 0, F.col("b") + 2))
+    impute = models.imputer(gaps.filter("id < 300"), ["a", "b"])
+    trees = models.boosted(impute(gaps.filter("id < 300")).withColumn("y", F.when(F.col("b") > 1.5, F.col("y")).otherwise(1 - F.col("y"))), ["a", "b"], {"maxDepth": 2, "maxIter": 5})
+    score = lambda df, name: trees(impute(df), name)
+    hold, test = gaps.filter("id >= 300 AND id < 450"), gaps.filter("id >= 450")
+    one = {r["id"]: r for r in models.variants(hold, test, "id", ["a", "b"], score).collect()}
+    two = {r["id"]: r for r in models.variants(hold, models.mirrored(test, ["a", "b"]), "id", ["a", "b"], score).collect()}
+    assert len(one) == 150
+    for i in one:
+        assert one[i]["symmetrised"] + two[i]["symmetrised"] == pytest.approx(1)
+        assert one[i]["symmetrised_calibrated"] + two[i]["symmetrised_calibrated"] == pytest.approx(1)
+    method = models.choose_calibration(score(hold, "p").select("id", "y", "p"), "id")[0]
+    given = {r["id"]: r for r in models.variants(hold, test, "id", ["a", "b"], score, method).collect()}
+    assert all(given[i]["raw_calibrated"] == pytest.approx(one[i]["raw_calibrated"]) for i in one)
+
+
+def test_forms_stand_beside_both_baselines(spark):
+    rows = spark.createDataFrame([(1, 0.9, 0.2), (0, 0.4, 0.7), (1, 0.6, 0.6), (0, 0.1, 0.6)], "y int, good double, bad double")
+    train = spark.createDataFrame([(1,), (1,), (0,), (0,), (0,)], "y int")
+    got = {r["model"]: r for r in metrics.against_baselines(rows, ["good", "bad"], train).collect()}
+    assert set(got) == {"good", "bad", "baseline", "majority"} and all(r["n"] == 4 for r in got.values())
+    assert (got["good"]["auc"], got["good"]["accuracy"], got["good"]["brier"]) == (1.0, 1.0, pytest.approx((0.01 + 0.16 + 0.16 + 0.01) / 4))
+    assert got["bad"]["auc"] == pytest.approx(0.125) and got["baseline"]["auc"] == got["majority"]["auc"] == 0.5
+    assert (got["majority"]["accuracy"], got["majority"]["brier"], got["baseline"]["brier"]) == (0.5, 0.25, pytest.approx((2 * 0.36 + 2 * 0.16) / 4))
+
+
 def test_report_section_is_replaced(tmp_path):
     path = str(tmp_path / "r.md")
     models.rewrite_section(path, "One", "a")
